@@ -139,20 +139,41 @@ def _by_key():
     return Window.partitionBy("key")
 
 
-def _across(reps: DataFrame, named: DataFrame, apart: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """(u, v), repeated: members of one table entry that are in different components, where one of them is an end of ``apart``."""
+def _shared(sets: DataFrame, family: DataFrame, each: DataFrame) -> DataFrame:
+    """id, family, n, s: how many of a document's shingles occur in another document of its family. No pair of the family shares more than the smaller s."""
+
+    def explode(batches):
+        for rows in batches:
+            items = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in rows.column("items")]
+            if items:
+                many = [len(x) for x in items]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(rows.column(c).to_numpy(), many)) for c in ("id", "family")), pa.array(np.concatenate(items))], names=["id", "family", "item"])
+
+    rows = sets.join(family, "id").mapInArrow(explode, "id long, family long, item long")
+    alone = rows.groupBy("family", "item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = each.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct()
+    return family.join(sizes, "id").join(alone, "id", "left").select("id", "family", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+
+
+def _across(reps: DataFrame, named: DataFrame, shared: DataFrame, apart: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """(u, v), repeated: members of one table entry in different components, one of them an end of ``apart``, whose shared shingles allow the similarity.
+
+    The bound is exact: sets of x and y shingles with the similarity share at least percent / (100 + percent) * (x + y).
+    """
 
     def expand(batches):
         keys = _table_keys(cfg)
         for rows in batches:
             k = keys(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *(pa.array(np.repeat(rows.column(c).to_numpy(), k.shape[1])) for c in ("doc_id", "component"))], names=["key", "id", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *(pa.array(np.repeat(rows.column(c).to_numpy(), k.shape[1])) for c in ("doc_id", "component", "n", "s"))], names=["key", "id", "component", "n", "s"])
 
-    members = reps.join(named.select(F.col("id").alias("doc_id"), "component"), "doc_id").select("doc_id", "a", "b", "component")
+    able = shared.where(F.col("s") * 100 >= F.col("n") * cfg.percent)
+    members = reps.join(able.select(F.col("id").alias("doc_id"), "n", "s"), "doc_id").join(named.select(F.col("id").alias("doc_id"), "component"), "doc_id").select("doc_id", "a", "b", "component", "n", "s")
     ends = apart.select(F.col("u").alias("doc_id")).unionByName(apart.select(F.col("v").alias("doc_id"))).distinct()
-    wide = "key long, id long, component long"
-    few = members.join(ends, "doc_id", "left_semi").mapInArrow(expand, wide).toDF("key", "x", "cx")
-    return few.join(members.mapInArrow(expand, wide), "key").where("cx <> component").select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
+    wide = "key long, id long, component long, n long, s long"
+    few = members.join(ends, "doc_id", "left_semi").mapInArrow(expand, wide).toDF("key", "x", "cx", "nx", "sx")
+    fits = (F.col("cx") != F.col("component")) & ((100 + cfg.percent) * F.least("s", "sx") >= cfg.percent * (F.col("n") + F.col("nx")))
+    return few.join(members.mapInArrow(expand, wide), "key").where(fits).select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, cfg: MinHashConfig) -> DataFrame:
@@ -168,13 +189,19 @@ def _likely(pairs: DataFrame, reps: DataFrame, cfg: MinHashConfig) -> DataFrame:
     return pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(size).mapInArrow(close, "u long, v long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """The pairs with the similarity, judged on the full shingle sets."""
+def _set_table(ids: DataFrame, docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """(id, items): the full shingle sets of some documents."""
 
     def full(batches):
         for rows, sets in _sets(batches, cfg.width):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"])
 
+    return docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(full, "id long, items binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """The pairs with the similarity, judged on the full shingle sets."""
+
     def judge(batches):
         for rows in batches:
             keep = []
@@ -184,8 +211,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, cfg: MinHashConfig) -> DataFram
                 keep.append(100 * both >= cfg.percent * (len(x) + len(y) - both))
             yield rows.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(full, "id long, items binary")
     return pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").mapInArrow(judge, "u long, v long")
 
 
@@ -206,16 +231,21 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig | None = None) -> DataFr
     classes = scratch.keep(classes, "classes")
     reps = scratch.keep(each.join(classes, (each["print"] == classes["print"]) & (each["doc_id"] == classes["rep"]), "left_semi").drop("print"), "reps")
     pairs = scratch.keep(_likely(_meetings(reps, cfg), reps, cfg), "pairs")
-    links = scratch.keep(_verified(pairs, docs, cfg), "links")
+    met = scratch.keep(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "met")
+    sets = scratch.keep(_set_table(met, docs, cfg), "sets")
+    links = scratch.keep(_verified(pairs, sets, cfg), "links")
     named = components(spark, links, scratch)
     # Members of an entry that its smallest member doesn't link may link among themselves.
     label = lambda c: named.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
     apart = pairs.join(label("u"), "u", "left").join(label("v"), "v", "left").where("coalesce(c_u, u) <> coalesce(c_v, v)").select("u", "v")
     apart = scratch.keep(apart, "apart")
-    met = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    more = _across(reps, met, apart, cfg).distinct().join(pairs, ["u", "v"], "left_anti")
+    families = components(spark, pairs, scratch).withColumnRenamed("component", "family")
+    open_ = apart.join(families, apart["u"] == families["id"]).select("family").distinct()
+    shared = scratch.keep(_shared(sets, families.join(open_, "family", "left_semi").select("id", "family"), each), "shared")
+    now = met.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    more = _across(reps, now, shared, apart, cfg).distinct().join(pairs, ["u", "v"], "left_anti")
     more = scratch.keep(_likely(more, reps, cfg), "more")
-    links = links.unionByName(_verified(more, docs, cfg))
+    links = links.unionByName(_verified(more, sets, cfg))
     named = components(spark, links, scratch)
     owner = each.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     out = owner.join(named, owner["rep"] == named["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
