@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one NumPy step handles at a time; bounds a Python worker's memory.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,12 +30,23 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Rows in an Arrow batch on its way to a Python worker; whole texts and sets travel in them.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, which bounds what executors and their Python workers hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive a lost executor."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        small_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
@@ -45,7 +56,6 @@ class Scratch:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 

@@ -144,8 +144,8 @@ def _shared(sets: DataFrame, family: DataFrame, each: DataFrame) -> DataFrame:
 
     def explode(batches):
         for rows in batches:
-            items = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in rows.column("items")]
-            if items:
+            for rows in (rows.slice(i, 100) for i in range(0, len(rows), 100)):
+                items = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in rows.column("items")]
                 many = [len(x) for x in items]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(rows.column(c).to_numpy(), many)) for c in ("id", "family")), pa.array(np.concatenate(items))], names=["id", "family", "item"])
 

@@ -17,8 +17,16 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashConfig(width=2))
 
 
+def op2_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byteconv import held_out, learn, score
+
+    docs = _table(spark, sf_dir, "documents").where("doc_id is not null")
+    net = learn(docs, _table(spark, sf_dir, "labels"))
+    return score(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_conv_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
