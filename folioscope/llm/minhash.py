@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, text_steps, word_hashes, word_spans
+from .common import Scratch, mix, slices, text_steps, word_hashes, word_spans
 from .components import components
 
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -143,11 +143,10 @@ def _shared(sets: DataFrame, family: DataFrame, each: DataFrame) -> DataFrame:
     """id, family, n, s: how many of a document's shingles occur in another document of its family. No pair of the family shares more than the smaller s."""
 
     def explode(batches):
-        for rows in batches:
-            for rows in (rows.slice(i, 100) for i in range(0, len(rows), 100)):
-                items = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in rows.column("items")]
-                many = [len(x) for x in items]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(rows.column(c).to_numpy(), many)) for c in ("id", "family")), pa.array(np.concatenate(items))], names=["id", "family", "item"])
+        for rows in slices(batches, 100):
+            items = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in rows.column("items")]
+            many = [len(x) for x in items]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(rows.column(c).to_numpy(), many)) for c in ("id", "family")), pa.array(np.concatenate(items))], names=["id", "family", "item"])
 
     rows = sets.join(family, "id").mapInArrow(explode, "id long, family long, item long")
     alone = rows.groupBy("family", "item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
