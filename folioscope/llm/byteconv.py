@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_steps
+from .common import prepare, text_steps
 
 BLOCK, HALF = 4, 32  #: bytes in a block, blocks in half a chunk
 _HALF_BYTES = BLOCK * HALF
@@ -191,7 +191,7 @@ def score(docs: DataFrame, net: Net, cfg: ConvConfig | None = None) -> DataFrame
     """
     cfg = cfg or ConvConfig()
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     rest = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     docs = docs.select(*rest)
     weights = spark.sparkContext.broadcast(net.weights)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,16 @@ def shared_root(spark: SparkSession) -> str:
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows, which bounds what executors and their Python workers hold."""
+def prepare(spark: SparkSession) -> None:
+    """Ships this package to the Python workers, once a context, and lowers the session's Arrow batches to BATCH_ROWS rows, which bounds what executors and their workers hold."""
+    sc = spark.sparkContext
+    if "folioscope.zip" not in sc._python_includes:
+        home = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp()) / "folioscope.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        sc.addPyFile(str(to))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -46,7 +56,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        small_batches(spark)
+        prepare(spark)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
@@ -94,6 +104,13 @@ def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text", step: int
             i = j
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of each text, and where each text's words begin: words ptr[i]:ptr[i+1]."""
     if not len(buf):

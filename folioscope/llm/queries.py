@@ -25,8 +25,22 @@ def op2_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .kmtree import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_projection_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rpforest import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_conv_quality)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op6_projection_forest_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
