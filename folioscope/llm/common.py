@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -73,6 +74,11 @@ class Scratch:
         for df in frames:
             self.remove(df._scratch_path)
 
+    def sweep(self) -> None:
+        """Lets the driver forget the shuffles that no frame needs any more, so that their files go."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def remove(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -33,14 +33,26 @@ def op3_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import digest, remove_repeats
+
+    return digest(remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_projection_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rpforest import near_vectors
 
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_automaton_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .automaton import digest, remove_earlier
+
+    return digest(remove_earlier(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op6_projection_forest_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op6_projection_forest_dedup, op7_automaton_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
