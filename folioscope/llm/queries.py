@@ -39,6 +39,14 @@ def op4_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokenfile import tokens_round_trip
+
+    return tokens_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_projection_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rpforest import near_vectors
 
@@ -52,7 +60,7 @@ def op7_automaton_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op6_projection_forest_dedup, op7_automaton_substring_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op5_elias_fano_token_files, op6_projection_forest_dedup, op7_automaton_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
