@@ -27,13 +27,14 @@ _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class MinHashConfig:
-    """width: words in a shingle. A pair links if 100 * |A & B| >= percent * |A | B|. m, r: see the module. slack: a pair whose sketches agree in fewer than this share of minhashes isn't verified (six standard deviations below 0.8)."""
+    """width: words in a shingle. A pair links if 100 * |A & B| >= percent * |A | B|. m, r: see the module. slack: a pair whose sketches agree in fewer than this share of minhashes isn't verified (six standard deviations below 0.8). rare: documents of a family that may have a shingle for it to propose pairs."""
 
     width: int = 5
     percent: int = 80
     m: int = 10
     r: int = 3
     slack: float = 0.5
+    rare: int = 64
     seed: int = 7
 
     @property
@@ -139,8 +140,13 @@ def _by_key():
     return Window.partitionBy("key")
 
 
-def _shared(sets: DataFrame, family: DataFrame, each: DataFrame) -> DataFrame:
-    """id, family, n, s: how many of a document's shingles occur in another document of its family. No pair of the family shares more than the smaller s."""
+def _rarities(sets: DataFrame, family: DataFrame, each: DataFrame, cfg: MinHashConfig, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, family, n, s, core) and (id, family, item, df).
+
+    s: how many of a document's shingles another document of its family has; core: how many more than cfg.rare documents
+    of its family have. The second table has the other shared shingles. No pair has more in common than the smaller s;
+    a pair without a rare shingle in common has no more in common than the smaller core.
+    """
 
     def explode(batches):
         for rows in slices(batches, 100):
@@ -148,31 +154,43 @@ def _shared(sets: DataFrame, family: DataFrame, each: DataFrame) -> DataFrame:
             many = [len(x) for x in items]
             yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(rows.column(c).to_numpy(), many)) for c in ("id", "family")), pa.array(np.concatenate(items))], names=["id", "family", "item"])
 
-    rows = sets.join(family, "id").mapInArrow(explode, "id long, family long, item long")
-    alone = rows.groupBy("family", "item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    items = scratch.keep(sets.join(family, "id").mapInArrow(explode, "id long, family long, item long"), "items")
+    few = items.groupBy("family", "item").agg(F.count("*").alias("df")).where(F.col("df") <= cfg.rare)
+    few = scratch.keep(items.join(few, ["family", "item"]), "few")
+    counts = few.groupBy("id").agg(F.count_if(F.col("df") == 1).alias("alone"), F.count("*").alias("few"))
     sizes = each.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct()
-    return family.join(sizes, "id").join(alone, "id", "left").select("id", "family", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+    counts = family.join(sizes, "id").join(counts, "id", "left").select("id", "family", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"), (F.col("n") - F.coalesce("few", F.lit(0))).alias("core"))
+    counts = scratch.keep(counts.where(F.col("s") * 100 >= F.col("n") * cfg.percent), "counts")
+    scratch.drop(items)
+    return counts, few.where("df > 1")
 
 
-def _across(reps: DataFrame, named: DataFrame, shared: DataFrame, apart: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """(u, v), repeated: members of one table entry in different components, one of them an end of ``apart``, whose shared shingles allow the similarity.
+def _across(reps: DataFrame, named: DataFrame, counts: DataFrame, few: DataFrame, apart: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """(u, v), repeated: pairs in different components, one of them an end of ``apart``, that may have the similarity.
 
-    The bound is exact: sets of x and y shingles with the similarity share at least percent / (100 + percent) * (x + y).
+    Sets of x and y shingles with the similarity have at least percent / (100 + percent) * (x + y) in common. So a pair
+    either meets in a table and has enough core shingles, or has a rare shingle in common; a rare shingle pairs each
+    document with fewer than cfg.rare others.
     """
 
     def expand(batches):
         keys = _table_keys(cfg)
         for rows in batches:
             k = keys(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *(pa.array(np.repeat(rows.column(c).to_numpy(), k.shape[1])) for c in ("doc_id", "component", "n", "s"))], names=["key", "id", "component", "n", "s"])
-
-    able = shared.where(F.col("s") * 100 >= F.col("n") * cfg.percent)
-    members = reps.join(able.select(F.col("id").alias("doc_id"), "n", "s"), "doc_id").join(named.select(F.col("id").alias("doc_id"), "component"), "doc_id").select("doc_id", "a", "b", "component", "n", "s")
-    ends = apart.select(F.col("u").alias("doc_id")).unionByName(apart.select(F.col("v").alias("doc_id"))).distinct()
-    wide = "key long, id long, component long, n long, s long"
-    few = members.join(ends, "doc_id", "left_semi").mapInArrow(expand, wide).toDF("key", "x", "cx", "nx", "sx")
-    fits = (F.col("cx") != F.col("component")) & ((100 + cfg.percent) * F.least("s", "sx") >= cfg.percent * (F.col("n") + F.col("nx")))
-    return few.join(members.mapInArrow(expand, wide), "key").where(fits).select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *(pa.array(np.repeat(rows.column(c).to_numpy(), k.shape[1])) for c in ("doc_id", "component", "n", "core"))], names=["key", "id", "component", "n", "core"])
+
+    ends = apart.select(F.col("u").alias("id")).unionByName(apart.select(F.col("v").alias("id"))).distinct()
+    able = counts.join(named, "id")
+    pair = lambda df: df.where("cx <> component").select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
+    members = reps.join(able.where(F.col("core") * 100 >= F.col("n") * cfg.percent).withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "a", "b", "component", "n", "core")
+    wide = "key long, id long, component long, n long, core long"
+    some = members.join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(expand, wide).toDF("key", "x", "cx", "nx", "corex")
+    enough = (F.col("cx") != F.col("component")) & ((100 + cfg.percent) * F.least("core", "corex") >= cfg.percent * (F.col("n") + F.col("nx")))
+    meeting = pair(some.join(members.mapInArrow(expand, wide), "key").where(enough))
+    rows = few.join(able.select("id", "component", "n"), "id").select("family", "item", "id", "component", "n")
+    some = rows.join(ends, "id", "left_semi").select("family", "item", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    near = (F.col("cx") != F.col("component")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * cfg.percent)
+    return meeting.unionByName(pair(some.join(rows, ["family", "item"]).where(near)))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, cfg: MinHashConfig) -> DataFrame:
@@ -240,9 +258,9 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig | None = None) -> DataFr
     apart = scratch.keep(apart, "apart")
     families = components(spark, pairs, scratch).withColumnRenamed("component", "family")
     open_ = apart.join(families, apart["u"] == families["id"]).select("family").distinct()
-    shared = scratch.keep(_shared(sets, families.join(open_, "family", "left_semi").select("id", "family"), each), "shared")
+    counts, few = _rarities(sets, scratch.keep(families.join(open_, "family", "left_semi").select("id", "family"), "open"), each, cfg, scratch)
     now = met.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    more = _across(reps, now, shared, apart, cfg).distinct().join(pairs, ["u", "v"], "left_anti")
+    more = _across(reps, now, counts, few, apart, cfg).distinct().join(pairs, ["u", "v"], "left_anti")
     more = scratch.keep(_likely(more, reps, cfg), "more")
     links = links.unionByName(_verified(more, sets, cfg))
     named = components(spark, links, scratch)
