@@ -165,32 +165,27 @@ def _rarities(sets: DataFrame, family: DataFrame, each: DataFrame, cfg: MinHashC
     return counts, few.where("df > 1")
 
 
-def _across(reps: DataFrame, named: DataFrame, counts: DataFrame, few: DataFrame, apart: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """(u, v), repeated: pairs in different components, one of them an end of ``apart``, that may have the similarity.
+def _across(named: DataFrame, counts: DataFrame, few: DataFrame, apart: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """(u, v), repeated: pairs of a family in different components, one of them an end of ``apart``, that may have the similarity.
 
     Sets of x and y shingles with the similarity have at least percent / (100 + percent) * (x + y) in common. So a pair
-    either meets in a table and has enough core shingles, or has a rare shingle in common; a rare shingle pairs each
-    document with fewer than cfg.rare others.
+    either has a rare shingle in common, which pairs each document with fewer than cfg.rare others, or core shingles
+    enough, which bounds the partner's size: documents join on family and steps of size.
     """
-
-    def expand(batches):
-        keys = _table_keys(cfg)
-        for rows in batches:
-            k = keys(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *(pa.array(np.repeat(rows.column(c).to_numpy(), k.shape[1])) for c in ("doc_id", "component", "n", "core"))], names=["key", "id", "component", "n", "core"])
-
+    p = cfg.percent
     ends = apart.select(F.col("u").alias("id")).unionByName(apart.select(F.col("v").alias("id"))).distinct()
     able = counts.join(named, "id")
     pair = lambda df: df.where("cx <> component").select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
-    members = reps.join(able.where(F.col("core") * 100 >= F.col("n") * cfg.percent).withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "a", "b", "component", "n", "core")
-    wide = "key long, id long, component long, n long, core long"
-    some = members.join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(expand, wide).toDF("key", "x", "cx", "nx", "corex")
-    enough = (F.col("cx") != F.col("component")) & ((100 + cfg.percent) * F.least("core", "corex") >= cfg.percent * (F.col("n") + F.col("nx")))
-    meeting = pair(some.join(members.mapInArrow(expand, wide), "key").where(enough))
+    step = lambda c: F.floor(F.log(c) / 0.02).cast("int")
+    members = able.where(F.col("core") * 100 >= F.col("n") * p).select("family", "id", "component", "n", "core", step(F.col("n")).alias("step"))
+    least, most = F.ceil(F.col("n") * p / 100), F.least(F.floor(F.col("core") * (100 + p) / p) - F.col("n"), F.floor(F.col("n") * 100 / p))
+    some = members.join(ends, "id", "left_semi").where(most >= least).select("family", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("core").alias("corex"), F.explode(F.sequence(step(least), step(most))).alias("step"))
+    enough = (F.col("cx") != F.col("component")) & ((100 + p) * F.least("core", "corex") >= p * (F.col("n") + F.col("nx")))
+    common = pair(some.join(members, ["family", "step"]).where(enough))
     rows = few.join(able.select("id", "component", "n"), "id").select("family", "item", "id", "component", "n")
     some = rows.join(ends, "id", "left_semi").select("family", "item", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    near = (F.col("cx") != F.col("component")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * cfg.percent)
-    return meeting.unionByName(pair(some.join(rows, ["family", "item"]).where(near)))
+    near = (F.col("cx") != F.col("component")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * p)
+    return common.unionByName(pair(some.join(rows, ["family", "item"]).where(near)))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, cfg: MinHashConfig) -> DataFrame:
@@ -260,7 +255,7 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig | None = None) -> DataFr
     open_ = apart.join(families, apart["u"] == families["id"]).select("family").distinct()
     counts, few = _rarities(sets, scratch.keep(families.join(open_, "family", "left_semi").select("id", "family"), "open"), each, cfg, scratch)
     now = met.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    more = _across(reps, now, counts, few, apart, cfg).distinct().join(pairs, ["u", "v"], "left_anti")
+    more = _across(now, counts, few, apart, cfg).distinct().join(pairs, ["u", "v"], "left_anti")
     more = scratch.keep(_likely(more, reps, cfg), "more")
     links = links.unionByName(_verified(more, sets, cfg))
     named = components(spark, links, scratch)
