@@ -59,8 +59,31 @@ def op7_automaton_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(remove_earlier(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_conflict_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import items, pack
+
+    return pack(items(_table(spark, sf_dir, "documents")))
+
+
+def op9_unigram_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .unigram import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .unigram import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op5_elias_fano_token_files, op6_projection_forest_dedup, op7_automaton_substring_dedup)}
+    every = (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op5_elias_fano_token_files, op6_projection_forest_dedup, op7_automaton_substring_dedup, op8_conflict_best_fit_packing, op9_unigram_round_trip, op10_unigram_token_counts)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -249,8 +249,8 @@ def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray
     return starts[first], ends[np.append(first[1:], len(starts)) - 1] if len(starts) else ends
 
 
-def remove_repeats(docs: DataFrame, cfg: SuffixConfig | None = None) -> DataFrame:
-    """All columns of ``docs`` but text and those named n_bytes, n_removed, n_spans or kept, with n_bytes, n_removed, n_spans, and kept binary: the bytes left.
+def remove_repeats(docs: DataFrame, cfg: SuffixConfig | None = None, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` but text and those named n_bytes, n_removed, n_spans or kept, with n_bytes, n_removed, n_spans, and kept binary: the bytes left; if ``as_text``, kept string, without the rest of characters cut in two.
 
     A byte goes if a string of cfg.length bytes that covers it starts anywhere else too, in the same document or
     another; strings don't cross documents and are judged on the input. Null texts are empty; texts shorter than
@@ -306,9 +306,9 @@ def remove_repeats(docs: DataFrame, cfg: SuffixConfig | None = None) -> DataFram
                 kept = b"".join(text[x:y].tobytes() for x, y in zip(edge[::2], edge[1::2], strict=True))
                 out.append((len(text), len(text) - len(kept), len(a), kept))
             size, gone, spans, kept = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[*rest, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([k.decode(errors="ignore") for k in kept] if as_text else kept, pa.string() if as_text else pa.binary())], names=[*rest, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = T.StructType([*(f for f in texts.schema.fields if f.name in rest), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*(f for f in texts.schema.fields if f.name in rest), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     return texts.join(spans.hint("shuffle_hash"), "doc_id", "left").select(*rest, "text", "at").mapInArrow(cut, schema)
 
 
