@@ -29,12 +29,13 @@ from .common import STEP_BYTES, Scratch, mix, partitions, prepare, text_steps
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """length: bytes of a string that may not repeat. window: most bytes between anchors. gram: bytes whose hash picks an anchor. batches: in how many batches the documents join the index."""
+    """length: bytes of a string that may not repeat. window: most bytes between anchors. gram: bytes whose hash picks an anchor. batches: in how many batches the documents join the index. shard: different reaches that one task compares, about; names with more than half of that are settled by their strings' hashes instead."""
 
     length: int = 400
     window: int = 160
     gram: int = 24
     batches: int = 4
+    shard: int = 16384
 
     @property
     def block(self) -> int:
@@ -239,6 +240,68 @@ def _strings(texts: DataFrame, cfg: SuffixConfig) -> DataFrame:
     return texts.mapInArrow(run, "h1 long, h2 long, doc_id long, s long, single boolean")
 
 
+def _contexts(texts: DataFrame, cfg: SuffixConfig) -> DataFrame:
+    """(k1, k2, doc_id, pos, back, span, single, left, right): the bytes of an anchor's reach before and after its blocks."""
+
+    def run(batches):
+        for rows, buf, offs in text_steps(batches):
+            doc, pos, back, span, single = _at(rows, "pos", "back", "span", "single")
+            lo = offs[doc] + pos - back
+            fit = (lo >= offs[doc]) & (lo + span + cfg.length <= offs[doc + 1])
+            doc, pos, back, span, single, lo = (z[fit] for z in (doc, pos, back, span, single, lo))
+            if not len(doc):
+                continue
+            order = np.argsort(lo + back, kind="stable")
+            doc, pos, back, span, single, lo = (z[order] for z in (doc, pos, back, span, single, lo))
+            a, hi = lo + back, lo + span + cfg.length
+            k1, k2 = (range_hashes(buf, a + k * cfg.block, a + (k + 1) * cfg.block)[0] for k in (0, 1))
+            left, right = ([buf[x:y].tobytes() for x, y in zip(*z, strict=True)] for z in ((lo, a), (a + 2 * cfg.block, hi)))
+            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(rows.column("doc_id").to_numpy()[doc]), *(pa.array(z) for z in (pos, back, span, single)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["k1", "k2", "doc_id", "pos", "back", "span", "single", "left", "right"])
+
+    return texts.mapInArrow(run, _SUFFIX + ", single boolean, left binary, right binary")
+
+
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _padded(parts: list[bytes], wide: int, end: bool) -> np.ndarray:
+    return np.frombuffer(b"".join((x.rjust if end else x.ljust)(wide, b"\0") for x in parts), dtype=np.uint8).reshape(len(parts), wide)
+
+
+def _repeated_strings(table: pa.Table, cfg: SuffixConfig) -> pa.Table:
+    """Runs (doc_id, lo, hi) of starts of single reaches' strings that another reach with the same names has as well.
+
+    A string that starts o bytes before its anchor is the last o bytes of the left context, the blocks, and the first
+    bytes of the right one; for each o the strings are told apart by a 64-bit hash within the task's few reaches.
+    """
+    back, span, pos, single = (table.column(c).to_numpy().astype(np.int64) for c in ("back", "span", "pos", "single"))
+    key = mix(table.column("k1").to_numpy().view(np.uint64)) + table.column("k2").to_numpy().view(np.uint64)
+    n, rest, wide = len(back), cfg.length - 2 * cfg.block, cfg.window
+    left, right = _padded(table.column("left").to_pylist(), wide, end=True), _padded(table.column("right").to_pylist(), rest, end=False)
+    after = np.empty((rest + 1, n), dtype=np.uint64)
+    after[0] = key
+    for i in range(rest):
+        after[i + 1] = mix(after[i] * _FOLD + right[:, i])
+    before = np.full(n, len(key), dtype=np.uint64)
+    hit = np.zeros((n, wide + 1), dtype=bool)
+    for o in range(wide):
+        if o:
+            before = mix(before * _FOLD + left[:, wide - o])
+        here = np.flatnonzero((o >= back - span) & (o <= back))
+        h = mix(before[here] ^ mix(after[rest - o, here]))
+        order = np.argsort(h)
+        same = np.zeros(len(here) + 1, dtype=bool)
+        same[1:-1] = h[order][1:] == h[order][:-1]
+        hit[here[order], o] = same[1:] | same[:-1]
+    hit &= single.astype(bool)[:, None]
+    flat = np.zeros((n, wide + 2), dtype=np.int8)
+    flat[:, 1:] = hit
+    turn = np.diff(flat, axis=1)
+    row, first = np.nonzero(turn == 1)
+    last = np.nonzero(turn == -1)[1] - 1
+    return pa.table({"doc_id": table.column("doc_id").to_numpy()[row], "lo": pos[row] - last, "hi": pos[row] - first})
+
+
 def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs (start, end) of the union of ranges, cut to 0..size."""
     order = np.argsort(starts, kind="stable")
@@ -284,14 +347,19 @@ def remove_repeats(docs: DataFrame, cfg: SuffixConfig | None = None, as_text: bo
     scratch.drop(listed)
     scratch.sweep()
     kinds = scratch.keep(reaches.groupBy("h1", "h2", "k1", "k2").agg(F.count("*").alias("n")), "kinds")
-    open_ = kinds.groupBy("k1", "k2").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select("k1", "k2")
+    open_ = kinds.groupBy("k1", "k2").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select("k1", "k2", "kinds")
     whole = reaches.join(kinds.where("n > 1").select("h1", "h2", "k1", "k2"), ["h1", "h2", "k1", "k2"], "left_semi").select("doc_id", (F.col("pos") - F.col("back")).alias("lo"), (F.col("pos") - F.col("back") + F.col("span")).alias("hi"))
-    one = reaches.join(open_, ["k1", "k2"]).groupBy("h1", "h2", "k1", "k2").agg(F.min(F.struct("doc_id", "pos", "back", "span")).alias("x"), F.count("*").alias("n")).select("x.*", (F.col("n") == 1).alias("single"))
-    strings = scratch.keep(_strings(few(_lists(one, "pos", "back", "span", "single")), cfg), "strings")
+    one = reaches.join(open_, ["k1", "k2"]).groupBy("h1", "h2", "k1", "k2", "kinds").agg(F.min(F.struct("doc_id", "pos", "back", "span")).alias("x"), F.count("*").alias("n")).select("x.*", (F.col("n") == 1).alias("single"), (F.col("kinds") > cfg.shard // 2).alias("crowded"))
+    one = scratch.keep(one, "one")
+    around = scratch.keep(_contexts(few(_lists(one.where("not crowded"), "pos", "back", "span", "single")), cfg), "contexts")
+    shards = max(1, -(-around.count() // cfg.shard))
+    shard = F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).cast("int")
+    part = around.withColumn("shard", shard).groupBy("shard").applyInArrow(lambda table: _repeated_strings(table, cfg), "doc_id long, lo long, hi long")
+    strings = scratch.keep(_strings(few(_lists(one.where("crowded"), "pos", "back", "span", "single")), cfg), "strings")
     again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    part = strings.where("single").join(again, ["h1", "h2"], "left_semi").select("doc_id", F.col("s").alias("lo"), F.col("s").alias("hi"))
+    part = part.unionByName(strings.where("single").join(again, ["h1", "h2"], "left_semi").select("doc_id", F.col("s").alias("lo"), F.col("s").alias("hi")))
     spans = scratch.keep(_lists(whole.unionByName(part), "lo", "hi"), "spans")
-    scratch.drop(reaches, kinds, strings)
+    scratch.drop(reaches, kinds, one, around, strings)
     scratch.sweep()
 
     def cut(batches):
