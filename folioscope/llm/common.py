@@ -117,6 +117,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(i, rows)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each different value, which of them each value is)."""
+    order = np.argsort(x)
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    which = np.empty(len(x), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of each text, and where each text's words begin: words ptr[i]:ptr[i+1]."""
     if not len(buf):

@@ -70,17 +70,17 @@ class Prefix:
         return mix((self.sums[y] - self.sums[x]) * self.inverse[x])
 
 
-def range_hashes(buf: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each range buf[x:y]; x ascends."""
-    out = np.empty((2, len(x)), dtype=np.uint64)
+def range_hashes(buf: np.ndarray, x: np.ndarray, y: np.ndarray, both: bool = True) -> np.ndarray:
+    """Two independent 64-bit hashes (the first only, unless ``both``) of each range buf[x:y]; x ascends."""
+    out = np.empty((1 + both, len(x)), dtype=np.uint64)
     i = 0
     while i < len(x):
         j = int(np.searchsorted(x, x[i] + STEP_BYTES, side="right"))
         lo, hi = int(x[i]), int(y[i:j].max())
-        for k in (0, 1):
+        for k in range(1 + both):
             out[k, i:j] = Prefix(buf[lo:hi], k)(x[i:j] - lo, y[i:j] - lo)
         i = j
-    return out[0], out[1]
+    return out
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -210,7 +210,7 @@ def _reaches(texts: DataFrame, cfg: SuffixConfig) -> DataFrame:
             h1, h2 = range_hashes(buf, lo, lo + span + cfg.length)
             form = mix(back.astype(np.uint64) << np.uint64(32) | span.astype(np.uint64))
             a = lo + back
-            k1, k2 = (range_hashes(buf, a + k * cfg.block, a + (k + 1) * cfg.block)[0] for k in (0, 1))
+            k1, k2 = (range_hashes(buf, a + k * cfg.block, a + (k + 1) * cfg.block, both=False)[0] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([*(pa.array(z.view(np.int64)) for z in (h1 ^ form, h2 + form, k1, k2)), pa.array(rows.column("doc_id").to_numpy()[doc]), pa.array(pos), pa.array(back), pa.array(span)], names=["h1", "h2", "k1", "k2", "doc_id", "pos", "back", "span"])
 
     return texts.mapInArrow(run, "h1 long, h2 long, " + _SUFFIX)
@@ -254,7 +254,7 @@ def _contexts(texts: DataFrame, cfg: SuffixConfig) -> DataFrame:
             order = np.argsort(lo + back, kind="stable")
             doc, pos, back, span, single, lo = (z[order] for z in (doc, pos, back, span, single, lo))
             a, hi = lo + back, lo + span + cfg.length
-            k1, k2 = (range_hashes(buf, a + k * cfg.block, a + (k + 1) * cfg.block)[0] for k in (0, 1))
+            k1, k2 = (range_hashes(buf, a + k * cfg.block, a + (k + 1) * cfg.block, both=False)[0] for k in (0, 1))
             left, right = ([buf[x:y].tobytes() for x, y in zip(*z, strict=True)] for z in ((lo, a), (a + 2 * cfg.block, hi)))
             yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(rows.column("doc_id").to_numpy()[doc]), *(pa.array(z) for z in (pos, back, span, single)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["k1", "k2", "doc_id", "pos", "back", "span", "single", "left", "right"])
 

@@ -17,9 +17,9 @@ the select table 0.16 bits more. No 64-bit table of offsets is kept.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -30,7 +30,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, prepare, shared_root, slices
+from .common import Scratch, distinct, partitions, prepare, shared_root, text_steps
+from .suffix import range_hashes
 
 MAGIC = b"FSTOKEF1"
 EVERY = 256
@@ -144,15 +145,53 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_OTHER_SPACE = np.zeros(256, dtype=bool)
+_OTHER_SPACE[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+
+
+def _odd(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which texts have white space beside white space, or any that is neither a space nor a line feed."""
+    plain = (buf == 0x20) | (buf == 0x0A)
+    bad = _OTHER_SPACE[buf]
+    bad[1:] |= plain[1:] & plain[:-1]
+    bad[offs[:-1][offs[:-1] < len(buf)]] &= ~plain[offs[:-1][offs[:-1] < len(buf)]]
+    lead = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)))
+    if len(lead):
+        wide = np.append(buf, [0, 0])
+        x, y, z = wide[lead], wide[lead + 1], wide[lead + 2]
+        bad[lead] |= (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
+        bad[lead] |= (x == 0xE1) & (y == 0x9A) & (z == 0x80)
+        bad[lead] |= (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+        bad[lead] |= (x == 0xE2) & (y == 0x81) & (z == 0x9F)
+        bad[lead] |= (x == 0xE3) & (y == 0x80) & (z == 0x80)
+    seen = np.concatenate([[0], np.cumsum(bad)])
+    return seen[offs[1:]] > seen[offs[:-1]]
+
+
+def _piece_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Places that no token spans: texts' starts, before spaces, around line feeds, before a comma or full stop that follows a letter or digit."""
+    edge = (buf == 0x20) | (buf == 0x0A)
+    edge[1:] |= buf[:-1] == 0x0A
+    point = np.flatnonzero((buf == 0x2C) | (buf == 0x2E))
+    point = point[point >= 2]
+    one, two = buf[point - 1], buf[point - 2]
+    edge[point[_ALNUM[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))]] = True
+    edge[offs[:-1][offs[:-1] < offs[1:]]] = True
+    return np.flatnonzero(edge)
+
+
 class WordCachedEncoder:
     """Encodes with the tokenizers library; pieces of text that can't share a token are encoded once and kept.
 
-    The byte-level pre-tokenizer never joins a character that isn't white space to a space or line feed after it, and
-    splits before a space that a character follows, and around a lone line feed. Texts where white space stands beside
-    white space go to the library whole. The cache is bounded.
+    The byte-level pre-tokenizer never joins a character that isn't white space to a space or line feed after it, nor a
+    letter or digit to a comma or full stop, and splits before a space that a character follows, and around a lone line
+    feed. Texts with other white space, or with white space beside white space, go to the library whole. Of the pieces of
+    one step each different one is looked up once. The cache is bounded.
     """
 
-    def __init__(self, path: str, end: int, most: int = 400_000):
+    def __init__(self, path: str, end: int, most: int = 1_300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -161,23 +200,48 @@ class WordCachedEncoder:
         self.tokenizer.no_padding()
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         self.end, self.most, self.known = np.array([end], dtype=f"<u{self.width}").tobytes(), most, {}
-        self.odd = re.compile(r"\s\s|\x00").search
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.width == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, the end id after them, as bytes."""
-        split = [None if self.odd(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+    def _looked_up(self, raw: bytes, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+        keys = [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
         known = self.known
-        new = {p for s in split if s for p in s if p not in known}
+        new = [k for k in keys if k not in known]
         if len(known) + len(new) > self.most:
             known.clear()
-            new = {p for s in split if s for p in s}
-        new = list(new)
-        known.update(zip(new, self._library(new), strict=True))
-        whole = iter(self._library([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [(next(whole) if s is None else b"".join(map(known.__getitem__, s))) + self.end for s in split]
+            new = keys
+        for i in range(0, len(new), 50_000):
+            some = new[i : i + 50_000]
+            known.update(zip(some, self._library([k.decode() for k in some]), strict=True))
+        return [known[k] for k in keys]
+
+    def __call__(self, buf: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """The ids of each text laid end to end at ``offs``, the end id after them, as bytes."""
+        odd = _odd(buf, offs)
+        out: list = [self.end] * (len(offs) - 1)
+        for i, ids in zip(np.flatnonzero(odd).tolist(), self._library([buf[offs[i] : offs[i + 1]].tobytes().decode() for i in np.flatnonzero(odd)]), strict=True):
+            out[i] = ids + self.end
+        lo = _piece_starts(buf, offs)
+        if not len(lo):
+            return out
+        hi = np.append(lo[1:], len(buf))
+        use = ~odd[np.searchsorted(offs, lo, side="right") - 1]
+        lo, hi = lo[use], hi[use]
+        if not len(lo):
+            return out
+        first, which = distinct(range_hashes(buf, lo, hi, both=False)[0])
+        found = self._looked_up(buf.tobytes(), lo[first], hi[first])
+        pool = np.frombuffer(b"".join(found), dtype=f"<u{self.width}")
+        many = np.array([len(x) for x in found]) // self.width
+        begin, each = np.cumsum(many) - many, many[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(begin[which] - ends[:-1], each) + np.arange(int(ends[-1]))]
+        at = ends[np.searchsorted(lo, offs)]
+        for i in np.flatnonzero(~odd & (offs[:-1] < offs[1:])).tolist():
+            out[i] = ids[at[i] : at[i + 1]].tobytes() + self.end
+        return out
 
 
 _ENCODERS: dict[tuple[str, int], WordCachedEncoder] = {}
@@ -201,10 +265,10 @@ def write_tokens(docs: DataFrame, folder: str, encoder: Callable[[], WordCachedE
         encode, first = encoder(), []
 
         def rows():
-            for part in slices(batches, 200):
+            for part, buf, offs in text_steps(batches, step=4 << 20):
                 ids = part.column("doc_id").to_numpy()
                 first[:] = first or [int(ids[0])]
-                yield ids, encode([t or "" for t in part.column("text").to_pylist()])
+                yield ids, encode(buf, offs)
 
         some = rows()
         head = next(some, None)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_steps
+from .common import distinct, prepare, text_steps
 from .suffix import range_hashes
 
 MARK = "▁"
@@ -294,8 +294,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         edge[at[:-1][size > 0]] = True
         lo = np.flatnonzero(edge)
         hi = np.append(lo[1:], len(text))
-        h1, _ = range_hashes(text, lo, hi)
-        _, first, which = np.unique(h1 ^ (hi - lo).astype(np.uint64), return_index=True, return_inverse=True)
+        first, which = distinct(range_hashes(text, lo, hi, both=False)[0])
         yield rows, np.searchsorted(lo, at), which, (text, lo[first], hi[first] - lo[first])
 
 
