@@ -1 +1,66 @@
+"""Sources and sinks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder; columns are pruned and filters pushed down by the plan."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+def json_feed(spark: SparkSession, path: str, schema, multi_line: bool = False) -> DataFrame:
+    """Landed JSON: lines, or one document a file. The schema is given, so nothing is scanned to infer it."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+
+
+def fields(raw: str, **paths: tuple[str, ...]) -> list:
+    """Columns from a JSON string; the first path that has a value counts."""
+    return [F.coalesce(*(F.nullif(F.get_json_object(raw, p), F.lit("")) for p in some)).alias(name) for name, some in paths.items()]
+
+
+def binary_texts(spark: SparkSession, path: str, extract) -> DataFrame:
+    """(path, text) of binary files by a function bytes -> text; one that fails gives null."""
+    def run(batches):
+        import pandas as pd
+
+        def safe(content):
+            try:
+                return extract(bytes(content))
+            except Exception:
+                return None
+
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "text": [safe(c) for c in b["content"]]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
+
+
+def index_titles(text, marker: str):
+    """Rows (signature, title), to explode, of an index text: each part after the marker is a signature line and a title."""
+    parts = F.filter(F.slice(F.split(text, marker), 2, 1 << 30), lambda p: F.length(F.trim(p)) > 0)
+    line = lambda p: F.trim(F.split_part(p, F.lit("\n"), F.lit(1)))
+    return F.transform(parts, lambda p: F.struct(line(p).alias("signature"), F.trim(F.regexp_replace(F.substring(p, F.length(F.split_part(p, F.lit("\n"), F.lit(1))) + 1, F.length(p)), r"\s+", " ")).alias("title")))
+
+
+def edition_urls(base: str, day, number, language):
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.date_format(day, "yyyy/MM/dd"), F.lit("/"), number.cast("string"), F.when(language.rlike("(?i)^(ca|va)"), F.lit("_va")).otherwise(F.lit("_es")), F.lit(".pdf"))
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Trace rows as JSON lines."""
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
