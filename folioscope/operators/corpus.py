@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_control, normal_code, squeeze
+from ..workers import ship
 
 
 def words(text) -> Column:
@@ -57,6 +58,7 @@ def html_tree_text(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"page_id": b.page_id, "text": [page_text(h or "") for h in b.html]})
 
+    ship(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
 
 
@@ -103,7 +105,7 @@ def identifier_pins(asked: DataFrame, table: DataFrame, docs: DataFrame, most: i
     hits = asked.join(table.select("id_kind", "id_key", "doc_id").distinct(), ["id_kind", "id_key"])
     hits = hits.withColumn("n", F.count("*").over(Window.partitionBy("qid", "id_kind", "id_key"))).where(F.col("n") <= most)
     dated = hits.select("qid", "doc_id").distinct().join(docs.select("doc_id", "issue_date"), "doc_id")
-    return dated.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("issue_date"), "doc_id")).cast("long"))
+    return dated.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("issue_date"), "doc_id")).cast("long")).drop("issue_date")
 
 
 #: Verb stems that tell what a document does to the one it names, first match first.
@@ -127,6 +129,7 @@ def references(docs: DataFrame, around: int = 120, before: int = 40) -> DataFram
             rows = [(d, *r) for d, title, text in zip(b.doc_id, b.title, b.text, strict=True) for r in find_references(title or "", text or "", types, kinds, around, before)]
             yield pd.DataFrame(rows, columns=["doc_id", "ref_type", "number", "year", "ref_kind"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "title", "text").mapInPandas(run, "doc_id long, ref_type string, number long, year long, ref_kind string")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import coverage, numbers, total_occurrences
+from ..workers import ship
 
 
 def best_per_document(chunks: DataFrame, score: Column, limit: int, least: Column) -> DataFrame:
@@ -56,6 +57,7 @@ def diverse_chunks(chunks: DataFrame, targets: list[str], most: int) -> DataFram
             out.append(rows.pop(best)[0])
         return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "chunk_index": out, "pick": range(1, len(out) + 1)})
 
+    ship(chunks.sparkSession)
     return table.groupBy("doc_id").applyInPandas(pick, "doc_id long, chunk_index long, pick long")
 
 
@@ -67,6 +69,7 @@ def keyword_window(chunks: DataFrame, terms: list[str], cap: int) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "chunk_index": b.chunk_index, "text": [windowed(t, terms, cap) for t in b.text]})
 
+    ship(chunks.sparkSession)
     return chunks.select("doc_id", "chunk_index", "text").mapInPandas(run, "doc_id long, chunk_index long, text string")
 
 
@@ -86,7 +89,8 @@ def windowed(text: str, terms: list[str], cap: int) -> str:
         kinds = {t for t in terms if t in part}
         return len(kinds - known), len(kinds), sum(part.count(t) for t in terms), -start
 
-    starts = {max(head, min(p - 150, len(text) - room)) for p in places}
+    lead = min(150, room // 2)
+    starts = {max(head, min(p - lead, len(text) - room)) for p in places}
     best = max(starts, key=value, default=None)
     if best is None or not value(best)[0]:
         return text[:cap]
@@ -147,6 +151,7 @@ def json_objects(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({key: b[key], "json": [first_json(t) for t in b[text]]})
 
+    ship(df.sparkSession)
     return df.select(key, text).mapInPandas(run, f"{key} long, json string")
 
 

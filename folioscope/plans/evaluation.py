@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evalmetrics as ev
+from ..operators import fusion
 from ..operators.evidence import abstains, case_scores, citation_id, json_objects, valid_citations
 from . import query
-from .retrieval import _vectors, fusion
+from .retrieval import _vectors
 
 
 def _runs(t):

@@ -108,13 +108,14 @@ def interval_difference(t):
 
 # -- identifiers and references: the driver tables hold none, so codes and titles are built from keys on both sides ------
 
-CODES = """parts as (select p_partkey doc_id, 'Call ' || substring(p_brand, 1, 5) || '/' || (2015 + p_partkey % 10) || '/' || (p_partkey % 40) || ' for ' || p_type title, 'See brand/' || (2010 + p_partkey % 15) || ' and 2' || (p_partkey % 9) || 'I' || (100 + p_partkey % 90) || '.' "text", date '2024-01-01' + cast(p_partkey % 365 as integer) issue_date from part)"""
+CODES = """parts as (select p_partkey doc_id, 'Call ' || substring(p_brand, 1, 5) || '/' || (2015 + (p_partkey // 5) % 10) || '/' || (p_partkey // 5) || ' for ' || p_type title, 'See brand/' || (2010 + p_partkey % 15) || ' and 2' || (p_partkey % 9) || 'I' || (100 + p_partkey % 90) || '.' "text", date '2024-01-01' + cast(p_partkey % 365 as integer) issue_date from part)"""
 
 
 def _parts(t):
     k = F.col("p_partkey")
     mod = lambda n: F.pmod(k, F.lit(n)).cast("string")
-    title = F.concat(F.lit("Call "), F.substring("p_brand", 1, 5), F.lit("/"), (2015 + F.pmod(k, F.lit(10))).cast("string"), F.lit("/"), mod(40), F.lit(" for "), "p_type")
+    five = F.floor(k / 5)
+    title = F.concat(F.lit("Call "), F.substring("p_brand", 1, 5), F.lit("/"), (2015 + F.pmod(five, F.lit(10))).cast("string"), F.lit("/"), five.cast("string"), F.lit(" for "), "p_type")
     text = F.concat(F.lit("See brand/"), (2010 + F.pmod(k, F.lit(15))).cast("string"), F.lit(" and 2"), mod(9), F.lit("I"), (100 + F.pmod(k, F.lit(90))).cast("string"), F.lit("."))
     return t("part").select(k.alias("doc_id"), title.alias("title"), text.alias("text"), F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(k, F.lit(365)).cast("int")).alias("issue_date"))
 

@@ -151,8 +151,8 @@ def pool_expand_on_flat_margin(t):
 
 
 @query(f"""with {lanes_sql()}, pool as (select * from fused where rank <= 5),
-want as (select doc_id, min(lane * 1000 + r) at from lanes where r <= 3 group by 1),
-late as (select w.doc_id, f.score, row_number() over (order by at) k from want w join fused f using (doc_id) where w.doc_id not in (select doc_id from pool))
+want as (select doc_id, min(lane * 1000 + r) seat from lanes where r <= 3 group by 1),
+late as (select w.doc_id, f.score, row_number() over (order by seat) k from want w join fused f using (doc_id) where w.doc_id not in (select doc_id from pool))
 select 0::bigint qid, doc_id, round(score, 6) score, rank, false anchor from pool union all select 0, doc_id, round(score, 6), (select max(rank) from pool) + k, true from late""")
 def semantic_anchors(t):
     lanes = _lanes(t)
@@ -189,7 +189,7 @@ def chunk_quota(t):
     return fusion.quota_merge([(vec, 4), (text, 4), (title, 2)], 16).select("qid", "doc_id", F.col("source").cast("long").alias("source"), "rank")
 
 
-@query(f"with {lanes_sql()}, at as (select doc_id, min(lane * 1000 + r) k from lanes where r <= 10 group by 1) select 0::bigint qid, doc_id, row_number() over (order by k) rank from at")
+@query(f"with {lanes_sql()}, seats as (select doc_id, min(lane * 1000 + r) k from lanes where r <= 10 group by 1) select 0::bigint qid, doc_id, row_number() over (order by k) rank from seats")
 def ordered_union(t):
     return fusion.union_ids([x.where("rank <= 10") for x in _lanes(t)]).select("qid", "doc_id", "rank")
 
