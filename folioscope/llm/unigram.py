@@ -12,6 +12,7 @@ scores add up in double precision, exactly for whole-numbered scores, where the
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from .common import distinct, prepare, text_steps
 from .suffix import range_hashes
 
 MARK = "▁"
+codecs.register_error("each", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 #: Chunks of more bytes are solved one by one.
 LONG = 64
 _STEP = 2 << 20
@@ -268,8 +270,8 @@ class Solver:
     # -- decoding ---------------------------------------------------------------------------------------------------
 
     def decode(self, ids: np.ndarray) -> str:
-        """Pieces end to end, markers as spaces, without the first space; bytes that aren't UTF-8 become U+FFFD."""
-        text = b"".join(map(self.v.surface.__getitem__, ids.tolist())).decode(errors="replace").replace(MARK, " ")
+        """Pieces end to end, markers as spaces, without the first space; each byte that isn't UTF-8 becomes U+FFFD."""
+        text = b"".join(map(self.v.surface.__getitem__, ids.tolist())).decode(errors="each").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
