@@ -55,12 +55,15 @@ def citation_floor(t):
     return selection.citation_floor(read, read.where("doc_id % 3 = 0"), chunks, tx.total_occurrences(F.lower("text"), TERMS), 5)
 
 
-@query(f"""with {ORDERS}, n as (select count(*) n, sum(contains(lower(title), 'annual')::int) da, sum(contains(lower(title), 'decreto')::int) dd from titled where doc_id <= 400),
-r as (select title, unnest(regexp_extract_all(title, '[0-9]+/[0-9]+')) ref from titled where doc_id <= 400), w as (select ref, right(lower(split_part(title, ref, 1)), 90) near from r),
-s as (select ref, round(max(case when contains(near, 'annual') then ln(1 + n / da) else 0 end + case when contains(near, 'decreto') then ln(1 + n / dd) else 0 end), 6) score from w, n group by 1)
+@query(f"""with {ORDERS}, tt as (select case when doc_id % 200 = 8 and doc_id < 100 then 'Special ' || title else title end title from titled where doc_id <= 400),
+n as (select count(*) n, sum(contains(lower(title), 'special')::int) da, sum(contains(lower(title), 'decreto')::int) dd from tt),
+r as (select title, unnest(regexp_extract_all(title, '[0-9]+/[0-9]+')) ref from tt), w as (select ref, right(lower(split_part(title, ref, 1)), 90) near from r),
+s as (select ref, round(max(case when contains(near, 'special') then ln(1 + n / da) else 0 end + case when contains(near, 'decreto') then ln(1 + n / dd) else 0 end), 6) score from w, n group by 1)
 select ref, score from s where score > 0 and score = (select max(score) from s) qualify count(*) over () = 1""")
 def principal_inference(t):
-    return selection.principal_reference(_titled(t).where("doc_id <= 400"), ["annual", "decreto"], "[0-9]+/[0-9]+")
+    marked = F.when((F.col("doc_id") % 200 == 8) & (F.col("doc_id") < 100), F.concat(F.lit("Special "), "title")).otherwise(F.col("title"))
+    titles = _titled(t).where("doc_id <= 400").select(marked.alias("title"))
+    return selection.principal_reference(titles, ["special", "decreto"], "[0-9]+/[0-9]+")
 
 
 @query(f"with {CHUNKS}, s as (select doc_id, chunk_index, len(regexp_extract_all(text, '[0-9]+|%')) score from chunks), b as (select * from s where score > 0 qualify row_number() over (partition by doc_id order by score desc, chunk_index) = 1) select doc_id, chunk_index, score from b order by score desc, doc_id limit 2")
