@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import coverage, numbers, total_occurrences
+from ..functions.text import coverage, numbers, squeeze, total_occurrences
 from ..workers import ship
 
 
@@ -155,6 +155,58 @@ def json_objects(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInPandas(run, f"{key} long, json string")
 
 
+def dedupe(evidence: DataFrame) -> DataFrame:
+    """The first row of each document and squeezed quote; empty quotes go."""
+    key = F.lower(squeeze("quote"))
+    w = Window.partitionBy("doc_id", "key").orderBy("ord")
+    return evidence.withColumn("key", key).where("key <> ''").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "key")
+
+
+def reground(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, ord, status, chunk_index): verbatim where a chunk holds the quote, stitched where one holds all its parts between ellipses, else nearest, the chunk with the most of its words."""
+    low = F.lower("text")
+    parts = F.filter(F.transform(F.split(F.lower("quote"), "…|\\.\\.\\."), squeeze), lambda p: F.length(p) > 0)
+    pairs = evidence.select("doc_id", "ord", "quote").join(chunks, "doc_id")
+    words = F.array_distinct(F.split(F.lower(squeeze("quote")), " "))
+    grade = F.when(F.contains(low, F.lower("quote")), 2).when((F.size(parts) > 1) & F.forall(parts, lambda p: F.contains(low, p)), 1).otherwise(0)
+    common = F.size(F.filter(words, lambda x: F.contains(low, x)))
+    best = F.max_by(F.struct("grade", "chunk_index"), F.struct("grade", "common", -F.col("chunk_index")))
+    out = pairs.withColumns({"grade": grade, "common": common}).groupBy("doc_id", "ord").agg(best.alias("b"))
+    name = F.when(F.col("b.grade") == 2, "verbatim").when(F.col("b.grade") == 1, "stitched").otherwise("nearest")
+    return out.select("doc_id", "ord", name.alias("status"), F.col("b.chunk_index").alias("chunk_index"))
+
+
+def validation(answer: Column, cited: Column, scope: Column, source: Column) -> Column:
+    """struct(empty, uncited, out_of_scope, unsupported, valid) of an answer."""
+    empty, bare = F.length(F.trim(answer)) == 0, F.size(cited) == 0
+    outside, loose = F.size(F.array_except(cited, scope)) > 0, F.size(unsupported_numbers(answer, source)) > 0
+    return F.struct(empty.alias("empty"), bare.alias("uncited"), outside.alias("out_of_scope"), loose.alias("unsupported"), (~(empty | bare | outside | loose)).alias("valid"))
+
+
+def fallback_summary(titles: Column, most: int, lead: str) -> Column:
+    """The lead and the first titles as lines."""
+    return F.concat(F.lit(lead), F.array_join(F.transform(F.slice(titles, 1, most), lambda t: F.concat(F.lit("\n- "), t)), ""))
+
+
+def facts(chunks: DataFrame, pattern: str, most: int = 6) -> DataFrame:
+    """(doc_id, chunk_index): each document's first chunks that match, or its first chunk where none does."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("hit"), "chunk_index")
+    rows = chunks.withColumn("hit", F.col("text").rlike(pattern)).withColumn("n", F.row_number().over(w))
+    return rows.where((F.col("hit") & (F.col("n") <= most)) | (F.col("n") == 1)).select("doc_id", "chunk_index", "hit")
+
+
+def extras(candidates: DataFrame, chosen: DataFrame, score: Column, most: int) -> DataFrame:
+    """(qid, doc_id, rank): the best-scored candidates that aren't chosen yet."""
+    w = Window.partitionBy("qid").orderBy(F.desc("value"), "rank")
+    rest = candidates.join(chosen.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").withColumn("value", score).where("value > 0")
+    return rest.withColumn("k", F.row_number().over(w).cast("long")).where(F.col("k") <= most).select("qid", "doc_id", F.col("k").alias("rank"))
+
+
+def needs_review(error: Column, abstained: Column, grounded: Column, cited: Column) -> Column:
+    """A run's answer went wrong: an error, an abstention that nothing grounds, or the norm isn't cited."""
+    return F.coalesce(error, F.lit(False)) | (abstained & ~grounded) | ~cited
+
+
 ABSTAIN = r"(?i)\b(no consta|not stated|no information|no se indica|no s'indica)\b"
 
 

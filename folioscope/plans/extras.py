@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.vector import quantised
 from ..operators import etl, evalmetrics, fusion, selection
 from ..operators.corpus import chunk_windows, embedding_text
+from ..operators import evidence as evid
 from ..operators.evidence import coverage_ranking, density_evidence, unsupported_numbers
 from ..operators.graph import veto
 from ..operators.lexical import postings
@@ -215,3 +216,72 @@ def sessions(t):
     gap = (F.col("ts") - F.lag("ts").over(w) > F.expr("interval 6 hours")).cast("int")
     s = t("events").withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("session", F.sum("gap").over(w))
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+# -- evidence rows: quotes cut from the documents' own chunks -------------------------------------------------------------
+
+QUOTES = f"""{CHUNKS}, ev as (select doc_id, chunk_index ord, case chunk_index % 3 when 0 then substring(text, 20, 60) when 1 then substring(text, 5, 20) || ' … ' || substring(text, 100, 20) else 'zz ' || substring(text, 40, 30) end quote from chunks where length(text) > 200)"""
+
+
+def _quotes(t):
+    c = chunk_windows(t("documents"))
+    sub = lambda a, n: F.substring("text", a, n)
+    quote = F.when(F.col("chunk_index") % 3 == 0, sub(20, 60)).when(F.col("chunk_index") % 3 == 1, F.concat(sub(5, 20), F.lit(" … "), sub(100, 20))).otherwise(F.concat(F.lit("zz "), sub(40, 30)))
+    return c, c.where(F.length("text") > 200).select("doc_id", F.col("chunk_index").alias("ord"), quote.alias("quote"))
+
+
+@query(f"""with {QUOTES}, pr as (select e.doc_id, e.ord, e.quote, c.chunk_index, lower(c.text) low, list_filter(list_transform(string_split(lower(e.quote), '…'), lambda x: trim(regexp_replace(x, '[ ]+', ' ', 'g'))), lambda x: x <> '') parts, list_distinct(string_split(lower(trim(regexp_replace(e.quote, '[ ]+', ' ', 'g'))), ' ')) w from ev e join chunks c using (doc_id)),
+g as (select doc_id, ord, chunk_index, case when contains(low, lower(quote)) then 2 when len(parts) > 1 and len(list_filter(parts, lambda x: contains(low, x))) = len(parts) then 1 else 0 end grade, len(list_filter(w, lambda x: contains(low, x))) common from pr)
+select doc_id, ord, ['nearest', 'stitched', 'verbatim'][grade + 1] status, chunk_index from g qualify row_number() over (partition by doc_id, ord order by grade desc, common desc, chunk_index) = 1""")
+def quote_regrounding(t):
+    chunks, quotes = _quotes(t)
+    return evid.reground(quotes, chunks)
+
+
+@query(f"""with {QUOTES}, k as (select doc_id, ord, lower(trim(regexp_replace(substring(quote, 1, 2), '[ ]+', ' ', 'g'))) key from ev) select doc_id, ord from k where key <> '' qualify row_number() over (partition by doc_id, key order by ord) = 1""")
+def evidence_dedupe(t):
+    _, quotes = _quotes(t)
+    return evid.dedupe(quotes.withColumn("quote", F.substring("quote", 1, 2))).select("doc_id", "ord")
+
+
+@query(f"with {CHUNKS}, h as (select doc_id, chunk_index, regexp_matches(text, '[0-9]') hit from chunks), nm as (select *, row_number() over (partition by doc_id order by hit desc, chunk_index) n from h) select doc_id, chunk_index, hit from nm where (hit and n <= 6) or n = 1")
+def chunk_facts(t):
+    return evid.facts(chunk_windows(t("documents")), "[0-9]")
+
+
+@query(f"""with {BATCH}, c as (select qid, doc_id, rank, doc_id % 7 v from f8 where rank <= 20 and not (rank <= 5)) select qid, doc_id, row_number() over (partition by qid order by v desc, rank) rank from c where v > 0 qualify rank <= 3""".replace("qualify rank <= 3", "qualify row_number() over (partition by qid order by v desc, rank) <= 3"))
+def coverage_extras(t):
+    pool = _fused_batch(t, 20)
+    return evid.extras(pool, pool.where("rank <= 5"), F.pmod("doc_id", F.lit(7)), 3)
+
+
+@query("select conv_id, turn::bigint turn, length(trim(text)) = 0 as empty, turn % 4 = 0 as uncited, turn % 4 <> 0 and turn % 4 > 2 as out_of_scope, not (length(trim(text)) = 0 or turn % 4 = 0 or turn % 4 > 2) valid from conversations where not regexp_matches(text, '[0-9]')")
+def answer_validation(t):
+    turn = F.pmod("turn", F.lit(4))
+    cited = F.when(turn == 0, F.array().cast("array<long>")).otherwise(F.array(turn))
+    v = evid.validation(F.col("text"), cited, F.array(F.lit(1).cast("long"), F.lit(2).cast("long")), F.col("text"))
+    rows = t("conversations").where(~F.col("text").rlike("[0-9]")).select("conv_id", F.col("turn").cast("long").alias("turn"), v.alias("v"))
+    return rows.select("conv_id", "turn", "v.empty", "v.uncited", "v.out_of_scope", "v.valid")
+
+
+@query("select conv_id, 'Sources:' || array_to_string(list_transform((list(substring(text, 1, 12) order by turn))[1:3], lambda x: chr(10) || '- ' || x), '') summary from conversations group by 1")
+def fallback_summaries(t):
+    titles = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 12).alias("s")))), lambda x: x["s"])
+    return t("conversations").groupBy("conv_id").agg(titles.alias("titles")).select("conv_id", evid.fallback_summary(F.col("titles"), 3, "Sources:").alias("summary"))
+
+
+@query("select doc_id, (quality = 0 and toxic = 1) or (doc_id % 3 = 0 and not doc_id % 2 = 0) or not doc_id % 5 <> 0 review from labels")
+def regression_flags(t):
+    d = F.col("doc_id")
+    return t("labels").select("doc_id", evid.needs_review((F.col("quality") == 0) & (F.col("toxic") == 1), d % 3 == 0, d % 2 == 0, d % 5 != 0).alias("review"))
+
+
+@query("select label::bigint as \"class\", count(*) n, round(avg((vec_id % 4 = 0)::int), 6) hit_rate, count(*) filter (where vec_id % 4 <> 0 and vec_id % 6 = 0) regressions from embeddings group by 1")
+def probe_hit_rates(t):
+    hit, was = F.col("vec_id") % 4 == 0, F.col("vec_id") % 6 == 0
+    return t("embeddings").groupBy(F.col("label").cast("long").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg(hit.cast("int")), 6).alias("hit_rate"), F.count_if(~hit & was).alias("regressions"))
+
+
+@query("select page_id, url from pages where (url is not null or html is not null) and page_id % 2 = 0")
+def asset_scan(t):
+    return t("pages").where((F.col("url").isNotNull() | F.col("html").isNotNull()) & (F.col("page_id") % 2 == 0)).select("page_id", "url")
