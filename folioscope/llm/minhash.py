@@ -166,25 +166,29 @@ def _rarities(sets: DataFrame, family: DataFrame, each: DataFrame, cfg: MinHashC
 
 
 def _across(named: DataFrame, counts: DataFrame, few: DataFrame, apart: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """(u, v), repeated: pairs of a family in different components, one of them an end of ``apart``, that may have the similarity.
+    """(u, v), repeated: pairs of a family in different components, one of them a component that ``apart`` touches, that may have the similarity.
 
     Sets of x and y shingles with the similarity have at least percent / (100 + percent) * (x + y) in common. So a pair
     either has a rare shingle in common, which pairs each document with fewer than cfg.rare others, or core shingles
     enough, which bounds the partner's size: documents join on family and steps of size.
     """
     p = cfg.percent
-    ends = apart.select(F.col("u").alias("id")).unionByName(apart.select(F.col("v").alias("id"))).distinct()
-    able = counts.join(named, "id")
-    pair = lambda df: df.where("cx <> component").select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
+    many = named.groupBy("component").agg(F.count("*").alias("many"))
+    ends = apart.select(F.col("u").alias("id")).unionByName(apart.select(F.col("v").alias("id"))).join(named, "id").select("component").distinct()
+    able = counts.join(named, "id").join(many, "component")
+    other = {"id": "x", "component": "cx", "many": "mx", "n": "nx"}
+    # Of two components the smaller one looks for partners in the larger.
+    toward = (F.col("mx") < F.col("many")) | ((F.col("mx") == F.col("many")) & (F.col("cx") < F.col("component")))
+    pair = lambda df: df.select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
     step = lambda c: F.floor(F.log(c) / 0.02).cast("int")
-    members = able.where(F.col("core") * 100 >= F.col("n") * p).select("family", "id", "component", "n", "core", step(F.col("n")).alias("step"))
+    members = able.where(F.col("core") * 100 >= F.col("n") * p).select("family", "id", "component", "many", "n", "core", step(F.col("n")).alias("step"))
     least, most = F.ceil(F.col("n") * p / 100), F.least(F.floor(F.col("core") * (100 + p) / p) - F.col("n"), F.floor(F.col("n") * 100 / p))
-    some = members.join(ends, "id", "left_semi").where(most >= least).select("family", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("core").alias("corex"), F.explode(F.sequence(step(least), step(most))).alias("step"))
-    enough = (F.col("cx") != F.col("component")) & ((100 + p) * F.least("core", "corex") >= p * (F.col("n") + F.col("nx")))
+    some = members.join(ends, "component", "left_semi").where(most >= least).select("family", *(F.col(k).alias(v) for k, v in other.items()), F.col("core").alias("corex"), F.explode(F.sequence(step(least), step(most))).alias("step"))
+    enough = toward & ((100 + p) * F.least("core", "corex") >= p * (F.col("n") + F.col("nx")))
     common = pair(some.join(members, ["family", "step"]).where(enough))
-    rows = few.join(able.select("id", "component", "n"), "id").select("family", "item", "id", "component", "n")
-    some = rows.join(ends, "id", "left_semi").select("family", "item", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    near = (F.col("cx") != F.col("component")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * p)
+    rows = few.join(able.select("id", "component", "many", "n"), "id").select("family", "item", "id", "component", "many", "n")
+    some = rows.join(ends, "component", "left_semi").select("family", "item", *(F.col(k).alias(v) for k, v in other.items()))
+    near = toward & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * p)
     return common.unionByName(pair(some.join(rows, ["family", "item"]).where(near)))
 
 
