@@ -5,14 +5,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import ship
+
 #: Bytes of text that one NumPy step handles at a time; bounds a Python worker's memory.
 STEP_BYTES = 1 << 20
 
@@ -39,14 +39,7 @@ BATCH_ROWS = 1000
 
 def prepare(spark: SparkSession) -> None:
     """Ships this package to the Python workers, once a context, and lowers the session's Arrow batches to BATCH_ROWS rows, which bounds what executors and their workers hold."""
-    sc = spark.sparkContext
-    if "folioscope.zip" not in sc._python_includes:
-        home = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp()) / "folioscope.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for f in sorted(home.rglob("*.py")):
-                z.write(f, f.relative_to(home.parent))
-        sc.addPyFile(str(to))
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
