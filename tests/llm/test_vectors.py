@@ -53,7 +53,7 @@ def test_fewer_candidates_than_asked(spark):
 @pytest.mark.parametrize("cfg", [ForestConfig(rows=64), ForestConfig(rows=64, block=16)])
 def test_links_are_exact_here(cloud, cfg):
     df, x = cloud
-    got = near_vectors(df, cfg).toPandas().set_index("vec_id")
+    got = near_vectors(df, cfg).toPandas().set_index("vec_id").sort_index()
     near = unit(x) @ unit(x).T >= 0.9
     label = np.arange(600)
     for _ in range(600):
