@@ -34,7 +34,7 @@ class MinHashConfig:
     m: int = 10
     r: int = 3
     slack: float = 0.5
-    rare: int = 64
+    rare: int = 8
     seed: int = 7
 
     @property
@@ -76,6 +76,8 @@ def _sketcher(cfg: MinHashConfig):
     return sketch
 
 
+_SLOTS = 256
+
 _SKETCHES = "doc_id long, n_shingles long, print binary, a array<long>, b array<long>, sketch binary"
 
 
@@ -141,11 +143,12 @@ def _by_key():
 
 
 def _rarities(sets: DataFrame, family: DataFrame, each: DataFrame, cfg: MinHashConfig, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(id, family, n, s, core) and (id, family, item, df).
+    """(id, family, n, s, core, spread) and (id, family, item, df).
 
     s: how many of a document's shingles another document of its family has; core: how many more than cfg.rare documents
     of its family have. The second table has the other shared shingles. No pair has more in common than the smaller s;
-    a pair without a rare shingle in common has no more in common than the smaller core.
+    a pair without a rare shingle in common has no more in common than the smaller core. spread: how many shingles fall
+    in each of some slots; slot by slot, a pair has no more in common than the smaller count.
     """
 
     def explode(batches):
@@ -154,13 +157,20 @@ def _rarities(sets: DataFrame, family: DataFrame, each: DataFrame, cfg: MinHashC
             many = [len(x) for x in items]
             yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(rows.column(c).to_numpy(), many)) for c in ("id", "family")), pa.array(np.concatenate(items))], names=["id", "family", "item"])
 
+    def spread(batches):
+        for rows in slices(batches, 100):
+            items = [np.frombuffer(x.as_buffer(), dtype=np.uint64) % np.uint64(_SLOTS) for x in rows.column("items")]
+            counts = np.concatenate([np.bincount(x.astype(np.int64), minlength=_SLOTS) for x in items]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(np.arange(0, len(counts) + 1, _SLOTS, dtype=np.int32), counts)], names=["id", "spread"])
+
     items = scratch.keep(sets.join(family, "id").mapInArrow(explode, "id long, family long, item long"), "items")
     few = items.groupBy("family", "item").agg(F.count("*").alias("df")).where(F.col("df") <= cfg.rare)
     few = scratch.keep(items.join(few, ["family", "item"]), "few")
     counts = few.groupBy("id").agg(F.count_if(F.col("df") == 1).alias("alone"), F.count("*").alias("few"))
     sizes = each.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct()
     counts = family.join(sizes, "id").join(counts, "id", "left").select("id", "family", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"), (F.col("n") - F.coalesce("few", F.lit(0))).alias("core"))
-    counts = scratch.keep(counts.where(F.col("s") * 100 >= F.col("n") * cfg.percent), "counts")
+    spreads = sets.join(family, "id").select("id", "items").mapInArrow(spread, "id long, spread array<int>")
+    counts = scratch.keep(counts.where(F.col("s") * 100 >= F.col("n") * cfg.percent).join(spreads, "id"), "counts")
     scratch.drop(items)
     return counts, few.where("df > 1")
 
@@ -181,10 +191,12 @@ def _across(named: DataFrame, counts: DataFrame, few: DataFrame, apart: DataFram
     toward = (F.col("mx") < F.col("many")) | ((F.col("mx") == F.col("many")) & (F.col("cx") < F.col("component")))
     pair = lambda df: df.select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
     step = lambda c: F.floor(F.log(c) / 0.02).cast("int")
-    members = able.where(F.col("core") * 100 >= F.col("n") * p).select("family", "id", "component", "many", "n", "core", step(F.col("n")).alias("step"))
+    members = able.where(F.col("core") * 100 >= F.col("n") * p).select("family", "id", "component", "many", "n", "core", "spread", step(F.col("n")).alias("step"))
     least, most = F.ceil(F.col("n") * p / 100), F.least(F.floor(F.col("core") * (100 + p) / p) - F.col("n"), F.floor(F.col("n") * 100 / p))
-    some = members.join(ends, "component", "left_semi").where(most >= least).select("family", *(F.col(k).alias(v) for k, v in other.items()), F.col("core").alias("corex"), F.explode(F.sequence(step(least), step(most))).alias("step"))
+    some = members.join(ends, "component", "left_semi").where(most >= least).select("family", *(F.col(k).alias(v) for k, v in other.items()), F.col("core").alias("corex"), F.col("spread").alias("spreadx"), F.explode(F.sequence(step(least), step(most))).alias("step"))
     enough = toward & ((100 + p) * F.least("core", "corex") >= p * (F.col("n") + F.col("nx")))
+    slots = F.aggregate(F.zip_with("spread", "spreadx", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
+    enough &= (100 + p) * slots >= p * (F.col("n") + F.col("nx"))
     common = pair(some.join(members, ["family", "step"]).where(enough))
     rows = few.join(able.select("id", "component", "many", "n"), "id").select("family", "item", "id", "component", "many", "n")
     some = rows.join(ends, "component", "left_semi").select("family", "item", *(F.col(k).alias(v) for k, v in other.items()))
