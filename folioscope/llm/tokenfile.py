@@ -265,7 +265,7 @@ def write_tokens(docs: DataFrame, folder: str, encoder: Callable[[], WordCachedE
         encode, first = encoder(), []
 
         def rows():
-            for part, buf, offs in text_steps(batches, step=4 << 20):
+            for part, buf, offs in text_steps(batches, step=8 << 20):
                 ids = part.column("doc_id").to_numpy()
                 first[:] = first or [int(ids[0])]
                 yield ids, encode(buf, offs)
