@@ -34,8 +34,9 @@ def merged(spark: SparkSession, target: str, keys: list[str], version: str) -> D
 
 def windowed_counts(events: DataFrame, ts: str, every: str, late: str, *keys: str) -> DataFrame:
     """Counts and sums in event-time windows; rows later than ``late`` are dropped in a stream. The same plan serves a batch."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
-    return rows.groupBy(F.window(ts, every), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
+    kind = dict(events.dtypes)[ts]  # a watermark wants an instant; the result keeps the column's type
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+    return rows.groupBy(F.window(ts, every), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").cast(kind).alias("start"), *keys, "n", "total")
 
 
 def retry_state(failures: DataFrame, backoff_minutes: int = 60, most: int = 5) -> DataFrame:
