@@ -258,20 +258,21 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig | None = None) -> DataFr
     classes = each.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
     classes = scratch.keep(classes, "classes")
     reps = scratch.keep(each.join(classes, (each["print"] == classes["print"]) & (each["doc_id"] == classes["rep"]), "left_semi").drop("print"), "reps")
-    pairs = scratch.keep(_likely(_meetings(reps, cfg), reps, cfg), "pairs")
-    met = scratch.keep(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "met")
+    meetings = scratch.keep(_meetings(reps, cfg).distinct(), "meetings")
+    pairs = scratch.keep(_likely(meetings, reps, cfg), "pairs")
+    met = scratch.keep(meetings.select(F.col("u").alias("id")).unionByName(meetings.select(F.col("v").alias("id"))).distinct(), "met")
     sets = scratch.keep(_set_table(met, docs, cfg), "sets")
     links = scratch.keep(_verified(pairs, sets, cfg), "links")
     named = components(spark, links, scratch)
-    # Members of an entry that its smallest member doesn't link may link among themselves.
+    # Members of an entry that its smallest member doesn't link, or isn't even likely to, may link among themselves.
     label = lambda c: named.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
-    apart = pairs.join(label("u"), "u", "left").join(label("v"), "v", "left").where("coalesce(c_u, u) <> coalesce(c_v, v)").select("u", "v")
+    apart = meetings.join(label("u"), "u", "left").join(label("v"), "v", "left").where("coalesce(c_u, u) <> coalesce(c_v, v)").select("u", "v")
     apart = scratch.keep(apart, "apart")
-    families = components(spark, pairs, scratch).withColumnRenamed("component", "family")
+    families = components(spark, meetings, scratch).withColumnRenamed("component", "family")
     open_ = apart.join(families, apart["u"] == families["id"]).select("family").distinct()
     counts, few = _rarities(sets, scratch.keep(families.join(open_, "family", "left_semi").select("id", "family"), "open"), each, cfg, scratch)
     now = met.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    more = _across(now, counts, few, apart, cfg).distinct().join(pairs, ["u", "v"], "left_anti")
+    more = _across(now, counts, few, apart, cfg).distinct().join(meetings, ["u", "v"], "left_anti")
     more = scratch.keep(_likely(more, reps, cfg), "more")
     links = links.unionByName(_verified(more, sets, cfg))
     named = components(spark, links, scratch)

@@ -50,3 +50,12 @@ def test_family_whose_smallest_member_links_nobody(spark):
     docs = [(0, " ".join(core[:76] + [f"z{i}" for i in range(24)]))]
     docs += [(d, " ".join(core[:95] + [f"e{d}x{i}" for i in range(3)])) for d in range(1, 12)]
     check(spark.createDataFrame(docs, "doc_id long, text string"), 1)
+
+
+def test_entries_whose_smallest_member_is_too_large(spark):
+    """1,000 texts of smaller id and 52 own words embed a passage; two that are almost only the passage meet in their entries alone."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    own = lambda d, n: " ".join([passage, *(f"o{d}x{i}" for i in range(n))])
+    docs = [(d, own(d, 52)) for d in range(1000)] + [(1000, own(1000, 1)), (1001, own(1001, 1))]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), MinHashConfig(width=1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: min(d, 1000) for d, _ in docs}
