@@ -90,12 +90,22 @@ NUMBER = r"[0-9]+(?:\.[0-9]{3})*(?:,[0-9]+)?"
 
 
 def canonical_number(raw) -> Column:
-    """1.366,740 -> 1366.74: dots group, the comma is the point, two decimals at most, no trailing zeros."""
+    """1.366,740 -> 1366.74: dots group, the comma is the point, two decimals at most, no trailing zeros. Any number of digits."""
     plain = F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    number = F.round(plain.cast("decimal(24,6)"), 2).cast("string")
+    whole = F.substring_index(plain, ".", 1)
+    number = F.when(F.length(whole) <= 18, F.round(plain.cast("decimal(24,6)"), 2).cast("string")).otherwise(_long_number(plain, whole))
     return F.regexp_replace(F.regexp_replace(number, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 
+def _long_number(plain, whole) -> Column:
+    """Digits too many for a decimal: the part after the point is rounded as above, its carry goes through the nines that end the part before."""
+    part = F.round(F.concat(F.lit("0."), F.substring(F.concat(F.regexp_extract(plain, r"\.([0-9]+)", 1), F.lit("0")), 1, 30)).cast("decimal(38,30)").cast("decimal(24,6)"), 2)
+    digits = F.concat(F.lit("0"), whole)
+    more = F.concat(F.regexp_extract(digits, "^([0-9]*)[0-8]9*$", 1), (F.regexp_extract(digits, "([0-8])9*$", 1).cast("int") + 1).cast("string"), F.regexp_replace(F.regexp_extract(digits, "(9*)$", 1), "9", "0"))
+    head = F.regexp_replace(F.when(part >= 1, more).otherwise(digits), "^0+(?=[0-9])", "")
+    return F.concat(head, F.substring(part.cast("string"), 2, 30))
+
+
 def numbers(text) -> Column:
     """Distinct canonical numbers, in order of first appearance."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), canonical_number))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_control, first_line, numbers, strip_artifacts
 from ..operators import corpus, etl, intervals
 from ..operators.graph import companions
-from . import query
+from . import ORACLES, query
 
 
 @query(r"""with s as (select page_id, regexp_replace(html, '(?is)<(script|style|noscript|header|footer|nav|aside|svg)\b.*?</(script|style|noscript|header|footer|nav|aside|svg)\s*>', chr(10), 'g') h from pages),
@@ -179,6 +179,12 @@ def number_claims(t):
     return d.select("doc_id", numbers("text").alias("n"))
 
 
+@query()
+def number_claims_all(t):
+    """Of every document; its numbers may have more digits than SQL's decimals."""
+    return t("documents").select("doc_id", numbers("text").alias("n"))
+
+
 @query(r"""select conv_id, turn::bigint turn, md5(trim(regexp_replace(regexp_replace(text, '\p{Cc}', ' ', 'g'), '[ ]+', ' ', 'g'))) digest from conversations""")
 def control_cleanup(t):
     return t("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.md5(clean_control("text").cast("binary")).alias("digest"))
@@ -203,3 +209,9 @@ def issue_match(t):
 def artifact_stripping(t):
     marked = F.regexp_replace(F.concat(F.col("text"), F.lit(" [doc_12] (doc 3, doc 4)")), "^", "")
     return t("documents").where(F.length("text") < 300).select("doc_id", strip_artifacts(marked).alias("cleaned"))
+
+
+@query(r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text || ' [doc_12] (doc 3, doc 4)', '[ \t\n\r\f\v]*[\[(][ \t\n\r\f\v]*doc[_ ]?[0-9]+(?:[ \t\n\r\f\v]*,[ \t\n\r\f\v]*doc[_ ]?[0-9]+)*[ \t\n\r\f\v]*[\])]', '', 'gi'), '[ \t\n\r\f\v]+([.,;:])', '\1', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) cleaned from documents""")
+def artifact_stripping_all(t):
+    """Of every document."""
+    return t("documents").select("doc_id", strip_artifacts(F.concat(F.col("text"), F.lit(" [doc_12] (doc 3, doc 4)"))).alias("cleaned"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import coverage, fold, first_line, occurrences, total_occurrences
 from ..functions.vector import cosine, norm
 from ..operators import fusion
-from ..operators.corpus import chunk_windows, words
+from ..operators.corpus import chunk_windows, summary, words
 from ..operators.evidence import diverse_chunks, keyword_window, lexical_evidence
 from ..operators.graph import families, similar_pairs, stale_members
 from ..operators.lexical import Query, cover_rank, fallback_search, feedback_terms, match, postings
@@ -313,3 +313,9 @@ def keyword_coverage(t):
 def document_summary(t):
     s = t("documents").select("doc_id", F.array_join(F.slice(words("text"), 1, 120), " ").alias("summary"))
     return s.where(F.length("summary") <= 1200)
+
+
+@query(rf"with s as (select doc_id, array_to_string(({WORDS})[1:120], ' ') s from documents) select doc_id, case when length(s) <= 1200 then s else regexp_replace(substring(s, 1, 1200), '\s+\S*$', '') end summary from s")
+def document_summary_all(t):
+    """Of every document, shortened where its first words are long."""
+    return t("documents").select("doc_id", summary("text").alias("summary"))

@@ -236,3 +236,30 @@ def test_diverse_chunks_pick_new_targets(spark):
     rows = [(1, 0, "alpha alpha"), (1, 1, "alpha beta"), (1, 2, "gamma"), (1, 3, "none"), (2, 0, "none")]
     got = evidence.diverse_chunks(spark.createDataFrame(rows, "doc_id long, chunk_index long, text string"), ["alpha", "beta", "gamma"], 3)
     assert [(r["doc_id"], r["chunk_index"]) for r in got.orderBy("pick").collect()] == [(1, 1), (1, 2)]
+
+
+def test_number_claims_of_every_document(spark):
+    """Numbers of any length, against decimals of any length."""
+    import decimal
+    import re
+
+    from folioscope.plans import registered
+
+    texts = ["none", "7 and 1.366,740", "0" * 20 + "12", "9" * 18 + ",995", "9" * 19 + ",995", "8" + "9" * 24 + ",999 5", "1" * 40 + " 1" + "0" * 30 + ",50 3", "12" * 15 + ",004", "5" * 20 + ".123,10"]
+    def canonical(raw):
+        with decimal.localcontext(prec=99, rounding=decimal.ROUND_HALF_UP):
+            x = f"{decimal.Decimal(raw.replace('.', '').replace(',', '.')).quantize(decimal.Decimal('0.01')):f}"
+        return x.rstrip("0").rstrip(".")
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n"] for r in docs.select("doc_id", tx.numbers("text").alias("n")).collect()}
+    assert got == {i: list(dict.fromkeys(map(canonical, re.findall(tx.NUMBER, t)))) for i, t in enumerate(texts)}
+    assert registered()[0]["number_claims_all"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_queries_of_every_document_have_every_document(spark):
+    from folioscope.plans import registered
+
+    every = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    for name in ("artifact_stripping_all", "document_summary_all"):
+        assert registered()[0][name](spark, "/root/testdata/sf0.001").count() == every
