@@ -14,7 +14,7 @@ from ..operators.evidence import coverage_ranking, density_evidence, unsupported
 from ..operators.graph import veto
 from ..operators.lexical import postings
 from ..streaming import retry_state, windowed_counts
-from . import query
+from . import ORACLES, query
 from .ingest import CODES, ORDERS, _parts, _titled
 from .retrieval import BATCH, CHUNKS, COS, DOCS, TERMS, _fused_batch, _lanes, _occ, _vectors, docs, lanes_sql
 
@@ -67,6 +67,13 @@ def principal_inference(t):
     return selection.principal_reference(titles, ["special", "decreto"], "[0-9]+/[0-9]+")
 
 
+@query(ORACLES["principal_inference"].replace(" where doc_id <= 400", ""))
+def principal_inference_all(t):
+    """With statistics of every title."""
+    marked = F.when((F.col("doc_id") % 200 == 8) & (F.col("doc_id") < 100), F.concat(F.lit("Special "), "title")).otherwise(F.col("title"))
+    return selection.principal_reference(_titled(t).select(marked.alias("title")), ["special", "decreto"], "[0-9]+/[0-9]+")
+
+
 @query(f"with {CHUNKS}, s as (select doc_id, chunk_index, len(regexp_extract_all(text, '[0-9]+|%')) score from chunks), b as (select * from s where score > 0 qualify row_number() over (partition by doc_id order by score desc, chunk_index) = 1) select doc_id, chunk_index, score from b order by score desc, doc_id limit 2")
 def numeric_density(t):
     return density_evidence(chunk_windows(t("documents")), r"[0-9]+|%").select("doc_id", "chunk_index", "score")
@@ -285,3 +292,9 @@ def probe_hit_rates(t):
 @query("select page_id, url from pages where (url is not null or html is not null) and page_id % 2 = 0")
 def asset_scan(t):
     return t("pages").where((F.col("url").isNotNull() | F.col("html").isNotNull()) & (F.col("page_id") % 2 == 0)).select("page_id", "url")
+
+
+@query(ORACLES["asset_scan"].replace(" and page_id % 2 = 0", ""))
+def asset_scan_all(t):
+    """Of every page."""
+    return t("pages").where(F.col("url").isNotNull() | F.col("html").isNotNull()).select("page_id", "url")

@@ -90,6 +90,14 @@ def gap_scan(t):
     return intervals.spine(e, "day", "event_type").join(have, ["day", "event_type"], "left_anti")
 
 
+@query(ORACLES["gap_scan"].replace(" where user_id % 7 = 0", ""))
+def gap_scan_all(t):
+    """Over every event."""
+    e = t("events").select(F.to_date("ts").alias("day"), "event_type", "user_id")
+    have = e.where("user_id % 3 = 0").select("day", "event_type").distinct()
+    return intervals.spine(e, "day", "event_type").join(have, ["day", "event_type"], "left_anti")
+
+
 @query("""with d as (select o_custkey k, cast(o_orderdate as date) s, cast(o_orderdate as date) + cast(o_orderkey % 9 as integer) e from orders),
 m as (select *, max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) r from d), i as (select *, sum(case when r is null or s > r + 1 then 1 else 0 end) over (partition by k order by s, e) g from m)
 select k, min(s) "start", max(e) "end" from i group by k, g""")
@@ -205,6 +213,15 @@ def issue_match(t):
     return etl.best_match(new, old, [same_day & same_type, same_type, same_day], "new_id", "old_id", F.col("user_id") == F.col("ou"), ["old_id"])
 
 
+@query(ORACLES["issue_match"].replace("event_id % 10 = 0", "event_id % 2 = 0").replace("event_id % 10 = 1", "event_id % 2 <> 0"))
+def issue_match_all(t):
+    """Every event is on one of the two sides."""
+    e = t("events").select("event_id", "user_id", F.to_date("ts").alias("d"), F.col("event_type").alias("e"))
+    new, old = e.where("event_id % 2 = 0").withColumnRenamed("event_id", "new_id"), e.where("event_id % 2 <> 0").toDF("old_id", "ou", "od", "oe")
+    same_day, same_type = F.col("d") == F.col("od"), F.col("e") == F.col("oe")
+    return etl.best_match(new, old, [same_day & same_type, same_type, same_day], "new_id", "old_id", F.col("user_id") == F.col("ou"), ["old_id"])
+
+
 @query("select doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) cleaned from documents where length(text) < 300")
 def artifact_stripping(t):
     marked = F.regexp_replace(F.concat(F.col("text"), F.lit(" [doc_12] (doc 3, doc 4)")), "^", "")

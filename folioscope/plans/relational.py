@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import freshness_lag, relative_range
 from ..functions.text import fold
-from . import query
+from . import ORACLES, query
 
 
 @query("select doc_id, lang, n_chars from documents where lang in ('en', 'fr') and source = 'src3' and n_chars >= 800")
@@ -61,6 +61,13 @@ def correlated_count(t):
     return t("orders").where("o_orderkey % 10 = 0").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+@query(ORACLES["correlated_count"].replace(" where o_orderkey % 10 = 0", ""))
+def correlated_count_all(t):
+    """Of every order."""
+    n = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return t("orders").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 @query("select doc_id, case when lang = 'en' then 0 when source like 'src1%' then 1 else 2 end::bigint as \"class\", row_number() over (order by case when lang = 'en' then 0 when source like 'src1%' then 1 else 2 end, n_chars desc, doc_id) as place from documents order by place limit 50")
 def case_ranked_order(t):
     kind = F.when(F.col("lang") == "en", 0).when(F.col("source").startswith("src1"), 1).otherwise(2).cast("long")
