@@ -113,6 +113,12 @@ def vector_literals(t):
     return t("embeddings").select("vec_id", F.slice(quantised("embedding"), 1, 4).alias("head"))
 
 
+@query(ORACLES["vector_literals"].replace("embedding[1:4]", "embedding").replace("head", "literal"))
+def vector_literals_all(t):
+    """Every component."""
+    return t("embeddings").select("vec_id", quantised("embedding").alias("literal"))
+
+
 @query(r"""with t as (select doc_id, unnest(regexp_extract_all(strip_accents(lower(split_part(text, chr(10), 1))), '[\p{L}\p{N}_·''/-]+')) lexeme, 2.0::double w from documents union all select doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_·''/-]+')), 1.0 from documents)
 select doc_id, round(sum(w), 4) weight, count(*) n from t where lexeme in ('the', 'with') group by 1""")
 def weighted_postings(t):

@@ -65,3 +65,8 @@ def test_whole_tables(spark, duck, part, whole):
     rows = QUERIES[whole](spark, FOLDER).count()
     table = {"correlated_count_all": "orders", "asset_scan_all": "pages", "issue_match_all": "events where event_id % 2 = 0"}.get(whole)
     assert not table or rows == duck.execute(f"select count(*) from {table}").fetchone()[0]
+
+
+def test_every_component_of_the_vectors(spark):
+    size = {len(r["literal"]) for r in QUERIES["vector_literals_all"](spark, FOLDER).collect()}
+    assert size == {len(r["embedding"]) for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()}
