@@ -76,10 +76,10 @@ class Tree:
             todo += [(child, rows[near == c]) for c, child in enumerate(self.children[node]) if (near == c).any()]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves that query q visits, best bin first."""
-        out, queue = [], [(0.0, 0)]
-        while queue and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves that query q visits, best bin first: ``most``, and more until they hold ``least`` of the leaves' ``rows``."""
+        out, queue, have = [], [(0.0, 0)], 0
+        while queue and (len(out) < most or have < least):
             _, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 gap = ((self.centers[node] - q) ** 2).sum(axis=1)
@@ -89,6 +89,7 @@ class Tree:
                         heapq.heappush(queue, (float(gap[c]), child))
                 node = self.children[node][best]
             out.append(self.leaf[node])
+            have += 0 if rows is None else int(rows[out[-1]])
         return out
 
 
@@ -182,16 +183,22 @@ def neighbours(vectors: DataFrame, is_query: F.Column, cfg: TreeConfig | None =
     filed = scratch.keep(vectors.mapInArrow(file, f"vec_id long, embedding {kind}, ask boolean, leaf int"), "filed")
     queries = filed.where("ask")
     most = _calibrated(filed, queries, tree, cfg)
+    counts = filed.groupBy("leaf").agg(F.count("*").alias("n")).toArrow()  # one row a leaf: bounded by cfg.sample
+    held = np.zeros(tree.leaves, dtype=np.int64)
+    held[counts.column("leaf").to_numpy()] = counts.column("n").to_numpy()
+    held = spark.sparkContext.broadcast(held)
+    own = filed.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
 
     def walk(batches):
         for rows in batches:
             pick, q = matrix(rows.column("embedding"), dim)
+            least = rows.column("own").to_numpy()[pick] + k if len(pick) else []
             for at in range(0, len(pick), 50):
-                some = [shared.value.visit(v, most) for v in unit(q[at : at + 50])]
+                some = [shared.value.visit(v, most, held.value, int(n)) for v, n in zip(unit(q[at : at + 50]), least[at : at + 50], strict=True)]
                 out = rows.take(pa.array(np.repeat(pick[at : at + 50], [len(x) for x in some]), pa.int64()))
                 yield pa.RecordBatch.from_arrays([out.column("vec_id"), out.column("embedding"), pa.array(np.concatenate(some), pa.int32())], names=["query_id", "asked", "leaf"])
 
-    visits = scratch.keep(queries.mapInArrow(walk, f"query_id long, asked {kind}, leaf int"), "visits")
+    visits = scratch.keep(queries.join(own, "vec_id").mapInArrow(walk, f"query_id long, asked {kind}, leaf int"), "visits")
     blocks = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / cfg.block).cast("int").alias(name))
     plan = F.broadcast(blocks(filed, "nv").join(blocks(visits, "nq"), "leaf"))  # one row a leaf: bounded by cfg.sample
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")

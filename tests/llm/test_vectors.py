@@ -70,3 +70,9 @@ def test_links_are_exact_here(cloud, cfg):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert neighbours(none, F.lit(True)).collect() == [] and near_vectors(none).collect() == []
+
+
+def test_small_leaves_still_give_k(cloud):
+    """One visit reaches the recall asked for here, and no leaf holds five others."""
+    got = neighbours(cloud[0], F.col("vec_id") % 5 == 0, TreeConfig(leaf=3, recall=0.01)).groupBy("query_id").count().collect()
+    assert {(r["query_id"], r["count"]) for r in got} == {(q, 5) for q in range(0, 600, 5)}
