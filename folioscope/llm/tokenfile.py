@@ -188,14 +188,17 @@ class WordCachedEncoder:
     The byte-level pre-tokenizer never joins a character that isn't white space to a space or line feed after it, nor a
     letter or digit to a comma or full stop, and splits before a space that a character follows, and around a lone line
     feed. Texts with other white space, or with white space beside white space, go to the library whole. Of the pieces of
-    one step each different one is looked up once. The cache is bounded.
+    one step each different one is looked up once. The cache is bounded. ``literal``: added tokens that a text spells out
+    are plain text; otherwise they are what the loaded tokenizer makes of them, and texts that hold one go to it whole.
     """
 
-    def __init__(self, path: str, end: int, most: int = 1_300_000):
+    def __init__(self, path: str, end: int, most: int = 1_300_000, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if literal:
+            self.tokenizer.encode_special_tokens = True
+        self.added = [] if literal else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
@@ -220,6 +223,12 @@ class WordCachedEncoder:
     def __call__(self, buf: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """The ids of each text laid end to end at ``offs``, the end id after them, as bytes."""
         odd = _odd(buf, offs)
+        raw = buf.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                odd[np.searchsorted(offs, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
         out: list = [self.end] * (len(offs) - 1)
         for i, ids in zip(np.flatnonzero(odd).tolist(), self._library([buf[offs[i] : offs[i + 1]].tobytes().decode() for i in np.flatnonzero(odd)]), strict=True):
             out[i] = ids + self.end
@@ -232,7 +241,7 @@ class WordCachedEncoder:
         if not len(lo):
             return out
         first, which = distinct(range_hashes(buf, lo, hi, both=False)[0])
-        found = self._looked_up(buf.tobytes(), lo[first], hi[first])
+        found = self._looked_up(raw, lo[first], hi[first])
         pool = np.frombuffer(b"".join(found), dtype=f"<u{self.width}")
         many = np.array([len(x) for x in found]) // self.width
         begin, each = np.cumsum(many) - many, many[which]
@@ -250,7 +259,7 @@ _ENCODERS: dict[tuple[str, int], WordCachedEncoder] = {}
 def cached_encoder(path: str, end: int) -> WordCachedEncoder:
     """One encoder a worker, so that its cache outlives a task."""
     if (path, end) not in _ENCODERS:
-        _ENCODERS[path, end] = WordCachedEncoder(path, end)
+        _ENCODERS[path, end] = WordCachedEncoder(path, end, literal=False)
     return _ENCODERS[path, end]
 
 

@@ -64,6 +64,20 @@ def test_round_trip_of_files(hard, nothing):
     assert tokens_round_trip(nothing, BPE).collect() == []
 
 
+def test_added_tokens_as_the_loaded_tokenizer_reads_them(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "plain text, and more.", "<|endoftext|>", "", "x<|endoftext|><|endoftext|>\n y", "<|endof", "text|> z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t, start, want = Tokenizer.from_file(BPE), 0, []
+    for d, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in tokens_round_trip(docs, BPE).collect()) == want
+    assert want[0][2] == 5
+
+
 # -- unigram ------------------------------------------------------------------------------------------------------------
 
 
