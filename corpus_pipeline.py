@@ -16,9 +16,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates: five words, similarity 0.8."""
+    """The document with the smallest doc_id of each group of near duplicates: five words, similarity 0.8.
+
+    Rows that share a doc_id are one document, as in ``near_duplicates``: all of its different texts stay or go together,
+    and only repeats of a text under the same doc_id are dropped. Rows without a doc_id can't be named in a group and are
+    left out, as they are by the stages after this one.
+    """
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

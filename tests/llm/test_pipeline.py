@@ -57,3 +57,16 @@ def test_every_operator_is_registered(part):
     from folioscope.llm.queries import queries
 
     assert len([q for q in queries() if q.startswith("op")]) == 10
+
+
+def test_texts_of_a_repeated_id_stay(spark):
+    import corpus_pipeline as p
+
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("c")), (3, text("c")), (None, text("d")), (4, None), (4, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.near_dedup(spark, docs, FOLDER)
+    want = [(1, text("a")), (1, text("b")), (2, text("c")), (4, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    kept = sorted(((r["doc_id"], r["text"] or None) for r in p.suffix_dedup(spark, got, FOLDER).collect()), key=str)
+    assert kept == sorted(want, key=str)
