@@ -9,6 +9,10 @@ from folioscope.llm import byteconv, minhash, packing, suffix
 from folioscope.llm.common import Scratch
 
 
+#: Strings of 230 bytes may not repeat: of all passages of 51 words in the test tables about one in a hundred is shorter.
+PASSAGE = suffix.SuffixConfig(length=230, window=96)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, fitted on the labels of those at hand, doesn't reject."""
     net = byteconv.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -27,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without strings of 400 bytes that occur again; characters cut in two go whole."""
-    kept = suffix.remove_repeats(docs, as_text=True).withColumn("text", F.col("kept"))
+    """The documents without passages (strings of PASSAGE.length bytes) that occur again; characters cut in two go whole."""
+    kept = suffix.remove_repeats(docs, PASSAGE, as_text=True).withColumn("text", F.col("kept"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
