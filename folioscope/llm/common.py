@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..workers import ship
+from ..workers import checkpoint_folder, ship
 
 #: Bytes of text that one NumPy step handles at a time; bounds a Python worker's memory.
 STEP_BYTES = 1 << 20
@@ -22,17 +23,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 #: Rows in an Arrow batch on its way to a Python worker; whole texts and sets travel in them.
 BATCH_ROWS = 1000
 
@@ -46,11 +36,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage and survive a lost executor."""
+    """Tables in the shared folder that cut lineage and survive a lost executor.
+
+    An operator drops what it no longer needs as it goes. What its result still reads stays until ``release``, or until
+    the ``owned`` block ends in which the operator was called.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base, self.tables = spark, f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", set()
         prepare(spark)
+        _LIVE.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
@@ -63,10 +58,30 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str) -> str:
+        """Writes ``df`` in buckets sorted by the keys and returns the table's name; joins on the keys then leave its rows where they are."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", self.path(name)).saveAsTable(table)
+        self.tables.add(table)
+        return table
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             self.remove(df._scratch_path)
 
+    def drop_table(self, table: str) -> None:
+        place = self.spark.sql(f"describe formatted {table}").where("col_name = 'Location'").first()["data_type"]
+        self.spark.sql(f"drop table if exists {table}")
+        self.remove(place)
+        self.tables.discard(table)
+
+    def clear(self) -> None:
+        """Drops everything, with what the operator's result reads."""
+        for table in list(self.tables):
+            self.drop_table(table)
+        self.remove(self.base)
+        _LIVE.remove(self)
+
     def sweep(self) -> None:
         """Lets the driver forget the shuffles that no frame needs any more, so that their files go."""
         gc.collect()
@@ -78,6 +93,41 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_LIVE: list[Scratch] = []
+
+
+def release() -> None:
+    """Drops every scratch table of this session; frames that operators returned can't be read after that."""
+    for scratch in list(_LIVE):
+        scratch.clear()
+
+
+@contextmanager
+def owned() -> Iterator[None]:
+    """Drops, at its end, the scratch tables of the operators that were called inside: for callers that have written the results by then."""
+    before = set(map(id, _LIVE))
+    try:
+        yield
+    finally:
+        for scratch in [x for x in _LIVE if id(x) not in before]:
+            scratch.clear()
+
+
+#: A key that has more than one in so many of all rows is heavy; there can't be more heavy keys than this.
+HEAVY = 1000
+
+
+def join_by(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows inner-joined to ``table``, which has each key once and in ``weight`` how many of the ``total`` rows have it.
+
+    The heavy keys, HEAVY at most, are broadcast, so that none of them gathers its rows in one task; the others are shuffled.
+    """
+    heavy = F.col(weight) * HEAVY > total
+    hot = F.broadcast(table.where(heavy))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(~heavy), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

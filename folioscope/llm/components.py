@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_by
 
 
 def _nearest(arcs: DataFrame) -> DataFrame:
-    """For each u the smallest of u and its neighbours; a partial minimum runs before the shuffle, so a hub costs one row a task."""
-    return arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """For each u the smallest of u and its neighbours, and how many arcs it has; both are aggregated before the shuffle, so a hub costs one row a task."""
+    return arcs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("arcs")).select("u", F.least("u", "m").alias("m"), "arcs")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, many: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return join_by(both, _nearest(both), "u", "arcs", 2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     near = _nearest(down)
-    return down.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v")
+    return join_by(down, near, "u", "arcs", many).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame:
@@ -29,17 +29,19 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, limit: i
 
     Self-loops and repeated edges are allowed; no edges give no rows. Each round costs two shuffles of at most as many
     edges as there were; stars converge in two rounds, and any graph in about the square of the logarithm of its size.
+    Hubs don't gather their edges in one task (``join_by``).
     """
     now = scratch.keep(edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct(), "edges")
-    was = None
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    was = state(now)
     for _ in range(limit):
-        new = scratch.keep(_small_star(_large_star(now)).distinct(), "edges")
-        state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        scratch.drop(now)
-        now = new
-        if state == was:
+        half = scratch.keep(_large_star(now, was[0]).distinct(), "edges")
+        new = scratch.keep(_small_star(half, half.count()).distinct(), "edges")
+        scratch.drop(now, half)
+        now, before = new, was
+        was = state(now)
+        if was == before:
             break
-        was = state
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, distinct, partitions, prepare, shared_root, text_steps
+from .common import Scratch, distinct, partitions, prepare, text_steps
 from .suffix import range_hashes
 
 MAGIC = b"FSTOKEF1"
@@ -323,7 +323,6 @@ def tokens_round_trip(docs: DataFrame, tokenizer: str, end: int = 2, folder: str
     """
     spark = docs.sparkSession
     prepare(spark)
-    shared_root(spark)
     folder = folder or Scratch(spark, "tokens").base
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     files = write_tokens(docs, folder, lambda: cached_encoder(tokenizer, end), partitions(spark))
