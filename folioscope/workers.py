@@ -1,7 +1,8 @@
-"""Makes this package importable in Python workers, whatever their working folder."""
+"""What executors need: the package in their Python workers, and a folder that all of them see."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,6 +12,19 @@ from pyspark.sql import SparkSession
 ARCHIVE = "folioscope.zip"
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset a local session (tests) gets a folder of its own; on a cluster that is an error, for other machines wouldn't see it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
 def ship(spark: SparkSession) -> None:
     """Adds the package to the context's files, once."""
     sc = spark.sparkContext
