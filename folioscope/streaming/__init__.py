@@ -40,7 +40,7 @@ def windowed_counts(events: DataFrame, ts: str, every: str, late: str, *keys: st
 
 
 def retry_state(failures: DataFrame, backoff_minutes: int = 60, most: int = 5) -> DataFrame:
-    """Attempts per key, with the time of the next retry doubling up to a bound; a stateful aggregation that runs in update mode on a stream."""
+    """Attempts per key, with the wait before the next retry doubling up to a bound; a stateful aggregation that runs in update mode on a stream. Times keep their column's type and every digit."""
     out = failures.groupBy("source").agg(F.count("*").alias("attempts"), F.max("ts").alias("last"))
     wait = F.lit(backoff_minutes) * F.pow(F.lit(2.0), F.least(F.col("attempts"), F.lit(most)) - 1)
-    return out.withColumn("next_retry", F.timestamp_seconds(F.unix_timestamp("last") + wait * 60))
+    return out.withColumn("next_retry", F.col("last") + F.make_dt_interval(mins=wait.cast("int")))
