@@ -16,6 +16,13 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
 
 
+def not_in(rows: DataFrame, column: str, listed: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``column`` is in no row of ``listed``, as SQL's NOT IN has it: a null in the list leaves nothing, a null in ``column`` goes unless the list is empty."""
+    some = listed.agg(F.count("*").alias("_n"), F.count_if(F.col(key).isNull()).alias("_nulls"))  # one row
+    rest = rows.join(listed.select(F.col(key).alias("_k")).where("_k is not null").distinct(), F.col(column) == F.col("_k"), "left_anti")
+    return rest.crossJoin(F.broadcast(some)).where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(column).isNotNull())).drop("_n", "_nulls")
+
+
 def upsert_counter(state: DataFrame, failures: DataFrame, keys: list[str]) -> DataFrame:
     """State (keys, attempts, last_error, resolved): failures (keys, at, error) add to attempts, reopen, and set the last error."""
     new = failures.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by("error", F.struct("at", "error")).alias("error"))

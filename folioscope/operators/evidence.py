@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import coverage, numbers, squeeze, total_occurrences
+from ..functions.text import NUMBER, canonical_number, coverage, numbers, squeeze, total_occurrences
 from ..workers import ship
 
 
@@ -37,28 +38,26 @@ def coverage_ranking(evidence: DataFrame, phrases: list[str], entities: list[str
 
 
 def diverse_chunks(chunks: DataFrame, targets: list[str], most: int) -> DataFrame:
-    """(doc_id, chunk_index, pick): greedy cover of the targets by each document's chunks: most new targets, then most targets, then most occurrences, then the earlier chunk. Each pick depends on those before, so a document is handled whole; only its match table goes to Python, not its text."""
+    """(doc_id, chunk_index, pick): greedy cover of the targets by each document's chunks: most new targets, then most targets, then most occurrences, then the earlier chunk.
+
+    Each pick depends on those before, so a document's match table (a few counts a chunk, no text) is one array, over
+    which an aggregation in the JVM picks ``most`` times.
+    """
     low = F.lower("text")
     hits = F.array(*(((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int") for t in targets))
     table = chunks.select("doc_id", "chunk_index", hits.alias("hits")).where(F.exists("hits", lambda h: h > 0))
+    rows = table.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_index", F.transform("hits", lambda h: h > 0).alias("has"), F.size(F.filter("hits", lambda h: h > 0)).alias("kinds"), F.aggregate("hits", F.lit(0), lambda s, h: s + h).alias("total"))).alias("rows"))
+    count = lambda flags: F.size(F.filter(flags, lambda x: x))
 
-    def pick(pdf):
-        import pandas as pd
-
-        rows = sorted(zip(pdf.chunk_index, pdf.hits, strict=True))
-        left, out = set(range(len(targets))), []
-        while rows and left and len(out) < most:
-            sets = [{i for i, n in enumerate(h) if n} for _, h in rows]
-            keys = [(len(s & left), len(s), int(sum(h)), -c) for s, (c, h) in zip(sets, rows, strict=True)]
-            best = max(range(len(rows)), key=keys.__getitem__)
-            if not keys[best][0]:
-                break
-            left -= sets[best]
-            out.append(rows.pop(best)[0])
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "chunk_index": out, "pick": range(1, len(out) + 1)})
+    def step(state, _):
+        key = lambda r: F.struct(count(F.zip_with(state["left"], r["has"], lambda a, b: a & b)).alias("new"), r["kinds"].alias("kinds"), r["total"].alias("total"), (-r["chunk_index"]).alias("first"), r["has"].alias("has"))
+        best = F.array_max(F.transform(F.filter("rows", lambda r: ~F.array_contains(state["picks"], r["chunk_index"])), key))
+        after = F.struct(F.zip_with(state["left"], best["has"], lambda a, b: a & ~b).alias("left"), F.concat(state["picks"], F.array(-best["first"])).alias("picks"))
+        return F.when(F.coalesce(best["new"], F.lit(0)) > 0, after).otherwise(state)
 
-    ship(chunks.sparkSession)
-    return table.groupBy("doc_id").applyInPandas(pick, "doc_id long, chunk_index long, pick long")
+    start = F.struct(F.array(*[F.lit(True)] * len(targets)).alias("left"), F.array().cast("array<bigint>").alias("picks"))
+    picks = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["picks"]
+    return rows.select("doc_id", F.posexplode(picks).alias("n", "chunk_index")).select("doc_id", "chunk_index", (F.col("n") + 1).cast("long").alias("pick"))
 
 
 def keyword_window(chunks: DataFrame, terms: list[str], cap: int) -> DataFrame:
@@ -163,17 +162,23 @@ def dedupe(evidence: DataFrame) -> DataFrame:
 
 
 def reground(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc_id, ord, status, chunk_index): verbatim where a chunk holds the quote, stitched where one holds all its parts between ellipses, else nearest, the chunk with the most of its words."""
-    low = F.lower("text")
+    """(doc_id, ord, status, chunk_index): verbatim where a chunk holds the quote, stitched where one holds all its parts between ellipses, else nearest, the chunk with the most of its words.
+
+    Texts and quotes are folded once, before they meet. Whole quotes and parts are looked for first; word by word only
+    for the quotes that no chunk holds.
+    """
+    folded = chunks.select("doc_id", "chunk_index", F.lower("text").alias("low"))
     parts = F.filter(F.transform(F.split(F.lower("quote"), "…|\\.\\.\\."), squeeze), lambda p: F.length(p) > 0)
-    pairs = evidence.select("doc_id", "ord", "quote").join(chunks, "doc_id")
     words = F.array_distinct(F.split(F.lower(squeeze("quote")), " "))
-    grade = F.when(F.contains(low, F.lower("quote")), 2).when((F.size(parts) > 1) & F.forall(parts, lambda p: F.contains(low, p)), 1).otherwise(0)
-    common = F.size(F.filter(words, lambda x: F.contains(low, x)))
-    best = F.max_by(F.struct("grade", "chunk_index"), F.struct("grade", "common", -F.col("chunk_index")))
-    out = pairs.withColumns({"grade": grade, "common": common}).groupBy("doc_id", "ord").agg(best.alias("b"))
+    quotes = evidence.select("doc_id", "ord", F.lower("quote").alias("whole"), parts.alias("parts"), words.alias("words"))
+    grade = F.when(F.contains("low", "whole"), 2).when((F.size("parts") > 1) & F.forall("parts", lambda p: F.contains("low", p)), 1)
+    common = F.size(F.filter("words", lambda x: F.contains("low", x)))
+    best = F.max_by(F.struct("grade", "chunk_index"), F.struct("grade", "common", -F.col("chunk_index"))).alias("b")
+    held = quotes.join(folded, "doc_id").withColumn("grade", grade).where("grade is not null").withColumn("common", common).groupBy("doc_id", "ord").agg(best)
+    rest = quotes.join(held.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").join(folded, "doc_id")
+    near = rest.withColumns({"grade": F.lit(0), "common": common}).groupBy("doc_id", "ord").agg(best)
     name = F.when(F.col("b.grade") == 2, "verbatim").when(F.col("b.grade") == 1, "stitched").otherwise("nearest")
-    return out.select("doc_id", "ord", name.alias("status"), F.col("b.chunk_index").alias("chunk_index"))
+    return held.unionByName(near).select("doc_id", "ord", name.alias("status"), F.col("b.chunk_index").alias("chunk_index"))
 
 
 def validation(answer: Column, cited: Column, scope: Column, source: Column) -> Column:
@@ -212,3 +217,139 @@ ABSTAIN = r"(?i)\b(no consta|not stated|no information|no se indica|no s'indica)
 
 def abstains(answer: Column) -> Column:
     return answer.rlike(ABSTAIN) & (F.length(answer) <= 200)
+
+
+def best_for_questions(rows: DataFrame, score: Column, most: int) -> DataFrame:
+    """(qid, doc_id, chunk_index, score, quote): of rows (qid, doc_id, chunk_index, text) the best chunk of each document, the best ``most`` documents of each question; ties to the earlier chunk and smaller document. Scores of 0 or less don't count."""
+    chunk = Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "chunk_index")
+    document = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    one = rows.withColumn("score", score).where("score > 0").withColumn("_n", F.row_number().over(chunk)).where("_n = 1")
+    top = one.withColumn("_m", F.row_number().over(document)).where(F.col("_m") <= most)
+    return top.select("qid", "doc_id", "chunk_index", "score", F.substring(F.trim("text"), 1, 800).alias("quote"))
+
+
+#: A number that is a word of its own.
+AMOUNT = r"(?:^|[^\p{L}\p{N}_])[0-9][0-9.,]*(?:$|[^\p{L}\p{N}_])"
+
+
+def program_totals(read: DataFrame, chunks: DataFrame, kinds: list[str], cue: str, most: int = 2) -> DataFrame:
+    """The total that calls and rules state: of the read documents (qid, doc_id, rank, subkind) of the given kinds, the chunk with a cue and a number, first by the document's place, then by how many cues it has."""
+    size = read.groupBy("qid").agg(F.count("*").alias("size"))
+    rows = read.where(F.lower(F.trim("subkind")).isin(*kinds)).join(size, "qid").join(chunks.select("doc_id", "chunk_index", "text"), "doc_id")
+    rows = rows.where(F.col("text").rlike(cue) & F.col("text").rlike(AMOUNT))
+    money = (F.contains("text", F.lit("€")) | F.contains(F.lower("text"), F.lit("euro"))).cast("int")
+    return best_for_questions(rows, ((F.col("size") - F.col("rank") + 1) * 100 + F.regexp_count("text", F.lit(cue)) + money).cast("long"), most)
+
+
+def ranked_evidence(evidence: DataFrame, chunks: DataFrame, phrases: list[str], entities: list[str], terms: list[str], most: int = 8, extra: int = 4) -> DataFrame:
+    """(qid, doc_id, quote, pinned, rank) of evidence (qid, ord, doc_id, quote, pinned) and of chunks (qid, doc_id, chunk_index, text).
+
+    Order: phrases, entities and terms covered, occurrences, then as it came. A quote that covers nothing takes the score
+    of its document's best chunk. Best chunks of documents without evidence join it, ``extra`` at most, two more where
+    there are phrases or entities, which they must then cover. If an unpinned quote covers an entity, unpinned ones that
+    don't go; else the same with phrases. Beyond ``most`` rows, pinned ones stay first.
+    """
+    def keys(text: str) -> list[Column]:
+        low = F.lower(text)
+        return [coverage(low, phrases).alias("p"), coverage(low, entities).alias("e"), coverage(low, terms).alias("t"), total_occurrences(low, terms).alias("h")]
+
+    w = Window.partitionBy("qid", "doc_id").orderBy(F.desc("key"), "chunk_index")
+    best = chunks.select("qid", "doc_id", "chunk_index", "text", F.struct(*keys("text")).alias("key")).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("qid", "doc_id", F.substring("text", 1, 800).alias("chunk"), F.col("key").alias("own"))
+    rows = evidence.withColumn("key", F.struct(*keys("quote"))).join(best.select("qid", "doc_id", "own"), ["qid", "doc_id"], "left")
+    bare = (F.col("key.p") == 0) & (F.col("key.e") == 0) & (F.col("key.t") == 0)
+    rows = rows.select("qid", "doc_id", "quote", "pinned", "ord", F.when(bare, F.coalesce("own", "key")).otherwise(F.col("key")).alias("key"))
+    new = best.join(evidence.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").where((F.col("own.p") > 0) | (F.col("own.e") > 0) | (F.col("own.t") > 0))
+    new = new.where(F.col("own.e") > 0) if entities else new
+    new = new.where((F.col("own.p") > 0) | (F.col("own.e") > 0)) if phrases else new
+    order = Window.partitionBy("qid").orderBy(F.desc("own"), "doc_id")
+    new = new.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= extra + (2 if phrases or entities else 0))
+    new = new.join(evidence.select("qid").distinct(), "qid", "left_semi").select("qid", "doc_id", F.col("chunk").alias("quote"), F.lit(False).alias("pinned"), (F.col("_n") + (1 << 20)).cast("long").alias("ord"), F.struct(*keys("chunk")).alias("key"))
+    both = rows.unionByName(new)
+    some = lambda k: F.max((~F.col("pinned") & (F.col(f"key.{k}") > 0)).cast("int")).over(Window.partitionBy("qid")) == 1
+    both = both.withColumns({"by_e": some("e"), "by_p": some("p")})
+    both = both.where(F.col("pinned") | F.when(F.col("by_e"), F.col("key.e") > 0).when(F.col("by_p"), F.col("key.p") > 0).otherwise(True))
+    place = Window.partitionBy("qid").orderBy(F.desc("key"), "ord")
+    first = Window.partitionBy("qid", "doc_id", F.lower(squeeze("quote"))).orderBy("place")
+    both = both.withColumn("place", F.row_number().over(place)).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    both = both.withColumn("many", F.count("*").over(Window.partitionBy("qid")))
+    final = Window.partitionBy("qid").orderBy(F.when(F.col("many") > most, ~F.col("pinned")).otherwise(False), "place")
+    return both.withColumn("rank", F.row_number().over(final).cast("long")).where(F.col("rank") <= most).select("qid", "doc_id", "quote", "pinned", "rank")
+
+
+def unit_claims(text: Column, units: dict[str, str], reach: int = 16) -> Column:
+    """struct of arrays, one for each unit: the canonical numbers with the unit's pattern within ``reach`` characters; a number claims the first unit that fits. Numbers right before a closing bracket are list marks."""
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    between = F.split(text, NUMBER)
+    # A number and the gap before it have a character at least, so ``reach`` of them hold all that can be near.
+    gap = lambda i: F.coalesce(F.get(between, i), F.lit(""))
+    number = lambda i: F.coalesce(F.get(found, i), F.lit(""))
+    around = lambda i, steps, one: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: one(k)), "")
+    left = lambda i: F.concat(around(i, reach, lambda k: F.when(i - reach + k - 1 >= 0, F.concat(gap(i - reach + k - 1), number(i - reach + k - 1))).otherwise("")), gap(i))
+    right = lambda i: F.concat(gap(i + 1), around(i, reach, lambda k: F.concat(number(i + 1 + k), gap(i + 2 + k))))
+    rows = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(number(i).alias("n"), F.lower(F.concat(F.right(left(i), F.lit(reach)), number(i), F.substring(right(i), 1, reach))).alias("near"), F.startswith(right(i), F.lit(")")).alias("mark")))
+    rows = F.when(F.size(found) > 0, F.filter(rows, lambda r: ~r["mark"])).otherwise(F.array().cast("array<struct<n:string,near:string,mark:boolean>>"))
+
+    def claims(name: str, pattern: str, before: list[str]) -> Column:
+        fits = lambda r: r["near"].rlike(pattern) & ~reduce(lambda a, p: a | r["near"].rlike(p), before, F.lit(False))
+        return F.array_distinct(F.transform(F.filter(rows, fits), lambda r: canonical_number(r["n"]))).alias(name)
+
+    patterns = list(units.values())
+    return F.struct(*(claims(name, pattern, patterns[:i]) for i, (name, pattern) in enumerate(units.items())))
+
+
+def cited_text(answers: DataFrame, evidence: DataFrame, full: DataFrame) -> DataFrame:
+    """(qid, source): what an answer (qid, cited) is held against: the quotes (qid, doc_id, ord, text), then whole texts, of the documents it cites; all of them where it cites none or nothing that has text."""
+    rows = evidence.select("qid", "doc_id", F.lit(0).alias("side"), "ord", F.trim("text").alias("text")).unionByName(full.select("qid", "doc_id", F.lit(1).alias("side"), "ord", F.trim("text").alias("text"))).where("text <> ''")
+    parts = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("side", "ord", "doc_id", "text"))).alias("parts"))
+    own = F.filter("parts", lambda p: F.array_contains("cited", p["doc_id"]))
+    used = F.when(F.size(own) > 0, own).otherwise(F.col("parts"))
+    return answers.join(parts, "qid", "left").select("qid", F.coalesce(F.array_join(F.transform(used, lambda p: p["text"]), "\n"), F.lit("")).alias("source"))
+
+
+def errors(answer: Column, cited: Column, scope: Column, source: Column) -> Column:
+    """The names of what is wrong: empty, uncited, out_of_scope, unsupported."""
+    v = validation(answer, cited, scope, source)
+    return F.array_compact(F.array(*(F.when(v[k], F.lit(k)) for k in ("empty", "uncited", "out_of_scope", "unsupported"))))
+
+
+def settled(answer: Column, cited: Column, scope: Column, evidence: Column, source: Column, repaired: Column | None = None, repaired_cited: Column | None = None) -> Column:
+    """struct(answer, cited, initial, fixed, final, outcome): validate, mend citations, validate again, take a repair, fall back.
+
+    Citations are mended without a model: those outside the scope go, and where none is left the evidence's stand in. What
+    is still wrong after that needs a repair: a second answer from outside, judged the same way. outcome: valid, fixed,
+    repaired or fallback.
+    """
+    first = errors(answer, cited, scope, source)
+    structural = F.array(F.lit("uncited"), F.lit("out_of_scope"))
+    mended = F.when(F.arrays_overlap(first, structural), valid_citations(cited, scope, evidence)).otherwise(cited)
+    fixed = F.size(F.array_except(mended, cited)) + F.size(F.array_except(cited, mended)) > 0
+    left = errors(answer, mended, scope, source)
+    text, ids, outcome, final = answer, mended, F.when(F.size(left) > 0, "fallback").when(fixed, "fixed").otherwise("valid"), left
+    if repaired is not None:
+        again = valid_citations(repaired_cited, scope, evidence)
+        good = (F.size(left) > 0) & repaired.isNotNull() & (F.size(errors(repaired, again, scope, source)) == 0)
+        text, ids = F.when(good, repaired).otherwise(text), F.when(good, again).otherwise(ids)
+        outcome, final = F.when(good, "repaired").otherwise(outcome), F.when(good, F.array().cast("array<string>")).otherwise(final)
+    return F.struct(text.alias("answer"), ids.alias("cited"), first.alias("initial"), fixed.alias("fixed"), final.alias("final"), outcome.alias("outcome"))
+
+
+def signals(text: Column, patterns: dict[str, str]) -> Column:
+    """The names of the patterns that a text matches."""
+    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(name)) for name, p in patterns.items())))
+
+
+def augmented(required: Column, gold: Column, candidates: Column) -> Column:
+    """The gold ids (sorted) with candidates (array of struct(doc_id, signals), in order) added until the required signals are covered: each time the one with the most that is missing, the earlier of equals, as long as one adds something."""
+    sets = F.transform(F.filter(candidates, lambda c: F.array_contains(gold, c["doc_id"])), lambda c: c["signals"])
+    missing = F.array_except(required, F.flatten(sets))
+    rest = F.filter(candidates, lambda c: ~F.array_contains(gold, c["doc_id"]))
+
+    def step(state, _):
+        key = lambda c, i: F.struct(F.size(F.array_intersect(c["signals"], state["missing"])).alias("new"), (-i).alias("first"), c["doc_id"].alias("doc_id"), c["signals"].alias("signals"))
+        best = F.array_max(F.transform(rest, key))
+        after = F.struct(F.array_except(state["missing"], best["signals"]).alias("missing"), F.concat(state["picks"], F.array(best["doc_id"])).alias("picks"))
+        return F.when(F.coalesce(best["new"], F.lit(0)) > 0, after).otherwise(state)
+
+    start = F.struct(missing.alias("missing"), F.array().cast("array<bigint>").alias("picks"))
+    picks = F.aggregate(F.coalesce(required, F.array().cast("array<string>")), start, step)["picks"]
+    return F.array_sort(F.array_distinct(F.concat(gold, picks)))

@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, norm
+from ..workers import checkpoint_folder
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-"))
-    return df.checkpoint()
+    return df.checkpoint() if checkpoint_folder(df.sparkSession) else df
 
 
 def similar_pairs(vectors: DataFrame, block: str, threshold: float) -> DataFrame:
-    """(a, b, sim): pairs a < b of the same block with cosine at or above the threshold; an equi-join on the block, norms computed once a row."""
-    v = vectors.select("id", "embedding", block, norm("embedding").alias("norm"))
-    b = v.select(F.col("id").alias("b"), F.col("embedding").alias("eb"), F.col("norm").alias("nb"), block)
-    pairs = v.select(F.col("id").alias("a"), "embedding", "norm", block).join(b, block).where("a < b")
-    return pairs.select("a", "b", cosine("embedding", "eb", F.col("norm"), F.col("nb")).alias("sim")).where(F.round("sim", 6) >= threshold)
+    """(block, a, b, sim): pairs a < b of one block with cosine at or above the threshold; norms are computed once a row.
+
+    A block is an id set of bounded size, such as the pool of one question; all of its pairs are compared.
+    """
+    v = vectors.select(block, "id", "embedding", norm("embedding").alias("norm"))
+    b = v.select(block, F.col("id").alias("b"), F.col("embedding").alias("eb"), F.col("norm").alias("nb"))
+    pairs = v.withColumnRenamed("id", "a").join(b, block).where("a < b")
+    return pairs.select(block, "a", "b", cosine("embedding", "eb", F.col("norm"), F.col("nb")).alias("sim")).where(F.round("sim", 6) >= threshold)
 
 
-def families(pairs: DataFrame, limit: int = 50) -> DataFrame:
-    """(id, family): smallest id reachable. The smallest label spreads along edges and then along labels; each round is checkpointed to the shared folder, and the loop ends when the labels' sum stays."""
-    both = _checkpoint(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = _checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("family")))
+def families(pairs: DataFrame, block: str, limit: int = 50) -> DataFrame:
+    """(block, id, family): smallest id reachable within the block. The smallest label spreads along edges and then along labels; each round is checkpointed to the shared folder, and the loop ends when the labels' sum stays."""
+    both = _checkpoint(pairs.select(block, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(block, F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    labels = _checkpoint(both.groupBy(block, "u").agg(F.min("v").alias("m")).select(block, F.col("u").alias("id"), F.least("u", "m").alias("family")))
     total = labels.agg(F.sum("family")).first()[0]
     for _ in range(limit):
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("family").alias("m")).withColumnRenamed("u", "id")
-        low = labels.join(near, "id").select("id", F.least("family", "m").alias("family"))
-        up = low.select(F.col("id").alias("family"), F.col("family").alias("up"))
-        labels = _checkpoint(low.join(up, "family", "left").select("id", F.coalesce("up", "family").alias("family")))
+        near = both.join(labels.withColumnRenamed("id", "v"), [block, "v"]).groupBy(block, "u").agg(F.min("family").alias("m")).withColumnRenamed("u", "id")
+        low = labels.join(near, [block, "id"]).select(block, "id", F.least("family", "m").alias("family"))
+        up = low.select(block, F.col("id").alias("family"), F.col("family").alias("up"))
+        labels = _checkpoint(low.join(up, [block, "family"], "left").select(block, "id", F.coalesce("up", "family").alias("family")))
         new = labels.agg(F.sum("family")).first()[0]
         if new == total:
             return labels
@@ -42,14 +41,14 @@ def families(pairs: DataFrame, limit: int = 50) -> DataFrame:
     raise RuntimeError(f"families did not settle in {limit} rounds")
 
 
-def stale_members(families_: DataFrame, dates: DataFrame, protected: Column | None = None, most: int | None = None) -> DataFrame:
-    """(id, family, date): members older than the newest of their family. Unknown dates are never stale; protected ids stay; a family that would lose more than ``most`` loses none."""
-    w = Window.partitionBy("family")
+def stale_members(families_: DataFrame, dates: DataFrame, block: str, protected: Column | None = None, most: int | None = None) -> DataFrame:
+    """(block, id, family, date): members older than the newest of their family. Unknown dates are never stale; protected ids stay; a family that would lose more than ``most`` loses none."""
+    w = Window.partitionBy(block, "family")
     rows = families_.join(dates, "id").withColumn("newest", F.max("date").over(w))
     old = (F.col("date") < F.col("newest")) & ~(F.lit(False) if protected is None else protected)
     rows = rows.withColumn("old", F.coalesce(old, F.lit(False))).withColumn("drops", F.sum(F.col("old").cast("int")).over(w))
     out = rows.where("old")
-    return (out.where(F.col("drops") <= most) if most is not None else out).select("id", "family", "date")
+    return (out.where(F.col("drops") <= most) if most is not None else out).select(block, "id", "family", "date")
 
 
 def veto(title_a: Column, title_b: Column, stems: list[str], code: str) -> Column:

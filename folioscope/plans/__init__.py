@@ -19,7 +19,7 @@ def query(sql: str | None = None):
 
 
 def registered() -> tuple[dict, dict[str, str]]:
-    from . import evaluation, extras, ingest, relational, retrieval  # noqa: F401
+    from . import assembly, checks, evaluation, extras, ingest, relational, retrieval  # noqa: F401
     from ..sources import table
 
     def bound(f):

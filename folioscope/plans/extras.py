@@ -14,9 +14,9 @@ from ..operators.evidence import coverage_ranking, density_evidence, unsupported
 from ..operators.graph import veto
 from ..operators.lexical import postings
 from ..streaming import retry_state, windowed_counts
-from . import ORACLES, query
-from .ingest import CODES, ORDERS, _parts, _titled
-from .retrieval import BATCH, CHUNKS, COS, DOCS, TERMS, _fused_batch, _lanes, _occ, _vectors, docs, lanes_sql
+from . import query
+from .ingest import CODES, IN_ORDER, ORDERS, _parts, _titled, canonical_sql
+from .retrieval import BATCH, CHUNKS, COS, DOCS, TERMS, WORDS, _fused_batch, _lanes, _occ, _vectors, docs, lanes_sql
 
 
 @query(f"""with {BATCH}, sim as (select v.label::bigint lb, q.vec_id qid, v.vec_id doc_id, round({COS}, 6) sim from embeddings v, embeddings q where q.vec_id < 8 and v.vec_id % 3 <> 0),
@@ -56,20 +56,12 @@ def citation_floor(t):
     return selection.citation_floor(read, read.where("doc_id % 3 = 0"), chunks, tx.total_occurrences(F.lower("text"), TERMS), 5)
 
 
-@query(f"""with {ORDERS}, tt as (select case when doc_id % 200 = 8 and doc_id < 100 then 'Special ' || title else title end title from titled where doc_id <= 400),
+@query(f"""with {ORDERS}, tt as (select case when doc_id % 200 = 8 and doc_id < 100 then 'Special ' || title else title end title from titled),
 n as (select count(*) n, sum(contains(lower(title), 'special')::int) da, sum(contains(lower(title), 'decreto')::int) dd from tt),
 r as (select title, unnest(regexp_extract_all(title, '[0-9]+/[0-9]+')) ref from tt), w as (select ref, right(lower(split_part(title, ref, 1)), 90) near from r),
 s as (select ref, round(max(case when contains(near, 'special') then ln(1 + n / da) else 0 end + case when contains(near, 'decreto') then ln(1 + n / dd) else 0 end), 6) score from w, n group by 1)
 select ref, score from s where score > 0 and score = (select max(score) from s) qualify count(*) over () = 1""")
 def principal_inference(t):
-    marked = F.when((F.col("doc_id") % 200 == 8) & (F.col("doc_id") < 100), F.concat(F.lit("Special "), "title")).otherwise(F.col("title"))
-    titles = _titled(t).where("doc_id <= 400").select(marked.alias("title"))
-    return selection.principal_reference(titles, ["special", "decreto"], "[0-9]+/[0-9]+")
-
-
-@query(ORACLES["principal_inference"].replace(" where doc_id <= 400", ""))
-def principal_inference_all(t):
-    """With statistics of every title."""
     marked = F.when((F.col("doc_id") % 200 == 8) & (F.col("doc_id") < 100), F.concat(F.lit("Special "), "title")).otherwise(F.col("title"))
     return selection.principal_reference(_titled(t).select(marked.alias("title")), ["special", "decreto"], "[0-9]+/[0-9]+")
 
@@ -85,37 +77,33 @@ def evidence_ranking(t):
     return coverage_ranking(chunk_windows(t("documents")), ["of the"], ["with", "from"], TERMS).select("doc_id", "chunk_index", "phrases", "entities", "terms", "hits")
 
 
-@query(r"""with c as (select conv_id, turn, list_transform(regexp_extract_all(text || ' ' || turn || ',50', '[0-9]+(?:\.[0-9]{3})*(?:,[0-9]+)?'), lambda r: regexp_replace(regexp_replace(cast(round(cast(replace(replace(r, '.', ''), ',', '.') as decimal(24,6)), 2) as varchar), '(\.[0-9]*?)0+$', '\1'), '\.$', '')) x from conversations where not regexp_matches(text, '[0-9]{18}'))
-select conv_id, turn::bigint turn, turn || '.5' claim from c where turn % 2 = 1""")
+_SAYS = "text || ' ' || turn || ',50'"
+
+
+@query(f"""with c as (select conv_id, turn, {canonical_sql(_SAYS)} x, {canonical_sql(f"text || case when turn % 2 = 0 then ' ' || turn || ',50' else '' end")} src from conversations)
+select conv_id, turn::bigint turn, unnest(list_filter({IN_ORDER}, lambda v: not list_contains(src, v))) claim from c""")
 def unsupported_claims(t):
-    answer = F.concat(F.col("text"), F.lit(" "), F.col("turn").cast("string"), F.lit(",50"))
-    c = t("conversations").where(~F.col("text").rlike("[0-9]{18}"))
-    claims = unsupported_numbers(answer, F.concat(F.col("text"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" "), F.col("turn").cast("string"), F.lit(",50"))).otherwise("")))
-    return c.select("conv_id", F.col("turn").cast("long").alias("turn"), F.explode(claims).alias("claim"))
+    extra = F.concat(F.lit(" "), F.col("turn").cast("string"), F.lit(",50"))
+    claims = unsupported_numbers(F.concat("text", extra), F.concat("text", F.when(F.col("turn") % 2 == 0, extra).otherwise("")))
+    return t("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.explode(claims).alias("claim"))
 
 
-@query(f"""with {CODES}, a as (select doc_id, title, doc_id // 10 g from parts where doc_id <= 500) select x.doc_id a, y.doc_id b from a x join a y on x.g = y.g and x.doc_id < y.doc_id
+@query(f"""with {CODES}, a as (select doc_id, title, doc_id // 10 g from parts) select x.doc_id a, y.doc_id b from a x join a y on x.g = y.g and x.doc_id < y.doc_id
 where not (len(regexp_extract_all(lower(x.title), '[a-z]+/[0-9]+/[0-9]+')) > 0 and regexp_extract(lower(x.title), '[a-z]+/[0-9]+/[0-9]+') <> regexp_extract(lower(y.title), '[a-z]+/[0-9]+/[0-9]+'))""")
 def title_vetoes(t):
-    p = _parts(t).where("doc_id <= 500").select("doc_id", "title", F.floor(F.col("doc_id") / 10).alias("g"))
+    p = _parts(t).select("doc_id", "title", F.floor(F.col("doc_id") / 10).alias("g"))
     q = p.toDF("b", "tb", "g")
     return p.join(q, "g").where("doc_id < b").where(~veto(F.col("title"), F.col("tb"), ["corrige", "convoca"], "[a-z]+/[0-9]+/[0-9]+")).select(F.col("doc_id").alias("a"), "b")
 
 
-@query(f"with {DOCS} select doc_id, md5('title: ' || title || chr(10) || 'language: ' || lang || chr(10) || 'kind: ' || source) digest from docs where title <> ''")
+@query(rf"""with {DOCS}, s as (select doc_id, title, lang, source, array_to_string(({WORDS})[1:120], ' ') s from docs), c as (select *, case when length(s) <= 1200 then s else regexp_replace(substring(s, 1, 1200), '\s+\S*$', '') end short from s)
+select doc_id, md5(concat_ws(chr(10), {', '.join(f"case when length({c}) > 0 then '{n}: ' || {c} end" for n, c in (('title', 'title'), ('language', 'lang'), ('kind', 'source'), ('summary', 'short')))})) digest from c""")
 def embedding_text_build(t):
-    lines = F.slice(F.split(embedding_text(F.col("title"), F.col("lang"), F.col("source"), F.lit("x")), "\n"), 1, 3)
-    return docs(t).where("title <> ''").select("doc_id", F.md5(F.array_join(lines, "\n").cast("binary")).alias("digest"))
+    return docs(t).select("doc_id", F.md5(embedding_text(F.col("title"), F.col("lang"), F.col("source"), F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("select vec_id, list_transform(embedding[1:4], lambda x: round(x::double, 6)) head from embeddings")
+@query("select vec_id, list_transform(embedding, lambda x: round(x::double, 6)) literal from embeddings")
 def vector_literals(t):
-    return t("embeddings").select("vec_id", F.slice(quantised("embedding"), 1, 4).alias("head"))
-
-
-@query(ORACLES["vector_literals"].replace("embedding[1:4]", "embedding").replace("head", "literal"))
-def vector_literals_all(t):
-    """Every component."""
     return t("embeddings").select("vec_id", quantised("embedding").alias("literal"))
 
 
@@ -195,11 +183,14 @@ def gold_rank_by_stage(t):
     return lane.join(fused, ["qid", "doc_id"], "left").groupBy("qid").agg(F.min("lane").alias("lane"), F.min("fused").alias("fused"))
 
 
-@query("with t as (select doc_id, map {'a': true, lang: true} tags from documents) select doc_id, (doc_id % 2 = 0 and lang = 'en') or (doc_id % 2 = 1) flag from documents")
+@query("""with m as (select doc_id, map_concat(map {'even': doc_id % 2 = 0, coalesce(lang, 'none'): true}, case when doc_id % 2 = 0 then map {'even': lang = 'en', 'seen': true} else map {'en': false} end) m from documents)
+select doc_id, array_to_string(list_sort(list_transform(map_entries(m), lambda e: e.key || '=' || e.value)), ',') tags from m""")
 def tag_merge(t):
-    old = F.create_map(F.lit("even"), F.col("doc_id") % 2 == 0)
-    new = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("even"), F.col("lang") == "en")).otherwise(F.create_map(F.lit("even"), F.lit(True)))
-    return t("documents").select("doc_id", etl.merge_tags(old, new)["even"].alias("flag"))
+    even = F.col("doc_id") % 2 == 0
+    old = F.create_map(F.lit("even"), even, F.coalesce("lang", F.lit("none")), F.lit(True))
+    new = F.when(even, F.create_map(F.lit("even"), F.col("lang") == "en", F.lit("seen"), F.lit(True))).otherwise(F.create_map(F.lit("en"), F.lit(False)))
+    tags = F.transform(F.map_entries(etl.merge_tags(old, new)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return t("documents").select("doc_id", F.array_join(F.array_sort(tags), ",").alias("tags"))
 
 
 @query("""with r as (select s_suppkey k, 'S/' || (s_suppkey % 60) sig from supplier), x as (select distinct 'S/' || (c_custkey % 90) sig from customer) select x.sig from x where not exists (select 1 from r where r.sig = x.sig)""")
@@ -251,10 +242,10 @@ def quote_regrounding(t):
     return evid.reground(quotes, chunks)
 
 
-@query(f"""with {QUOTES}, k as (select doc_id, ord, lower(trim(regexp_replace(substring(quote, 1, 2), '[ ]+', ' ', 'g'))) key from ev) select doc_id, ord from k where key <> '' qualify row_number() over (partition by doc_id, key order by ord) = 1""")
+@query(f"""with {QUOTES}, k as (select doc_id, ord, lower(trim(regexp_replace(quote, '[ ]+', ' ', 'g'))) key from ev) select doc_id, ord from k where key <> '' qualify row_number() over (partition by doc_id, key order by ord) = 1""")
 def evidence_dedupe(t):
     _, quotes = _quotes(t)
-    return evid.dedupe(quotes.withColumn("quote", F.substring("quote", 1, 2))).select("doc_id", "ord")
+    return evid.dedupe(quotes).select("doc_id", "ord")
 
 
 @query(f"with {CHUNKS}, h as (select doc_id, chunk_index, regexp_matches(text, '[0-9]') hit from chunks), nm as (select *, row_number() over (partition by doc_id order by hit desc, chunk_index) n from h) select doc_id, chunk_index, hit from nm where (hit and n <= 6) or n = 1")
@@ -268,13 +259,15 @@ def coverage_extras(t):
     return evid.extras(pool, pool.where("rank <= 5"), F.pmod("doc_id", F.lit(7)), 3)
 
 
-@query("select conv_id, turn::bigint turn, length(trim(text)) = 0 as empty, turn % 4 = 0 as uncited, turn % 4 <> 0 and turn % 4 > 2 as out_of_scope, not (length(trim(text)) = 0 or turn % 4 = 0 or turn % 4 > 2) valid from conversations where not regexp_matches(text, '[0-9]')")
+@query("""with v as (select conv_id, turn, length(trim(text)) = 0 as empty, turn % 4 = 0 as uncited, turn % 4 > 2 as out_of_scope, turn % 2 = 1 and regexp_matches(text, '[0-9]') unsupported from conversations)
+select conv_id, turn::bigint turn, empty, uncited, out_of_scope, unsupported, not (empty or uncited or out_of_scope or unsupported) valid from v""")
 def answer_validation(t):
+    """Odd turns are held against a source without the text's numbers, even ones against the text itself."""
     turn = F.pmod("turn", F.lit(4))
     cited = F.when(turn == 0, F.array().cast("array<long>")).otherwise(F.array(turn))
-    v = evid.validation(F.col("text"), cited, F.array(F.lit(1).cast("long"), F.lit(2).cast("long")), F.col("text"))
-    rows = t("conversations").where(~F.col("text").rlike("[0-9]")).select("conv_id", F.col("turn").cast("long").alias("turn"), v.alias("v"))
-    return rows.select("conv_id", "turn", "v.empty", "v.uncited", "v.out_of_scope", "v.valid")
+    source = F.when(F.col("turn") % 2 == 1, F.regexp_replace("text", "[0-9]", "")).otherwise(F.col("text"))
+    v = evid.validation(F.col("text"), cited, F.array(F.lit(1).cast("long"), F.lit(2).cast("long")), source)
+    return t("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), v.alias("v")).select("conv_id", "turn", "v.*")
 
 
 @query("select conv_id, 'Sources:' || array_to_string(list_transform((list(substring(text, 1, 12) order by turn))[1:3], lambda x: chr(10) || '- ' || x), '') summary from conversations group by 1")
@@ -295,12 +288,9 @@ def probe_hit_rates(t):
     return t("embeddings").groupBy(F.col("label").cast("long").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg(hit.cast("int")), 6).alias("hit_rate"), F.count_if(~hit & was).alias("regressions"))
 
 
-@query("select page_id, url from pages where (url is not null or html is not null) and page_id % 2 = 0")
+@query("select page_id, url, pdf from (select page_id, nullif(url, case when page_id % 3 = 0 then url end) url, case when page_id % 2 = 0 then 'files/' || page_id || '.pdf' end pdf from pages) where url is not null or pdf is not null")
 def asset_scan(t):
-    return t("pages").where((F.col("url").isNotNull() | F.col("html").isNotNull()) & (F.col("page_id") % 2 == 0)).select("page_id", "url")
-
-
-@query(ORACLES["asset_scan"].replace(" and page_id % 2 = 0", ""))
-def asset_scan_all(t):
-    """Of every page."""
-    return t("pages").where(F.col("url").isNotNull() | F.col("html").isNotNull()).select("page_id", "url")
+    """Of every page; some have neither address."""
+    id_ = F.col("page_id")
+    rows = t("pages").select("page_id", F.when(id_ % 3 != 0, F.col("url")).alias("url"), F.when(id_ % 2 == 0, F.concat(F.lit("files/"), id_.cast("string"), F.lit(".pdf"))).alias("pdf"))
+    return rows.where("url is not null or pdf is not null")

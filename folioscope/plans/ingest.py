@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_control, first_line, numbers, strip_artifacts
 from ..operators import corpus, etl, intervals
 from ..operators.graph import companions
-from . import ORACLES, query
+from . import query
 
 
 @query(r"""with s as (select page_id, regexp_replace(html, '(?is)<(script|style|noscript|header|footer|nav|aside|svg)\b.*?</(script|style|noscript|header|footer|nav|aside|svg)\s*>', chr(10), 'g') h from pages),
@@ -82,17 +82,9 @@ def retention_purge(t):
     return count(kept, "orders").unionByName(count(lines, "lineitem"))
 
 
-@query("""with e as (select cast(ts as date) d, event_type, user_id from events where user_id % 7 = 0), sp as (select unnest(generate_series(min(d), max(d), interval 1 day))::date d from e), ty as (select distinct event_type from e)
+@query("""with e as (select cast(ts as date) d, event_type, user_id from events), sp as (select unnest(generate_series(min(d), max(d), interval 1 day))::date d from e), ty as (select distinct event_type from e)
 select sp.d "day", ty.event_type from sp, ty where not exists (select 1 from e where e.d = sp.d and e.event_type = ty.event_type and e.user_id % 3 = 0)""")
 def gap_scan(t):
-    e = t("events").where("user_id % 7 = 0").select(F.to_date("ts").alias("day"), "event_type", "user_id")
-    have = e.where("user_id % 3 = 0").select("day", "event_type").distinct()
-    return intervals.spine(e, "day", "event_type").join(have, ["day", "event_type"], "left_anti")
-
-
-@query(ORACLES["gap_scan"].replace(" where user_id % 7 = 0", ""))
-def gap_scan_all(t):
-    """Over every event."""
     e = t("events").select(F.to_date("ts").alias("day"), "event_type", "user_id")
     have = e.where("user_id % 3 = 0").select("day", "event_type").distinct()
     return intervals.spine(e, "day", "event_type").join(have, ["day", "event_type"], "left_anti")
@@ -159,7 +151,7 @@ def _titled(t):
 
 
 EDGES = ORDERS + """, ref as (select doc_id, case when o_custkey % 3 = 1 then 'decreto' else 'orden' end ref_type, case when o_custkey % 3 = 1 then o_custkey % 999 else o_custkey % 1999 end number, 2000 + o_custkey % 25 "year", case when o_custkey % 3 = 1 then 'modifica' else 'cita' end ref_kind, title from titled where o_custkey % 3 <> 0),
-keep as (select * from ref where not (number || '/' || "year" = regexp_extract(title, '([0-9]+/[0-9]+)', 1))),
+keep as (select * from ref where not (number || '/' || "year" = regexp_extract(title, '([0-9]+/[0-9]+)', 1) and ref_type = lower(split_part(title, ' ', 1)))),
 tgt as (select doc_id target, lower(split_part(title, ' ', 1)) ty, regexp_extract(title, '([0-9]+/[0-9]+)', 1) ny from titled),
 edge as (select r.doc_id, r.ref_type, r.number, r."year", r.ref_kind, case when count(distinct case when t.target <> r.doc_id then t.target end) = 1 then min(case when t.target <> r.doc_id then t.target end) end target from keep r left join tgt t on t.ty = r.ref_type and t.ny = r.number || '/' || r."year" group by 1, 2, 3, 4, 5)"""
 
@@ -167,7 +159,7 @@ edge as (select r.doc_id, r.ref_type, r.number, r."year", r.ref_kind, case when
 @query(f"with {EDGES} select doc_id, ref_type, number::bigint number, \"year\"::bigint as \"year\", ref_kind, target from edge")
 def reference_graph(t):
     d = _titled(t)
-    return corpus.resolve_references(corpus.references(d), d)
+    return corpus.resolve_references(corpus.references(d), d).select("doc_id", "ref_type", "number", "year", "ref_kind", "target")
 
 
 @query(f"""with {EDGES}, k as (select doc_id src, target dst, ref_kind, count(*) over (partition by target) dg from edge where target is not null and target <> doc_id), g as (select * from k where dg <= 25),
@@ -181,15 +173,17 @@ def companion_expansion(t):
     return companions(edges, seeds, 25, ["modifica", "cita"], 2)
 
 
-@query(r"""select doc_id, list_distinct_in_order n from (select doc_id, list_filter(list_transform(range(1, len(x) + 1), lambda i: case when list_position(x, x[i]) = i then x[i] end), lambda v: v is not null) list_distinct_in_order from (select doc_id, list_transform(regexp_extract_all(text, '[0-9]+(?:\.[0-9]{3})*(?:,[0-9]+)?'), lambda r: regexp_replace(regexp_replace(cast(round(cast(replace(replace(r, '.', ''), ',', '.') as decimal(24,6)), 2) as varchar), '(\.[0-9]*?)0+$', '\1'), '\.$', '')) x from documents where regexp_matches(text, '[0-9]') and not regexp_matches(text, '[0-9]{18}')))""")
-def number_claims(t):
-    d = t("documents").where(F.col("text").rlike("[0-9]") & ~F.col("text").rlike("[0-9]{18}"))
-    return d.select("doc_id", numbers("text").alias("n"))
+def canonical_sql(text: str, most: int = 38) -> str:
+    """DuckDB: the canonical numbers of a text, repeats and all. Its decimals end at 38 digits, so a longer number fails instead of going missing."""
+    return rf"""list_transform(regexp_extract_all({text}, '[0-9]+(?:\.[0-9]{{3}})*(?:,[0-9]+)?'), lambda r: regexp_replace(regexp_replace(cast(round(cast(replace(replace(r, '.', ''), ',', '.') as decimal({most},6)), 2) as varchar), '(\.[0-9]*?)0+$', '\1'), '\.$', ''))"""
 
 
-@query()
-def number_claims_all(t):
-    """Of every document; its numbers may have more digits than SQL's decimals."""
+#: DuckDB: the distinct values of a list x, in order.
+IN_ORDER = "list_filter(list_transform(range(1, len(x) + 1), lambda i: case when list_position(x, x[i]) = i then x[i] end), lambda v: v is not null)"
+
+
+@query(f"select doc_id, {IN_ORDER} n from (select doc_id, {canonical_sql('text')} x from documents)")
+def number_claims(t):
     return t("documents").select("doc_id", numbers("text").alias("n"))
 
 
@@ -203,18 +197,10 @@ def raw_signature(t):
     return t("documents").select("doc_id", F.sha1(F.concat_ws("|", "lang", "source", F.col("n_chars").cast("string")).cast("binary")).alias("signature"), first_line("text").alias("title"))
 
 
-@query("""with n as (select event_id new_id, user_id, cast(ts as date) d, event_type e from events where event_id % 10 = 0), o as (select event_id old_id, user_id, cast(ts as date) od, event_type oe from events where event_id % 10 = 1),
+@query("""with n as (select event_id new_id, user_id, cast(ts as date) d, event_type e from events where event_id % 2 = 0), o as (select event_id old_id, user_id, cast(ts as date) od, event_type oe from events where event_id % 2 <> 0),
 p as (select new_id, old_id, case when d = od and e = oe then 0 when e = oe then 1 when d = od then 2 end r from n join o using (user_id)), b as (select * from p where r is not null qualify row_number() over (partition by new_id order by r, old_id) = 1)
 select n.new_id, b.old_id, b.r::bigint "rule" from n left join b using (new_id)""")
 def issue_match(t):
-    e = t("events").select("event_id", "user_id", F.to_date("ts").alias("d"), F.col("event_type").alias("e"))
-    new, old = e.where("event_id % 10 = 0").withColumnRenamed("event_id", "new_id"), e.where("event_id % 10 = 1").toDF("old_id", "ou", "od", "oe")
-    same_day, same_type = F.col("d") == F.col("od"), F.col("e") == F.col("oe")
-    return etl.best_match(new, old, [same_day & same_type, same_type, same_day], "new_id", "old_id", F.col("user_id") == F.col("ou"), ["old_id"])
-
-
-@query(ORACLES["issue_match"].replace("event_id % 10 = 0", "event_id % 2 = 0").replace("event_id % 10 = 1", "event_id % 2 <> 0"))
-def issue_match_all(t):
     """Every event is on one of the two sides."""
     e = t("events").select("event_id", "user_id", F.to_date("ts").alias("d"), F.col("event_type").alias("e"))
     new, old = e.where("event_id % 2 = 0").withColumnRenamed("event_id", "new_id"), e.where("event_id % 2 <> 0").toDF("old_id", "ou", "od", "oe")
@@ -222,13 +208,6 @@ def issue_match_all(t):
     return etl.best_match(new, old, [same_day & same_type, same_type, same_day], "new_id", "old_id", F.col("user_id") == F.col("ou"), ["old_id"])
 
 
-@query("select doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) cleaned from documents where length(text) < 300")
-def artifact_stripping(t):
-    marked = F.regexp_replace(F.concat(F.col("text"), F.lit(" [doc_12] (doc 3, doc 4)")), "^", "")
-    return t("documents").where(F.length("text") < 300).select("doc_id", strip_artifacts(marked).alias("cleaned"))
-
-
 @query(r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text || ' [doc_12] (doc 3, doc 4)', '[ \t\n\r\f\v]*[\[(][ \t\n\r\f\v]*doc[_ ]?[0-9]+(?:[ \t\n\r\f\v]*,[ \t\n\r\f\v]*doc[_ ]?[0-9]+)*[ \t\n\r\f\v]*[\])]', '', 'gi'), '[ \t\n\r\f\v]+([.,;:])', '\1', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) cleaned from documents""")
-def artifact_stripping_all(t):
-    """Of every document."""
+def artifact_stripping(t):
     return t("documents").select("doc_id", strip_artifacts(F.concat(F.col("text"), F.lit(" [doc_12] (doc 3, doc 4)"))).alias("cleaned"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import freshness_lag, relative_range
 from ..functions.text import fold
-from . import ORACLES, query
+from ..operators import etl
+from . import query
 
 
 @query("select doc_id, lang, n_chars from documents where lang in ('en', 'fr') and source = 'src3' and n_chars >= 800")
@@ -15,15 +16,25 @@ def conjunctive_filters(t):
     return t("documents").where(F.col("lang").isin("en", "fr") & (F.col("source") == "src3") & (F.col("n_chars") >= 800)).select("doc_id", "lang", "n_chars")
 
 
-@query("select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+@query("select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderpriority = '1-URGENT')")
 def anti_not_exists(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = t("orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return t("customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select distinct o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select distinct o_custkey from orders where o_orderpriority = '2-HIGH')")
 def anti_not_in(t):
-    keys = t("orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return t("customer").join(keys, "c_custkey", "left_anti").select("c_custkey")
+    keys = t("orders").where("o_orderpriority = '2-HIGH'").select("o_custkey")
+    return etl.not_in(t("customer").select("c_custkey"), "c_custkey", keys, "o_custkey")
+
+
+@query("select c_custkey, case when exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P') then 'some' else 'none' end partial from customer where nullif(c_custkey % 5, 0) not in (select nullif(s_suppkey % 3, 0) from supplier where s_suppkey % 3 <> 0)")
+def anti_not_in_nulls(t):
+    """A null on the outer side is in no result; one in the list would empty it."""
+    keys = t("supplier").select(F.nullif(F.pmod("s_suppkey", F.lit(3)), F.lit(0)).alias("k")).where("k is not null")
+    kept = etl.not_in(t("customer").select("c_custkey", F.nullif(F.pmod("c_custkey", F.lit(5)), F.lit(0)).alias("m")), "m", keys, "k")
+    some = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("partial", F.lit("some"))
+    return kept.join(some, "c_custkey", "left").select("c_custkey", F.coalesce("partial", F.lit("none")).alias("partial"))
 
 
 @query("select s_suppkey, s_name from supplier where s_suppkey in (select l_suppkey from lineitem where l_quantity >= 49)")
@@ -55,15 +66,8 @@ def grouped_counts(t):
     return t("events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey) n from orders where o_orderkey % 10 = 0")
+@query("select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey) n from orders")
 def correlated_count(t):
-    n = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return t("orders").where("o_orderkey % 10 = 0").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-
-
-@query(ORACLES["correlated_count"].replace(" where o_orderkey % 10 = 0", ""))
-def correlated_count_all(t):
-    """Of every order."""
     n = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     return t("orders").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 

@@ -10,8 +10,8 @@ from ..functions.vector import cosine, norm
 from ..operators import fusion
 from ..operators.corpus import chunk_windows, summary, words
 from ..operators.evidence import diverse_chunks, keyword_window, lexical_evidence
-from ..operators.graph import families, similar_pairs, stale_members
-from ..operators.lexical import Query, cover_rank, fallback_search, feedback_terms, match, postings
+from ..operators.graph import families, similar_pairs, stale_members, veto
+from ..operators.lexical import ENDINGS, Query, cover_rank, fallback_search, feedback_terms, match, postings
 from . import query
 
 TERMS = ["the", "tion", "and"]
@@ -87,31 +87,6 @@ def max_score_union(t):
     return both.groupBy(F.col("doc_id").alias("vec_id")).agg(F.max("score").alias("score"))
 
 
-PAIRS = f"select v.vec_id a, q.vec_id b, round({COS}, 6) sim from embeddings v join embeddings q on v.label = q.label and v.vec_id < q.vec_id where round({COS}, 6) >= 0.3"
-
-
-def _pairs(t):
-    return similar_pairs(t("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), "label", 0.3)
-
-
-@query(PAIRS)
-def similarity_pairs(t):
-    return _pairs(t).select("a", "b", F.round("sim", 6).alias("sim"))
-
-
-@query(f"""with recursive pairs as ({PAIRS}), edges as (select a u, b v from pairs union select b, a from pairs),
-reach(id, x) as (select u, u from edges union select r.id, e.v from reach r join edges e on e.u = r.x),
-fam as (select id, min(x) family from reach group by 1),
-dated as (select id, family, date '2024-01-01' + cast(id * 7 % 730 as integer) d from fam),
-mark as (select *, d < max(d) over (partition by family) and id % 10 <> 0 old from dated)
-select id, family, d as "date" from mark where old""")
-def edition_families(t):
-    pairs = _pairs(t)
-    fam = families(pairs)
-    dates = fam.select("id", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("id") * 7, F.lit(730)).cast("int")).alias("date"))
-    return stale_members(fam, dates, protected=F.col("id") % 10 == 0)
-
-
 @query(f"""with {lanes_sql()}, head as (select doc_id, 1 phase, r from vec where r <= 14),
 sec as (select doc_id, 2 phase, row_number() over (order by r) k, r from lex where r <= 40 and doc_id not in (select doc_id from head)),
 took as (select doc_id, phase, r from sec where k <= 6),
@@ -140,6 +115,42 @@ f8 as (select *, row_number() over (partition by qid order by score desc, doc_id
 MARGIN = "m as (select qid, count(*) n, round((max(score) - max(case when rank = 5 then score end)) / max(score), 6) margin from f8 where rank <= 20 group by 1)"
 
 
+#: Pairs inside each question's pool: what families are made of.
+PAIRS = f"""p as (select qid, doc_id from f8 where rank <= 40), pairs as (select x.qid, v.vec_id a, q.vec_id b, round({COS}, 6) sim from p x join p y on x.qid = y.qid and x.doc_id < y.doc_id join embeddings v on v.vec_id = x.doc_id join embeddings q on q.vec_id = y.doc_id where round({COS}, 6) >= 0.15)"""
+#: Titles of editions: two acts, and codes of which some differ.
+_ACT = "case id % 3 when 0 then 'Corrige ' else 'Plan ' end || case when id % 4 = 0 then 'ab/' || (id % 8) || '/2024' else 'text' end"
+_CODE = "[a-z]+/[0-9]+/[0-9]+"
+
+
+def _pool_pairs(t):
+    v = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return similar_pairs(_fused_batch(t, 40).select("qid", "doc_id").join(v, "doc_id").withColumnRenamed("doc_id", "id"), "qid", 0.15)
+
+
+@query(f"with {BATCH}, {PAIRS} select * from pairs")
+def similarity_pairs(t):
+    return _pool_pairs(t).select("qid", "a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query(f"""with recursive {BATCH}, {PAIRS}, titles as (select vec_id id, {_ACT.replace('id', 'vec_id')} title from embeddings),
+marked as (select p.qid, p.a, p.b, x.title ta, y.title tb from pairs p join titles x on x.id = p.a join titles y on y.id = p.b),
+passed as (select qid, a, b from marked where not coalesce(case when contains(lower(ta), 'corrige') then 'corrige' when contains(lower(ta), 'plan') then 'plan' end <> case when contains(lower(tb), 'corrige') then 'corrige' when contains(lower(tb), 'plan') then 'plan' end, false)
+and not (regexp_matches(lower(ta), '{_CODE}') and regexp_matches(lower(tb), '{_CODE}') and regexp_extract(lower(ta), '{_CODE}') <> regexp_extract(lower(tb), '{_CODE}'))),
+edges as (select qid, a u, b v from passed union select qid, b, a from passed),
+reach(qid, id, x) as (select qid, u, u from edges union select r.qid, r.id, e.v from reach r join edges e on e.qid = r.qid and e.u = r.x),
+fam as (select qid, id, min(x) family from reach group by 1, 2),
+dated as (select qid, id, family, case when id % 17 <> 0 then date '2024-01-01' + cast(id * 7 % 730 as integer) end d from fam),
+mark as (select *, coalesce(d < max(d) over (partition by qid, family) and id % 10 <> 0, false) old from dated),
+many as (select *, sum(old::int) over (partition by qid, family) drops from mark)
+select qid, id, family, d as "date" from many where old and drops <= 6""")
+def edition_families(t):
+    """Pairs whose titles can't be one act are no editions; a family that would lose more than six loses none."""
+    title = lambda c: F.concat(F.when(c % 3 == 0, "Corrige ").otherwise("Plan "), F.when(c % 4 == 0, F.concat(F.lit("ab/"), (c % 8).cast("string"), F.lit("/2024"))).otherwise("text"))
+    pairs = _pool_pairs(t).where(~veto(title(F.col("a")), title(F.col("b")), ["corrige", "plan"], _CODE))
+    dates = t("embeddings").select(F.col("vec_id").alias("id")).withColumn("date", F.when(F.col("id") % 17 != 0, F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("id") * 7, F.lit(730)).cast("int"))))
+    return stale_members(families(pairs, "qid"), dates, "qid", protected=F.col("id") % 10 == 0, most=6)
+
+
 @query(f"with {BATCH}, {MARGIN} select qid, n, margin from m")
 def rrf_margin(t):
     return fusion.margin_ratio(_fused_batch(t, 20)).select("qid", "n", F.round("margin", 6).alias("margin"))
@@ -288,10 +299,27 @@ def fts_cover_rank(t):
     return cover_rank(postings(t("documents")), ["with", "this"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""with {POST}, n as (select doc_id, count(distinct lexeme) n from post where lexeme in ('with', 'was', 'zzz') group by 1), r as (select doc_id, case when n = 3 then 0 else 1 end rung from n)
-select doc_id, rung::bigint rung from r where rung = (select min(rung) from r)""")
+#: DuckDB: the light stemmer.
+STEM = "regexp_replace(lexeme, '^(.{3,}?)(?:" + "|".join(ENDINGS) + ")$', '\\1')"
+STOP = ("the", "and", "les", "los", "der")
+
+
+@query(f"""with {POST}, own as (select doc_id, lexeme from post where lexeme not in {STOP}), st as (select doc_id, {STEM} lexeme from own),
+h as (select doc_id, 0 rung from own where lexeme in ('with', 'zzz') group by 1 having count(distinct lexeme) = 2 union all select doc_id, 1 from st where lexeme in ('withing', 'zz') group by 1 having count(distinct lexeme) = 2
+union all select doc_id, 2 from own where lexeme in ('zzzz', 'the') group by 1 union all select doc_id, 3 from st where lexeme in ('lich', 'thing', 'with') group by 1)
+select doc_id, rung::bigint rung from h where rung = (select min(rung) from h)""")
 def fts_fallback(t):
-    return fallback_search(postings(t("documents")), ["with", "was", "zzz"])
+    """Four rungs: all words as they stand, all words stemmed, any word as it stands, any word stemmed; stop words are in neither table."""
+    d = t("documents")
+    own, stems = postings(d, stop=STOP), postings(d, stop=STOP, stemmed=True)
+    return fallback_search([(own, ["with", "zzz"], True), (stems, ["withing", "zz"], True), (own, ["zzzz", "the"], False), (stems, ["lich", "thing", "with"], False)])
+
+
+@query(f"with {POST}, st as (select doc_id, {STEM} lexeme from post where lexeme not in {STOP}) select doc_id, count(*) n, count(distinct lexeme) kinds, md5(string_agg(distinct lexeme, ' ' order by lexeme)) digest from st group by 1")
+def stemmed_lexemes(t):
+    stems = postings(t("documents"), stop=STOP, stemmed=True)
+    kinds = F.array_sort(F.collect_set("lexeme"))
+    return stems.groupBy("doc_id").agg(F.count("*").alias("n"), F.size(kinds).cast("long").alias("kinds"), F.md5(F.array_join(kinds, " ").cast("binary")).alias("digest"))
 
 
 @query(f"""with {lanes_sql()}, top as (select doc_id from fused where rank <= 5), term as (select doc_id, unnest(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_·''/-]+'), lambda x: length(x) >= 4)) term from docs where doc_id in (select doc_id from top)),
@@ -309,13 +337,7 @@ def keyword_coverage(t):
     return t("documents").select("doc_id", *(occurrences(F.lower("text"), w).alias(f"n_{w}") for w in TERMS))
 
 
-@query(f"select doc_id, array_to_string(({WORDS})[1:120], ' ') summary from documents where length(array_to_string(({WORDS})[1:120], ' ')) <= 1200")
-def document_summary(t):
-    s = t("documents").select("doc_id", F.array_join(F.slice(words("text"), 1, 120), " ").alias("summary"))
-    return s.where(F.length("summary") <= 1200)
-
-
 @query(rf"with s as (select doc_id, array_to_string(({WORDS})[1:120], ' ') s from documents) select doc_id, case when length(s) <= 1200 then s else regexp_replace(substring(s, 1, 1200), '\s+\S*$', '') end summary from s")
-def document_summary_all(t):
-    """Of every document, shortened where its first words are long."""
+def document_summary(t):
+    """Shortened where the first words are long."""
     return t("documents").select("doc_id", summary("text").alias("summary"))
