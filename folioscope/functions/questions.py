@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, replace
 from datetime import date
 
@@ -21,9 +22,9 @@ def query_identifiers(question: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys(out + [("bdns", m[1]) for m in _BDNS.finditer(question)]))
 
 
-def query_references(question: str, types: tuple[str, ...], kinds: dict[str, str]) -> list[tuple[str | None, int, int]]:
-    """(type, number, year) of all references, in order."""
-    return list(dict.fromkeys(r[:3] for r in find_references("", question, types, kinds, 0, 40)))
+def query_references(question: str, types: tuple[str, ...], kinds: dict[str, str]) -> list[tuple[str, int, int]]:
+    """(type, number, year) of all numbered references, in order."""
+    return list(dict.fromkeys(r[:3] for r in find_references("", question, types, kinds, 0, 40) if r[1] is not None))
 
 
 def content_words(text: str, stop: frozenset[str] = STOP, least: int = 4) -> list[str]:
@@ -50,15 +51,46 @@ def phrases(question: str, most: int = 8, stop: frozenset[str] = STOP) -> list[s
     return list(dict.fromkeys(p for p in out if p))[:most]
 
 
-def anchor_terms(question: str, most: int = 4, generic: frozenset[str] = frozenset(), specific: frozenset[str] = frozenset()) -> list[str]:
-    """The most telling words: long, in a phrase, with digits or known as specific; generic ones last. Ties keep the question's order."""
+def anchor_terms(question: str, most: int = 3, generic: frozenset[str] = frozenset(), weak: frozenset[str] = frozenset(), short: frozenset[str] = frozenset(), keywords: tuple[str, ...] = ()) -> list[str]:
+    """The most telling words of a question and of given keywords: long ones; less one if generic, else two more; two more inside a phrase, and with a digit; one more for known short words. ``weak`` words don't count. Ties in alphabetical order."""
     inside = {w for p in phrases(question) for w in p.split()}
-    words = content_words(question)
+    single = " ".join(k for k in keywords if " " not in k.strip())
+    known = [w.lower() for w in _WORD.findall(question) if w.lower() in short]
+    words = {*content_words(question), *content_words(single), *known} - weak
+    value = lambda w: len(w) + (-1 if w in generic else 2) + 2 * (w in inside) + 2 * any(c.isdigit() for c in w) + (w in short)
+    return sorted(words, key=lambda w: (-value(w), w))[:most]
+
+
+def entities(question: str, most: int = 6, stop: frozenset[str] = STOP) -> list[str]:
+    """Runs of two capitalised words or more, connectors inside and after them, in lower case."""
+    out: list[str] = []
+    run: list[str] = []
+    capital = lambda w: bool(re.match(r"[dDlL]'[A-ZÀ-Ý]", w)) or w[:1].isupper()
+    for word in [*re.findall(r"[\w·'-]+", question), ""]:
+        if capital(word) and (run or word.lower() not in stop) or run and word.lower() in CONNECTORS:
+            run.append(word)
+            continue
+        if sum(map(capital, run)) > 1:
+            out.append(" ".join(run).lower())
+        run = []
+    return list(dict.fromkeys(out))[:most]
+
+
+#: The norm types that a question can name without a number, and the words that introduce them.
+NAMED_TYPES = {"decreto ley": r"decret[o]?[ -]ley|decret llei", "decreto": r"decreto?", "orden": r"orden|ordre", "ley": r"ley|llei"}
 
-    def value(w: str) -> int:
-        return min(len(w), 12) // 4 - (w in generic) + 2 * (w in specific) + 2 * (w in inside) + 2 * any(c.isdigit() for c in w)
 
-    return sorted(words, key=lambda w: (-value(w), words.index(w)))[:most]
+def named_norm(question: str, stop: frozenset[str] = STOP) -> tuple[str, list[str]] | None:
+    """(type, folded topic words) of a question that names a norm by type and topic and has no number; else none."""
+    if re.search(r"\b\d{1,4}/\d{2,4}\b", question):
+        return None
+    for kind, pattern in NAMED_TYPES.items():
+        m = re.search(rf"(?i)\b(?:el|la|l'|del|de la|the)\s*({pattern})\b", question)
+        if m:
+            flat = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn")
+            topic = [flat(w) for w in content_words(question[: m.start()] + " " + question[m.end() :], stop)]
+            return (kind, topic) if topic else None
+    return None
 
 
 @dataclass(frozen=True)

@@ -137,6 +137,12 @@ def strip_artifacts(text) -> Column:
     return squeeze(F.regexp_replace(bare, r"\s+([.,;:])", "$1"))
 
 
+def canonical_label(raw, names: dict[str, str], default: str) -> Column:
+    """A classifier's label by its folded, squeezed form: the canonical name of it or of its alias, else ``default``."""
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, squeeze(fold(raw))), F.lit(default))
+
+
 def sentence_parts(text, least_chars: int = 6, least_words: int = 2) -> Column:
     """Parts between ? ; . that are long enough; only if there are two at least, else none."""
     parts = F.filter(F.transform(F.split(text, r"[?;.]"), squeeze), lambda p: (F.length(p) >= least_chars) & (F.size(F.split(p, " ")) >= least_words))

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_control, normal_code, squeeze
+from ..functions.text import clean_control, fold, normal_code, squeeze
 from ..workers import ship
+from .references import MONTHS
 
 
 def words(text) -> Column:
@@ -113,8 +114,11 @@ REFERENCE_KINDS = {"modif": "modifica", "derog": "deroga", "correg": "corrige",
 NORM_TYPES = ("decreto ley", "decreto", "orden", "ley", "resolucion", "acuerdo")
 
 
-def references(docs: DataFrame, around: int = 120, before: int = 40) -> DataFrame:
-    """(doc_id, ref_type, number, year, ref_kind): N/YYYY in the text with the norm type that governs it and the kind of act around it; a document's own number is left out.
+_FOUND = "doc_id long, ref_type string, number long, year long, ref_kind string, day long, month long, issuer string"
+
+
+def references(docs: DataFrame, around: int = 120, before: int = 40, most: int | None = None) -> DataFrame:
+    """(doc_id, ref_type, number, year, ref_kind, day, month, issuer): what the title and text of each document refer to: N/YYYY with the norm type that governs it, or a resolution by its date and issuer, and the kind of act around it.
 
     Matches need their offsets, which Spark's expressions don't give, so a vectorised function finds them.
     """
@@ -126,26 +130,75 @@ def references(docs: DataFrame, around: int = 120, before: int = 40) -> DataFram
         from .references import find_references
 
         for b in batches:
-            rows = [(d, *r) for d, title, text in zip(b.doc_id, b.title, b.text, strict=True) for r in find_references(title or "", text or "", types, kinds, around, before)]
-            yield pd.DataFrame(rows, columns=["doc_id", "ref_type", "number", "year", "ref_kind"])
+            rows = [(d, *r) for d, title, text in zip(b.doc_id, b.title, b.text, strict=True) for r in find_references(title or "", text or "", types, kinds, around, before, most)]
+            out = pd.DataFrame(rows, columns=["doc_id", "ref_type", "number", "year", "ref_kind", "day", "month", "issuer"])
+            yield out.astype({c: "Int64" for c in ("number", "year", "day", "month")})
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "title", "text").mapInPandas(run, "doc_id long, ref_type string, number long, year long, ref_kind string")
+    return docs.select("doc_id", "title", "text").mapInPandas(run, _FOUND)
+
+
+_TYPE = r"^\s*(" + "|".join(NORM_TYPES) + ")"
 
 
 def title_key(title) -> Column:
-    """type number/year at the head of a title: the equi-key that references resolve by."""
-    t = F.lower(title)
-    pattern = r"^\s*(" + "|".join(NORM_TYPES) + r")\s+([0-9]{1,4})/([0-9]{4})"
-    return F.when(t.rlike(pattern), F.concat_ws("|", F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 3)))
+    """type|number|year or, of resolutions, type|day|month|year at the head of a title: the equi-key that references resolve by."""
+    t = fold(title)
+    number = _TYPE + r"\s+([0-9]{1,4})/([0-9]{4})"
+    date = _TYPE + r"\s+(?:de\s+|d')([0-9]{1,2})\s+(?:de\s+|d')([a-z]+)\s+de\s+([0-9]{4})"
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    month = reduce(lambda c, m: c.when(part(date, 3).isin(*m[1]), F.lit(str(m[0]))), enumerate(zip(*MONTHS, strict=True), 1), F.when(F.lit(False), F.lit("")))
+    return F.when(t.rlike(number), F.concat_ws("|", part(number, 1), part(number, 2), part(number, 3))).when(t.rlike(date) & month.isNotNull(), F.concat_ws("|", part(date, 1), part(date, 2).cast("int").cast("string"), month, part(date, 4)))
+
+
+def _reference_key() -> Column:
+    text = lambda c: F.col(c).cast("string")
+    return F.when(F.col("number").isNotNull(), F.concat_ws("|", "ref_type", text("number"), text("year"))).when(F.col("year").isNotNull(), F.concat_ws("|", "ref_type", text("day"), text("month"), text("year")))
+
+
+def topic_words(title) -> Column:
+    """Distinct words of five letters or more."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}]{5,}"), F.lit(0)))
 
 
 def resolve_references(refs: DataFrame, docs: DataFrame) -> DataFrame:
-    """refs with target: the only document, other than the source, whose title has the reference's type, number and year; else null."""
-    keyed = docs.select(F.col("doc_id").alias("target"), title_key("title").alias("key")).where("key is not null")
+    """refs with target: the document, other than the source, whose title has the reference's key.
+
+    Where several have it, the reference's issuer narrows them (``docs`` then has an issuer column); of several that are
+    left, the one whose title shares the most words of five letters or more with the source's title, if it is alone in
+    that. Otherwise null: better none than a guess.
+    """
+    issuer = F.col("issuer") if "issuer" in docs.columns else F.lit(None).cast("string")
+    keyed = docs.select(F.col("doc_id").alias("target"), title_key("title").alias("key"), F.lower(issuer).alias("by"), topic_words("title").alias("words")).where("key is not null")
+    per = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("target").alias("a"), F.max("target").alias("b"))
+    rows = refs.withColumn("key", _reference_key()).distinct().join(per, "key", "left")
+    own = F.col("doc_id")
+    alone = F.when((F.col("n") == 1) & (F.col("a") != own), F.col("a")).when((F.col("n") == 2) & (F.col("a") == own), F.col("b")).when((F.col("n") == 2) & (F.col("b") == own), F.col("a"))
+    rows = rows.withColumn("alone", alone)
+    some = rows.where("alone is null and n > 1 and issuer is not null").select("doc_id", "key", F.lower("issuer").alias("issuer")).distinct()
+    left = some.join(keyed, "key").where((F.col("target") != own) & F.contains("by", F.col("issuer")))
+    left = left.join(docs.select("doc_id", topic_words("title").alias("mine")), "doc_id").withColumn("common", F.size(F.array_intersect("words", "mine")))
+    order = Window.partitionBy("doc_id", "key", "issuer").orderBy(F.desc("common"), "target")
+    every = Window.partitionBy("doc_id", "key", "issuer")
+    left = left.withColumns({"k": F.row_number().over(order), "next": F.lead("common").over(order), "many": F.count("*").over(every)}).where("k = 1")
+    picked = left.where("many = 1 or (common > next and common > 0)").select("doc_id", "key", F.col("issuer").alias("low"), F.col("target").alias("picked"))
+    out = rows.withColumn("low", F.lower("issuer")).join(picked, ["doc_id", "key", "low"], "left")
+    return out.select(*refs.columns, F.coalesce("alone", "picked").alias("target"))
+
+
+def reference_lookup(asked: DataFrame, docs: DataFrame, most: int = 4) -> DataFrame:
+    """(qid, doc_id, pinned) of asked (qid, ref_type, number, year, day, month): the first ``most`` documents by id whose title begins with the reference (any type, where none is named), and has the date where one is stated. Pinned: the only one, or found by its date."""
+    t = fold("title")
+    first = F.regexp_extract_all(t, F.lit(r"([0-9]{1,4}/[0-9]{4})"), F.lit(1))
+    day = F.regexp_extract(t, r"\b([0-9]{1,2})\s+(?:de\s+|d')([a-z]+)", 1)
+    name = F.regexp_extract(t, r"\b([0-9]{1,2})\s+(?:de\s+|d')([a-z]+)", 2)
+    rows = docs.select("doc_id", title_key("title").alias("key"), F.get(first, F.lit(0)).alias("number_year"), day.alias("d"), name.alias("m"))
     key = F.concat_ws("|", "ref_type", F.col("number").cast("string"), F.col("year").cast("string"))
-    pairs = refs.withColumn("key", key).join(keyed, "key", "left")
-    per = Window.partitionBy("doc_id", "key", "ref_kind")
-    other = F.when(F.col("target") != F.col("doc_id"), F.col("target"))
-    out = pairs.withColumn("n", F.size(F.collect_set(other).over(per))).withColumn("t", F.min(other).over(per))
-    return out.select("doc_id", "ref_type", "number", "year", "ref_kind", F.when(F.col("n") == 1, F.col("t")).alias("target")).distinct()
+    typed = asked.where("ref_type is not null").withColumn("key", key).join(rows, "key")
+    bare = asked.where("ref_type is null").withColumn("number_year", F.concat_ws("/", F.col("number").cast("string"), F.col("year").cast("string"))).join(rows, "number_year")
+    cols = ["qid", "doc_id", "day", "month", "d", "m"]
+    both = typed.select(*cols).unionByName(bare.select(*cols))
+    names = lambda i: F.array(*(F.lit(x) for x in MONTHS[i]))
+    same = (F.col("d").try_cast("int") == F.col("day")) & ((F.get(names(0), F.col("month").cast("int") - 1) == F.col("m")) | (F.get(names(1), F.col("month").cast("int") - 1) == F.col("m")))
+    hits = both.where(F.col("day").isNull() | same).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).withColumn("many", F.count("*").over(Window.partitionBy("qid")))
+    return hits.where(F.col("n") <= most).select("qid", "doc_id", ((F.col("many") == 1) | F.col("day").isNotNull()).alias("pinned"))

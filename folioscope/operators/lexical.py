@@ -19,9 +19,10 @@ def stem(token) -> Column:
     return F.regexp_replace(token, "(?<=.{3})(?:" + "|".join(ENDINGS) + ")$", "")
 
 
-def postings(docs: DataFrame, text: str = "text", weight: float = 1.0, stemmed: bool = False, offset: Column | int = 0) -> DataFrame:
-    """(doc_id, lexeme, pos, weight): one row for each token, folded; ``offset`` places a field after another."""
+def postings(docs: DataFrame, text: str = "text", weight: float = 1.0, stemmed: bool = False, offset: Column | int = 0, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lexeme, pos, weight): one row for each token, folded, without stop words (which keep their places); ``offset`` places a field after another."""
     t = docs.select("doc_id", F.posexplode(tokens(fold(F.col(text)))).alias("pos", "token"), *([offset.alias("_o")] if isinstance(offset, Column) else []))
+    t = t.where(~F.col("token").isin(*stop)) if stop else t
     lexeme = stem(F.col("token")) if stemmed else F.col("token")
     shift = F.col("_o") if isinstance(offset, Column) else F.lit(offset)
     return t.select("doc_id", lexeme.alias("lexeme"), (F.col("pos") + shift).cast("long").alias("pos"), F.lit(weight).alias("weight"))
@@ -98,13 +99,21 @@ def cover_rank(table: DataFrame, words: list[str]) -> DataFrame:
     return minimal.groupBy("doc_id").agg(F.sum(F.col("weight") / (F.col("hi") - F.col("lo") + 1)).alias("score"))
 
 
-def fallback_search(table: DataFrame, words: list[str], limit: int = 8) -> DataFrame:
-    """(doc_id, rung): documents with all words (rung 0); where there is none, those with any of the first ``limit`` (rung 1). One job: the smallest rung present wins."""
-    few = table.where(F.col("lexeme").isin(*words[:limit], *words))
-    n = few.groupBy("doc_id").agg(F.countDistinct("lexeme").alias("n"), F.count_if(F.col("lexeme").isin(*words[:limit])).alias("some"))
-    hits = n.select("doc_id", F.when(F.col("n") == len(set(words)), 0).when(F.col("some") > 0, 1).alias("rung")).where("rung is not null")
-    best = hits.agg(F.min("rung").alias("best"))
-    return hits.join(F.broadcast(best), hits["rung"] == best["best"]).select("doc_id", F.col("rung").cast("long").alias("rung"))
+def or_terms(query: str, most: int = 8, least: int = 4) -> list[str]:
+    """The words of a query for a search by any of them: split at apostrophes, ``least`` letters or more, the first ``most``."""
+    words = (part.strip("-") for token in re.findall(r"[\w·'’-]+", query.lower()) for part in re.split("['’]", token))
+    return [w for w in words if len(w) >= least][:most]
+
+
+def fallback_search(ladder: list[tuple[DataFrame, list[str], bool]]) -> DataFrame:
+    """(doc_id, rung): what the first rung finds that finds anything. A rung is (postings, words, every): documents with all of the words, or with any. One job serves all rungs: each tags its hits, and the smallest rung present wins."""
+    hits = []
+    for i, (table, words, every) in enumerate(ladder):
+        n = table.where(F.col("lexeme").isin(*words)).groupBy("doc_id").agg(F.countDistinct("lexeme").alias("n"))
+        hits.append(n.where(F.col("n") >= (len(set(words)) if every else 1)).select("doc_id", F.lit(i).cast("long").alias("rung")))
+    found = reduce(DataFrame.unionByName, hits)
+    best = found.agg(F.min("rung").alias("best"))  # one row
+    return found.join(F.broadcast(best), F.col("rung") == F.col("best")).select("doc_id", "rung")
 
 
 def feedback_terms(hits: DataFrame, terms: Column, base: list[str], top: int = 5, least: int = 2, most: int = 6) -> DataFrame:

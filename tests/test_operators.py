@@ -140,14 +140,26 @@ def test_page_text_drops_marked_nodes():
 def test_references():
     types, kinds = corpus.NORM_TYPES, corpus.REFERENCE_KINDS
     text = "Se modifica el Decreto 12/2020. Vista la Orden 7/99 y la Ley 5/1850; 12/34/2020."
-    assert find_references("Decreto 1/2021", text + " Decreto 1/2021", types, kinds, 20, 40) == [("decreto", 12, 2020, "modifica"), ("orden", 7, 1999, "cita")]
+    plain = lambda t, n, y, k: (t, n, y, k, None, None, None)
+    assert find_references("Decreto 1/2021", text + " Decreto 1/2021", types, kinds, 20, 40) == [plain("decreto", 12, 2020, "modifica"), plain("orden", 7, 1999, "cita")]
+    assert find_references("Orden 1/2021", "el Decreto 1/2021 y el 9/2020", types, kinds, 20, 15) == [plain("decreto", 1, 2021, "cita")], "the same number of another type is another norm; a number without a type is none"
+    dated = "según la Resolució de 3 d'abril de 2024, de la Conselleria de Norte, y el 5 de mayo de 2024; Resolución de 7 de MARZO"
+    assert find_references("Resolución de 7 de marzo de 2024", dated, types, kinds, 5, 40) == [("resolucion", None, 2024, "cita", 3, 4, "Conselleria de Norte"), ("resolucion", None, None, "cita", 7, 3, None)]
 
 
 def test_resolution_needs_one_candidate(spark):
     docs = spark.createDataFrame([(1, "Decreto 5/2020, a"), (2, "Orden 6/2020, b"), (3, "Orden 6/2020, c")], "doc_id long, title string")
-    refs = spark.createDataFrame([(9, "decreto", 5, 2020, "cita"), (9, "orden", 6, 2020, "cita"), (1, "decreto", 5, 2020, "cita")], "doc_id long, ref_type string, number long, year long, ref_kind string")
+    refs = spark.createDataFrame([(9, "decreto", 5, 2020, "cita", None, None, None), (9, "orden", 6, 2020, "cita", None, None, None), (1, "decreto", 5, 2020, "cita", None, None, None), (3, "orden", 6, 2020, "cita", None, None, None)], corpus._FOUND)
     got = {(r["doc_id"], r["number"]): r["target"] for r in corpus.resolve_references(refs, docs).collect()}
-    assert got == {(9, 5): 1, (9, 6): None, (1, 5): None}
+    assert got == {(9, 5): 1, (9, 6): None, (1, 5): None, (3, 6): 2}
+
+
+def test_resolution_by_issuer_and_topic(spark):
+    head = "Resolución de 5 de marzo de 2024"
+    docs = [(1, f"{head}, becas premios", "Conselleria A"), (2, f"{head}, becas riego", "Conselleria A"), (3, f"{head}, otras", "Conselleria B"), (9, "Plan de becas y riego", None), (8, "Plan de otras", None)]
+    refs = [(9, "resolucion", None, 2024, "cita", 5, 3, by) for by in ("conselleria b", "Conselleria A", "Conselleria C", None)] + [(8, "resolucion", None, 2024, "cita", 5, 3, "Conselleria A")]
+    got = corpus.resolve_references(spark.createDataFrame(refs, corpus._FOUND), spark.createDataFrame(docs, "doc_id long, title string, issuer string")).collect()
+    assert {(r["doc_id"], r["issuer"]): r["target"] for r in got} == {(9, "conselleria b"): 3, (9, "Conselleria A"): 2, (9, "Conselleria C"): None, (9, None): None, (8, "Conselleria A"): None}
 
 
 def test_chunk_windows_join_a_short_tail(spark):
@@ -188,12 +200,13 @@ def test_missing_ranges(spark):
 
 
 def test_families_are_transitive_and_keep_the_newest(spark):
-    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(30, 31)], "a long, b long")
-    fam = graph.families(pairs)
-    assert {r["id"]: r["family"] for r in fam.collect()} == {**{i: 1 for i in range(1, 13)}, 30: 30, 31: 30}
+    pairs = spark.createDataFrame([(0, i, i + 1) for i in range(1, 12)] + [(0, 30, 31), (1, 12, 30)], "qid long, a long, b long")
+    every = graph.families(pairs, "qid")
+    assert {(r["qid"], r["id"]): r["family"] for r in every.collect()} == {**{(0, i): 1 for i in range(1, 13)}, (0, 30): 30, (0, 31): 30, (1, 12): 12, (1, 30): 12}
+    fam = every.where("qid = 0")
     dates = fam.select("id", F.when(F.col("id") != 30, F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))).alias("date"))
-    assert sorted(r["id"] for r in graph.stale_members(fam, dates, F.col("id") == 3).collect()) == [1, 2, *range(4, 12)]
-    assert graph.stale_members(fam, dates, most=3).collect() == []
+    assert sorted(r["id"] for r in graph.stale_members(fam, dates, "qid", F.col("id") == 3).collect()) == [1, 2, *range(4, 12)]
+    assert graph.stale_members(fam, dates, "qid", most=3).collect() == []
 
 
 def test_veto(spark):
@@ -243,8 +256,6 @@ def test_number_claims_of_every_document(spark):
     import decimal
     import re
 
-    from folioscope.plans import registered
-
     texts = ["none", "7 and 1.366,740", "0" * 20 + "12", "9" * 18 + ",995", "9" * 19 + ",995", "8" + "9" * 24 + ",999 5", "1" * 40 + " 1" + "0" * 30 + ",50 3", "12" * 15 + ",004", "5" * 20 + ".123,10"]
     def canonical(raw):
         with decimal.localcontext(prec=99, rounding=decimal.ROUND_HALF_UP):
@@ -254,12 +265,3 @@ def test_number_claims_of_every_document(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["n"] for r in docs.select("doc_id", tx.numbers("text").alias("n")).collect()}
     assert got == {i: list(dict.fromkeys(map(canonical, re.findall(tx.NUMBER, t)))) for i, t in enumerate(texts)}
-    assert registered()[0]["number_claims_all"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-
-
-def test_queries_of_every_document_have_every_document(spark):
-    from folioscope.plans import registered
-
-    every = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    for name in ("artifact_stripping_all", "document_summary_all"):
-        assert registered()[0][name](spark, "/root/testdata/sf0.001").count() == every

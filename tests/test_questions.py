@@ -11,7 +11,13 @@ def test_identifiers_and_references():
 def test_phrases_and_terms():
     found = q.phrases('Grants of the "rural plan" by Consell de Mallorca for irrigation works')
     assert found[0] == "rural plan" and "consell de mallorca" in found and "irrigation works" in found
-    assert q.anchor_terms("plan irrigation 2024 plan", 2)[0] in {"irrigation", "2024"}
+    assert q.anchor_terms("plan irrigation 2024 plan", 2) == ["irrigation", "2024"]
+    assert q.anchor_terms("zebra apple", 2) == ["apple", "zebra"], "ties in alphabetical order"
+    assert q.anchor_terms("elephants zebra", 1, generic=frozenset({"elephants"})) == ["elephants"] and q.anchor_terms("mammals zebras", 1, generic=frozenset({"mammals"})) == ["zebras"]
+    assert q.anchor_terms("mammals zebras", weak=frozenset({"zebras"}), keywords=("lions", "two words")) == ["mammals", "lions"]
+    assert q.entities("Ayudas de la Conselleria de Norte y Plan Rural para Madrid") == ["ayudas de la conselleria de norte y plan rural"]
+    assert q.named_norm("¿Qué dice la ley de vivienda pública?") == ("ley", ["dice", "vivienda", "publica"])
+    assert q.named_norm("la ley 5/2020 de vivienda") is None and q.named_norm("viviendas públicas") is None
     two = q.lexical_queries("irrigation works of rural plan", generic=frozenset({"plan"}))
     assert "plan" in two.broad and two.strict
     assert q.lexical_queries("x").strict is None
