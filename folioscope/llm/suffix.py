@@ -14,7 +14,6 @@ Anchors with a match are settled exactly: first the whole reach of an anchor (al
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,9 +129,7 @@ class SuffixLevels:
         self.buckets = partitions(spark)
 
     def _write(self, df: DataFrame) -> str:
-        name = f"suffix_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", self.scratch.path("level")).saveAsTable(name)
-        return name
+        return self.scratch.bucketed(df, "level", self.buckets, "k1", "k2")
 
     def add(self, suffixes: DataFrame) -> list[DataFrame]:
         """Takes a batch (k1, k2, one row an anchor) in; returns the names that match: within the batch, and with each level."""
@@ -147,19 +144,14 @@ class SuffixLevels:
             a, b = self.spark.table(new).withColumnRenamed("n", "m"), self.spark.table(old)
             both = self._write(a.join(b, ["k1", "k2"], "full_outer").select("k1", "k2", (F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n")))
             for gone in (new, old):
-                self._drop(gone)
+                self.scratch.drop_table(gone)
             new, rank = both, rank + 1
         self.levels.append((rank, new))
         return found
 
-    def _drop(self, name: str) -> None:
-        place = self.spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()["data_type"]
-        self.spark.sql(f"drop table {name}")
-        self.scratch.remove(place)
-
     def clear(self) -> None:
         for _, name in self.levels:
-            self._drop(name)
+            self.scratch.drop_table(name)
         self.levels = []
 
 
@@ -336,9 +328,8 @@ def remove_repeats(docs: DataFrame, cfg: SuffixConfig | None = None, as_text: bo
         matches = matches.unionByName(x)
     matches = scratch.keep(matches.distinct(), "names")
     scratch.drop(*found)
-    name, n = f"texts_{uuid.uuid4().hex}", partitions(spark)
-    docs.select(*rest, "text").repartition(n, "doc_id").write.bucketBy(n, "doc_id").sortBy("doc_id").option("path", scratch.path("texts")).saveAsTable(name)
-    texts = spark.table(name)  # bucketed: the joins below move lists, not texts
+    n = partitions(spark)
+    texts = spark.table(scratch.bucketed(docs.select(*rest, "text").repartition(n, "doc_id"), "texts", n, "doc_id"))  # the joins below move lists, not texts
     scratch.sweep()
     listed = scratch.keep(_lists(anchored.join(matches, ["k1", "k2"]), "pos", "back", "span"), "listed")
     scratch.drop(anchored, matches)
@@ -346,10 +337,11 @@ def remove_repeats(docs: DataFrame, cfg: SuffixConfig | None = None, as_text: bo
     reaches = scratch.keep(_reaches(few(listed), cfg), "reaches")
     scratch.drop(listed)
     scratch.sweep()
-    kinds = scratch.keep(reaches.groupBy("h1", "h2", "k1", "k2").agg(F.count("*").alias("n")), "kinds")
+    # Copies of a reach become one row before anything meets by name, so a name that a third of all texts hold costs its different reaches.
+    kinds = scratch.keep(reaches.groupBy("h1", "h2", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "back", "span")).alias("x")), "kinds")
     open_ = kinds.groupBy("k1", "k2").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select("k1", "k2", "kinds")
     whole = reaches.join(kinds.where("n > 1").select("h1", "h2", "k1", "k2"), ["h1", "h2", "k1", "k2"], "left_semi").select("doc_id", (F.col("pos") - F.col("back")).alias("lo"), (F.col("pos") - F.col("back") + F.col("span")).alias("hi"))
-    one = reaches.join(open_, ["k1", "k2"]).groupBy("h1", "h2", "k1", "k2", "kinds").agg(F.min(F.struct("doc_id", "pos", "back", "span")).alias("x"), F.count("*").alias("n")).select("x.*", (F.col("n") == 1).alias("single"), (F.col("kinds") > cfg.shard // 2).alias("crowded"))
+    one = kinds.join(open_, ["k1", "k2"]).select("x.*", (F.col("n") == 1).alias("single"), (F.col("kinds") > cfg.shard // 2).alias("crowded"))
     one = scratch.keep(one, "one")
     around = scratch.keep(_contexts(few(_lists(one.where("not crowded"), "pos", "back", "span", "single")), cfg), "contexts")
     shards = max(1, -(-around.count() // cfg.shard))
