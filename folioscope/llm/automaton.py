@@ -12,7 +12,6 @@ cost the square of the corpus.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -208,21 +207,19 @@ def remove_earlier(docs: DataFrame, cfg: AutomatonConfig | None = None) -> DataF
     listed = scratch.keep(_lists(anchored.join(shared, "key", "left_semi"), "pos", "back", "span"), "listed")
     scratch.drop(anchored, shared)
     scratch.sweep()
-    name, n = f"texts_{uuid.uuid4().hex}", partitions(spark)
-    docs.select(*rest, "text").repartition(n, "doc_id").write.bucketBy(n, "doc_id").sortBy("doc_id").option("path", scratch.path("texts")).saveAsTable(name)
-    texts = spark.table(name)  # bucketed: the joins below move lists, not texts
+    n = partitions(spark)
+    texts = spark.table(scratch.bucketed(docs.select(*rest, "text").repartition(n, "doc_id"), "texts", n, "doc_id"))  # the joins below move lists, not texts
     scratch.sweep()
     few = lambda lists: texts.select("doc_id", "text").join(lists.hint("shuffle_hash"), "doc_id")
     parts = scratch.keep(_parts(few(listed), cfg, full=False), "parts")
     kind = ["key", "h1", "h2"]
-    kinds = scratch.keep(parts.groupBy(*kind).agg(F.min("doc_id").alias("first")), "kinds")
-    many = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
-    alone = parts.join(kinds, kind).join(many.where("kinds = 1"), "key", "left_semi").where("first < doc_id")
-    whole = alone.select("doc_id", (F.col("pos") - F.col("back")).alias("lo"), (F.col("pos") - F.col("back") + F.col("span")).alias("hi"))
-    open_ = scratch.keep(many.where("kinds > 1"), "open")
-    rows = scratch.keep(parts.join(open_, "key"), "rows")
-    one = rows.groupBy("key", "kinds", "h1", "h2").agg(F.min(F.struct("doc_id", "pos", "back", "span")).alias("x")).select("x.*", "kinds")
-    reference = scratch.keep(_parts(few(_lists(one, "pos", "back", "span")), cfg, full=True).select(*kind, F.col("doc_id").alias("first"), "words").join(open_, "key"), "reference")
+    # Copies of a part become one row before anything meets by gram, so a gram that a third of all texts hold costs its different parts.
+    kinds = scratch.keep(parts.groupBy(*kind).agg(F.min(F.struct("doc_id", "pos", "back", "span")).alias("x")), "kinds")
+    marked = scratch.keep(kinds.join(kinds.groupBy("key").agg(F.count("*").alias("kinds")), "key"), "marked")
+    scratch.drop(kinds)
+    one = marked.where("kinds > 1").select("x.*")
+    reference = _parts(few(_lists(one, "pos", "back", "span")), cfg, full=True).select(*kind, F.col("doc_id").alias("first"), "words")
+    reference = scratch.keep(reference.join(marked.select(*kind, "kinds"), kind), "reference")
     # A part of a crowded gram falls into its single windows, whose first documents need no automaton.
     crowded = reference.where(F.col("kinds") > cfg.shard).select(*kind, "first", F.posexplode(F.expr(f"transform(sequence(1, size(words) - {cfg.width - 1}), i -> slice(words, i, {cfg.width}))")).alias("i", "window"))
     crowded = crowded.withColumns({"w1": F.xxhash64("window"), "w2": F.xxhash64(F.lit(1), "window")}).drop("window")
@@ -241,10 +238,16 @@ def remove_earlier(docs: DataFrame, cfg: AutomatonConfig | None = None) -> DataF
 
     sharded = reference.where(F.col("kinds") <= cfg.shard).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     told = sharded.groupBy("shard").applyInArrow(stream, "key long, h1 long, h2 long, i int, owner long").unionByName(crowded)
-    told = scratch.keep(told, "told")
-    part = rows.join(told, kind).where("owner >= 0 and owner < doc_id").select("doc_id", (F.col("pos") - F.col("back") + F.col("i")).alias("lo"), (F.col("pos") - F.col("back") + F.col("i")).alias("hi"))
-    spans = scratch.keep(_lists(whole.unionByName(part), "lo", "hi"), "spans")
-    scratch.drop(parts, kinds, open_, rows, reference, told, listed)
+    told = told.where("owner >= 0").groupBy(*kind).agg(F.collect_list(F.struct("i", "owner")).alias("told"))  # a part has few windows
+    first = marked.where("kinds = 1").select(*kind, F.col("x.doc_id").alias("first"), F.lit(None).cast("array<struct<i:int,owner:long>>").alias("told"))
+    verdicts = scratch.keep(first.unionByName(told.withColumn("first", F.lit(None).cast("long"))), "verdicts")
+    # A part alone with its gram goes whole where it isn't the first of its kind; of the others each window is judged.
+    lo = F.col("pos") - F.col("back")
+    whole = F.when(F.col("first") < F.col("doc_id"), F.array(F.struct(lo.alias("lo"), (lo + F.col("span")).alias("hi"))))
+    single = F.transform(F.filter("told", lambda w: w["owner"] < F.col("doc_id")), lambda w: F.struct((lo + w["i"]).alias("lo"), (lo + w["i"]).alias("hi")))
+    found = parts.join(verdicts, kind).select("doc_id", F.coalesce(whole, single).alias("at")).where(F.size("at") > 0)
+    spans = scratch.keep(found.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")), "spans")
+    scratch.drop(parts, marked, reference, verdicts, listed)
     scratch.sweep()
 
     def cut(batches):
