@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_control, fold, normal_code, squeeze
+from ..functions.text import canonical_label, clean_control, fold, normal_code, squeeze
 from ..workers import ship
 from .references import MONTHS
 
@@ -109,6 +109,12 @@ def identifier_pins(asked: DataFrame, table: DataFrame, docs: DataFrame, most: i
     return dated.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("issue_date"), "doc_id")).cast("long")).drop("issue_date")
 
 
+def ingested(raw: DataFrame, labels: dict[str, str], default: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with label, chunks, identifiers) of raw (doc_id, title, text, raw label): the ingest's steps in their order, as one plan."""
+    documents = raw.withColumn("label", canonical_label(F.col("raw"), labels, default)).drop("raw")
+    return documents, chunk_windows(documents), identifiers(documents)
+
+
 #: Verb stems that tell what a document does to the one it names, first match first.
 REFERENCE_KINDS = {"modif": "modifica", "derog": "deroga", "correg": "corrige", "correc": "corrige", "conv": "convoca", "resuel": "resuelve", "resol": "resuelve"}
 NORM_TYPES = ("decreto ley", "decreto", "orden", "ley", "resolucion", "acuerdo")

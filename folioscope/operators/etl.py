@@ -70,6 +70,16 @@ def reconcile(old: DataFrame, new: DataFrame, keys: list[str], value: str, order
     return both.select(*keys, "n", status.alias("status"))
 
 
+def canonical_signature(**fields: Column) -> Column:
+    """SHA-1 of a row's JSON with its keys in order, nulls included: equal rows have equal signatures however they were laid out."""
+    return F.sha1(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}).cast("binary"))
+
+
+def invalidated(derived: DataFrame, statuses: DataFrame, keys: list[str]) -> DataFrame:
+    """Derived rows that still hold: those of rows that a reconciliation updated or removed go."""
+    return derived.join(statuses.where(F.col("status").isin("update", "remove")).select(*keys).distinct(), keys, "left_anti")
+
+
 def purge(parents: DataFrame, children: list[tuple[DataFrame, str]], key: str, expired: Column, pinned: Column) -> tuple[DataFrame, list[DataFrame]]:
     """Drops expired parents that aren't pinned, and every child of a dropped parent."""
     gone = parents.where(expired & ~pinned).select(key)

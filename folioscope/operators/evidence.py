@@ -312,25 +312,25 @@ def errors(answer: Column, cited: Column, scope: Column, source: Column) -> Colu
     return F.array_compact(F.array(*(F.when(v[k], F.lit(k)) for k in ("empty", "uncited", "out_of_scope", "unsupported"))))
 
 
-def settled(answer: Column, cited: Column, scope: Column, evidence: Column, source: Column, repaired: Column | None = None, repaired_cited: Column | None = None) -> Column:
-    """struct(answer, cited, initial, fixed, final, outcome): validate, mend citations, validate again, take a repair, fall back.
+def settled(rows: DataFrame) -> DataFrame:
+    """rows (answer, cited, scope, evidence, source, and repaired, repaired_cited or nulls) with answer and cited as they end, initial, fixed, final and outcome: validate, mend citations, validate again, take a repair, fall back.
 
     Citations are mended without a model: those outside the scope go, and where none is left the evidence's stand in. What
     is still wrong after that needs a repair: a second answer from outside, judged the same way. outcome: valid, fixed,
     repaired or fallback.
     """
-    first = errors(answer, cited, scope, source)
-    structural = F.array(F.lit("uncited"), F.lit("out_of_scope"))
-    mended = F.when(F.arrays_overlap(first, structural), valid_citations(cited, scope, evidence)).otherwise(cited)
-    fixed = F.size(F.array_except(mended, cited)) + F.size(F.array_except(cited, mended)) > 0
-    left = errors(answer, mended, scope, source)
-    text, ids, outcome, final = answer, mended, F.when(F.size(left) > 0, "fallback").when(fixed, "fixed").otherwise("valid"), left
-    if repaired is not None:
-        again = valid_citations(repaired_cited, scope, evidence)
-        good = (F.size(left) > 0) & repaired.isNotNull() & (F.size(errors(repaired, again, scope, source)) == 0)
-        text, ids = F.when(good, repaired).otherwise(text), F.when(good, again).otherwise(ids)
-        outcome, final = F.when(good, "repaired").otherwise(outcome), F.when(good, F.array().cast("array<string>")).otherwise(final)
-    return F.struct(text.alias("answer"), ids.alias("cited"), first.alias("initial"), fixed.alias("fixed"), final.alias("final"), outcome.alias("outcome"))
+    c = F.col
+    rows = rows.withColumn("initial", errors(c("answer"), c("cited"), c("scope"), c("source")))
+    broken = F.arrays_overlap("initial", F.array(F.lit("uncited"), F.lit("out_of_scope")))
+    rows = rows.withColumn("mended", F.when(broken, valid_citations(c("cited"), c("scope"), c("evidence"))).otherwise(c("cited")))
+    rows = rows.withColumn("again", valid_citations(c("repaired_cited"), c("scope"), c("evidence")))
+    rows = rows.withColumns({"left": errors(c("answer"), c("mended"), c("scope"), c("source")), "wrong": errors(c("repaired"), c("again"), c("scope"), c("source"))})
+    rows = rows.withColumn("fixed", F.size(F.array_except("mended", "cited")) + F.size(F.array_except("cited", "mended")) > 0)
+    rows = rows.withColumn("good", (F.size("left") > 0) & c("repaired").isNotNull() & (F.size("wrong") == 0))
+    outcome = F.when(c("good"), "repaired").when(F.size("left") > 0, "fallback").when(c("fixed"), "fixed").otherwise("valid")
+    rows = rows.withColumns({"outcome": outcome, "final": F.when(c("good"), F.array().cast("array<string>")).otherwise(c("left"))})
+    rows = rows.withColumns({"answer": F.when(c("good"), c("repaired")).otherwise(c("answer")), "cited": F.when(c("good"), c("again")).otherwise(c("mended"))})
+    return rows.drop("mended", "again", "left", "wrong", "good")
 
 
 def signals(text: Column, patterns: dict[str, str]) -> Column:

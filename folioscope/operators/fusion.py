@@ -38,31 +38,32 @@ def rrf(sources: list[DataFrame], weights: list[float] | None = None, k: int = 6
     return ranked(votes.withColumn("score", F.round("score", 12)), F.desc("score"), "doc_id", limit=limit)
 
 
-def budget_merge(primary: DataFrame, secondary: DataFrame, limit: int, ratio: float = 0.3) -> DataFrame:
-    """(qid, doc_id, phase, rank): primary's head, then at most max(5, limit * ratio) of secondary, then primary's overflow.
+def budgeted(rows: DataFrame, limit: int, ratio: float = 0.3) -> DataFrame:
+    """(qid, doc_id, phase, rank) of rows (qid, doc_id, p, s), places in a primary and a secondary list or null: primary's head, then at most max(5, limit * ratio) of secondary, then primary's overflow.
 
-    Where a question has one side only, that side's first ``limit`` rows come out as they are.
+    Where a question has one side only, that side's first ``limit`` rows come out as they are. Everything is windows over
+    qid, so a question's rows move once.
     """
     budget = max(5, int(limit * ratio))
-    keep = max(1, limit - budget)
-    sides = primary.select("qid", "doc_id", "rank", F.lit(0).alias("side")).unionByName(secondary.select("qid", "doc_id", "rank", F.lit(1).alias("side")))
-    both = sides.withColumn("sides", F.size(F.collect_set("side").over(Window.partitionBy("qid"))))
-    alone = both.where("sides = 1").where(F.col("rank") <= limit).select("qid", "doc_id", F.lit(1).alias("phase"), "rank")
-    row = F.col("rank")
-    phase = F.when((F.col("side") == 0) & (row <= keep), 1).when(F.col("side") == 1, 2).otherwise(3)
-    merged = both.where("sides = 2").withColumn("phase", phase)
-    # A document counts where it comes first; the budget is counted over what primary's head left.
-    merged = merged.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("phase", "rank")))
-    head = merged.where("phase = 1 and _n = 1")
-    taken = merged.where("phase = 2").join(head.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-    taken = taken.withColumn("_m", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("rank"))).where("_m = 1")
-    taken = taken.withColumn("_k", F.row_number().over(_by("rank"))).where(F.col("_k") <= budget)
-    used = head.select("qid", "doc_id").unionByName(taken.select("qid", "doc_id"))
-    rest = merged.where("phase = 3").join(used, ["qid", "doc_id"], "left_anti").withColumn("_m", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("rank"))).where("_m = 1")
-    cols = ["qid", "doc_id", "phase", "rank"]
-    out = reduce(DataFrame.unionByName, (x.select(*cols) for x in (head, taken, rest)))
-    out = out.withColumn("rank", F.row_number().over(_by("phase", "rank")).cast("long")).where(F.col("rank") <= limit)
-    return out.unionByName(alone.withColumn("rank", F.row_number().over(_by("rank")).cast("long")))
+    keep, w = max(1, limit - budget), Window.partitionBy("qid")
+    rows = rows.withColumn("two", (F.count("p").over(w) > 0) & (F.count("s").over(w) > 0))
+    rows = rows.withColumn("head", F.coalesce(F.col("p") <= keep, F.lit(False)))
+    # The budget counts what primary's head leaves of secondary.
+    rows = rows.withColumn("open", F.col("two") & ~F.col("head") & F.col("s").isNotNull())
+    rows = rows.withColumn("k", F.row_number().over(w.orderBy(F.desc("open"), "s")))
+    taken = F.col("open") & (F.col("k") <= budget)
+    phase = F.when(~F.col("two") | F.col("head"), 1).when(taken, 2).when(F.col("p").isNotNull(), 3)
+    place = F.when(~F.col("two"), F.coalesce("p", "s")).when(taken, F.col("s")).otherwise(F.col("p"))
+    rows = rows.withColumns({"phase": phase, "at": place}).where(F.col("phase").isNotNull() & (F.col("two") | (F.col("at") <= limit)))
+    return rows.withColumn("rank", F.row_number().over(w.orderBy("phase", "at")).cast("long")).where(F.col("rank") <= limit).select("qid", "doc_id", "phase", "rank")
+
+
+def budget_merge(primary: DataFrame, secondary: DataFrame, limit: int, ratio: float = 0.3) -> DataFrame:
+    """(qid, doc_id, phase, rank): two lists merged as ``budgeted`` does; repeats count at their first place, but where a question has one list only it stays as it is."""
+    both = primary.select("qid", "doc_id", F.col("rank").alias("p"), F.lit(None).cast("long").alias("s")).unionByName(secondary.select("qid", "doc_id", F.lit(None).cast("long").alias("p"), F.col("rank").alias("s")))
+    w = Window.partitionBy("qid")
+    both = both.withColumn("each", F.when((F.count("p").over(w) == 0) | (F.count("s").over(w) == 0), F.coalesce("p", "s")))
+    return budgeted(both.groupBy("qid", "doc_id", "each").agg(F.min("p").alias("p"), F.min("s").alias("s")), limit, ratio)
 
 
 def margin_ratio(fused: DataFrame, probe: int = 5) -> DataFrame:
@@ -113,22 +114,23 @@ def relaxation_ladder(rows: DataFrame, queries: DataFrame, filters: list[str], r
 def quota_merge(sources: list[tuple[DataFrame, int | None]], cap: int) -> DataFrame:
     """(qid, doc_id, source, rank): a reserved quota of each source's first new documents in turn, then their overflow in turn, ``cap`` at most.
 
-    A source's quota counts only what earlier sources' quotas left, so quotas are settled source by source; there are as
-    many anti-joins as sources, whatever the data.
+    A source's quota counts only what earlier sources' quotas left. Each document is one row with its place in every
+    source, so the quotas are windows over qid, one after the other, and a question's rows move once.
     """
-    taken, reserved = None, []
-    for i, (df, quota) in enumerate(sources):
-        new = first_seen(df).select("qid", "doc_id", "rank")
-        if taken is not None:
-            new = new.join(taken, ["qid", "doc_id"], "left_anti")
-        new = new.withColumn("_k", F.row_number().over(_by("rank")))
-        new = new.where(F.col("_k") <= quota) if quota is not None else new
-        reserved.append(new.select("qid", "doc_id", F.lit(i).alias("source"), F.lit(0).alias("phase"), "rank"))
-        taken = new.select("qid", "doc_id") if taken is None else taken.unionByName(new.select("qid", "doc_id"))
-    over = reduce(DataFrame.unionByName, (first_seen(df).select("qid", "doc_id", F.lit(i).alias("source"), F.lit(1).alias("phase"), "rank") for i, (df, _) in enumerate(sources)))
-    over = over.join(taken, ["qid", "doc_id"], "left_anti").withColumn("_m", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("source", "rank"))).where("_m = 1").drop("_m")
-    every = reduce(DataFrame.unionByName, [*reserved, over])
-    return every.withColumn("rank", F.row_number().over(_by("phase", "source", "rank")).cast("long")).where(F.col("rank") <= cap).select("qid", "doc_id", "source", "rank")
+    lists = [df.select("qid", "doc_id", F.lit(i).alias("source"), "rank") for i, (df, _) in enumerate(sources)]
+    place = lambda i: F.col(f"_r{i}")
+    rows = reduce(DataFrame.unionByName, lists).groupBy("qid", "doc_id").agg(*(F.min(F.when(F.col("source") == i, F.col("rank"))).alias(f"_r{i}") for i in range(len(sources))))
+    rows = rows.withColumn("got", F.lit(None).cast("int"))
+    for i, (_, quota) in enumerate(sources):
+        rows = rows.withColumn("open", F.col("got").isNull() & place(i).isNotNull())
+        rows = rows.withColumn("k", F.row_number().over(_by(F.desc("open"), place(i))))
+        mine = F.col("open") if quota is None else F.col("open") & (F.col("k") <= quota)
+        rows = rows.withColumn("got", F.when(mine, F.lit(i)).otherwise(F.col("got")))
+    first = F.coalesce(*(F.when(place(i).isNotNull(), F.lit(i)) for i in range(len(sources))))
+    rows = rows.withColumns({"late": F.col("got").isNull(), "source": F.coalesce("got", first)})
+    at = F.coalesce(*(F.when(F.col("source") == i, place(i)) for i in range(len(sources))))
+    rows = rows.withColumn("at", at)
+    return rows.withColumn("rank", F.row_number().over(_by("late", "source", "at")).cast("long")).where(F.col("rank") <= cap).select("qid", "doc_id", "source", "rank")
 
 
 def union_ids(lists: list[DataFrame]) -> DataFrame:

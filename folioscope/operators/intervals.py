@@ -27,10 +27,10 @@ def missing_ranges(df: DataFrame) -> DataFrame:
 
 
 def spine(df: DataFrame, day: str, *keys: str) -> DataFrame:
-    """Every day between the first and last of ``day``, for every value of the keys (dimensions of a few values)."""
+    """Every day between the first and last of ``day``, for every value of the keys (dimensions of a few values; Spark broadcasts them only if they are small)."""
     days = df.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias(day))
     for k in keys:
-        days = days.crossJoin(F.broadcast(df.select(k).distinct()))
+        days = days.crossJoin(df.select(k).distinct())
     return days
 
 

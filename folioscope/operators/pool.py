@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .fusion import budget_merge, expand_on_flat_margin, first_seen, margin_ratio, quota_merge, rrf, semantic_anchors
+from .fusion import budgeted, first_seen, margin_ratio, quota_merge
 
 
 @dataclass(frozen=True)
@@ -26,19 +26,44 @@ class Lane:
     only_below: str | None = None
 
 
+def _votes(rows: DataFrame, scores: Column, name: str) -> DataFrame:
+    """rows with the place of each document by a summed vote, rounded so that sums of the same votes in another order tie; null where it has none."""
+    rows = rows.withColumn("_v", F.round(scores, 12))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("_v").desc_nulls_last(), "doc_id"))
+    return rows.withColumn(name, F.when(F.col("_v").isNotNull(), place.cast("long"))).drop("_v")
+
+
+def _placed(lists: list[DataFrame]) -> DataFrame:
+    """(qid, doc_id, r0, r1, ...): each document's first place in every list, or null."""
+    rows = reduce(DataFrame.unionByName, (x.select("qid", "doc_id", F.lit(i).alias("lane"), "rank") for i, x in enumerate(lists)))
+    return rows.groupBy("qid", "doc_id").agg(*(F.min(F.when(F.col("lane") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(lists))))
+
+
+def _sum(*votes: Column) -> Column:
+    """Of the votes that aren't null; null where all are."""
+    return F.when(F.coalesce(*votes).isNotNull(), reduce(lambda a, b: a + b, (F.coalesce(v, F.lit(0.0)) for v in votes)))
+
+
+def _vote(rank: Column, weight: float = 1.0, k: int = 60) -> Column:
+    return F.lit(float(weight)) / (F.lit(k) + rank)
+
+
 def lexical_lane(broad: DataFrame, strict: DataFrame, title: DataFrame, limit: int, least: int = 10, weights: tuple[float, float, float] = (1.0, 1.2, 0.9)) -> DataFrame:
-    """(qid, doc_id, phase, rank) of three word searches: the strict one leads where it has ``least`` documents, else the broad one; the others are fused and merged in within the budget of ``budget_merge``."""
-    broad, strict, title = (first_seen(x).select("qid", "doc_id", "rank") for x in (broad, strict, title))
-    leads = strict.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("qid")
-    on, off = (lambda df: df.join(leads, "qid", "left_semi")), (lambda df: df.join(leads, "qid", "left_anti"))
-    others = rrf([on(broad), off(strict), title], list(weights), limit=limit)
-    return budget_merge(on(strict).unionByName(off(broad)), others.select("qid", "doc_id", "rank"), limit)
+    """(qid, doc_id, phase, rank) of three word searches: the strict one leads where it has ``least`` documents, else the broad one; the others are fused and merged in within the budget of ``fusion.budgeted``."""
+    rows = _placed([broad, strict, title])
+    leads = F.count("r1").over(Window.partitionBy("qid")) >= least
+    rows = rows.withColumn("leads", leads)
+    other = F.when(F.col("leads"), _vote(F.col("r0"), weights[0])).otherwise(_vote(F.col("r1"), weights[1]))
+    rows = _votes(rows.withColumn("p", F.when(F.col("leads"), F.col("r1")).otherwise(F.col("r0"))), _sum(other, _vote(F.col("r2"), weights[2])), "s")
+    return budgeted(rows.withColumn("s", F.when(F.col("s") <= limit, F.col("s"))), limit)
 
 
 def facet_lane(runs: list[DataFrame], limit: int) -> DataFrame:
     """(qid, doc_id, phase, rank): the first run (the question itself) leads; those of its facets and of feedback terms are fused and merged in."""
-    first, *rest = (x.select("qid", "doc_id", "rank") for x in runs)
-    return budget_merge(first, rrf(rest, limit=limit).select("qid", "doc_id", "rank"), limit) if rest else first_seen(first).withColumn("phase", F.lit(1)).where(F.col("rank") <= limit)
+    rows = _placed(runs).withColumnRenamed("r0", "p")
+    votes = [_vote(F.col(f"r{i}")) for i in range(1, len(runs))]
+    rows = _votes(rows, _sum(*votes), "s") if votes else rows.withColumn("s", F.lit(None).cast("long"))
+    return budgeted(rows.withColumn("s", F.when(F.col("s") <= limit, F.col("s"))), limit)
 
 
 def gated(hits: DataFrame, margins: DataFrame, ratio: float, barred: DataFrame) -> DataFrame:
@@ -46,34 +71,41 @@ def gated(hits: DataFrame, margins: DataFrame, ratio: float, barred: DataFrame)
     return hits.join(margins.where(F.col("margin") < ratio).select("qid"), "qid", "left_semi").join(barred.select("qid"), "qid", "left_anti")
 
 
-def _open(lanes: list[Lane], least: int) -> list[tuple[DataFrame, Lane]]:
-    """The lanes' lists without repeats, and without the questions for which they don't count."""
-    lists = {lane.name: first_seen(lane.hits).select("qid", "doc_id", "rank") for lane in lanes}
-    out = []
-    for lane in lanes:
-        hits = lists[lane.name]
-        if lane.only_below:
-            full = lists[lane.only_below].groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-            hits = hits.join(full.select("qid"), "qid", "left_anti")
-        out.append((hits, lane))
-    return out
-
-
 def assemble(lanes: list[Lane], relaxed: list[Lane], questions: DataFrame, least: int, ratio: float = 0.12, probe: int = 5, small: int = 20, more: int = 20, anchors: int = 3) -> DataFrame:
     """(qid, doc_id, score, rank, anchor): the lanes' weighted fusion, in four steps.
 
     A question (qid, language) that filters by language and whose pool is thin or flat also counts the ``relaxed`` lanes,
     which ignore the language; a pool still flat grows by ``more`` documents; the first documents of the anchor lanes that
-    are missing are appended.
+    are missing are appended. Lanes are lists without repeats. A document is one row with its votes and seats, and all
+    steps are windows over qid, so a question's rows move once.
     """
-    fuse = lambda pairs, limit: rrf([h for h, _ in pairs], [x.weight for _, x in pairs], limit=limit).select("qid", "doc_id", "score", "rank")
-    strict = _open(lanes, least)
-    stats = questions.where("language is not null").select("qid").join(margin_ratio(fuse(strict, small), probe), "qid", "left")
-    thin = stats.where((F.coalesce("n", F.lit(0)) < least) | (F.coalesce("margin", F.lit(0.0)) < ratio)).select("qid")
-    every = strict + [(hits.join(thin, "qid", "left_semi"), lane) for hits, lane in _open(relaxed, least)]
-    full = fuse(every, None)
-    pool = expand_on_flat_margin(full.where(F.col("rank") <= small + more), small, ratio, probe)
-    return semantic_anchors(pool, full, [hits for hits, lane in every if lane.anchor], anchors)
+    every = [(lane, False) for lane in lanes] + [(lane, True) for lane in relaxed]
+    rows = reduce(DataFrame.unionByName, (lane.hits.select("qid", "doc_id", F.lit(i).alias("lane"), "rank", _vote(F.col("rank"), lane.weight).alias("vote")) for i, (lane, _) in enumerate(every)))
+    w = Window.partitionBy("qid")
+    number = {(lane.name, soft): i for i, (lane, soft) in enumerate(every)}
+    for i, (lane, soft) in enumerate(every):
+        if lane.only_below:
+            full = F.sum((F.col("lane") == number[lane.only_below, soft]).cast("int")).over(w)
+            rows = rows.withColumn("_full", full).where((F.col("lane") != i) | (F.col("_full") < least)).drop("_full")
+    soft, sure = F.col("lane") >= len(lanes), F.col("lane").isin(*(i for i, (lane, _) in enumerate(every) if lane.anchor)) & (F.col("rank") <= anchors)
+    seat = lambda when: F.min(F.when(when & sure, F.struct("lane", "rank")))
+    docs = rows.groupBy("qid", "doc_id").agg(F.sum(F.when(~soft, F.col("vote"))).alias("own"), F.sum(F.when(soft, F.col("vote"))).alias("soft"), seat(~soft).alias("seat"), seat(soft).alias("soft_seat"))
+
+    def margin(df: DataFrame, score: Column) -> DataFrame:
+        """With score, place, many (documents, ``small`` at most) and margin."""
+        df = df.withColumn("score", F.round(score, 12))
+        df = df.withColumns({"place": F.row_number().over(w.orderBy(F.col("score").desc_nulls_last(), "doc_id")).cast("long"), "many": F.least(F.count("score").over(w), F.lit(small)), "top": F.max("score").over(w)})
+        pivot = F.max(F.when(F.col("place") == F.least("many", F.lit(max(2, probe))), F.col("score"))).over(w)
+        return df.withColumn("margin", F.coalesce(F.when(F.col("top") > 0, (F.col("top") - pivot) / F.col("top")), F.lit(0.0)))
+
+    asked = questions.select("qid", F.col("language").isNotNull().alias("filters")).distinct()
+    docs = margin(docs, F.col("own")).join(asked, "qid", "left")
+    docs = docs.withColumn("thin", F.coalesce("filters", F.lit(False)) & ((F.col("many") < least) | (F.col("margin") < ratio)))
+    docs = margin(docs, _sum(F.col("own"), F.when(F.col("thin"), F.col("soft")))).where("score is not null")
+    docs = docs.withColumn("seat", F.coalesce("seat", F.when(F.col("thin"), F.col("soft_seat"))))
+    docs = docs.withColumn("inside", F.col("place") <= F.when(F.col("margin") < ratio, small + more).otherwise(small)).where(F.col("inside") | F.col("seat").isNotNull())
+    late = F.max(F.when(F.col("inside"), F.col("place"))).over(w) + F.row_number().over(w.orderBy("inside", "seat"))
+    return docs.select("qid", "doc_id", "score", F.when(F.col("inside"), F.col("place")).otherwise(late).alias("rank"), (~F.col("inside")).alias("anchor"))
 
 
 def hop(pool: DataFrame, hops: list[tuple[str, DataFrame]], top: int = 5, most: int = 2, keep: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -114,9 +114,8 @@ def settled_answers(t):
     ids = lambda *x: F.array(*(F.lit(i) for i in x)).cast("array<int>")
     cited = F.when(turn % 4 == 0, ids()).when(turn % 4 == 1, ids(1)).when(turn % 4 == 2, ids(1, 8)).otherwise(ids(9))
     source = F.when(turn % 3 == 0, "nothing").otherwise(answer)
-    s = evid.settled(answer, cited, ids(1, 2), ids(2), source, F.when(turn % 5 == 0, "none"), ids(7))
-    out = t("conversations").select("conv_id", turn.cast("long").alias("turn"), s.alias("s")).select("conv_id", "turn", "s.*")
-    return out.withColumns({"initial": F.array_join("initial", ","), "final": F.array_join("final", ",")})
+    rows = t("conversations").select("conv_id", turn.cast("long").alias("turn"), answer.alias("answer"), cited.alias("cited"), ids(1, 2).alias("scope"), ids(2).alias("evidence"), source.alias("source"), F.when(turn % 5 == 0, "none").alias("repaired"), ids(7).alias("repaired_cited"))
+    return evid.settled(rows).select("conv_id", "turn", "answer", "cited", F.array_join("initial", ",").alias("initial"), "fixed", F.array_join("final", ",").alias("final"), "outcome")
 
 
 _SIGNALS = {"digit": "[0-9]", "mail": "@", "link": "https?://", "money": r"[$€]", "share": "%"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_control, first_line, numbers, strip_artifacts
@@ -10,14 +11,32 @@ from ..operators.graph import companions
 from . import query
 
 
-@query(r"""with s as (select page_id, regexp_replace(html, '(?is)<(script|style|noscript|header|footer|nav|aside|svg)\b.*?</(script|style|noscript|header|footer|nav|aside|svg)\s*>', chr(10), 'g') h from pages),
+def html_sql(rest: str) -> str:
+    """DuckDB: the text of each page as w, followed by ``rest``."""
+    return r"""with s as (select page_id, regexp_replace(html, '(?is)<(script|style|noscript|header|footer|nav|aside|svg)\b.*?</(script|style|noscript|header|footer|nav|aside|svg)\s*>', chr(10), 'g') h from pages),
 b as (select page_id, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g') h from s),
-e as (select page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') h from b)
-select page_id, md5(array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), lambda x: length(x) >= 3), chr(10))) digest from e""")
+e as (select page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') h from b),
+x as (select page_id, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), lambda x: length(x) >= 3), chr(10)) tx from e), w as (""" + rest
+
+
+@query(html_sql("select * from x) select page_id, md5(tx) digest from w"))
 def html_to_text(t):
     return t("pages").select("page_id", F.md5(corpus.html_text(F.col("html")).cast("binary")).alias("digest"))
 
 
+@query(html_sql("""select page_id, 'plan AB/2024/' || page_id || ' ' || tx tx from x), n as (select page_id, tx, len(list_filter(string_split(trim(regexp_replace(regexp_replace(tx, '\\p{Cc}', ' ', 'g'), '[ ]+', ' ', 'g')), ' '), lambda v: v <> '')) n from w),
+m as (select *, case when n <= 500 then 1 else 1 + ceil((n - 500) / 420.0) end::bigint many from n) select page_id, case when page_id % 2 = 0 then 'Convocatorias' else 'Otros' end label, length(tx)::bigint n_chars, case when n = 0 then 0 when many > 1 and n - 420 * (many - 1) < 300 then many - 1 else many end::bigint n_chunks, 'ab/2024/' || page_id code from m"""))
+def ingest_order(t):
+    """From pages to chunks and identifiers in the order of the ingest: text, label, chunks, identifiers."""
+    raw = F.when(F.col("page_id") % 2 == 0, " Convocatoria").otherwise("x")
+    pages = t("pages").select(F.col("page_id").alias("doc_id"), F.lit("").alias("title"), F.concat(F.lit("plan AB/2024/"), F.col("page_id").cast("string"), F.lit(" "), corpus.html_text(F.col("html"))).alias("text"), raw.alias("raw"))
+    documents, chunks, ids = corpus.ingested(pages, {"convocatoria": "Convocatorias"}, "Otros")
+    many = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    first = ids.where("id_key like 'ab/2024/%'").groupBy("doc_id").agg(F.min("id_key").alias("code"))
+    rows = documents.join(many, "doc_id", "left").join(first, "doc_id", "left")
+    return rows.select(F.col("doc_id").alias("page_id"), "label", F.length("text").cast("long").alias("n_chars"), F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), "code")
+
+
 @query()
 def html_tree_to_text(t):
     return corpus.html_tree_text(t("pages"))
@@ -47,6 +66,20 @@ def doc_reconcile(t):
     return etl.reconcile(old, new, ["key"], "body", "doc_id", keep_removed=F.col("doc_id") % 13 == 0).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("""with d as (select doc_id, lang || '|' || (doc_id % 97) k from documents),
+o as (select k, doc_id, k || (doc_id % 5) body, row_number() over (partition by k order by doc_id) n from d where doc_id % 7 <> 0),
+w as (select k, doc_id, k || ((doc_id + (doc_id % 11 = 0)::int) % 5) body, row_number() over (partition by k order by doc_id) n from d where doc_id % 5 <> 0),
+gone as (select o.k, o.n from o left join w on o.k = w.k and o.n = w.n where case when w.k is null then o.doc_id % 13 <> 0 else o.body <> w.body end)
+select o.k as key, o.n, c.chunk from o, (select unnest([0, 1]) chunk) c where not exists (select 1 from gone g where g.k = o.k and g.n = o.n)""")
+def derived_after_reconcile(t):
+    """Two chunks of every old row; those of rows that changed or went are dropped."""
+    old, new = _snapshots(t)
+    statuses = etl.reconcile(old, new, ["key"], "body", "doc_id", keep_removed=F.col("doc_id") % 13 == 0)
+    numbered = old.select("key", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")).cast("long").alias("n"))
+    chunks = numbered.withColumn("chunk", F.explode(F.array(F.lit(0), F.lit(1))))
+    return etl.invalidated(chunks, statuses, ["key", "n"])
+
+
 @query("""with f as (select cast(ts as date) "day", event_type, count(*) n, max_by(event_id, ts + event_id * interval 1 microsecond) e from events where value > 50 group by 1, 2),
 s as (select distinct cast(ts as date) "day", event_type, 2::bigint attempts from events where day(ts) <= 10 and event_type <> 'click')
 select coalesce(f."day", s."day") "day", coalesce(f.event_type, s.event_type) event_type, (coalesce(attempts, 0) + coalesce(n, 0))::bigint attempts, f."day" is null resolved from f full join s on f."day" = s."day" and f.event_type = s.event_type""")
@@ -82,11 +115,11 @@ def retention_purge(t):
     return count(kept, "orders").unionByName(count(lines, "lineitem"))
 
 
-@query("""with e as (select cast(ts as date) d, event_type, user_id from events), sp as (select unnest(generate_series(min(d), max(d), interval 1 day))::date d from e), ty as (select distinct event_type from e)
-select sp.d "day", ty.event_type from sp, ty where not exists (select 1 from e where e.d = sp.d and e.event_type = ty.event_type and e.user_id % 3 = 0)""")
+@query("""with e as (select cast(ts as date) d, event_type, value from events), sp as (select unnest(generate_series(min(d), max(d), interval 1 day))::date d from e), ty as (select distinct event_type from e)
+select sp.d "day", ty.event_type from sp, ty where not exists (select 1 from e where e.d = sp.d and e.event_type = ty.event_type and e.value > 97)""")
 def gap_scan(t):
-    e = t("events").select(F.to_date("ts").alias("day"), "event_type", "user_id")
-    have = e.where("user_id % 3 = 0").select("day", "event_type").distinct()
+    e = t("events").select(F.to_date("ts").alias("day"), "event_type", "value")
+    have = e.where("value > 97").select("day", "event_type").distinct()
     return intervals.spine(e, "day", "event_type").join(have, ["day", "event_type"], "left_anti")
 
 
@@ -192,9 +225,10 @@ def control_cleanup(t):
     return t("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.md5(clean_control("text").cast("binary")).alias("digest"))
 
 
-@query("select doc_id, sha1(lang || '|' || source || '|' || n_chars) signature, split_part(text, chr(10), 1) title from documents")
+@query("select doc_id, sha1(json_object('lang', lang, 'n_chars', n_chars, 'source', case when doc_id % 3 <> 0 then source end)::varchar) signature, split_part(text, chr(10), 1) title from documents")
 def raw_signature(t):
-    return t("documents").select("doc_id", F.sha1(F.concat_ws("|", "lang", "source", F.col("n_chars").cast("string")).cast("binary")).alias("signature"), first_line("text").alias("title"))
+    signature = etl.canonical_signature(source=F.when(F.col("doc_id") % 3 != 0, F.col("source")), n_chars=F.col("n_chars"), lang=F.col("lang"))
+    return t("documents").select("doc_id", signature.alias("signature"), first_line("text").alias("title"))
 
 
 @query("""with n as (select event_id new_id, user_id, cast(ts as date) d, event_type e from events where event_id % 2 = 0), o as (select event_id old_id, user_id, cast(ts as date) od, event_type oe from events where event_id % 2 <> 0),

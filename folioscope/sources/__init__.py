@@ -53,6 +53,12 @@ def edition_urls(base: str, day, number, language):
     return F.concat(F.lit(base.rstrip("/") + "/"), F.date_format(day, "yyyy/MM/dd"), F.lit("/"), number.cast("string"), F.when(language.rlike("(?i)^(ca|va)"), F.lit("_va")).otherwise(F.lit("_es")), F.lit(".pdf"))
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Writes a table that many queries read, such as chunks or postings, in buckets by its key; joins and aggregates on the key then need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Trace rows as JSON lines."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)

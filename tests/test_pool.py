@@ -56,14 +56,17 @@ def test_unit_claims(spark):
 
 
 def test_answers_are_settled(spark):
-    ids = lambda *x: F.array(*(F.lit(i) for i in x)).cast("array<int>")
-    ask = lambda answer, cited, *repair: spark.range(1).select(evidence.settled(F.lit(answer), cited, ids(1, 2), ids(2), F.lit("5 euros"), *repair).alias("s")).first()["s"]
-    assert ask("5 euros", ids(1))["outcome"] == "valid"
-    fixed = ask("5 euros", ids(1, 9))
+    def ask(answer, cited, repaired=None, repaired_cited=None):
+        row = (answer, cited, [1, 2], [2], "5 euros", repaired, repaired_cited)
+        return evidence.settled(spark.createDataFrame([row], "answer string, cited array<int>, scope array<int>, evidence array<int>, source string, repaired string, repaired_cited array<int>")).first()
+
+    assert ask("5 euros", [1])["outcome"] == "valid"
+    fixed = ask("5 euros", [1, 9])
     assert (fixed["outcome"], fixed["cited"], fixed["initial"], fixed["final"]) == ("fixed", [1], ["out_of_scope"], [])
-    assert ask("6 euros", ids(1))["outcome"] == "fallback"
-    assert (lambda s: (s["outcome"], s["answer"], s["cited"]))(ask("6 euros", ids(1), F.lit("5 euros"), ids(9))) == ("repaired", "5 euros", [2])
-    assert ask("6 euros", ids(1), F.lit("7 euros"), ids(1))["outcome"] == "fallback"
+    assert ask("6 euros", [1])["outcome"] == "fallback"
+    again = ask("6 euros", [1], "5 euros", [9])
+    assert (again["outcome"], again["answer"], again["cited"]) == ("repaired", "5 euros", [2])
+    assert ask("6 euros", [1], "7 euros", [1])["outcome"] == "fallback"
 
 
 def test_gold_grows_until_signals_are_covered(spark):
