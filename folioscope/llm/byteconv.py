@@ -26,7 +26,7 @@ PIECE_BYTES = 1 << 19
 
 @dataclass(frozen=True)
 class ConvConfig:
-    """sample: labelled rows that the fit reads at most; sample_bytes: rows with longer texts aren't fitted on (they are scored whole)."""
+    """sample: labelled rows that the fit reads at most, of those with at most sample_bytes bytes of text; rows with longer texts aren't fitted on (they are scored whole)."""
 
     embed: int = 6
     filters: int = 32
@@ -174,11 +174,11 @@ def held_out() -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, cfg: ConvConfig | None = None) -> Net:
-    """Fits on at most cfg.sample labelled rows that aren't held out: those with the smallest hash of doc_id. Only that bounded sample reaches the driver; its ids are the only thing broadcast."""
+    """Fits on at most cfg.sample labelled rows that aren't held out: of those with a short enough text, the ones with the smallest hash of doc_id. Only that bounded sample reaches the driver; its ids are the only thing broadcast."""
     cfg = cfg or ConvConfig()
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample)
     short = docs.select("doc_id", "text").where(F.octet_length("text") <= cfg.sample_bytes)
+    some = known.join(short.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample)
     rows = short.join(F.broadcast(some), "doc_id").collect()
     rows = sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows})
     return fit([r[1].encode() for r in rows], np.array([r[2] for r in rows], dtype=np.float64), cfg)

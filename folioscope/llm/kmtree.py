@@ -1,14 +1,16 @@
 """Approximate nearest neighbours with a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample; every vector is filed in the leaf that it descends to. A query walks the tree
-best bin first: a priority queue holds the branches not taken, nearest centre first. How many leaves a query visits is
+The tree is fitted on a bounded sample; every vector is filed in the leaf that it descends to. Where leaves come out too
+large, executors fit a subtree on a bounded sample of each, which takes the leaf's place. A query walks the tree best bin
+first: a priority queue holds the branches not taken, nearest centre first. How many leaves a query visits is
 widened until a bounded set of calibration queries, searched exactly against all rows, reaches the recall asked for.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import pickle
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,14 @@ from .vectors import cosines, matrix, sample, unit
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """sample: rows that the tree is fitted on at most. leaf: sample rows in a leaf at most. calibrate: calibration queries at most. block: rows of a leaf, and queries, that one task compares at most on average; larger leaves are split."""
+    """sample: rows that the tree is fitted on at most. leaf: sample rows in a leaf at most. rows: a leaf with more gets a subtree, fitted on ``sub`` of its rows at most. calibrate: calibration queries at most. block: rows of a leaf, and queries, that one task compares at most on average; larger leaves are split."""
 
     k: int = 5
     sample: int = 16384
     branch: int = 8
     leaf: int = 48
+    rows: int = 1024
+    sub: int = 4096
     rounds: int = 8
     calibrate: int = 200
     recall: float = 0.98
@@ -64,6 +68,23 @@ class Tree:
         used = np.unique(near)
         return [np.flatnonzero(near == c) for c in used], centers[used]
 
+    def graft(self, below: dict[int, Tree]) -> None:
+        """Puts a tree in the place of each leaf that is named, and numbers the leaves anew."""
+        node_of = {leaf: node for node, leaf in enumerate(self.leaf) if leaf >= 0}
+        for leaf, tree in below.items():
+            shift = len(self.leaf) - 1  # the subtree's root is the leaf's node, the others follow at the end
+            place = lambda n, node=node_of[leaf], shift=shift: n + shift if n else node
+            self.leaf[node_of[leaf]], self.centers[node_of[leaf]] = tree.leaf[0], tree.centers[0]
+            self.children[node_of[leaf]] = [place(c) for c in tree.children[0] or []]
+            for n in range(1, len(tree.leaf)):
+                self.leaf.append(tree.leaf[n])
+                self.centers.append(tree.centers[n])
+                self.children.append([place(c) for c in tree.children[n] or []])
+        ends = [node for node, leaf in enumerate(self.leaf) if leaf >= 0]
+        for number, node in enumerate(ends):
+            self.leaf[node] = number
+        self.leaves = len(ends)
+
     def file(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         out, todo = np.zeros(len(x), dtype=np.int32), [(0, np.arange(len(x)))]
@@ -157,6 +178,48 @@ def _nearest_k(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _filed(vectors: DataFrame, tree: Tree, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """(vec_id, embedding, ask, leaf) of the vectors that take part, and how many each leaf holds."""
+    shared, dim = vectors.sparkSession.sparkContext.broadcast(tree), tree.dim
+
+    def file(batches):
+        for rows in batches:
+            pick, x = matrix(rows.column("embedding"), dim)
+            rows = rows.take(pa.array(pick, pa.int64()))
+            leaf = shared.value.file(unit(x)) if len(pick) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("vec_id", "embedding", "ask")), pa.array(leaf, pa.int32())], names=["vec_id", "embedding", "ask", "leaf"])
+
+    kind = dict(vectors.dtypes)["embedding"]
+    filed = scratch.keep(vectors.mapInArrow(file, f"vec_id long, embedding {kind}, ask boolean, leaf int"), "filed")
+    counts = filed.groupBy("leaf").agg(F.count("*").alias("n")).toArrow()  # one row a leaf
+    held = np.zeros(tree.leaves, dtype=np.int64)
+    held[counts.column("leaf").to_numpy()] = counts.column("n").to_numpy()
+    return filed, held
+
+
+def _subtrees(filed: DataFrame, held: np.ndarray, tree: Tree, cfg: TreeConfig) -> dict[int, Tree]:
+    """A tree for each leaf with more than cfg.rows rows, fitted where its sample is; leaves whose rows can't be told apart have none."""
+    large = np.flatnonzero(held > cfg.rows)
+    if not len(large):
+        return {}
+    spark, dim = filed.sparkSession, tree.dim
+    share = spark.createDataFrame([(int(leaf), int(held[leaf]), min(1.0, 1.5 * cfg.sub / int(held[leaf]))) for leaf in large], "leaf int, held long, share double")  # one row a leaf of the first tree
+    hashed = F.xxhash64("vec_id", F.lit(1))
+    order = Window.partitionBy("leaf").orderBy("hashed", "vec_id")
+    some = filed.select("leaf", "vec_id", "embedding", hashed.alias("hashed")).join(F.broadcast(share), "leaf")
+    some = some.where(F.pmod("hashed", F.lit(1 << 30)) < F.col("share") * (1 << 30)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= cfg.sub).drop("n")
+
+    def grow(rows: pa.Table) -> pa.Table:
+        x = unit(matrix(rows.column("embedding"), dim)[1])
+        leaf, many = rows.column("leaf")[0].as_py(), rows.column("held")[0].as_py()
+        own = replace(cfg, leaf=max(min(cfg.leaf, 32), -(-len(x) * cfg.rows // (4 * many))))
+        return pa.table({"leaf": pa.array([leaf], pa.int32()), "tree": pa.array([pickle.dumps(Tree(x, own))], pa.binary())})
+
+    rows = some.groupBy("leaf").applyInArrow(grow, "leaf int, tree binary").collect()
+    grown = {r["leaf"]: pickle.loads(bytes(r["tree"])) for r in rows}
+    return {leaf: t for leaf, t in sorted(grown.items()) if t.leaves > 1}
+
+
 def neighbours(vectors: DataFrame, is_query: F.Column, cfg: TreeConfig | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for the rows that ``is_query`` picks, their cfg.k nearest by cosine.
 
@@ -169,23 +232,17 @@ def neighbours(vectors: DataFrame, is_query: F.Column, cfg: TreeConfig | None =
     scratch = Scratch(spark, "kmtree")
     vectors = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("ask"))
     tree = Tree(sample(vectors, cfg.sample), cfg)
-    shared = spark.sparkContext.broadcast(tree)  # bounded by cfg.sample
     k, dim = cfg.k, tree.dim
-
-    def file(batches):
-        for rows in batches:
-            pick, x = matrix(rows.column("embedding"), dim)
-            rows = rows.take(pa.array(pick, pa.int64()))
-            leaf = shared.value.file(unit(x)) if len(pick) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("vec_id", "embedding", "ask")), pa.array(leaf, pa.int32())], names=["vec_id", "embedding", "ask", "leaf"])
-
+    filed, held = _filed(vectors, tree, scratch)
+    if below := _subtrees(filed, held, tree, cfg):
+        tree.graft(below)
+        old = filed
+        filed, held = _filed(old.drop("leaf"), tree, scratch)
+        scratch.drop(old)
+    shared = spark.sparkContext.broadcast(tree)  # bounded by cfg.sample and, a leaf of that, cfg.sub
     kind = dict(vectors.dtypes)["embedding"]
-    filed = scratch.keep(vectors.mapInArrow(file, f"vec_id long, embedding {kind}, ask boolean, leaf int"), "filed")
     queries = filed.where("ask")
     most = _calibrated(filed, queries, tree, cfg)
-    counts = filed.groupBy("leaf").agg(F.count("*").alias("n")).toArrow()  # one row a leaf: bounded by cfg.sample
-    held = np.zeros(tree.leaves, dtype=np.int64)
-    held[counts.column("leaf").to_numpy()] = counts.column("n").to_numpy()
     held = spark.sparkContext.broadcast(held)
     own = filed.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
 

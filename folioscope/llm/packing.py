@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import Scratch
+from .unigram import token_counts
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,7 @@ class PackingConfig:
 
     capacity: int = 4096
     per_source: int = 4
-    shard: int = 10000
+    shard: int = 2500
 
 
 class Bins:
@@ -85,9 +86,10 @@ def pack(items: DataFrame, cfg: PackingConfig | None = None) -> DataFrame:
     The same rows give the same bins.
     """
     cfg = cfg or PackingConfig()
-    prepare(items.sparkSession)
+    scratch = Scratch(items.sparkSession, "packing")
     size = F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(1)), F.lit(1))
     items = items.where("doc_id is not null").select(F.col("doc_id").cast("long"), size.alias("size"), F.col("source").cast("string"), F.col("cluster").cast("long"))
+    items = scratch.keep(items, "items")  # counting tokens costs more than packing, so it runs once
     shards = max(1, -(-items.count() // cfg.shard))
     capacity, per_source = cfg.capacity, cfg.per_source
     part = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / capacity).cast("int") - 1)).alias("part")
@@ -110,7 +112,15 @@ def pack(items: DataFrame, cfg: PackingConfig | None = None) -> DataFrame:
     return items.groupBy("shard").applyInArrow(fill, "doc_id long, part int, start long, n_tokens long, bin_id long, slot long, used long")
 
 
-def items(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, source, cluster, of doc_id, text and source: tokens are words and an end mark; a cluster is the hash of the text in lower case, null texts have none."""
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select("doc_id", (F.coalesce(words, F.lit(0)) + 1).alias("n_tokens"), "source", F.when(F.col("text").isNotNull(), F.xxhash64(F.lower("text"))).alias("cluster"))
+def items(docs: DataFrame, model: str, clusters: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, source, cluster, of doc_id, text and source: tokens are those of the unigram ``model`` and an end mark.
+
+    cluster: component_id of ``clusters`` (doc_id, component_id), as near-dedup gives it; without them the hash of the
+    text in lower case. Null texts have no cluster.
+    """
+    own = F.when(F.col("text").isNotNull(), F.xxhash64(F.lower("text"))).alias("cluster")
+    counted = token_counts(docs.select("doc_id", "text", "source", own), model, "source", "cluster")
+    counted = counted.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"), "source", "cluster")
+    if clusters is None:
+        return counted
+    return counted.drop("cluster").join(clusters.select("doc_id", F.col("component_id").alias("cluster")).distinct(), "doc_id", "left")

@@ -60,9 +60,11 @@ def op7_automaton_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_conflict_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from .packing import items, pack
 
-    return pack(items(_table(spark, sf_dir, "documents")))
+    return pack(items(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op9_unigram_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +88,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+#: DuckDB: the words of a text.
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The definitions in DuckDB SQL. op1 and op6 are compared with every link there is; the others of the ten have no SQL form.
+ORACLES = {
+    "op1_minhash_near_dedup": f"""with recursive w as (select doc_id, {_WORDS.format(_LOWER)} w from documents where doc_id is not null),
+s as (select doc_id, list_sort(list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) s from w),
+d as (select doc_id, len(s)::bigint n, case when len(s) > 0 then min(doc_id) over (partition by md5(array_to_string(s, chr(10)))) else doc_id end rep, s from s),
+x as (select rep, n, unnest(s) g from d where doc_id = rep),
+p as (select a.rep a, b.rep b, any_value(a.n + b.n) n, count(*) k from x a join x b on a.g = b.g and a.rep < b.rep and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80 group by 1, 2),
+e as (select a u, b v from p where 100 * k >= 80 * (n - k) union all select b, a from p where 100 * k >= 80 * (n - k)),
+reach(id, y) as (select u, u from e union select r.id, e.v from reach r join e on e.u = r.y),
+f as (select id, min(y) c from reach group by 1)
+select doc_id, n n_shingles, coalesce(c, rep) component_id, doc_id = coalesce(c, rep) kept from d left join f on f.id = d.rep""",
+    "op4_suffix_family_dedup": """with b as (select doc_id, encode(coalesce(text, '')) b from documents where doc_id is not null),
+n as (select doc_id, b, octet_length(b)::bigint n from b),
+g as (select doc_id, unnest(range(0, n - 399)) s, unnest(list_transform(range(0, n - 399), lambda s: md5(b[s + 1 : s + 400]))) h from n),
+r as (select h from g group by 1 having count(*) > 1),
+m as (select doc_id, s, case when s > lag(s, 1, -1000) over (partition by doc_id order by s) + 400 then 1 else 0 end new from g semi join r using (h)),
+i as (select doc_id, s, sum(new) over (partition by doc_id order by s) run from m),
+u as (select doc_id, run, min(s) lo, max(s) + 400 hi from i group by 1, 2),
+e as (select doc_id, lag(hi, 1, 0) over (partition by doc_id order by lo) x, lo y, hi - lo gone from u union all select doc_id, coalesce(max(hi), 0), any_value(n), null from n left join u using (doc_id) group by doc_id),
+k as (select doc_id, coalesce(sum(gone), 0) n_removed, count(gone) n_spans, string_agg(hex(b[x + 1 : y]), '' order by x) kept from e join n using (doc_id) group by 1)
+select doc_id, n n_bytes, n_removed::bigint n_removed, n_spans::bigint n_spans, sha256(unhex(kept)) kept_sha256 from n join k using (doc_id)""",
+    "op6_projection_forest_dedup": """with recursive v as (select vec_id, embedding::double[] e from embeddings where vec_id is not null and len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e as (select a.vec_id u, b.vec_id v from v a join v b on a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+reach(id, y) as (select u, u from e union select r.id, e.v from reach r join e on e.u = r.y),
+f as (select id, min(y) c from reach group by 1), k as (select u, count(*) n from e group by 1)
+select vec_id, coalesce(n, 0)::bigint n_links, coalesce(c, vec_id) component_id, vec_id = coalesce(c, vec_id) kept from embeddings left join f on f.id = vec_id left join k on k.u = vec_id where vec_id is not null""",
+    "op7_automaton_substring_dedup": f"""with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} w from documents where doc_id is not null),
+g as (select doc_id, unnest(range(1, len(w) - 11)) i, unnest(list_transform(range(1, len(w) - 11), lambda i: md5(array_to_string(w[i : i + 12], ' ')))) h from w),
+f as (select h, min(doc_id) first from g group by 1),
+c as (select distinct doc_id, i + k p from (select doc_id, i from g join f using (h) where first < doc_id), range(13) t(k)),
+x as (select doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) word from w),
+k as (select doc_id, count(c.p) n_removed, string_agg(x.word, ' ' order by p) filter (where c.p is null) kept from x left join c using (doc_id, p) group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join k using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -124,7 +124,7 @@ def near_vectors(vectors: DataFrame, cfg: ForestConfig | None = None) -> DataFra
     classes = scratch.keep(each.where("print is not null").groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
     reps = vectors.join(classes.select(F.col("rep").alias("vec_id"), "many"), "vec_id").dropDuplicates(["vec_id"])
     many = max(classes.count(), 1)
-    least = max(8, int(len(x) * cfg.rows / many))
+    least = max(2, int(len(x) * cfg.rows / many))  # cfg.sample / 2 leaves at most; larger leaves are compared block by block
     forest = [ProjectionTree(x, least, cfg.spill, rng) for _ in range(cfg.trees)]
     first = np.concatenate([[0], np.cumsum([t.leaves for t in forest])]).astype(np.int64)
     shared = spark.sparkContext.broadcast(forest)  # bounded by cfg.sample

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import distinct, prepare, text_steps
 from .suffix import range_hashes
@@ -400,7 +401,8 @@ def decode(tokens: DataFrame, model: str) -> DataFrame:
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256, same (decoding gave the text back).
 
-    Null texts count as empty. A text that has U+2581 itself comes back with a space for it. One row for each row.
+    Null texts count as empty. A text that has U+2581 itself comes back with a space for it. One row for each row, a null
+    doc_id included; repeated rows are encoded each. An empty table gives no rows.
     """
     shared = _shared(docs, model)
 
@@ -418,8 +420,8 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")
 
 
-def token_counts(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, score (of the best path): what encode would give, without the ids. Null and empty texts have 0 tokens and score 0."""
+def token_counts(docs: DataFrame, model: str, *also: str) -> DataFrame:
+    """doc_id, n_tokens, score (of the best path), and the columns ``also``: what encode would give, without the ids. Null and empty texts have 0 tokens and score 0. One row for each row, a null doc_id included; repeated rows are counted each."""
     shared = _shared(docs, model)
 
     def run(batches):
@@ -432,6 +434,8 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
                     many[some], best[some] = solve.count(pad, size)
                 sums = [np.concatenate([[0], np.cumsum(x[which])]) for x in (many, best)]
                 n, score = (np.diff(x[first]) for x in sums)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(score, pa.float64()), *(rows.column(c) for c in also)], names=["doc_id", "n_tokens", "score", *also])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double").select("doc_id", "n_tokens", (F.col("score") + 0.0).alias("score"))
+    docs = docs.select("doc_id", "text", *also)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType()), *(docs.schema[c] for c in also)])
+    return docs.mapInArrow(run, schema).select("doc_id", "n_tokens", (F.col("score") + 0.0).alias("score"), *also)

@@ -64,3 +64,36 @@ def test_hard_rows_and_columns(spark, hard, nothing):
     assert got.count() == hard.count() and got.columns == [c for c in hard.columns if c != "score"] + ["score", "predicted"]
     assert score(nothing, net).collect() == []
     assert learn(nothing, labels, CFG).weights["out"].sum() == 0
+
+
+def naive(net, text: bytes) -> float:
+    """The network by its description, one block and one chunk at a time."""
+    w = {k: v.astype(float) for k, v in net.weights.items()}
+    n_halves = max(-(-len(text) // 128), 1)
+    padded, blocks, inside = text.ljust(n_halves * 128, b"\0"), n_halves * 32, max(-(-len(text) // 4), 1)
+    embed = lambda i: np.concatenate([w["table"][x] for x in padded[4 * i : 4 * i + 4]])
+    n = w["conv"].shape[1] // 2
+    acts = []
+    for i in range(blocks):
+        pre = embed(i) @ w["conv"][:, :n] + w["conv_bias"]
+        if i + 1 < blocks:
+            pre = pre + embed(i + 1) @ w["conv"][:, n:]
+        acts.append(np.maximum(pre, 0) if i < inside else np.zeros(n))
+    units = []
+    for first in range(max(n_halves - 1, 1)):
+        lo, hi = first * 32, min((first + 2) * 32, blocks)
+        mean = np.sum(acts[lo:hi], axis=0) / (min(hi, inside) - lo)
+        units.append(np.maximum(mean @ w["chunk"] + w["chunk_bias"], 0))
+    logit = np.max(units, axis=0) @ w["out"] + w["out_bias"][0]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_are_those_of_the_plain_network():
+    r = np.random.default_rng(9)
+    net = Net.fresh(ConvConfig())
+    for k in net.weights:
+        net.weights[k] = net.weights[k] + r.normal(0, 0.1, net.weights[k].shape).astype(np.float32)
+    texts = [r.integers(1, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 4, 5, 127, 128, 129, 255, 256, 257, 1000, 3000)]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = probabilities(net, np.frombuffer(b"".join(texts), dtype=np.uint8), offs)
+    assert np.allclose(got, [naive(net, t) for t in texts], atol=1e-4)

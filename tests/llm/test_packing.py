@@ -1,6 +1,15 @@
 from collections import Counter, defaultdict
 
-from folioscope.llm.packing import Bins, PackingConfig, items, pack
+import public_tokenizers
+
+from folioscope.llm.packing import Bins, PackingConfig, pack
+from folioscope.llm.packing import items as items_of
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def items(docs):
+    return items_of(docs, MODEL)
 
 
 def check(rows, cfg, want):
@@ -54,9 +63,13 @@ def test_hard_rows(spark, hard, nothing):
     good = hard.where("doc_id is not null")
     got = pack(items(hard), cfg)
     assert got.groupBy("doc_id").count().count() == good.select("doc_id").distinct().count()
-    assert {r["n_tokens"] for r in got.where("doc_id in (4, 5, 6)").collect()} == {1}
+    assert {r["doc_id"]: r["n_tokens"] for r in got.where("doc_id in (4, 5, 7)").collect()} == {4: 1, 5: 1, 7: 2}
     parts = sorted((r["part"], r["start"], r["n_tokens"]) for r in got.where("doc_id = 12").collect())
     assert all(s == 64 * p for p, s, _ in parts) and all(n == 64 for _, _, n in parts[:-1])
     assert pack(items(nothing)).collect() == []
+    near = items_of(good, MODEL, good.where("doc_id < 4").selectExpr("doc_id", "1L component_id"))
+    assert {r["doc_id"] for r in near.where("cluster = 1").collect()} == {1, 2, 3}
+    together = pack(near).where("doc_id < 4").collect()
+    assert len({r["bin_id"] for r in together}) == 3
     null = spark.createDataFrame([(1, None, None, None), (2, -3, None, None)], "doc_id long, n_tokens long, source string, cluster long")
     assert {r["n_tokens"] for r in pack(null).collect()} == {1}
