@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, slices, text_steps, word_hashes, word_spans
+from .common import Scratch, join_by, mix, slices, text_steps, word_hashes, word_spans
 from .components import components
 
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -175,7 +175,7 @@ def _rarities(sets: DataFrame, family: DataFrame, each: DataFrame, cfg: MinHashC
     return counts, few.where("df > 1")
 
 
-def _across(named: DataFrame, counts: DataFrame, few: DataFrame, apart: DataFrame, cfg: MinHashConfig) -> DataFrame:
+def _across(named: DataFrame, counts: DataFrame, few: DataFrame, apart: DataFrame, cfg: MinHashConfig, scratch: Scratch) -> DataFrame:
     """(u, v), repeated: pairs of a family in different components, one of them a component that ``apart`` touches, that may have the similarity.
 
     Sets of x and y shingles with the similarity have at least percent / (100 + percent) * (x + y) in common. So a pair
@@ -183,25 +183,25 @@ def _across(named: DataFrame, counts: DataFrame, few: DataFrame, apart: DataFram
     enough, which bounds the partner's size: documents join on family and steps of size.
     """
     p = cfg.percent
-    many = named.groupBy("component").agg(F.count("*").alias("many"))
-    ends = apart.select(F.col("u").alias("id")).unionByName(apart.select(F.col("v").alias("id"))).join(named, "id").select("component").distinct()
-    able = counts.join(named, "id").join(many, "component")
+    touched = apart.select(F.col("u").alias("id")).unionByName(apart.select(F.col("v").alias("id"))).distinct().withColumn("end", F.lit(1))
+    sizes = scratch.keep(named.join(touched, "id", "left").groupBy("component").agg(F.count("*").alias("many"), F.max("end").isNotNull().alias("ends")), "sizes")
+    able = scratch.keep(join_by(counts.join(named, "id"), sizes, "component", "many", named.count()), "able")
     other = {"id": "x", "component": "cx", "many": "mx", "n": "nx"}
     # Of two components the smaller one looks for partners in the larger.
     toward = (F.col("mx") < F.col("many")) | ((F.col("mx") == F.col("many")) & (F.col("cx") < F.col("component")))
     pair = lambda df: df.select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
     step = lambda c: F.floor(F.log(c) / 0.02).cast("int")
-    members = able.where(F.col("core") * 100 >= F.col("n") * p).select("family", "id", "component", "many", "n", "core", "spread", step(F.col("n")).alias("step"))
+    members = able.where(F.col("core") * 100 >= F.col("n") * p).select("family", "id", "component", "many", "ends", "n", "core", "spread", step(F.col("n")).alias("step"))
     least, most = F.ceil(F.col("n") * p / 100), F.least(F.floor(F.col("core") * (100 + p) / p) - F.col("n"), F.floor(F.col("n") * 100 / p))
-    some = members.join(ends, "component", "left_semi").where(most >= least).select("family", *(F.col(k).alias(v) for k, v in other.items()), F.col("core").alias("corex"), F.col("spread").alias("spreadx"), F.explode(F.sequence(step(least), step(most))).alias("step"))
+    some = members.where("ends").where(most >= least).select("family", *(F.col(k).alias(v) for k, v in other.items()), F.col("core").alias("corex"), F.col("spread").alias("spreadx"), F.explode(F.sequence(step(least), step(most))).alias("step"))
     enough = toward & ((100 + p) * F.least("core", "corex") >= p * (F.col("n") + F.col("nx")))
     slots = F.aggregate(F.zip_with("spread", "spreadx", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
     enough &= (100 + p) * slots >= p * (F.col("n") + F.col("nx"))
-    common = pair(some.join(members, ["family", "step"]).where(enough))
-    rows = few.join(able.select("id", "component", "many", "n"), "id").select("family", "item", "id", "component", "many", "n")
-    some = rows.join(ends, "component", "left_semi").select("family", "item", *(F.col(k).alias(v) for k, v in other.items()))
+    common = pair(some.join(members.drop("ends"), ["family", "step"]).where(enough))
+    rows = few.join(able.select("id", "component", "many", "ends", "n"), "id").select("family", "item", "id", "component", "many", "ends", "n")
+    some = rows.where("ends").select("family", "item", *(F.col(k).alias(v) for k, v in other.items()))
     near = toward & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * p)
-    return common.unionByName(pair(some.join(rows, ["family", "item"]).where(near)))
+    return common.unionByName(pair(some.join(rows.drop("ends"), ["family", "item"]).where(near)))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, cfg: MinHashConfig) -> DataFrame:
@@ -271,8 +271,8 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig | None = None) -> DataFr
     families = components(spark, meetings, scratch).withColumnRenamed("component", "family")
     open_ = apart.join(families, apart["u"] == families["id"]).select("family").distinct()
     counts, few = _rarities(sets, scratch.keep(families.join(open_, "family", "left_semi").select("id", "family"), "open"), each, cfg, scratch)
-    now = met.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    more = _across(now, counts, few, apart, cfg).distinct().join(meetings, ["u", "v"], "left_anti")
+    now = scratch.keep(met.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "now")
+    more = _across(now, counts, few, apart, cfg, scratch).distinct().join(meetings, ["u", "v"], "left_anti")
     more = scratch.keep(_likely(more, reps, cfg), "more")
     links = links.unionByName(_verified(more, sets, cfg))
     named = components(spark, links, scratch)
