@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import byteconv, minhash, packing, suffix
-from folioscope.llm.common import Scratch
+from folioscope.llm.common import Scratch, owned
 
 
 #: Strings of 230 bytes may not repeat: of all passages of 51 words in the test tables about one in a hundred is shorter.
@@ -24,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share a doc_id are one document, as in ``near_duplicates``: all of its different texts stay or go together,
     and only repeats of a text under the same doc_id are dropped. Rows without a doc_id can't be named in a group and are
-    left out, as they are by the stages after this one.
+    left out, as they are by the stages after this one. Null and wordless texts are like nothing and stay.
     """
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
@@ -37,8 +38,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' places in bins of 4096 tokens."""
-    return packing.pack(packing.items(docs))
+    """The documents' places in bins of 4096 tokens, counted as the unigram tokenizer does."""
+    return packing.pack(packing.items(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
 STAGES = [("quality classifier", quality), ("minhash near-dedup", near_dedup), ("suffix-array dedup", suffix_dedup), ("best-fit packing", pack)]
@@ -48,11 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's result is written and read again."""
+    """The last stage's rows; every stage's result is written and read again, and what the stage kept for itself goes then."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        new = scratch.keep(stage(spark, docs, sf_dir), f"stage{k}")
+        with owned():
+            new = scratch.keep(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             scratch.drop(docs)
         docs = new
