@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .fusion import budgeted, first_seen, margin_ratio, quota_merge
+from .fusion import budgeted, margin_ratio, quota_merge
 
 
 @dataclass(frozen=True)
@@ -111,35 +111,34 @@ def assemble(lanes: list[Lane], relaxed: list[Lane], questions: DataFrame, least
 def hop(pool: DataFrame, hops: list[tuple[str, DataFrame]], top: int = 5, most: int = 2, keep: int = 3) -> tuple[DataFrame, DataFrame]:
     """Further searches for what a question names beside its main matter: (qid, doc_id, rank, added), and the protected (qid, doc_id).
 
-    ``hops`` are (kind, list), in order; a kind is "reference" or "facet". Each appends its first ``top`` documents that
-    the pool lacks; at most ``most`` of them do so for a question. A facet whose first document is in the pool is covered,
-    and facets are only tried where no reference added anything. The pool's own order stays. Of every hop tried, the first
-    ``keep`` documents that were in the pool are protected from being dropped as old editions.
+    ``hops`` are (kind, list without repeats), in order; a kind is "reference" or "facet". Each appends its first ``top``
+    documents that the pool lacks; at most ``most`` of them do so for a question. A facet whose first document is in the
+    pool is covered, and facets are only tried where no reference added anything. The pool's own order stays. Of every hop
+    tried, the first ``keep`` documents that were in the pool are protected from being dropped as old editions.
+
+    Each hop depends on those before, so a question's few documents are arrays, over which an aggregation runs.
     """
-    last = pool.groupBy("qid").agg(F.max("rank").alias("last"))
-    have = pool.select("qid", "doc_id")
-    parts, shields, spent = [pool.select("qid", "doc_id", F.lit(-1).alias("hop"), "rank", F.lit(False).alias("added"))], [], None
-    by_reference = None
-    for i, (kind, found) in enumerate(hops):
-        rows = first_seen(found).select("qid", "doc_id", "rank").where(F.col("rank") <= top).join(last.select("qid"), "qid", "left_semi")
-        if spent is not None:
-            rows = rows.join(spent.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("qid"), "qid", "left_anti")
-        if kind == "facet" and by_reference is not None:
-            rows = rows.join(by_reference, "qid", "left_anti")
-        shields.append(rows.where(F.col("rank") <= min(keep, top)).join(have, ["qid", "doc_id"], "left_semi").select("qid", "doc_id"))
-        if kind == "facet":
-            covered = rows.where("rank = 1").join(have, ["qid", "doc_id"], "left_semi").select("qid")
-            rows = rows.join(covered, "qid", "left_anti")
-        new = rows.join(have, ["qid", "doc_id"], "left_anti")
-        fired = new.select("qid").distinct()
-        spent = fired if spent is None else spent.unionByName(fired)
-        if kind == "reference":
-            by_reference = fired if by_reference is None else by_reference.unionByName(fired).distinct()
-        have = have.unionByName(new.select("qid", "doc_id"))
-        parts.append(new.select("qid", "doc_id", F.lit(i).alias("hop"), "rank", F.lit(True).alias("added")))
-    out = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("qid").orderBy("hop", "rank")
-    return out.withColumn("rank", F.row_number().over(order).cast("long")).select("qid", "doc_id", "rank", "added"), reduce(DataFrame.unionByName, shields).distinct()
+    ids = lambda: F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
+    own = pool.groupBy("qid").agg(ids().alias("have"))
+    lists = (x.where(F.col("rank") <= top).select("qid", F.lit(i).alias("hop"), F.lit(kind).alias("kind"), "rank", "doc_id") for i, (kind, x) in enumerate(hops))
+    found = reduce(DataFrame.unionByName, lists).groupBy("qid", "hop", "kind").agg(ids().alias("docs"))
+    found = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("hop", "kind", "docs"))).alias("hops"))
+    none = F.array().cast("array<bigint>")
+
+    def step(state, h):
+        facet = h["kind"] == "facet"
+        tried = (state["fired"] < most) & ~(facet & state["by_reference"])
+        seen = F.filter(F.slice(h["docs"], 1, min(keep, top)), lambda d: F.array_contains(state["have"], d))
+        open_ = tried & ~(facet & F.array_contains(state["have"], h["docs"][0]))
+        new = F.when(open_, F.array_except(h["docs"], state["have"])).otherwise(none)
+        some = F.size(new) > 0
+        return F.struct(F.concat(state["have"], new).alias("have"), (state["fired"] + some.cast("int")).alias("fired"), (state["by_reference"] | (some & ~facet)).alias("by_reference"), F.concat(state["shield"], F.when(tried, seen).otherwise(none)).alias("shield"))
+
+    start = F.struct(F.col("have").alias("have"), F.lit(0).alias("fired"), F.lit(False).alias("by_reference"), none.alias("shield"))
+    empty = F.array().cast(dict(found.dtypes)["hops"])
+    rows = own.join(found, "qid", "left").select("qid", F.size("have").alias("n"), F.aggregate(F.coalesce("hops", empty), start, step).alias("s"))
+    out = rows.select("qid", "n", F.posexplode("s.have").alias("pos", "doc_id")).select("qid", "doc_id", (F.col("pos") + 1).cast("long").alias("rank"), (F.col("pos") >= F.col("n")).alias("added"))
+    return out, rows.select("qid", F.explode(F.array_distinct("s.shield")).alias("doc_id"))
 
 
 def current_editions(pool: DataFrame, stale: DataFrame, questions: DataFrame, protected: DataFrame) -> DataFrame:

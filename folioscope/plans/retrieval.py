@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import coverage, fold, first_line, occurrences, total_occurrences
 from ..functions.vector import cosine, norm
 from ..operators import fusion
-from ..operators.corpus import chunk_windows, summary, words
+from ..operators.corpus import chunk_windows, summary
 from ..operators.evidence import diverse_chunks, keyword_window, lexical_evidence
 from ..operators.graph import families, similar_pairs, stale_members, veto
 from ..operators.lexical import ENDINGS, Query, cover_rank, fallback_search, feedback_terms, match, postings
