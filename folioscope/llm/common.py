@@ -27,12 +27,17 @@ _LOWER[65:91] += 32
 BATCH_ROWS = 1000
 
 
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BEFORE: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Ships this package to the Python workers, once a context, and lowers the session's Arrow batches to BATCH_ROWS rows, which bounds what executors and their workers hold."""
+    """Ships this package to the Python workers, once a context, and lowers the session's Arrow batches to BATCH_ROWS rows, which bounds what executors and their workers hold. Results are lazy, so the setting stays until ``release``."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    now = spark.conf.get(_ARROW)
+    if not 0 < int(now) <= BATCH_ROWS:
+        _BEFORE[_ARROW] = now
+        spark.conf.set(_ARROW, str(BATCH_ROWS))
 
 
 class Scratch:
@@ -96,10 +101,12 @@ class Scratch:
 _LIVE: list[Scratch] = []
 
 
-def release() -> None:
-    """Drops every scratch table of this session; frames that operators returned can't be read after that."""
+def release(spark: SparkSession) -> None:
+    """Drops every scratch table of this session and restores its Arrow batches; frames that operators returned can't be read after that."""
     for scratch in list(_LIVE):
         scratch.clear()
+    if _ARROW in _BEFORE:
+        spark.conf.set(_ARROW, _BEFORE.pop(_ARROW))
 
 
 @contextmanager

@@ -106,7 +106,8 @@ def test_scratch_goes_with_its_owner(spark):
         assert len(_LIVE) > before
     assert len(_LIVE) == before and {t.name for t in spark.catalog.listTables()} == tables
     digest(remove_repeats(docs.limit(20))).collect()
-    release()
+    release(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000
     assert not _LIVE and not [t for t in spark.catalog.listTables() if t.name.startswith(("texts_", "level_"))]
 
 
