@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import byteconv, minhash, packing, suffix
-
 from folioscope.llm.common import Scratch, owned
+
 #: Strings of 230 bytes may not repeat: of all passages of 51 words in the test tables about one in a hundred is shorter.
 PASSAGE = suffix.SuffixConfig(length=230, window=96)
 
