@@ -15,9 +15,10 @@ from ..workers import ship
 
 def best_per_document(chunks: DataFrame, score: Column, limit: int, least: Column) -> DataFrame:
     """(doc_id, chunk_index, text, score): each document's best chunk, the best ``limit`` documents; ties to the earlier chunk and smaller document."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_index")
-    rows = chunks.where(least).withColumn("score", score).where("score > 0")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").orderBy(F.desc("score"), "doc_id").limit(limit).select("doc_id", "chunk_index", "text", "score")
+    # A filter on the score would be pushed below it and count everything twice; a document's maximum needs none.
+    rows = chunks.select("doc_id", "text", F.struct(F.when(least, score).alias("score"), (-F.col("chunk_index")).alias("first")).alias("key"))
+    best = rows.groupBy("doc_id").agg(F.max("key").alias("key"), F.max_by("text", "key").alias("text")).where("key.score > 0")
+    return best.select("doc_id", (-F.col("key.first")).alias("chunk_index"), "text", F.col("key.score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def lexical_evidence(chunks: DataFrame, terms: list[str], least: int = 2, limit: int = 3) -> DataFrame:
@@ -45,7 +46,7 @@ def diverse_chunks(chunks: DataFrame, targets: list[str], most: int) -> DataFram
     """
     low = F.lower("text")
     hits = F.array(*(((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int") for t in targets))
-    table = chunks.select("doc_id", "chunk_index", hits.alias("hits")).where(F.exists("hits", lambda h: h > 0))
+    table = chunks.select("doc_id", "chunk_index", hits.alias("hits"))
     rows = table.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_index", F.transform("hits", lambda h: h > 0).alias("has"), F.size(F.filter("hits", lambda h: h > 0)).alias("kinds"), F.aggregate("hits", F.lit(0), lambda s, h: s + h).alias("total"))).alias("rows"))
     count = lambda flags: F.size(F.filter(flags, lambda x: x))
 
@@ -278,16 +279,12 @@ def ranked_evidence(evidence: DataFrame, chunks: DataFrame, phrases: list[str],
 
 def unit_claims(text: Column, units: dict[str, str], reach: int = 16) -> Column:
     """struct of arrays, one for each unit: the canonical numbers with the unit's pattern within ``reach`` characters; a number claims the first unit that fits. Numbers right before a closing bracket are list marks."""
-    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    between = F.split(text, NUMBER)
-    # A number and the gap before it have a character at least, so ``reach`` of them hold all that can be near.
-    gap = lambda i: F.coalesce(F.get(between, i), F.lit(""))
-    number = lambda i: F.coalesce(F.get(found, i), F.lit(""))
-    around = lambda i, steps, one: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: one(k)), "")
-    left = lambda i: F.concat(around(i, reach, lambda k: F.when(i - reach + k - 1 >= 0, F.concat(gap(i - reach + k - 1), number(i - reach + k - 1))).otherwise("")), gap(i))
-    right = lambda i: F.concat(gap(i + 1), around(i, reach, lambda k: F.concat(number(i + 1 + k), gap(i + 2 + k))))
-    rows = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(number(i).alias("n"), F.lower(F.concat(F.right(left(i), F.lit(reach)), number(i), F.substring(right(i), 1, reach))).alias("near"), F.startswith(right(i), F.lit(")")).alias("mark")))
-    rows = F.when(F.size(found) > 0, F.filter(rows, lambda r: ~r["mark"])).otherwise(F.array().cast("array<struct<n:string,near:string,mark:boolean>>"))
+    # What stands before a number is captured behind it, what follows ahead of it; neither is consumed, so contexts may overlap.
+    whole = rf"(?:(?<=([\s\S]{{{reach}}}))|(?<=^([\s\S]{{0,{reach - 1}}})))({NUMBER})(?=([\s\S]{{0,{reach}}}))"
+    far, first, number, after = (F.regexp_extract_all(text, F.lit(whole), F.lit(i)) for i in (1, 2, 3, 4))
+    near = lambda f, s, n, a: F.lower(F.concat(f, s, n, a))
+    rows = F.transform(F.arrays_zip(far.alias("f"), first.alias("s"), number.alias("n"), after.alias("a")), lambda r: F.struct(r["n"].alias("n"), near(r["f"], r["s"], r["n"], r["a"]).alias("near"), F.startswith(r["a"], F.lit(")")).alias("mark")))
+    rows = F.filter(rows, lambda r: ~r["mark"])
 
     def claims(name: str, pattern: str, before: list[str]) -> Column:
         fits = lambda r: r["near"].rlike(pattern) & ~reduce(lambda a, p: a | r["near"].rlike(p), before, F.lit(False))

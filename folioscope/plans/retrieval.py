@@ -35,13 +35,14 @@ def _vectors(t, *queries: int):
 
 
 def _lex(t, col: str, terms=TERMS):
-    return docs(t).select(F.lit(0).cast("long").alias("qid"), "doc_id", total_occurrences(F.lower(col), terms).alias("score")).where("score > 0")
+    return docs(t).select(F.lit(0).cast("long").alias("qid"), "doc_id", total_occurrences(F.lower(col), terms).alias("score"))
 
 
 def _lanes(t, limit: int = 100):
     vec = fusion.ranked(_vectors(t, 0), F.desc("score"), "doc_id", limit=limit)
-    text = fusion.ranked(_lex(t, "text"), F.desc("score"), "doc_id", limit=limit)
-    title = fusion.ranked(_lex(t, "title"), F.desc("score"), "doc_id", limit=limit)
+    # Documents without a hit come last; a filter before the ranking would count every text twice.
+    text = fusion.ranked(_lex(t, "text"), F.desc("score"), "doc_id", limit=limit).where("score > 0")
+    title = fusion.ranked(_lex(t, "title"), F.desc("score"), "doc_id", limit=limit).where("score > 0")
     return [x.select("qid", "doc_id", "rank") for x in (vec, text, title)]
 
 
@@ -247,9 +248,9 @@ _FOLD_SQL = "strip_accents(lower(text))"
 @query(f"""with {CHUNKS}, s as (select doc_id, chunk_index, length(text) size, {' + '.join(f"contains({_FOLD_SQL}, '{w}')::int" for w in FOLDED)} kw from chunks)
 select doc_id, chunk_index, kw::bigint kw_score, rank from (select *, row_number() over (partition by doc_id order by kw desc, size, chunk_index) rank from s where kw > 0) where rank <= 2""")
 def lexical_chunks_topk(t):
-    s = chunk_windows(t("documents")).select("doc_id", "chunk_index", F.length("text").alias("size"), coverage(fold("text"), FOLDED).alias("kw_score")).where("kw_score > 0")
+    s = chunk_windows(t("documents")).select("doc_id", "chunk_index", F.length("text").alias("size"), coverage(fold("text"), FOLDED).alias("kw_score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("kw_score"), "size", "chunk_index")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2").select("doc_id", "chunk_index", "kw_score", "rank")
+    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2 and kw_score > 0").select("doc_id", "chunk_index", "kw_score", "rank")
 
 
 @query(f"""with {CHUNKS}, s as (select doc_id, chunk_index, {' + '.join(f"contains(lower(text), '{w}')::int" for w in FOLDED)} cov from chunks)
