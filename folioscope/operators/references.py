@@ -13,8 +13,8 @@ _FOLD = str.maketrans(MARKED, PLAIN)
 MONTHS = ("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(), "gener febrer marc abril maig juny juliol agost setembre octubre novembre desembre".split())
 _MONTH = {name: n for names in MONTHS for n, name in enumerate(names, 1)}
 _DATE = re.compile(rf"\b(\d{{1,2}})\s+(?:de\s+|d')({'|'.join(sorted(_MONTH))})\b(?:\s+de\s+(\d{{4}}))?")
-#: Who issued what a date names: a capitalised name after it, up to the next comma or bracket.
-_ISSUER = re.compile(r",?\s*de\s+(?:la\s+|los\s+|las\s+|l')?([A-ZÁÉÍÓÚÑÇ][^,()]{4,60})")
+#: What may name the issuer after a date: up to the next comma or bracket.
+_ISSUER = re.compile(r"[,\s]*\bde\s+(?:(?:la|los|las)\s+|l')?([^,()]{5,61})")
 
 Reference = tuple[str, int | None, int | None, str, int | None, int | None, str | None]
 
@@ -53,8 +53,9 @@ def find_references(title: str, text: str, types: tuple[str, ...], kinds: dict[s
             day, month, year = int(m[1]), _MONTH[m[2]], int(m[3]) if m[3] else None
             if "resoluci" not in low[max(0, m.start() - 20) : m.start()] or (day, month, year) == own[3:]:
                 continue
-            issuer = _ISSUER.match(part, m.end(), m.end() + 90)
-            out.setdefault(("resolucion", None, year, kind(*m.span()), day, month, issuer[1].strip() if issuer else None))
+            named = _ISSUER.match(part, m.end(), m.end() + 90)
+            issuer = named[1].strip() if named and named[1][0].isupper() else None
+            out.setdefault(("resolucion", None, year, kind(*m.span()), day, month, issuer))
     return list(out)
 
 
