@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_by
+from .common import HEAVY, Scratch, join_by
 
 
 def _nearest(arcs: DataFrame) -> DataFrame:
@@ -13,15 +13,22 @@ def _nearest(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("arcs")).select("u", F.least("u", "m").alias("m"), "arcs")
 
 
-def _large_star(edges: DataFrame, many: int) -> DataFrame:
+def _pointed(arcs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``arcs`` with the nearest of their u, and the table of those, which is written once: joined by ``join_by`` where a node has a heavy share of the arcs."""
+    near = scratch.keep(_nearest(arcs), "near")
+    total, most = near.agg(F.sum("arcs"), F.max("arcs")).first()
+    return join_by(arcs, near, "u", "arcs", total) if (most or 0) * HEAVY > (total or 0) else arcs.join(near, "u"), near
+
+
+def _large_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return join_by(both, _nearest(both), "u", "arcs", 2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    arcs, near = _pointed(both, scratch)
+    return arcs.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), near
 
 
-def _small_star(edges: DataFrame, many: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _nearest(down)
-    return join_by(down, near, "u", "arcs", many).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v")
+def _small_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    arcs, near = _pointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), scratch)
+    return arcs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v"), near
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame:
@@ -35,9 +42,12 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, limit: i
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was = state(now)
     for _ in range(limit):
-        half = scratch.keep(_large_star(now, was[0]).distinct(), "edges")
-        new = scratch.keep(_small_star(half, half.count()).distinct(), "edges")
-        scratch.drop(now, half)
+        arcs, near = _large_star(now, scratch)
+        half = scratch.keep(arcs.distinct(), "edges")
+        scratch.drop(now, near)
+        arcs, near = _small_star(half, scratch)
+        new = scratch.keep(arcs.distinct(), "edges")
+        scratch.drop(half, near)
         now, before = new, was
         was = state(now)
         if was == before:

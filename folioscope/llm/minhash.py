@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig | None = None) -> DataFr
     apart = scratch.keep(apart, "apart")
     families = components(spark, meetings, scratch).withColumnRenamed("component", "family")
     open_ = apart.join(families, apart["u"] == families["id"]).select("family").distinct()
-    open_ = families.groupBy("family").agg(F.count("*").alias("many")).join(open_, "family", "left_semi")
+    open_ = scratch.keep(families.groupBy("family").agg(F.count("*").alias("many")).join(open_, "family", "left_semi"), "sizes")
     open_ = scratch.keep(join_by(families, open_, "family", "many", families.count()).select("id", "family"), "open")
     counts, few = _rarities(sets, open_, each, cfg, scratch)
     now = scratch.keep(met.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "now")
