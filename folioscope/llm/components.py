@@ -13,11 +13,17 @@ def _nearest(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("arcs")).select("u", F.least("u", "m").alias("m"), "arcs")
 
 
+#: Nodes, of 24 bytes each, whose table is broadcast whole.
+FEW = 100_000
+
+
 def _pointed(arcs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``arcs`` with the nearest of their u, and the table of those, which is written once: joined by ``join_by`` where a node has a heavy share of the arcs."""
+    """``arcs`` with the nearest of their u, and the table of those, which is written once: broadcast if it has at most FEW rows, else joined by ``join_by`` where a node has a heavy share of the arcs."""
     near = scratch.keep(_nearest(arcs), "near")
-    total, most = near.agg(F.sum("arcs"), F.max("arcs")).first()
-    return join_by(arcs, near, "u", "arcs", total) if (most or 0) * HEAVY > (total or 0) else arcs.join(near, "u"), near
+    nodes, total, most = near.agg(F.count("*"), F.sum("arcs"), F.max("arcs")).first()
+    if nodes <= FEW:
+        return arcs.join(F.broadcast(near), "u"), near
+    return join_by(arcs, near, "u", "arcs", total) if most * HEAVY > total else arcs.join(near, "u"), near
 
 
 def _large_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
