@@ -47,6 +47,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, limit: i
     now = scratch.keep(edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct(), "edges")
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was = state(now)
+    if not was[0]:
+        return now.toDF("id", "component")
     for _ in range(limit):
         arcs, near = _large_star(now, scratch)
         half = scratch.keep(arcs.distinct(), "edges")

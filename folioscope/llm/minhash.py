@@ -266,18 +266,18 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig | None = None) -> DataFr
     named = components(spark, links, scratch)
     # Members of an entry that its smallest member doesn't link, or isn't even likely to, may link among themselves.
     label = lambda c: named.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
-    apart = meetings.join(label("u"), "u", "left").join(label("v"), "v", "left").where("coalesce(c_u, u) <> coalesce(c_v, v)").select("u", "v")
-    apart = scratch.keep(apart, "apart")
-    families = components(spark, meetings, scratch).withColumnRenamed("component", "family")
-    open_ = apart.join(families, apart["u"] == families["id"]).select("family").distinct()
-    open_ = scratch.keep(families.groupBy("family").agg(F.count("*").alias("many")).join(open_, "family", "left_semi"), "sizes")
-    open_ = scratch.keep(join_by(families, open_, "family", "many", families.count()).select("id", "family"), "open")
-    counts, few = _rarities(sets, open_, each, cfg, scratch)
+    # All other meetings are inside a component, so families are found over components instead of documents.
+    ends = F.coalesce("c_u", "u").alias("a"), F.coalesce("c_v", "v").alias("b")
+    apart = scratch.keep(meetings.join(label("u"), "u", "left").join(label("v"), "v", "left").select("u", "v", *ends).where("a <> b"), "apart")
+    families = components(spark, apart.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).toDF("component", "family")
     now = scratch.keep(met.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "now")
+    sizes = scratch.keep(now.groupBy("component").agg(F.count("*").alias("many")).join(families, "component"), "sizes")
+    open_ = scratch.keep(join_by(now, sizes, "component", "many", now.count()).select("id", "family"), "open")
+    counts, few = _rarities(sets, open_, each, cfg, scratch)
     more = _across(now, counts, few, apart, cfg, scratch).distinct().join(meetings, ["u", "v"], "left_anti")
     more = scratch.keep(_likely(more, reps, cfg), "more")
-    links = links.unionByName(_verified(more, sets, cfg))
-    named = components(spark, links, scratch)
+    stars = named.select(F.col("component").alias("u"), F.col("id").alias("v"))
+    named = components(spark, stars.unionByName(_verified(more, sets, cfg)), scratch)
     owner = each.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     out = owner.join(named, owner["rep"] == named["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
