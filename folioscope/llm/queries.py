@@ -83,8 +83,17 @@ def op10_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .hardneg import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op5_elias_fano_token_files, op6_projection_forest_dedup, op7_automaton_substring_dedup, op8_conflict_best_fit_packing, op9_unigram_round_trip, op10_unigram_token_counts)
+    every = (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op5_elias_fano_token_files, op6_projection_forest_dedup, op7_automaton_substring_dedup, op8_conflict_best_fit_packing, op9_unigram_round_trip, op10_unigram_token_counts, op11_hard_negatives)
     return {f.__name__: f for f in every}
 
 
@@ -125,6 +134,12 @@ c as (select distinct doc_id, i + k p from (select doc_id, i from g join f using
 x as (select doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) word from w),
 k as (select doc_id, count(c.p) n_removed, string_agg(x.word, ' ' order by p) filter (where c.p is null) kept from x left join c using (doc_id, p) group by 1)
 select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join k using (doc_id)""",
+    "op11_hard_negatives": """with v as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint label, list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings
+where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s as (select a.vec_id anchor_id, b.vec_id, a.label = b.label same, list_dot_product(a.q, b.q)::bigint score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, (row_number() over w)::int "rank", s.vec_id negative_id, positive_score, s.score negative_score from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id) qualify row_number() over w <= 3""",
 }
 
 
