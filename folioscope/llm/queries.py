@@ -92,8 +92,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+def op12_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op5_elias_fano_token_files, op6_projection_forest_dedup, op7_automaton_substring_dedup, op8_conflict_best_fit_packing, op9_unigram_round_trip, op10_unigram_token_counts, op11_hard_negatives)
+    every = (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op5_elias_fano_token_files, op6_projection_forest_dedup, op7_automaton_substring_dedup, op8_conflict_best_fit_packing, op9_unigram_round_trip, op10_unigram_token_counts, op11_hard_negatives, op12_warc_round_trip)
     return {f.__name__: f for f in every}
 
 
@@ -140,6 +146,11 @@ s as (select a.vec_id anchor_id, b.vec_id, a.label = b.label same, list_dot_prod
 p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
 select anchor_id, positive_id, (row_number() over w)::int "rank", s.vec_id negative_id, positive_score, s.score negative_score from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
 window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id) qualify row_number() over w <= 3""",
+    "op12_warc_round_trip": """with p as (select page_id, encode(coalesce(html, '')) b, sha1(encode(coalesce(html, ''))) h from pages),
+f as (select *, min(page_id) over (partition by h) first from p),
+g as (select page_id, k, ('0x' || h[5 * k + 1 : 5 * k + 5])::bigint v from f, range(8) t(k)),
+d as (select page_id, string_agg(list_aggregate(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> s) & 31) + 1]), 'string_agg', ''), '' order by k) payload_digest from g group by 1)
+select page_id, octet_length(b)::bigint payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to from f join d using (page_id)""",
 }
 
 
