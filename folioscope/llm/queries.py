@@ -98,8 +98,14 @@ def op12_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op13_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocation import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op5_elias_fano_token_files, op6_projection_forest_dedup, op7_automaton_substring_dedup, op8_conflict_best_fit_packing, op9_unigram_round_trip, op10_unigram_token_counts, op11_hard_negatives, op12_warc_round_trip)
+    every = (op1_minhash_near_dedup, op2_byte_conv_quality, op3_kmeans_tree_neighbours, op4_suffix_family_dedup, op5_elias_fano_token_files, op6_projection_forest_dedup, op7_automaton_substring_dedup, op8_conflict_best_fit_packing, op9_unigram_round_trip, op10_unigram_token_counts, op11_hard_negatives, op12_warc_round_trip, op13_pivot_collocations)
     return {f.__name__: f for f in every}
 
 
@@ -151,6 +157,19 @@ f as (select *, min(page_id) over (partition by h) first from p),
 g as (select page_id, k, ('0x' || h[5 * k + 1 : 5 * k + 5])::bigint v from f, range(8) t(k)),
 d as (select page_id, string_agg(list_aggregate(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> s) & 31) + 1]), 'string_agg', ''), '' order by k) payload_digest from g group by 1)
 select page_id, octet_length(b)::bigint payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to from f join d using (page_id)""",
+    "op13_pivot_collocations": f"""with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') w from p),
+s as (select lang, w, unnest(range(1, len(w) + 1)) i from w),
+g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') phrase from s, range(1, 6) t(k) where i + k - 1 <= len(w)),
+f as (select lang, k, phrase, count(*) f from g group by all having count(*) >= 100 or k = 1),
+n as (select lang, sum(f)::bigint n from f where k = 1 group by 1),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') w from f where k > 1),
+sub as (select lang, array_to_string(w[i : i + m - 1], ' ') phrase, max(a) longer from c, range(2, 5) t(m), range(1, 5) u(i) where m < k and i + m - 1 <= k group by 1, 2),
+kept as (select c.* from c left join sub using (lang, phrase) where coalesce(100 * longer < 100 * a, true)),
+cut as (select kept.lang, kept.phrase, a, l.f l, r.f r, n, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint score, t.i from kept, range(1, 5) t(i), f l, f r, n
+where t.i < kept.k and l.lang = kept.lang and r.lang = kept.lang and n.lang = kept.lang and l.phrase = array_to_string(kept.w[1 : t.i], ' ') and r.phrase = array_to_string(kept.w[t.i + 1 :], ' ')),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, i) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) "rank", phrase, a, l, r, n, score from best qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000""",
 }
 
 
