@@ -222,12 +222,14 @@ def salvage(src: Source) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(offset, length, record, None) of each record, (offset, length, None, reason) of each gap, in file order.
 
     The length of a record in a member is the member's where it is alone in it, else 0 for all but the first; records
-    that were recovered from a damaged member have length 0, for its bytes belong to the gap, and ``salvaged``.
+    that were recovered from a damaged member have length 0, for its bytes belong to the gap, and ``salvaged``. Those of
+    them that also stand in the file as they are (a member may store without compressing) come once, as plain records.
     """
-    at, bad, why, saved = 0, -1, "", []
+    at, bad, why, saved = 0, -1, "", {}
     while at < src.size:
         start, records, reason, end = at, [], "", -1
-        if src(at, 3) == b"\x1f\x8b\x08":
+        member = src(at, 3) == b"\x1f\x8b\x08"
+        if member:
             content, end, reason = _inflated(src, at)
             read, place = (lambda i, n: content[i : i + n]), 0  # noqa: B023
             try:
@@ -245,19 +247,22 @@ def salvage(src: Source) -> Iterator[tuple[int, int, dict | None, str | None]]:
         if not reason and records:
             if bad >= 0:
                 yield bad, start - bad, None, why
-                yield from saved
-                bad, saved = -1, []
+                bad = -1
+            if member:
+                yield from saved.values()
+                saved = {}
             for k, got in enumerate(records):
+                saved.pop(got.get("warc-record-id"), None)
                 yield start, 0 if k else end - start, got | {"salvaged": False}, None
             at = end
             continue
         if bad < 0:
             bad, why = start, reason or "empty member"
-        saved += [(start, 0, got | {"salvaged": True}, None) for got in records if got["proved"]]
+        saved |= {got.get("warc-record-id") or (start, k): (start, 0, got | {"salvaged": True}, None) for k, got in enumerate(records) if got["proved"]}
         at = end if end > start else src.candidate(start + 1)
     if bad >= 0:
         yield bad, src.size - bad, None, why
-        yield from saved
+    yield from saved.values()
 
 
 READ = "archive string, offset long, length long, reason string, salvaged boolean, record_id string, record_type string, page_id long, refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary"

@@ -18,7 +18,7 @@ QUERIES = queries()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     return con
 
@@ -28,8 +28,8 @@ def texts(duck):
     return dict(duck.execute("select doc_id, text from documents").fetchall())
 
 
-def test_ten_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
