@@ -208,9 +208,15 @@ def _inflated(src: Source, at: int) -> tuple[bytes, int, str]:
         step = src(place, 1 << 16)
         if not step:
             return b"".join(parts), -1, "member is cut off"
+        before = inflate.copy()
         try:
             parts.append(inflate.decompress(step))
-        except zlib.error:
+        except zlib.error:  # what comes before the damage, nearly to the byte
+            try:
+                for k in range(0, len(step), 64):
+                    parts.append(before.decompress(step[k : k + 64]))
+            except zlib.error:
+                pass
             return b"".join(parts), -1, "member is damaged"
         place += len(step)
         if len(parts) == 1 and not b"WARC/".startswith(parts[0][:5]) and not parts[0].startswith(b"WARC/"):
