@@ -225,12 +225,16 @@ def neighbours(vectors: DataFrame, is_query: F.Column, cfg: TreeConfig | None =
 
     ``vectors`` has vec_id and embedding; other columns are ignored. Vectors that are null, zero, of another length than
     the commonest of the sample, or that hold null or non-finite components take no part on either side, nor do rows
-    without a vec_id. Ties go to the smaller vec_id; a query's own vec_id is no candidate. An empty table gives no rows.
+    without a vec_id. Rows that share a vec_id are one, with the smallest of their vectors that are whole; it is a query if one of
+    them is. Ties go to the smaller vec_id; a query's own vec_id is no candidate. An empty table gives no rows.
     """
     cfg = cfg or TreeConfig()
     spark = vectors.sparkSession
     scratch = Scratch(spark, "kmtree")
-    vectors = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("ask"))
+    number = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = number & F.exists("embedding", lambda x: x != 0)
+    vectors = vectors.where(F.col("vec_id").isNotNull() & usable).select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("ask"))
+    vectors = vectors.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.bool_or("ask").alias("ask"))
     tree = Tree(sample(vectors, cfg.sample), cfg)
     k, dim = cfg.k, tree.dim
     filed, held = _filed(vectors, tree, scratch)
@@ -244,18 +248,16 @@ def neighbours(vectors: DataFrame, is_query: F.Column, cfg: TreeConfig | None =
     queries = filed.where("ask")
     most = _calibrated(filed, queries, tree, cfg)
     held = spark.sparkContext.broadcast(held)
-    own = filed.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
 
     def walk(batches):
         for rows in batches:
             pick, q = matrix(rows.column("embedding"), dim)
-            least = rows.column("own").to_numpy()[pick] + k if len(pick) else []
             for at in range(0, len(pick), 50):
-                some = [shared.value.visit(v, most, held.value, int(n)) for v, n in zip(unit(q[at : at + 50]), least[at : at + 50], strict=True)]
+                some = [shared.value.visit(v, most, held.value, k + 1) for v in unit(q[at : at + 50])]
                 out = rows.take(pa.array(np.repeat(pick[at : at + 50], [len(x) for x in some]), pa.int64()))
                 yield pa.RecordBatch.from_arrays([out.column("vec_id"), out.column("embedding"), pa.array(np.concatenate(some), pa.int32())], names=["query_id", "asked", "leaf"])
 
-    visits = scratch.keep(queries.join(own, "vec_id").mapInArrow(walk, f"query_id long, asked {kind}, leaf int"), "visits")
+    visits = scratch.keep(queries.mapInArrow(walk, f"query_id long, asked {kind}, leaf int"), "visits")
     blocks = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / cfg.block).cast("int").alias(name))
     plan = F.broadcast(blocks(filed, "nv").join(blocks(visits, "nq"), "leaf"))  # one row a leaf: bounded by cfg.sample
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")

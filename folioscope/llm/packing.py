@@ -2,7 +2,8 @@
 
 Documents are dealt to shards of bounded size by the hash of doc_id. In a shard, longest first, each goes to the open bin
 with the least room that still holds it and doesn't conflict with it: bins stand by room left, and the search goes from
-one room to the next larger one until the tightest compatible bin is found; if there is none, a bin is opened.
+one room to the next larger one until the tightest compatible bin is found, of equal rooms the bin that came to it first;
+if there is none, a bin is opened.
 
 A bin carries bitmaps over the shard's duplicate clusters and sources. It takes no second document of a cluster, and at
 most cfg.per_source documents of a source.

@@ -5,6 +5,9 @@ Aho-Corasick automaton over the same trie and carries the best score and its num
 tie rules: of paths with the same score to a place, the one whose last piece starts first stays; a character that is no
 piece by itself costs the smallest score less 10 and falls back to its bytes.
 
+A vocabulary of another kind, whose pieces are ranked instead of scored, is read as a unigram model by Zipf's law: see
+``as_unigram``.
+
 Spaces are written as the marker U+2581 and one stands before every text that isn't empty. No piece has a marker after
 another character, so a text falls into chunks (markers and what follows them) that are solved once a batch each;
 scores add up in double precision, exactly for whole-numbered scores, where the library rounds to single precision.
@@ -34,6 +37,31 @@ LONG = 64
 _STEP = 2 << 20
 
 
+#: Scores are multiples of 1 / STEPS, so that sums of them are exact in the library's single precision up to 1,000,000.
+STEPS = 16
+
+
+def as_unigram(path: str) -> bytes:
+    """The vocabulary file as a unigram model that the library can load.
+
+    A unigram file stays as it is. Others order their pieces by rank, the score less its sign: nothing is trained, the
+    rank r stands for the log probability -ln((r + 1) H), with H the sum of all 1 / (r + 1), rounded to 1 / STEPS. Ranks behind the last piece count as the last.
+    """
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    if model.trainer_spec.model_type != model.trainer_spec.UNIGRAM:
+        model.trainer_spec.model_type = model.trainer_spec.UNIGRAM
+        plain = [p for p in model.pieces if p.type == p.NORMAL]
+        ranks = np.minimum([-p.score for p in plain], len(model.pieces))
+        scores = -np.log((ranks + 1) * (1 / (ranks + 1)).sum())
+        for p, score in zip(plain, np.round(scores * STEPS) / STEPS, strict=True):
+            p.score = score
+    return model.SerializeToString()
+
+
 @dataclass
 class Vocabulary:
     """Pieces that match text (ids, scores, bytes), the ids of the 256 byte pieces (-1 without fallback), the unknown id and its score."""
@@ -51,7 +79,7 @@ class Vocabulary:
     def load(path: str) -> Vocabulary:
         from sentencepiece import SentencePieceProcessor
 
-        sp = SentencePieceProcessor(model_file=path)
+        sp = SentencePieceProcessor(model_proto=as_unigram(path))
         rows = [(i, sp.id_to_piece(i), sp.get_score(i), sp.is_byte(i), sp.is_control(i) or sp.is_unknown(i), sp.is_unused(i)) for i in range(sp.get_piece_size())]
         return Vocabulary.build(rows, sp.unk_id())
 

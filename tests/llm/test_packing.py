@@ -58,6 +58,35 @@ def test_whole_table(small):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, pack(items(small.repartition(7)), cfg).collect()))
 
 
+def test_rows_by_plain_search(spark, small):
+    """Every bin and slot, from the definition; with texts over 100,000 tokens and equal rows among them."""
+    long = spark.createDataFrame([(10_000, 150_000, "s", None), (10_001, 64, None, 5), (10_001, 64, None, 5), (10_002, 64, None, None)], "doc_id long, n_tokens long, source string, cluster long")
+    table = items(small).unionByName(long)
+    for cfg in (PackingConfig(), PackingConfig(capacity=900, per_source=2, shard=70)):
+        given = {(r["doc_id"], r["n_tokens"]): (r["source"], r["cluster"]) for r in table.collect()}
+        size = {d: n for d, n in given}
+        shards = defaultdict(list)
+        got = [tuple(r) for r in pack(table, cfg).collect()]
+        for doc, part, start, n, bin_id, slot, used in got:
+            assert start == part * cfg.capacity and n == min(size[doc] - start, cfg.capacity)
+            source, cluster = given[doc, size[doc]]
+            shards[bin_id >> 32].append((-n, doc, part, source, cluster))
+        assert sum(map(len, shards.values())) == sum(-(-r["n_tokens"] // cfg.capacity) for r in table.collect())
+        want = []
+        for shard, rows in shards.items():
+            bins = []  # [room, when it came to that room, rows]
+            for turn, row in enumerate(sorted(rows, key=lambda x: x[:3])):
+                n, source, cluster = -row[0], *row[3:]
+                fits = [b for b in bins if b[0] >= n and (source is None or sum(x[3] == source for x in b[2]) < cfg.per_source) and (cluster is None or all(x[4] != cluster for x in b[2]))]
+                b = min(fits, key=lambda b: b[:2], default=None)
+                if b is None:
+                    bins.append(b := [cfg.capacity, 0, []])
+                b[:2] = b[0] - n, turn
+                b[2].append(row)
+            want += [(x[1], x[2], x[2] * cfg.capacity, -x[0], (shard << 32) + i, k, cfg.capacity - b[0]) for i, b in enumerate(bins) for k, x in enumerate(b[2])]
+        assert sorted(got) == sorted(want)
+
+
 def test_hard_rows(spark, hard, nothing):
     cfg = PackingConfig(capacity=64)
     good = hard.where("doc_id is not null")

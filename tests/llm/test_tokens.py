@@ -82,18 +82,11 @@ def test_added_tokens_as_the_loaded_tokenizer_reads_them(spark):
 
 
 @pytest.fixture(scope="module")
-def mild():
-    """The vocabulary with its merely forbidden pieces at -33000 in place of -1e9, so that single precision is exact: a solver, and the library's unigram model of it."""
+def loaded():
+    """The solver of the vocabulary file, and the library with the same unigram model."""
     import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2
 
-    m = sentencepiece_model_pb2.ModelProto()
-    m.ParseFromString(open(PIECES, "rb").read())
-    m.trainer_spec.model_type = 1
-    for p in m.pieces:
-        p.score = max(p.score, -33000)
-    rows = [(i, p.piece, p.score, p.type == 6, p.type in (2, 3), p.type == 5) for i, p in enumerate(m.pieces)]
-    return unigram.Solver(unigram.Vocabulary.build(rows, 0)), sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    return unigram.solver(PIECES), sentencepiece.SentencePieceProcessor(model_proto=unigram.as_unigram(PIECES))
 
 
 def encoded(solver, texts):
@@ -101,8 +94,8 @@ def encoded(solver, texts):
     return [ids[a:b].tolist() for _, ids, ptr in unigram.encode_texts(iter([batch]), solver) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
 
 
-def test_encoding_and_decoding_as_the_library(mild):
-    solver, sp = mild
+def test_encoding_and_decoding_as_the_library(loaded):
+    solver, sp = loaded
     r = random.Random(1)
     texts = ["".join(r.choices(ODD, k=r.randint(0, 14))) for _ in range(1500)] + [None, "", "x" * 300, "日本" * 200, "the " * 50]
     for text, ids in zip(texts, encoded(solver, texts), strict=True):
@@ -110,8 +103,31 @@ def test_encoding_and_decoding_as_the_library(mild):
         assert solver.decode(np.array(ids, dtype=np.int64)) == sp.decode(ids) == (text or "").replace("▁", " ")
 
 
-def test_decoding_of_broken_bytes(mild):
-    solver, sp = mild
+def test_whole_table_as_the_library(spark, hard, small, loaded):
+    """Ids and counts of every document; common words are single pieces."""
+    _, sp = loaded
+    for df in (hard.where("doc_id is not null"), small):
+        texts = [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+        want = sorted((d, sp.encode(t)) for d, t in texts)
+        assert sorted((r["doc_id"], list(r["ids"])) for r in unigram.encode(df, PIECES).collect()) == want
+        assert sorted((r["doc_id"], r["n_tokens"]) for r in unigram.token_counts(df, PIECES).collect()) == [(d, len(x)) for d, x in want]
+        crc = [(d, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for d, x in want]
+        assert sorted((r["doc_id"], r["n_ids"], r["ids_crc32"]) for r in unigram.round_trip(df, PIECES).collect()) == sorted(crc)
+    assert [sp.encode_as_pieces(w) for w in ("one", "the language")] == [["▁one"], ["▁the", "▁language"]]
+
+
+def test_unigram_files_stay_as_they_are(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(unigram.as_unigram(PIECES))
+    model.pieces[300].score = -1.25
+    (tmp_path / "m").write_bytes(model.SerializeToString())
+    assert unigram.as_unigram(str(tmp_path / "m")) == model.SerializeToString()
+
+
+def test_decoding_of_broken_bytes(loaded):
+    solver, sp = loaded
     for ids in ([3 + 0xE3, 3 + 0x81], [3 + 0xFF, 300], []):
         assert solver.decode(np.array(ids, dtype=np.int64)) == sp.decode(ids)
 

@@ -45,6 +45,18 @@ def test_ties_go_to_the_smaller_id(cloud):
     assert list(got.vec_id) == [400, 401, 402, 403, 404]
 
 
+def test_repeated_rows_are_one(cloud, spark):
+    """Queries and candidates that repeat, a repeat with another vector, one that takes no part."""
+    df, x = cloud
+    again = df.where("vec_id in (0, 5, 409, 400)")
+    larger = df.where("vec_id = 10").withColumn("embedding", F.transform("embedding", lambda c: F.abs(c) + 1))
+    broken = spark.createDataFrame([(15, [float("nan")] * 16, 0, "z")], SCHEMA)
+    ask = F.col("vec_id") % 5 == 0
+    want = sorted(map(tuple, neighbours(df, ask, TreeConfig(leaf=16)).collect()))
+    got = sorted(map(tuple, neighbours(df.unionByName(again).unionByName(again).unionByName(larger).unionByName(broken), ask, TreeConfig(leaf=16)).collect()))
+    assert got == want and len(got) == 5 * 120
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0, "z"), (1, [0.0, 1.0], 0, "z")], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in neighbours(df, F.lit(True)).orderBy("query_id").collect()] == [(0, 1, 1), (1, 1, 0)]
