@@ -28,14 +28,15 @@ from .common import Scratch, join_by, mix, partitions, text_steps, word_hashes,
 
 @dataclass(frozen=True)
 class CollocationConfig:
-    """least: occurrences of a candidate. longest: its words at most. share: a candidate goes if a longer one that holds it has so many hundredths of its occurrences. top: phrases of a language. cells: counters, a power of two. tokens: words whose fragments one task mines, about; a pivot with more is dealt to several. step: bytes of text at a time."""
+    """least: occurrences of a candidate. longest: its words at most. share: a candidate goes if a longer one that holds it has so many hundredths of its occurrences. top: phrases of a language. cells: counters, a power of two. tokens: words whose fragments one task mines, about, in ``turns`` turns; a pivot with more than one turn takes is dealt to several parts. step: bytes of text at a time."""
 
     least: int = 100
     longest: int = 5
     share: int = 100
     top: int = 2000
     cells: int = 1 << 20
-    tokens: int = 3_000_000
+    tokens: int = 12_000_000
+    turns: int = 4
     step: int = 8 << 20
 
 
@@ -93,11 +94,28 @@ def _words(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Words | N
     return Words(entry, text, np.cumsum(new), lang.dictionary.take(pa.array(of)), kinds.take(pa.array(word)).cast(pa.large_string()).cast(pa.string()), mix(hashes[word] ^ seeds[of]), many)
 
 
+def _steps(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """``text_steps`` over batches put together until they have ``step`` bytes of text: a step's words are told apart once."""
+
+    def gathered():
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= step:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return text_steps(gathered(), step=step)
+
+
 def word_counts(docs: DataFrame, cells: int, step: int) -> DataFrame:
     """lang, word, cell (its counter), n: the occurrences of every word."""
 
     def count(batches):
-        for rows, buf, offs in text_steps(batches, step=step):
+        for rows, buf, offs in _steps(batches, step):
             w = _words(rows, buf, offs)
             if w is not None:
                 yield pa.RecordBatch.from_arrays([w.langs, w.words, pa.array((w.hashes & np.uint64(cells - 1)).astype(np.int32)), pa.array(w.many)], names=["lang", "word", "cell", "n"])
@@ -123,49 +141,71 @@ def _reach(order: np.ndarray, piece: np.ndarray, most: int) -> tuple[np.ndarray,
     return left, right
 
 
-_FRAGMENTS = "part int, whole boolean, n int, ids int, wide boolean, entries array<string>, body binary"
+_FRAGMENTS = "part int, whole boolean, wide boolean, kinds int, chars int, langs array<string>, entries binary, n array<int>, ids array<int>, bodies array<binary>"
+
+
+def _planes(x: np.ndarray, wide: bool) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: like bytes together compress better."""
+    return x.astype("<u4" if wide else "<u2").view(np.uint8).reshape(len(x), 4 if wide else 2).T.tobytes()
+
+
+def _unplaned(raw: bytes, offset: int, n: int, wide: bool) -> np.ndarray:
+    width = 4 if wide else 2
+    return np.frombuffer(raw, dtype=np.uint8, offset=offset, count=n * width).reshape(width, n).T.copy().view("<u4" if wide else "<u2").reshape(n)
 
 
 def _fragments(w: Words, doc_ids: np.ndarray, counters: np.ndarray, parts: int, cfg: CollocationConfig) -> Iterator[tuple]:
-    """A row for each part: its fragments as one body (places left and right of the pivot, then the entries of all words), compressed, and the entries."""
+    """A row for each part: its fragments' entries, the commonest first, and for each turn a body of the fragments: places left and right of the pivot, then which entries their words are."""
     count = counters[(w.hashes & np.uint64(cfg.cells - 1)).astype(np.int64)]
     rank = np.where(count >= cfg.least, (count << 20) | (w.hashes >> np.uint64(44)).astype(np.int64), -1)
     order = rank[w.entry]
     left, right = _reach(order, w.piece, cfg.longest - 1)
     at = np.flatnonzero((order >= 0) & (left + right > 0))
+    if not len(at):
+        return
     pivot, left, right = w.entry[at], left[at], right[at]
-    many = -(-count // cfg.tokens)[pivot]  # parts that share the pivot
+    many = -(-count * cfg.turns // cfg.tokens)[pivot]  # parts that share the pivot
     whole = many <= 1
     home = w.hashes[pivot]
     spread = mix(doc_ids[w.text[at]].astype(np.uint64) + np.uint64(1)) % np.maximum(many, 1).astype(np.uint64)
     part = ((home >> np.uint64(8)) + np.where(whole, np.uint64(0), spread)) % np.uint64(parts)
-    group, which, held = np.unique(part.astype(np.int64) * 2 + whole, return_inverse=True, return_counts=True)
-    turn = np.argsort(which, kind="stable")
-    at, left, right = at[turn], left[turn], right[turn]
-    names = pc.binary_join_element_wise(w.langs, w.words, "\n")
-    ends = np.cumsum(held)
-    for g, hi, n in zip(group.tolist(), ends.tolist(), held.tolist(), strict=True):
-        p, lo, up = at[hi - n : hi], left[hi - n : hi].astype(np.int64), right[hi - n : hi].astype(np.int64)
-        size = lo + up + 1
-        ids = w.entry[np.repeat(p - lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        kept, ids, _ = _dense(ids, len(rank))
-        wide = len(kept) > 1 << 16
-        body = (lo * 16 + up).astype(np.uint8).tobytes() + ids.astype("<u4" if wide else "<u2").tobytes()
-        yield g // 2, bool(g % 2), n, len(ids), wide, names.take(pa.array(kept)), pa.compress(body, "zstd", asbytes=True)
-
-
-def _read(rows: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(entries, words of all fragments end to end, places left, places right) of ``_fragments``' rows."""
-    names, words, sides, before = [], [], [], 0
-    for n, many, wide, entries, body in rows:
-        raw = pa.decompress(body, n + many * (4 if wide else 2), "zstd", asbytes=True)
-        sides.append(np.frombuffer(raw, dtype=np.uint8, count=n))
-        words.append(np.frombuffer(raw, dtype="<u4" if wide else "<u2", offset=n).astype(np.int64) + before)
-        names.append(entries)
-        before += len(entries)
-    coded = pa.concat_arrays(names).dictionary_encode()
-    side = np.concatenate(sides).astype(np.int64)
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)[np.concatenate(words)], side // 16, side % 16
+    turn = (mix(home) % np.uint64(cfg.turns)).astype(np.int64)
+    _, which, held = _dense((part.astype(np.int64) * 2 + whole) * cfg.turns + turn, parts * 2 * cfg.turns)
+    sort = np.argsort(which, kind="stable")
+    at, left, right, part, whole, turn = at[sort], left[sort].astype(np.int64), right[sort].astype(np.int64), part[sort], whole[sort], turn[sort]
+    size = left + right + 1
+    ends = np.concatenate([[0], np.cumsum(size)])
+    first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (whole[1:] != whole[:-1])])
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+        some = size[lo:hi]
+        ids = w.entry[np.repeat(at[lo:hi] - left[lo:hi] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))]
+        kept, ids, often = _dense(ids, len(rank))
+        common = np.argsort(-often, kind="stable")
+        place = np.empty(len(kept), dtype=np.int64)
+        place[common] = np.arange(len(kept))
+        ids, kept, wide = place[ids], pa.array(kept[common]), len(kept) > 1 << 16
+        langs = w.langs.take(kept).dictionary_encode()
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), w.words.take(kept)), " ")[0].as_py().encode()
+        entries = _planes(langs.indices.to_numpy(), True) + words
+        bodies, n, each = [], [], []
+        for t in range(cfg.turns):
+            a, b = lo + np.searchsorted(turn[lo:hi], [t, t + 1])
+            mine = ids[ends[a] - ends[lo] : ends[b] - ends[lo]]
+            n.append(int(b - a))
+            each.append(len(mine))
+            bodies.append(pa.compress((left[a:b] * 16 + right[a:b]).astype(np.uint8).tobytes() + _planes(mine, wide), "zstd", asbytes=True))
+        yield int(part[lo]), bool(whole[lo]), wide, len(kept), len(entries), langs.dictionary.to_pylist(), pa.compress(entries, "zstd", asbytes=True), n, each, bodies
+
+
+def _entries(row: tuple) -> tuple[pa.Array, pa.Array]:
+    """(languages, words) of a row of ``_fragments``."""
+    _, kinds, chars, langs, entries, *_ = row
+    raw = pa.decompress(entries, chars, "zstd", asbytes=True)
+    text = np.frombuffer(raw, dtype=np.uint8, offset=4 * kinds)
+    space = np.flatnonzero(text == 0x20)
+    ends = np.concatenate([[0], space - np.arange(len(space)), [len(text) - len(space)]]).astype(np.int32)
+    words = pa.StringArray.from_buffers(kinds, pa.py_buffer(ends), pa.py_buffer(text[text != 0x20]))
+    return pa.array(langs).take(pa.array(_unplaned(raw, 0, kinds, True))), words
 
 
 # -- mining -------------------------------------------------------------------------------------------------------------
@@ -201,39 +241,51 @@ def _mined(words: np.ndarray, left: np.ndarray, right: np.ndarray, kinds: int, l
 
 
 def _phrases(rows: list[tuple], cfg: CollocationConfig, least: int) -> Iterator[pa.RecordBatch]:
-    entries, words, left, right = _read(rows)
-    both = pc.split_pattern(entries, "\n", max_splits=1, reverse=True)
-    langs, names = (pc.list_element(both, k) for k in (0, 1))
-    for _, phrases, many in _mined(words, left, right, len(entries), cfg.longest, least):
-        columns = [names.take(pa.array(phrases[:, c])) for c in range(phrases.shape[1])]
-        yield pa.RecordBatch.from_arrays([langs.take(pa.array(phrases[:, 0])), pc.binary_join_element_wise(*columns, " "), pa.array(many)], names=["lang", "phrase", "a"])
+    """(lang, phrase, a) of what ``_fragments``' rows hold; the bodies of one turn are unpacked at a time."""
+    langs, words = (pa.concat_arrays(x) for x in zip(*map(_entries, rows), strict=True))
+    langs, words = langs.dictionary_encode(), words.dictionary_encode()
+    every, code, _ = _dense(langs.indices.to_numpy().astype(np.int64) * len(words.dictionary) + words.indices.to_numpy(), len(langs.dictionary) * len(words.dictionary))
+    of, word = np.divmod(every, len(words.dictionary))
+    langs, names = langs.dictionary.take(pa.array(of)), words.dictionary.take(pa.array(word))
+    starts = np.concatenate([[0], np.cumsum([r[1] for r in rows])])
+    for t in range(cfg.turns):
+        ids, sides = [], []
+        for (wide, _, _, _, _, n, each, bodies), start in zip(rows, starts[:-1], strict=True):
+            raw = pa.decompress(bodies[t], n[t] + each[t] * (4 if wide else 2), "zstd", asbytes=True)
+            sides.append(np.frombuffer(raw, dtype=np.uint8, count=n[t]))
+            ids.append(code[_unplaned(raw, n[t], each[t], wide) + start].astype(np.int32))
+        side = np.concatenate(sides).astype(np.int64)
+        for _, phrases, many in _mined(np.concatenate(ids), side // 16, side % 16, len(every), cfg.longest, least):
+            columns = [names.take(pa.array(phrases[:, c])) for c in range(phrases.shape[1])]
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(phrases[:, 0])), pc.binary_join_element_wise(*columns, " "), pa.array(many)], names=["lang", "phrase", "a"])
 
 
 def frequent_phrases(docs: DataFrame, counters: np.ndarray, tokens: int, cfg: CollocationConfig) -> DataFrame:
     """lang, phrase, a: phrases of two words or more with their occurrences, cfg.least or more; exact."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counters)  # cfg.cells numbers
-    parts = max(partitions(spark), -(-tokens // cfg.tokens))
-    step, most = cfg.step, 8 * cfg.tokens
+    parts = max(-(-tokens // cfg.tokens), min(partitions(spark), spark.sparkContext.defaultParallelism))
+    step, most = cfg.step, 12 * cfg.tokens
+
+    names = [c.split()[0] for c in _FRAGMENTS.split(", ")]
+    ints = pa.list_(pa.int32())
+    types = [pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.binary(), ints, ints, pa.list_(pa.binary())]
 
     def cut(batches):
-        for rows, buf, offs in text_steps(batches, step=step):
+        for rows, buf, offs in _steps(batches, step):
             w = _words(rows, buf, offs)
             out = [] if w is None else list(_fragments(w, rows.column("dealt").to_numpy(), shared.value, parts, cfg))
             if out:
-                part, whole, n, ids, wide, entries, body = zip(*out, strict=True)
-                bounds = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(whole), pa.array(n, pa.int32()), pa.array(ids, pa.int32()), pa.array(wide), pa.ListArray.from_arrays(pa.array(bounds), pa.concat_arrays(entries)), pa.array(body, pa.binary())], names=["part", "whole", "n", "ids", "wide", "entries", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def mine(batches):
         held: dict[bool, list] = {True: [], False: []}
         size, over = 0, False
         for batch in batches:
-            columns = [batch.column(c) for c in ("n", "ids", "wide", "entries", "body")]
+            columns = [batch.column(c) for c in names[2:]]
             for i, whole in enumerate(batch.column("whole").to_pylist()):
-                n, many, wide, entries, body = (c[i] for c in columns)
-                held[whole].append((n.as_py(), many.as_py(), wide.as_py(), entries.values, body.as_py()))
-                size += many.as_py()
+                held[whole].append(tuple(c[i].as_py() for c in columns))
+                size += sum(held[whole][-1][6])
                 if size > most:  # what has come so far is reported unpruned, and so is the rest
                     over = True
                     for rows in filter(None, held.values()):

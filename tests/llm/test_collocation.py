@@ -49,7 +49,7 @@ def rows():
     return out + [(None, "the of the of the of", "en"), (3, None, "en"), (4, "", None), (5, " \t\n.,", "xx"), (6, "the the the the the the the " * 40, "en"), (7, "of the " * 900, "de"), (7, "of the " * 900, "de")]
 
 
-@pytest.mark.parametrize("cfg", [CollocationConfig(least=5), CollocationConfig(least=3, longest=3, share=60, top=15), CollocationConfig(least=4, cells=16, tokens=300, step=2000), CollocationConfig(least=5, cells=1, tokens=20, step=500)])
+@pytest.mark.parametrize("cfg", [CollocationConfig(least=5), CollocationConfig(least=3, longest=3, share=60, top=15), CollocationConfig(least=4, cells=16, tokens=300, turns=2, step=2000), CollocationConfig(least=5, cells=1, tokens=20, turns=1, step=500)])
 def test_against_brute_force(spark, cfg):
     """With few counters words share them; with few tokens a task, pivots are dealt to several and tasks report unpruned."""
     docs = spark.createDataFrame([(*x, "a", "n", "s", "p", "r") for x in rows()], SCHEMA).repartition(3)
