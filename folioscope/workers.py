@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ARCHIVE = "folioscope.zip"
 
@@ -36,3 +37,35 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(home.rglob("*.py")):
             z.write(f, f.relative_to(home.parent))
     sc.addPyFile(str(to))
+
+
+class Shared:
+    """Tables under the shared checkpoint folder: they cut lineage, survive a lost executor, and go with ``drop`` or, all at once, with ``clear``."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` and returns the written table."""
+        path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.base)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    fs, p = _hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
