@@ -37,7 +37,7 @@ class CollocationConfig:
     cells: int = 1 << 20
     tokens: int = 12_000_000
     turns: int = 4
-    step: int = 8 << 20
+    step: int = 4 << 20
 
 
 #: Lower case for A-Z, and a line feed for what ends a piece.
