@@ -51,12 +51,12 @@ def _part(spark: SparkSession, path: str, kind: str, names: list[str]) -> DataFr
 
 
 def _blocks(postings: DataFrame, cfg: TextIndexConfig) -> DataFrame:
-    """Blocks of postings (lexeme, doc_id, tf, len); one shuffle deals them out and groups them."""
+    """Blocks of postings (part, lexeme, doc_id, tf, len); one shuffle deals them out and groups them."""
     rows = postings.withColumn("range", F.floor(F.col("doc_id") / cfg.span).cast("long"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(cfg.buckets)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("range"), F.lit(cfg.slices)).cast("int"))
-    grouped = rows.repartition("bucket", "slice").groupBy("bucket", "slice", "lexeme", "range").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("p"))  # cfg.span postings at most
+    grouped = rows.repartition("bucket", "slice").groupBy("bucket", "slice", "lexeme", "range", "part").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("p"))  # cfg.span postings at most
     field = lambda name: F.transform("p", lambda x: x[name])
-    return grouped.select("bucket", "lexeme", "range", F.size("p").alias("n"), F.array_max(field("tf")).alias("most"), F.array_min(field("len")).alias("short"), field("doc_id").alias("docs"), field("tf").alias("tfs"), field("len").alias("lens"))
+    return grouped.select("bucket", "lexeme", "range", "part", F.size("p").alias("n"), F.array_max(field("tf")).alias("most"), F.array_min(field("len")).alias("short"), field("doc_id").alias("docs"), field("tf").alias("tfs"), field("len").alias("lens"))
 
 
 def _write(blocks: DataFrame, docs: DataFrame, path: str) -> tuple[str, int, int]:
@@ -70,26 +70,27 @@ def _write(blocks: DataFrame, docs: DataFrame, path: str) -> tuple[str, int, int
 def _merged(spark: SparkSession, path: str, names: list[str], cfg: TextIndexConfig) -> tuple[str, int, int]:
     """Segments as one: blocks of the same lexeme and range are put together."""
     rows = _part(spark, path, "segments", names).withColumn("x", F.explode(F.arrays_zip("docs", "tfs", "lens")))
-    postings = rows.select("lexeme", F.col("x.docs").alias("doc_id"), F.col("x.tfs").alias("tf"), F.col("x.lens").alias("len"))
+    postings = rows.select("lexeme", "part", F.col("x.docs").alias("doc_id"), F.col("x.tfs").alias("tf"), F.col("x.lens").alias("len"))
     return _write(_blocks(postings, cfg), _part(spark, path, "docs", names).select("doc_id", "len"), path)
 
 
 def add(docs: DataFrame, path: str, cfg: TextIndexConfig | None = None) -> None:
-    """Adds documents (doc_id, text) to the index at ``path``, which the first call makes.
+    """Adds documents (doc_id, text and, if searches are to be kept to a part of them, part) to the index at ``path``, which the first call makes.
 
-    Tokens are folded. Documents that the index has already, and rows without a doc_id, are left out; of rows that share
-    one, the smallest text counts. Null texts are empty; documents without tokens count in the statistics only. A batch without new documents changes nothing.
+    Tokens are folded. A part is a string, such as a language; null is a part that no question names. Documents that the index has already, and rows without a doc_id, are left out; of rows that share
+    one, the smallest text counts, with its part. Null texts are empty; documents without tokens count in the statistics only. A batch without new documents changes nothing.
     One writer at a time.
     """
     cfg = cfg or TextIndexConfig()
     spark = docs.sparkSession
     version, segments = _manifest(spark, path)
-    new = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"))
+    part = F.col("part").cast("string") if "part" in docs.columns else F.lit(None).cast("string")
+    new = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.struct(F.col("text"), part.alias("part"))).alias("x")).select("doc_id", "x.*")
     if segments:
         new = new.join(_part(spark, path, "docs", [s[0] for s in segments]), "doc_id", "left_anti")
-    words = new.select("doc_id", F.coalesce(tokens(fold("text")), F.array().cast("array<string>")).alias("w"))
+    words = new.select("doc_id", "part", F.coalesce(tokens(fold("text")), F.array().cast("array<string>")).alias("w"))
     lengths = words.select("doc_id", F.size("w").cast("long").alias("len"))
-    postings = words.select("doc_id", F.size("w").cast("long").alias("len"), F.explode("w").alias("lexeme")).groupBy("lexeme", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"))
+    postings = words.select("doc_id", "part", F.size("w").cast("long").alias("len"), F.explode("w").alias("lexeme")).groupBy("lexeme", "part", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"))
     segment = _write(_blocks(postings, cfg), lengths, path)
     gone = []
     if segment[1]:
@@ -116,17 +117,20 @@ def _ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def search(spark: SparkSession, path: str, questions: DataFrame, k: int, first: int = 4, cfg: TextIndexConfig | None = None) -> tuple[DataFrame, DataFrame]:
+def search(spark: SparkSession, path: str, questions: DataFrame, k: int, first: int = 4, every: bool = False, cfg: TextIndexConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """((qid, doc_id, score, rank), (qid, blocks, read)): each question's k documents with the highest BM25 score over its words, and how many blocks its words have and how many were scored.
 
-    ``questions`` has qid and words (folded; repeats count once, null or none find nothing). Scores are rounded to six
+    ``questions`` has qid, words (folded; repeats count once, null or none find nothing) and, if it likes, part: only documents of that part are
+    found, null for any; the statistics are those of all. With ``every`` a document must have all the words. Scores are rounded to six
     digits, ties go to the smaller doc_id; the result is that of a scan. ``cfg`` is the one that the index was made with. The ``first`` ranges of each question, by bound, give the kth score that the others' bounds must reach.
     """
     cfg = cfg or TextIndexConfig()
     scratch = Shared(spark, "textsearch")
     _, segments = _manifest(spark, path)
     total, size = (sum(s[i] for s in segments) for i in (1, 2))
-    words = questions.select("qid", F.explode(F.array_distinct("words")).alias("lexeme")).where("lexeme is not null")
+    only = F.col("part").cast("string") if "part" in questions.columns else F.lit(None).cast("string")
+    distinct = F.array_distinct(F.filter("words", lambda w: w.isNotNull()))
+    words = questions.select("qid", only.alias("only"), F.size(distinct).alias("asked"), F.explode(distinct).alias("lexeme"))
     if not segments or not size:
         none = questions.select("qid").limit(0)
         return none.select("qid", F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")), none.select("qid", F.lit(0).cast("long").alias("blocks"), F.lit(0).cast("long").alias("read"))
@@ -135,19 +139,22 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int, first:
     words = scratch.keep(words.distinct(), "words")
     # With the bucket in the join, partitions that no question needs are pruned at run time.
     asked = words.select("lexeme", F.pmod(F.xxhash64("lexeme"), F.lit(cfg.buckets)).cast("int").alias("bucket")).distinct()
-    heads = scratch.keep(blocks.select("bucket", "lexeme", "range", "n", "most", "short").join(asked, ["bucket", "lexeme"], "left_semi"), "heads")
+    heads = scratch.keep(blocks.select("bucket", "lexeme", "range", "part", "n", "most", "short").join(asked, ["bucket", "lexeme"], "left_semi"), "heads")
     rare = heads.groupBy("lexeme").agg(F.sum("n").alias("df")).select("lexeme", F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     words = words.join(rare, "lexeme")
     bound = F.col("idf") * _impact(F.col("most"), F.col("short"), average)
-    # A document is in one segment, so a range's bound is the sum over words of the largest bound of any segment.
-    cells = heads.join(words, "lexeme").groupBy("qid", "range", "lexeme", "idf").agg(F.max(bound).alias("bound"), F.count("*").alias("held"))
-    ranges = scratch.keep(cells.groupBy("qid", "range").agg(F.sum("bound").alias("bound"), F.sum("held").alias("held"), F.collect_list(F.struct("lexeme", "idf")).alias("w")), "ranges")
+    # A document is in one block of a word, so a range's bound is the sum over words of the largest bound of its blocks.
+    cells = heads.join(words, "lexeme").where("only is null or only = part").groupBy("qid", "only", "asked", "range", "lexeme", "idf").agg(F.max(bound).alias("bound"), F.count("*").alias("held"))
+    ranges = cells.groupBy("qid", "only", "asked", "range").agg(F.sum("bound").alias("bound"), F.sum("held").alias("held"), F.collect_list(F.struct("lexeme", "idf")).alias("w"))
+    ranges = scratch.keep(ranges.where(F.size("w") == F.col("asked")) if every else ranges, "ranges")
     ranges = ranges.withColumn("turn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "range")))
 
     def scored(some: DataFrame) -> DataFrame:
-        want = some.select("qid", "range", F.explode("w").alias("w")).select("qid", "range", "w.lexeme", "w.idf")
-        full = blocks.join(want, ["lexeme", "range"]).select("qid", "idf", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x"))
-        return full.groupBy("qid", F.col("x.docs").alias("doc_id")).agg(F.round(F.sum(F.col("idf") * _impact(F.col("x.tfs"), F.col("x.lens"), average)), 6).alias("score"))
+        want = some.select("qid", "only", "asked", "range", F.explode("w").alias("w")).select("qid", "only", "asked", "range", "w.lexeme", "w.idf")
+        full = blocks.join(want, ["lexeme", "range"]).where("only is null or only = part").select("qid", "asked", "idf", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x"))
+        impact = F.sum(F.col("idf") * _impact(F.col("x.tfs"), F.col("x.lens"), average))
+        out = full.groupBy("qid", "asked", F.col("x.docs").alias("doc_id")).agg(F.round(impact, 6).alias("score"), F.count("*").alias("n"))
+        return (out.where("n = asked") if every else out).select("qid", "doc_id", "score")
 
     start = scratch.keep(_ranked(scored(ranges.where(F.col("turn") <= first)), k), "start")
     kth = start.where(F.col("rank") == k).select("qid", F.col("score").alias("kth"))

@@ -58,9 +58,9 @@ def test_same_rows_as_a_scan(spark):
         add(df.where(F.pmod("doc_id", F.lit(6)) == k), path, CFG)
         if k in (0, 2):
             some = {d: t for d, t in docs.items() if d % 6 <= k}
-            close(set(map(tuple, search(spark, path, asked, 5, 1, CFG)[0].collect())), plain(some, QUESTIONS, 5))
+            close(set(map(tuple, search(spark, path, asked, 5, 1, cfg=CFG)[0].collect())), plain(some, QUESTIONS, 5))
     add(df.limit(50).unionByName(df.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))), path, CFG)  # known already
-    got, read = search(spark, path, asked, 5, 2, CFG)
+    got, read = search(spark, path, asked, 5, 2, cfg=CFG)
     close(set(map(tuple, got.collect())), plain(docs, QUESTIONS, 5))
     read = {r["qid"]: (r["blocks"], r["read"]) for r in read.collect()}
     assert all(r <= b for b, r in read.values()) and read[2][1] < read[2][0]
@@ -70,6 +70,26 @@ def test_same_rows_as_a_scan(spark):
     shared.clear()
 
 
+def test_parts_and_every_word(spark):
+    docs = corpus(300)
+    part = lambda d: [None, "a", "b"][d % 3]
+    df = spark.createDataFrame([(d, t, part(d)) for d, t in docs.items()], "doc_id long, text string, part string")
+    shared = Shared(spark, "text-test")
+    path = f"{shared.base}/i"
+    add(df, path, CFG)
+    questions = [(1, ["w1", "w2"], "a"), (2, ["w1", "w2"], None), (3, ["w1"], "c"), (4, ["w1", "none"], "b"), (5, ["w40", "w2", "w2"], "b")]
+    asked = spark.createDataFrame(questions, "qid long, words array<string>, part string")
+    for every in (False, True):
+        got = {(r["qid"], r["doc_id"], r["rank"]) for r in search(spark, path, asked, 4, 1, every, cfg=CFG)[0].collect()}
+        want = set()
+        for qid, words, only in questions:
+            rows = sorted(plain(docs, {qid: words}, 10**6), key=lambda r: r[3])
+            fit = [d for _, d, _, _ in rows if only in (None, part(d)) and (not every or all(re.search(rf"\b{w}\b", docs[d]) for w in words))]
+            want |= {(qid, d, r) for r, d in enumerate(fit[:4], 1)}
+        assert got == want and got
+    shared.clear()
+
+
 def test_a_dead_writer_leaves_nothing_that_readers_see(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, ["b"])], "qid long, words array<string>")
