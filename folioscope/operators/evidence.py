@@ -279,19 +279,25 @@ def ranked_evidence(evidence: DataFrame, chunks: DataFrame, phrases: list[str],
 
 def unit_claims(text: Column, units: dict[str, str], reach: int = 16) -> Column:
     """struct of arrays, one for each unit: the canonical numbers with the unit's pattern within ``reach`` characters; a number claims the first unit that fits. Numbers right before a closing bracket are list marks."""
-    # What stands before a number is captured behind it, what follows ahead of it; neither is consumed, so contexts may overlap.
-    whole = rf"(?:(?<=([\s\S]{{{reach}}}))|(?<=^([\s\S]{{0,{reach - 1}}})))({NUMBER})(?=([\s\S]{{0,{reach}}}))"
-    far, first, number, after = (F.regexp_extract_all(text, F.lit(whole), F.lit(i)) for i in (1, 2, 3, 4))
-    near = lambda f, s, n, a: F.lower(F.concat(f, s, n, a))
-    rows = F.transform(F.arrays_zip(far.alias("f"), first.alias("s"), number.alias("n"), after.alias("a")), lambda r: F.struct(r["n"].alias("n"), near(r["f"], r["s"], r["n"], r["a"]).alias("near"), F.startswith(r["a"], F.lit(")")).alias("mark")))
-    rows = F.filter(rows, lambda r: ~r["mark"])
-
-    def claims(name: str, pattern: str, before: list[str]) -> Column:
-        fits = lambda r: r["near"].rlike(pattern) & ~reduce(lambda a, p: a | r["near"].rlike(p), before, F.lit(False))
+    number = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1))
+    # The text as gaps and numbers in turn; of these, the ``reach`` numbers before or behind another hold ``reach`` characters at least.
+    turns = F.flatten(F.transform(F.arrays_zip(F.split(text, NUMBER, -1).alias("g"), number.alias("n")), lambda x: F.array(x["g"], F.coalesce(x["n"], F.lit("")))))
+
+    def context(s: Column, n: Column, i: Column) -> Column:
+        lo = F.greatest(2 * i + 2 - 2 * reach, F.lit(1))
+        before = F.array_join(F.slice(s["t"], lo, 2 * i + 2 - lo), "")
+        after = F.substring(F.array_join(F.slice(s["t"], 2 * i + 3, 2 * reach + 1), ""), 1, reach)
+        return F.struct(n.alias("n"), F.lower(F.concat(F.right(before, F.lit(reach)), n, after)).alias("near"), F.startswith(after, F.lit(")")).alias("mark"))
+
+    def claims(rows: Column, name: str, pattern: str, before: list[str]) -> Column:
+        fits = lambda r: ~r["mark"] & r["near"].rlike(pattern) & ~reduce(lambda a, p: a | r["near"].rlike(p), before, F.lit(False))
         return F.array_distinct(F.transform(F.filter(rows, fits), lambda r: canonical_number(r["n"]))).alias(name)
 
     patterns = list(units.values())
-    return F.struct(*(claims(name, pattern, patterns[:i]) for i, (name, pattern) in enumerate(units.items())))
+    # Arrays of one element bind what is used more than once, so that the text is searched once.
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    rows = once(F.struct(turns.alias("t"), number.alias("n")), lambda s: F.transform(s["n"], lambda n, i: context(s, n, i)))
+    return once(rows, lambda r: F.struct(*(claims(r, name, pattern, patterns[:i]) for i, (name, pattern) in enumerate(units.items()))))
 
 
 def cited_text(answers: DataFrame, evidence: DataFrame, full: DataFrame) -> DataFrame:

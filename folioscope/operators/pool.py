@@ -208,9 +208,10 @@ def payload(targets: DataFrame, meta: DataFrame, lists: list[tuple[DataFrame, in
     return targets.select("doc_id", "rank").join(meta.select("doc_id", "title", "text"), "doc_id").join(rows, "doc_id", "left").select("rank", "doc_id", "title", F.coalesce("chunks", head).alias("chunks"))
 
 
-def named_target(topic: Column, title: Column) -> Column:
-    """struct(hits, ratio): how many of the topic's terms (folded, an array) the title holds, and which share that is."""
-    hits = F.size(F.filter(topic, lambda x: F.contains(fold(title), x)))
+def named_target(topic: Column, title: Column, folded: bool = False) -> Column:
+    """struct(hits, ratio): how many of the topic's terms (folded, an array) the title holds, and which share that is. A title that is ``folded`` already isn't folded again for every term."""
+    low = title if folded else fold(title)
+    hits = F.size(F.filter(topic, lambda x: F.contains(low, x)))
     return F.struct(hits.cast("long").alias("hits"), F.when(F.size(topic) > 0, hits / F.size(topic)).otherwise(0.0).alias("ratio"))
 
 

@@ -207,8 +207,8 @@ _TOPIC_SQL = ", ".join(f"({q}, {ts if ts else '[]::varchar[]'})" for q, ts in TO
 select qid, doc_id from f where n = (select max(n) from f g where g.qid = f.qid) qualify count(*) over (partition by qid) = 1""")
 def forced_target(t):
     topics = t("documents").sparkSession.createDataFrame(TOPICS, "qid long, topic array<string>")
-    titles = docs(t).select("doc_id", "title").crossJoin(F.broadcast(topics))  # a literal batch
-    return pool.forced_target(titles.select("qid", "doc_id", pool.named_target(F.col("topic"), F.col("title")).alias("target")))
+    titles = docs(t).select("doc_id", fold("title").alias("low")).crossJoin(F.broadcast(topics))  # a literal batch
+    return pool.forced_target(titles.select("qid", "doc_id", pool.named_target(F.col("topic"), F.col("low"), folded=True).alias("target")))
 
 
 @query(f"""with {CODES}, h as (select doc_id % 60 qid, doc_id hit, row_number() over (partition by doc_id % 60 order by doc_id) place, contains(lower(title), 'brass')::int + contains(lower(title), 'economy')::int topic, doc_id % 2 = 0 own, title, 'Brand/' || (2015 + doc_id % 3) want from parts)

@@ -15,13 +15,13 @@ from .ingest import IN_ORDER, ORDERS, _titled, canonical_sql
 from .retrieval import CHUNKS, DOCS
 
 #: Four questions read twelve documents each; a document's subkind is its id's.
-READ = f"{DOCS}, rd as (select qid, doc_id, subkind, row_number() over (partition by qid order by k desc, doc_id) r from (select q.qid, doc_id, (doc_id * 37 + q.qid * 11) % 101 k, case doc_id % 3 when 0 then ' Convocatoria' when 1 then 'bases' else 'otros' end subkind from docs, (select unnest(range(0, 4)) qid) q where n_chars > 400) qualify row_number() over (partition by qid order by k desc, doc_id) <= 12)"
+READ = f"{DOCS}, rd as (select qid, doc_id, subkind, row_number() over (partition by qid order by k desc, doc_id) r from (select q.qid, doc_id, (doc_id * 37 + q.qid * 11) % 101 k, case doc_id % 3 when 0 then ' Convocatoria' when 1 then 'bases' else 'otros' end subkind from docs, (select unnest(range(0, 4)) qid) q) qualify row_number() over (partition by qid order by k desc, doc_id) <= 12)"
 
 
 def _read(t):
     q = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("qid")
     kind = F.when(F.col("doc_id") % 3 == 0, " Convocatoria").when(F.col("doc_id") % 3 == 1, "bases").otherwise("otros")
-    rows = t("documents").where("n_chars > 400").select("doc_id", q).withColumn("k", F.expr("(doc_id * 37 + qid * 11) % 101"))
+    rows = t("documents").select("doc_id", q).withColumn("k", F.expr("(doc_id * 37 + qid * 11) % 101"))
     w = Window.partitionBy("qid").orderBy(F.desc("k"), "doc_id")
     return rows.select("qid", "doc_id", kind.alias("subkind"), F.row_number().over(w).cast("long").alias("rank")).where("rank <= 12")
 

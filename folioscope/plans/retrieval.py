@@ -34,6 +34,18 @@ def _vectors(t, *queries: int):
     return v.crossJoin(F.broadcast(q)).select("qid", F.col("vec_id").alias("doc_id"), "label", F.round(cosine("embedding", "qe", F.col("norm"), F.col("qn")), 6).alias("score"))
 
 
+#: Into how many parts all vectors fall when a batch of them is compared with all.
+BLOCKS = 64
+
+
+def _batch(t):
+    """(qid, doc_id, label, score): every twentieth vector against all, block by block: neither side is broadcast."""
+    v = t("embeddings").select("vec_id", "embedding", "label", norm("embedding").alias("norm"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("blk"))
+    rows = v.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).cast("int")).join(q, "blk")
+    return rows.select("qid", F.col("vec_id").alias("doc_id"), "label", F.round(cosine("embedding", "qe", F.col("norm"), F.col("qn")), 6).alias("score"))
+
+
 def _lex(t, col: str, terms=TERMS):
     return docs(t).select(F.lit(0).cast("long").alias("qid"), "doc_id", total_occurrences(F.lower(col), terms).alias("score"))
 
@@ -101,14 +113,14 @@ def budget_merge(t):
 
 
 def _fused_batch(t, limit: int):
-    """Eight questions: the vector lane of vectors 0 to 7 fused with a lane by label and id."""
-    v = _vectors(t, *range(8))
+    """Every twentieth vector as a question: its vector lane fused with a lane by id."""
+    v = _batch(t)
     other = v.select("qid", "doc_id", F.pmod(F.col("doc_id") * 31 + F.col("qid") * 17, F.lit(101)).alias("score"))
     lanes = [fusion.ranked(x, F.desc("score"), "doc_id", limit=100).select("qid", "doc_id", "rank") for x in (v, other)]
     return fusion.rrf(lanes, limit=limit)
 
 
-BATCH = f"""base as (select q.vec_id qid, v.vec_id doc_id, round({COS}, 6) s, (v.vec_id * 31 + q.vec_id * 17) % 101 o from embeddings v, embeddings q where q.vec_id < 8),
+BATCH = f"""base as (select q.vec_id qid, v.vec_id doc_id, round({COS}, 6) s, (v.vec_id * 31 + q.vec_id * 17) % 101 o from embeddings v, embeddings q where q.vec_id % 20 = 0),
 ra as (select qid, doc_id, row_number() over (partition by qid order by s desc, doc_id) r from base),
 rb as (select qid, doc_id, row_number() over (partition by qid order by o desc, doc_id) r from base),
 v8 as (select qid, doc_id, round(sum(1.0::double / (60 + r)), 12) score from (select * from ra where r <= 100 union all select * from rb where r <= 100) group by 1, 2),
