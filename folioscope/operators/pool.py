@@ -163,22 +163,47 @@ def read_budget(selected: DataFrame, pool: DataFrame, questions: DataFrame, leas
     return selected.join(plan.select("qid", room.alias("room")), "qid").where(F.col("rank") <= F.col("room")).drop("room")
 
 
+def _grams(text: Column, size: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(text, i, size))
+
+
+def holding(tokens: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
+    """(token, doc_id): candidates for the texts (doc_id, text) that hold a token (token): all that do, and some that don't.
+
+    A token is looked up by the rarest of its grams of ``size`` letters (of fewer, if it is shorter), so this is an
+    equi-join, and a token with a gram that no text has costs nothing. Empty tokens and nulls find nothing.
+    """
+    tokens = tokens.select("token").where("token <> ''").distinct()
+    least = F.least(F.length("token"), F.lit(size))
+    sizes = tokens.agg(F.collect_set(least).alias("sizes"))  # one row of ``size`` numbers at most
+    every = F.array_distinct(F.flatten(F.transform("sizes", lambda n: _grams(F.col("text"), n))))
+    own = texts.where("text is not null").crossJoin(F.broadcast(sizes)).select("doc_id", F.explode(every).alias("gram"))
+    common = own.groupBy("gram").agg(F.count("*").alias("n"))
+    parts = tokens.select("token", F.explode(F.array_distinct(_grams(F.col("token"), least))).alias("gram")).join(common, "gram", "left")
+    rarest = parts.groupBy("token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0")
+    return rarest.select("token", F.col("x.gram").alias("gram")).join(own, "gram").select("token", "doc_id").distinct()
+
+
 def reference_hits(asked: DataFrame, docs: DataFrame, questions: DataFrame, per_token: int = 5) -> DataFrame:
     """(qid, doc_id, score, rank): documents whose ref or title holds a token (qid, place, token) that a question names.
 
     For each token: the exact ref first, then refs that hold it, then titles, newest first, ``per_token`` at most, in the
-    question's language if there are any, else in all. A document counts for the first token that finds it. ``asked`` and
-    ``questions`` (qid, language) are a literal batch, broadcast; ``docs`` has doc_id, ref, title, language, issue_date.
+    question's language if there are any, else in all. A document counts for the first token that finds it. ``questions``
+    has qid and language, ``docs`` doc_id, ref, title, language and issue_date. Each token is searched once for each language that asks
+    for it, whatever the number of questions, by ``holding``; nothing is broadcast but one row.
     """
-    batch = F.broadcast(asked.join(questions, "qid", "left").select("qid", "place", F.upper("token").alias("token"), F.col("language").alias("want")))
+    batch = asked.join(questions, "qid", "left").select("qid", "place", F.upper("token").alias("token"), F.col("language").alias("want"))
     ref, title = F.upper("ref"), F.upper("title")
+    texts = docs.select("doc_id", ref.alias("text")).unionByName(docs.select("doc_id", title.alias("text")))
     kind = F.when(ref == F.col("token"), 0).when(F.contains(ref, F.col("token")), 1).when(F.contains(title, F.col("token")), 2)
-    hits = docs.select("doc_id", "ref", "title", "language", "issue_date").join(batch, F.contains(ref, F.col("token")) | F.contains(title, F.col("token"))).withColumn("kind", kind)
+    found = holding(batch, texts).join(docs.select("doc_id", "ref", "title", "language", "issue_date"), "doc_id").withColumn("kind", kind).where("kind is not null")
+    hits = found.join(batch.select("token", "want").distinct(), "token")
     hits = hits.withColumn("own", F.coalesce(F.col("want").isNull() | (F.col("language") == F.col("want")), F.lit(False)))
-    hits = hits.withColumn("some", F.max("own").over(Window.partitionBy("qid", "place"))).where(F.col("own") | ~F.col("some"))
-    order = Window.partitionBy("qid", "place").orderBy("kind", F.desc("issue_date"), F.desc("doc_id"))
-    top = hits.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_token)
-    first = top.groupBy("qid", "doc_id").agg(F.min(F.struct("place", "at")).alias("x"))
+    order = Window.partitionBy("token", "want").orderBy(F.desc("own"), "kind", F.desc("issue_date"), F.desc("doc_id"))
+    top = hits.select("token", "want", "own", "kind", "issue_date", "doc_id").withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_token)
+    top = top.withColumn("some", F.max("own").over(Window.partitionBy("token", "want"))).where(F.col("own") | ~F.col("some"))
+    top = top.select(F.col("token").alias("_token"), F.col("want").alias("_want"), "doc_id", "at")
+    first = batch.join(top, (F.col("token") == F.col("_token")) & F.col("want").eqNullSafe(F.col("_want"))).groupBy("qid", "doc_id").agg(F.min(F.struct("place", "at")).alias("x"))
     scored = first.select("qid", "doc_id", F.greatest(F.lit(1.0), 5.0 - F.col("x.at") * 0.1).alias("score"), "x")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("x")).cast("long")).drop("x")
 

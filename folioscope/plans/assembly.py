@@ -161,6 +161,25 @@ def reference_hits(t):
     return pool.reference_hits(asked, d, questions).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+_REFS = "d as (select doc_id, 'R-' || lpad(doc_id::varchar, 4, '0') ref, title, case when doc_id % 3 = 0 then 'va' else 'es' end lang, issue_date from parts)"
+
+
+@query(f"""with {CODES}, {_REFS}, a as (select p_partkey qid, 0 place, upper(substring(p_brand, 1, 5) || '/' || (2015 + (p_partkey // 5) % 10) || '/' || (p_partkey // 5)) token from part union all select p_partkey, 1, upper(split_part(p_type, ' ', -1)) from part union all select p_partkey, 2, right('R-' || lpad(p_partkey::varchar, 4, '0'), 2) from part),
+w as (select *, case when qid % 3 = 0 then 'va' when qid % 3 = 1 then 'es' end want from a), t as (select distinct token, want from w),
+h as (select token, want, doc_id, issue_date, case when upper(ref) = token then 0 when contains(upper(ref), token) then 1 else 2 end kind, coalesce(lang = want, true) own from t join d on contains(upper(ref), token) or contains(upper(title), token)),
+k as (select *, row_number() over (partition by token, want order by kind, issue_date desc, doc_id desc) at_ from (select * from h qualify own or not max(own) over (partition by token, want))),
+f as (select qid, doc_id, min((place, at_)) x from w join k on k.token = w.token and k.want is not distinct from w.want where at_ <= 5 group by 1, 2) select qid, doc_id, round(greatest(1.0::double, 5.0 - x[2] * 0.1), 6) score, row_number() over (partition by qid order by x) as "rank" from f""")
+def part_references(t):
+    """Three tokens of every part (its code, its material, the end of its reference) against all references and titles."""
+    d = _parts(t).select("doc_id", F.concat(F.lit("R-"), F.lpad(F.col("doc_id").cast("string"), 4, "0")).alias("ref"), "title", F.when(F.col("doc_id") % 3 == 0, "va").otherwise("es").alias("language"), "issue_date")
+    kind = t("part").select(F.col("p_partkey").alias("doc_id"), F.split_part("p_type", F.lit(" "), F.lit(-1)).alias("material"))
+    code = F.regexp_extract("title", "([A-Za-z]+/[0-9]+/[0-9]+)", 1)
+    named = F.posexplode(F.array(code, F.col("material"), F.right(F.col("ref"), F.lit(2)))).alias("place", "token")
+    asked = d.join(kind, "doc_id").select(F.col("doc_id").alias("qid"), named)
+    questions = d.select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 3 == 0, "va").when(F.col("doc_id") % 3 == 1, "es").alias("language"))
+    return pool.reference_hits(asked, d, questions).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""with {GRID}, {lane_sql('tiny')}, {lane_sql('vec')}, u as (select qid, doc_id, min((0, r)) x from tiny group by 1, 2 union all select qid, doc_id, min((1, r)) from vec group by 1, 2), o as (select qid, doc_id, min(x) x from u group by 1, 2) select qid, doc_id, row_number() over (partition by qid order by x) as "rank" from o""")
 def references_ahead(t):
     return pool.ahead(_lane(t, "tiny"), _lane(t, "vec"))

@@ -148,3 +148,28 @@ def test_windows_pages_and_objects_of_the_tables(spark):
     assert texts.keys() == pages.keys() and not any("<script" in t or "</" in t for t in texts.values())
     rows = queries["json_from_text"](spark, folder).collect()
     assert rows and all(r["json"] is None or isinstance(json.loads(r["json"]), dict) for r in rows)
+
+
+def test_tokens_are_found_by_their_rarest_gram(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from folioscope.operators.pool import holding, reference_hits
+
+    r = random.Random(6)
+    texts = {i: "".join(r.choice("ABC/é") for _ in range(r.randrange(0, 12))) for i in range(120)} | {200: None, 201: "AB"}
+    tokens = ["", None, "A", "AB", "A/", "é", "ABC", "C/AB", "ABCABC", "ZZZ", "Z", "ABZ"]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = spark.createDataFrame([(t,) for t in [*tokens, "AB"]], "token string")
+    got = {tuple(x) for x in holding(asked, df).where("true").collect()}
+    want = {(t, d) for t in tokens if t for d, x in texts.items() if x and t in x}
+    assert want <= got and all(t in tokens for t, _ in got) and not any(t in ("ZZZ", "Z", "ABZ") for t, _ in got)
+    docs = df.select("doc_id", F.lit(None).cast("string").alias("ref"), F.col("text").alias("title"), F.lit("es").alias("language"), F.lit("2024-01-01").cast("date").alias("issue_date"))
+    questions = spark.createDataFrame([(1, None), (2, "va")], "qid long, language string")
+    batch = spark.createDataFrame([(1, 0, "zzz"), (1, 1, "abc"), (2, 0, "c/ab"), (3, 0, "é")], "qid long, place int, token string")
+    out = reference_hits(batch, docs, questions)
+    hits = {q: [x["doc_id"] for x in out.where(f"qid = {q}").orderBy("rank").collect()] for q in (1, 2, 3)}
+    of = lambda t: sorted((d for d, x in texts.items() if x and t in x.upper()), reverse=True)[:5]
+    assert hits == {1: of("ABC"), 2: of("C/AB"), 3: of("É")}
+    assert "BroadcastNestedLoop" not in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
