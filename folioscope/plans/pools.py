@@ -8,6 +8,7 @@ from ..functions.text import fold, guess_language, tokens
 from ..operators import fusion, pool, textindex, vectorindex
 from ..operators.corpus import chunk_windows
 from ..operators.features import hashed_vectors
+from ..operators.spanish import spanish_stems
 from ..workers import Shared
 from . import query
 from .assembly import merge_sql
@@ -65,6 +66,14 @@ def text_index_topk(t):
     return textindex.search(spark, path, _questions(t).select("qid", "words"), 10)[0]
 
 
+@query()
+def spanish_stem_counts(t):
+    """(stem, words, tokens) of the Spanish documents: each distinct word is stemmed once."""
+    lexeme = F.explode(tokens(F.lower("text"))).alias("lexeme")
+    words = t("documents").where("lang = 'es'").select(lexeme).groupBy("lexeme").agg(F.count("*").alias("n"))
+    return spanish_stems(words).groupBy("stem").agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
+
+
 def _documents(hits, chunk: bool):
     """Hits on chunks or titles as a list of documents."""
     doc = F.floor(F.col("id") / STRIDE).cast("long") if chunk else F.col("id")
