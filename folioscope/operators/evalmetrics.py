@@ -44,6 +44,30 @@ def latency_summary(df: DataFrame, stage: str, value: str) -> DataFrame:
     return placed.groupBy(stage).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), at(50).alias("p50"), at(95).alias("p95"), F.max(value).alias("max"))
 
 
+#: Size of a quantile sketch: a quantile's rank is off by less than RANK_ERROR of the values, with probability 0.99.
+SKETCH_K, RANK_ERROR = 400, 0.0075
+
+
+def latency_sketches(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, total, top, sketch): what summaries over any groups of the keys (a stage and a day, say) can be made of without the values. A sketch is a few kilobytes, whatever it covers; nulls and NaN don't count."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_v").alias("total"), F.max("_v").alias("top"), F.kll_sketch_agg_double("_v", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean, p50, p95, max): the sketches merged over what isn't in keys; count, mean and maximum are exact, percentiles within RANK_ERROR of the rank."""
+    rows = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("max"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    return rows.select(*keys, "n", (F.col("total") / F.col("n")).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), "max")
+
+
+def sliding_latency(sketches: DataFrame, stage: str, day: str, days: int) -> DataFrame:
+    """``merged_latency`` by stage for each day and the ``days`` - 1 before it: a day's sketches count in ``days`` windows, so no value is read again."""
+    shifted = sketches.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("_until", F.date_add(day, F.col("_d")))
+    known = sketches.select(F.col(day).alias("_until")).distinct()
+    return merged_latency(shifted.drop(day).join(known, "_until", "left_semi"), [stage, "_until"]).withColumnRenamed("_until", day)
+
+
 def gated(abstain, abstained, critical, correctness) -> Column:
     """Score of an answer: questions to abstain from want abstention; a critical error scores 0; else correctness out of 2."""
     return F.when(abstain, abstained.cast("double")).when(critical, 0.0).otherwise(correctness / 2.0)

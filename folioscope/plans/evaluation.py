@@ -64,6 +64,13 @@ def stage_latency(t):
     return ev.latency_summary(t("events"), "event_type", "value").withColumn("mean", F.round("mean", 6))
 
 
+@query("""with d as (select distinct ts::date "day" from events) select event_type, d."day", count(*) n, round(avg(value), 6) mean, max(value) "max" from d join events e on e.ts::date between d."day" - 6 and d."day" group by 1, 2""")
+def sliding_latency(t):
+    """Latency by type over seven days, merged from daily sketches; percentiles are approximate and compared in the tests, the others are exact."""
+    daily = ev.latency_sketches(t("events").withColumn("day", F.col("ts").cast("date")), ["event_type", "day"], "value")
+    return ev.sliding_latency(daily, "event_type", "day", 7).select("event_type", "day", "n", F.round("mean", 6).alias("mean"), "max")
+
+
 @query("""with a as (select doc_id, quality + toxic v from labels where doc_id % 3 <> 0), b as (select doc_id, quality v from labels where doc_id % 4 <> 0)
 select coalesce(a.doc_id, b.doc_id) doc_id, case when a.doc_id is null then 'missing' when b.doc_id is null then 'added' when a.v > b.v then 'better' when a.v < b.v then 'worse' else 'same' end status from a full join b on a.doc_id = b.doc_id""")
 def run_diff(t):

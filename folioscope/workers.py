@@ -55,17 +55,18 @@ class Shared:
         remove(self.spark, self.base)
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a path, as the JVM has them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     fs.delete(p, True)
 
 
 def children(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder; none if there is no such folder."""
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
