@@ -270,9 +270,9 @@ def answer_validation(t):
     return t("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), v.alias("v")).select("conv_id", "turn", "v.*")
 
 
-@query("select conv_id, 'Sources:' || array_to_string(list_transform((list(substring(text, 1, 12) order by turn))[1:3], lambda x: chr(10) || '- ' || x), '') summary from conversations group by 1")
+@query("select conv_id, 'Sources:' || array_to_string(list_transform((list(substring(text, 1, 300) order by turn))[1:3], lambda x: chr(10) || '- ' || x), '') summary from conversations group by 1")
 def fallback_summaries(t):
-    titles = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 12).alias("s")))), lambda x: x["s"])
+    titles = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 300).alias("s")))), lambda x: x["s"])
     return t("conversations").groupBy("conv_id").agg(titles.alias("titles")).select("conv_id", evid.fallback_summary(F.col("titles"), 3, "Sources:").alias("summary"))
 
 

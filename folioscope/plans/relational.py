@@ -124,21 +124,23 @@ def history_window(t):
     return t("conversations").withColumn("n", F.row_number().over(w)).where("n <= 6").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.substring("text", 1, 600).alias("text"))
 
 
-@query("select conv_id, array_to_string(list(role || ': ' || substring(text, 1, 20) order by turn), ' / ') history from conversations group by 1")
+@query("select conv_id, array_to_string(list(role || ': ' || substring(text, 1, 600) order by turn), ' / ') history from conversations group by 1")
 def history_format(t):
-    turns = F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 20)).alias("s"))))
+    turns = F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 600)).alias("s"))))
     return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["s"]), " / ").alias("history"))
 
 
 PHRASES = ["today", "yesterday", "tomorrow", "this week", "last week", "this month", "last month", "this year", "last year", "last 10 days", "last 999 days", "recent", "someday"]
 
 
-@query(f"""with p(phrase) as (values {', '.join(f"('{p}')" for p in PHRASES)}), d as (select phrase, date '2024-03-31' a from p), w as (select *, date_trunc('week', a)::date wk, date_trunc('month', a)::date mo, date_trunc('year', a)::date yr from d)
-select phrase, case phrase when 'today' then a when 'yesterday' then a - 1 when 'tomorrow' then a + 1 when 'this week' then wk when 'last week' then wk - 7 when 'this month' then mo when 'last month' then (mo - interval 1 month)::date when 'this year' then yr when 'last year' then (yr - interval 1 year)::date when 'last 10 days' then a - 9 when 'last 999 days' then a - 179 when 'recent' then a - 6 end as "start",
+@query(f"""with p(phrase) as (values {', '.join(f"('{p}')" for p in PHRASES)}), d as (select phrase, a from p, (select distinct o_orderdate::date a from orders)), w as (select *, date_trunc('week', a)::date wk, date_trunc('month', a)::date mo, date_trunc('year', a)::date yr from d)
+select phrase, a as_of, case phrase when 'today' then a when 'yesterday' then a - 1 when 'tomorrow' then a + 1 when 'this week' then wk when 'last week' then wk - 7 when 'this month' then mo when 'last month' then (mo - interval 1 month)::date when 'this year' then yr when 'last year' then (yr - interval 1 year)::date when 'last 10 days' then a - 9 when 'last 999 days' then a - 179 when 'recent' then a - 6 end as "start",
 case phrase when 'today' then a when 'yesterday' then a - 1 when 'tomorrow' then a + 1 when 'this week' then a when 'last week' then wk - 1 when 'this month' then a when 'last month' then mo - 1 when 'this year' then a when 'last year' then yr - 1 when 'last 10 days' then a when 'last 999 days' then a when 'recent' then a end as "end" from w""")
 def relative_dates(t):
-    p = t("region").sparkSession.createDataFrame([(x,) for x in PHRASES], "phrase string")
-    return p.withColumn("r", relative_range(F.col("phrase"), F.lit("2024-03-31").cast("date"))).select("phrase", "r.start", "r.end")
+    """Every phrase as of every day on which there is an order."""
+    days = t("orders").select(F.col("o_orderdate").cast("date").alias("as_of")).distinct()
+    rows = days.withColumn("phrase", F.explode(F.array(*map(F.lit, PHRASES))))
+    return rows.withColumn("r", relative_range(F.col("phrase"), F.col("as_of"))).select("phrase", "as_of", "r.start", "r.end")
 
 
 @query("select event_type, greatest(date '2024-01-20' - max(cast(ts as date)), 0)::bigint lag from events group by 1")
