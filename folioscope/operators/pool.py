@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from .fusion import budgeted, margin_ratio, quota_merge
+from .graph import families, similar_pairs, stale_members
 
 
 @dataclass(frozen=True)
@@ -108,39 +109,60 @@ def assemble(lanes: list[Lane], relaxed: list[Lane], questions: DataFrame, least
     return docs.select("qid", "doc_id", "score", F.when(F.col("inside"), F.col("place")).otherwise(late).alias("rank"), (~F.col("inside")).alias("anchor"))
 
 
-def hop(pool: DataFrame, hops: list[tuple[str, DataFrame]], top: int = 5, most: int = 2, keep: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Further searches for what a question names beside its main matter: (qid, doc_id, rank, added), and the protected (qid, doc_id).
+def hop(pool: DataFrame, hops: list[tuple], top: int = 5, most: int = 2, keep: int = 3, pin: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Further searches for what a question names beside its main matter: (qid, doc_id, rank, added, pinned), and the protected (qid, doc_id).
 
-    ``hops`` are (kind, list without repeats), in order; a kind is "reference" or "facet". Each appends its first ``top``
-    documents that the pool lacks; at most ``most`` of them do so for a question. A facet whose first document is in the
-    pool is covered, and facets are only tried where no reference added anything. The pool's own order stays. Of every hop
+    ``hops`` are (kind, list without repeats) or (kind, list, direct), in order; a kind is "reference", "identity" or
+    "facet", and ``direct`` is a list of title hits that is searched behind the first ``top``. Each hop appends those of its first ``top``
+    documents that the pool lacks; at most ``most`` of them do so for a question. An identity, the question without what it asks
+    about a matter, is only tried where no reference added anything; its first ``pin`` documents are pinned though the pool has them. Facets
+    are only tried where neither did anything; a facet whose first document is in the pool is covered. The pool's own
+    order stays. Pinned are all documents that were added, and an identity's. Of every hop
     tried, the first ``keep`` documents that were in the pool are protected from being dropped as old editions.
 
     Each hop depends on those before, so a question's few documents are arrays, over which an aggregation runs.
     """
     ids = lambda: F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
     own = pool.groupBy("qid").agg(ids().alias("have"))
-    lists = (x.where(F.col("rank") <= top).select("qid", F.lit(i).alias("hop"), F.lit(kind).alias("kind"), "rank", "doc_id") for i, (kind, x) in enumerate(hops))
-    found = reduce(DataFrame.unionByName, lists).groupBy("qid", "hop", "kind").agg(ids().alias("docs"))
-    found = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("hop", "kind", "docs"))).alias("hops"))
+    lists = []
+    for i, (kind, x, *direct) in enumerate(hops):
+        rows = [(x.where(F.col("rank") <= top), 0), *((d, 1) for d in direct)]
+        lists += [d.select("qid", F.lit(i).alias("hop"), F.lit(kind).alias("kind"), F.lit(side).alias("side"), "rank", "doc_id") for d, side in rows]
+    found = reduce(DataFrame.unionByName, lists).groupBy("qid", "hop", "kind")
+    of = lambda side: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("rank", "doc_id")))), lambda x: x["doc_id"])
+    found = found.agg(of(0).alias("docs"), of(1).alias("direct"))
+    found = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("hop", "kind", "docs", "direct"))).alias("hops"))
     none = F.array().cast("array<bigint>")
 
     def step(state, h):
-        facet = h["kind"] == "facet"
-        tried = (state["fired"] < most) & ~(facet & state["by_reference"])
+        facet, identity = h["kind"] == "facet", h["kind"] == "identity"
+        tried = (state["fired"] < most) & ~((facet | identity) & state["named"]) & (F.size(h["docs"]) > 0)
+        direct = (state["fired"] < most) & ~facet & ~identity
         seen = F.filter(F.slice(h["docs"], 1, min(keep, top)), lambda d: F.array_contains(state["have"], d))
-        open_ = tried & ~(facet & F.array_contains(state["have"], h["docs"][0]))
-        new = F.when(open_, F.array_except(h["docs"], state["have"])).otherwise(none)
+        open_ = (tried | direct) & ~(facet & F.array_contains(state["have"], F.get(h["docs"], 0)))
+        new = F.when(F.coalesce(open_, F.lit(False)), F.array_except(F.concat(h["docs"], h["direct"]), state["have"])).otherwise(none)
         some = F.size(new) > 0
-        return F.struct(F.concat(state["have"], new).alias("have"), (state["fired"] + some.cast("int")).alias("fired"), (state["by_reference"] | (some & ~facet)).alias("by_reference"), F.concat(state["shield"], F.when(tried, seen).otherwise(none)).alias("shield"))
+        anchors = F.when(identity & tried, F.slice(h["docs"], 1, pin)).otherwise(none)
+        fires = some | (identity & tried)
+        return F.struct(F.concat(state["have"], new).alias("have"), (state["fired"] + fires.cast("int")).alias("fired"), (state["named"] | (fires & ~facet)).alias("named"), F.concat(state["shield"], F.when(tried, seen).otherwise(none)).alias("shield"), F.concat(state["pins"], new, anchors).alias("pins"))
 
-    start = F.struct(F.col("have").alias("have"), F.lit(0).alias("fired"), F.lit(False).alias("by_reference"), none.alias("shield"))
+    start = F.struct(F.col("have").alias("have"), F.lit(0).alias("fired"), F.lit(False).alias("named"), none.alias("shield"), none.alias("pins"))
     empty = F.array().cast(dict(found.dtypes)["hops"])
     rows = own.join(found, "qid", "left").select("qid", F.size("have").alias("n"), F.aggregate(F.coalesce("hops", empty), start, step).alias("s"))
-    out = rows.select("qid", "n", F.posexplode("s.have").alias("pos", "doc_id")).select("qid", "doc_id", (F.col("pos") + 1).cast("long").alias("rank"), (F.col("pos") >= F.col("n")).alias("added"))
+    out = rows.select("qid", "n", "s.pins", F.posexplode("s.have").alias("pos", "doc_id"))
+    out = out.select("qid", "doc_id", (F.col("pos") + 1).cast("long").alias("rank"), (F.col("pos") >= F.col("n")).alias("added"), F.array_contains("pins", F.col("doc_id")).alias("pinned"))
     return out, rows.select("qid", F.explode(F.array_distinct("s.shield")).alias("doc_id"))
 
 
+def fresh_hits(hits: DataFrame, vectors: DataFrame, dates: DataFrame, tau: float = 0.86, scan: int = 8, most: int = 3) -> DataFrame:
+    """A hop's hits without the old editions among its first ``scan``: families are formed inside the hop's own pool, by vectors (id, embedding) and dates (id, date), before anything is pinned; a family that would lose more than ``most`` loses none."""
+    head = hits.where(F.col("rank") <= scan).select("qid", F.col("doc_id").alias("id"))
+    pairs = similar_pairs(head.join(vectors, "id"), "qid", tau)
+    stale = stale_members(families(pairs, "qid"), dates, "qid", most=most).select("qid", F.col("id").alias("doc_id"))
+    kept = hits.join(stale, ["qid", "doc_id"], "left_anti")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).cast("long"))
+
+
 def current_editions(pool: DataFrame, stale: DataFrame, questions: DataFrame, protected: DataFrame) -> DataFrame:
     """The pool without its stale documents (qid, doc_id), ranks closed up.
 

@@ -125,7 +125,7 @@ def _hopped(t):
 
 @query(f"with {_HOPS} select qid, doc_id, row_number() over (partition by qid order by h, r) as \"rank\", added from every")
 def second_hop(t):
-    return _hopped(t)[1]
+    return _hopped(t)[1].drop("pinned")
 
 
 @query(f"""with {_HOPS}, shield as (select distinct qid, doc_id from (select qid, doc_id from t1 where r <= 3 and {_in('t1', 'p')} union all select qid, doc_id from t2 where r <= 3 and {_in('t2', 'p1')} union all select qid, doc_id from t3 where r <= 3 and {_in('t3', 'p2')})),

@@ -173,3 +173,57 @@ def test_tokens_are_found_by_their_rarest_gram(spark):
     of = lambda t: sorted((d for d, x in texts.items() if x and t in x.upper()), reverse=True)[:5]
     assert hits == {1: of("ABC"), 2: of("C/AB"), 3: of("É")}
     assert "BroadcastNestedLoop" not in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+
+
+def plain_hops(have, hops, top=5, most=2, keep=3, pin=2):
+    """By the rule, a question at a time."""
+    have, n, fired, named, shield, pins = list(have), len(have), 0, False, [], []
+    for kind, docs, direct in hops:
+        docs = docs[:top]
+        if fired >= most or (kind != "reference" and named) or not (docs or (kind == "reference" and direct)):
+            continue
+        shield += [d for d in docs[:keep] if d in have]
+        if kind == "facet" and docs[0] in have:
+            continue
+        new = [d for d in dict.fromkeys(docs + direct) if d not in have]
+        have += new
+        pins += new + (docs[:pin] if kind == "identity" else [])
+        if new or kind == "identity":
+            fired += 1
+            named = named or kind != "facet"
+    return [(d, i, i > n, d in pins) for i, d in enumerate(have, 1)], sorted(set(shield))
+
+
+def test_hops_of_every_kind(spark):
+    import random
+
+    from folioscope.operators.pool import hop
+
+    r = random.Random(8)
+    cases = {}
+    for qid in range(60):
+        some = lambda n: r.sample(range(25), r.randrange(0, n))
+        cases[qid] = (r.sample(range(25), r.randrange(1, 12)), [("reference", some(8), some(3)), ("identity", some(7), []), ("facet", some(6), []), ("facet", some(6), [])])
+    frame = lambda rows: spark.createDataFrame(rows, "qid long, doc_id long, rank long")
+    ranked = lambda pick: frame([(q, d, i) for q, c in cases.items() for i, d in enumerate(pick(c), 1)])
+    hops = [(cases[0][1][k][0], ranked(lambda c, k=k: c[1][k][1])) for k in range(4)]
+    hops[0] = (*hops[0], ranked(lambda c: c[1][0][2]))
+    out, shield = hop(ranked(lambda c: c[0]), hops)
+    got, safe = {}, {}
+    for x in out.orderBy("qid", "rank").collect():
+        got.setdefault(x["qid"], []).append((x["doc_id"], x["rank"], x["added"], x["pinned"]))
+    for x in shield.collect():
+        safe.setdefault(x["qid"], []).append(x["doc_id"])
+    for qid, (have, rows) in cases.items():
+        want, kept = plain_hops(have, rows)
+        assert (got[qid], sorted(safe.get(qid, []))) == (want, kept)
+
+
+def test_old_editions_go_before_an_identity_is_pinned(spark):
+    from folioscope.operators.pool import fresh_hits
+
+    hits = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (1, 13, 4), (2, 10, 1)], "qid long, doc_id long, rank long")
+    vectors = spark.createDataFrame([(10, [1.0, 0.0]), (11, [1.0, 0.1]), (12, [0.0, 1.0]), (13, [0.05, 1.0])], "id long, embedding array<double>")
+    dates = spark.createDataFrame([(10, "2024-01-01"), (11, "2025-01-01"), (12, "2024-01-01"), (13, None)], "id long, date string").selectExpr("id", "cast(date as date) date")
+    got = [tuple(x) for x in fresh_hits(hits, vectors, dates).select("qid", "doc_id", "rank").orderBy("qid", "rank").collect()]
+    assert got == [(1, 11, 1), (1, 12, 2), (1, 13, 3), (2, 10, 1)]
