@@ -110,10 +110,10 @@ def identifier_pins(asked: DataFrame, table: DataFrame, docs: DataFrame, most: i
     return dated.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("issue_date"), "doc_id")).cast("long")).drop("issue_date")
 
 
-def ingested(raw: DataFrame, labels: dict[str, str], default: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with label, chunks, identifiers) of raw (doc_id, title, text, raw label): the ingest's steps in their order, as one plan."""
+def ingested(raw: DataFrame, labels: dict[str, str], default: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with label, chunks, references with their targets, identifiers) of raw (doc_id, title, text, raw label): the ingest's steps in their order, as one plan."""
     documents = raw.withColumn("label", canonical_label(F.col("raw"), labels, default)).drop("raw")
-    return documents, chunk_windows(documents), identifiers(documents)
+    return documents, chunk_windows(documents), resolve_references(references(documents), documents), identifiers(documents)
 
 
 #: Verb stems that tell what a document does to the one it names, first match first.

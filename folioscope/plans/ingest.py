@@ -24,17 +24,18 @@ def html_to_text(t):
     return t("pages").select("page_id", F.md5(corpus.html_text(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query(html_sql("""select page_id, 'plan AB/2024/' || page_id || ' ' || tx tx from x), n as (select page_id, tx, len(list_filter(string_split(trim(regexp_replace(regexp_replace(tx, '\\p{Cc}', ' ', 'g'), '[ ]+', ' ', 'g')), ' '), lambda v: v <> '')) n from w),
-m as (select *, case when n <= 500 then 1 else 1 + ceil((n - 500) / 420.0) end::bigint many from n) select page_id, case when page_id % 2 = 0 then 'Convocatorias' else 'Otros' end label, length(tx)::bigint n_chars, case when n = 0 then 0 when many > 1 and n - 420 * (many - 1) < 300 then many - 1 else many end::bigint n_chunks, 'ab/2024/' || page_id code from m"""))
+@query(html_sql("""select page_id, 'plan AB/2024/' || page_id || ' decreto ' || (page_id % 7 + 1) || '/2024 ' || tx tx from x), n as (select page_id, tx, len(list_filter(string_split(trim(regexp_replace(regexp_replace(tx, '\\p{Cc}', ' ', 'g'), '[ ]+', ' ', 'g')), ' '), lambda v: v <> '')) n from w),
+m as (select *, case when n <= 500 then 1 else 1 + ceil((n - 500) / 420.0) end::bigint many from n) select page_id, case when page_id % 2 = 0 then 'Convocatorias' else 'Otros' end label, length(tx)::bigint n_chars, case when n = 0 then 0 when many > 1 and n - 420 * (many - 1) < 300 then many - 1 else many end::bigint n_chunks, 'ab/2024/' || page_id code, case when page_id >= 7 then (select min(p.page_id) from pages p where p.page_id = m.page_id % 7) end cites from m"""))
 def ingest_order(t):
-    """From pages to chunks and identifiers in the order of the ingest: text, label, chunks, identifiers."""
+    """From pages to chunks and identifiers in the order of the ingest: text, label, chunks, references, identifiers. A page is a decree and cites another."""
     raw = F.when(F.col("page_id") % 2 == 0, " Convocatoria").otherwise("x")
-    pages = t("pages").select(F.col("page_id").alias("doc_id"), F.lit("").alias("title"), F.concat(F.lit("plan AB/2024/"), F.col("page_id").cast("string"), F.lit(" "), corpus.html_text(F.col("html"))).alias("text"), raw.alias("raw"))
-    documents, chunks, ids = corpus.ingested(pages, {"convocatoria": "Convocatorias"}, "Otros")
+    pages = t("pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("Decreto "), (F.col("page_id") + 1).cast("string"), F.lit("/2024")).alias("title"), F.concat(F.lit("plan AB/2024/"), F.col("page_id").cast("string"), F.lit(" decreto "), (F.col("page_id") % 7 + 1).cast("string"), F.lit("/2024 "), corpus.html_text(F.col("html"))).alias("text"), raw.alias("raw"))
+    documents, chunks, edges, ids = corpus.ingested(pages, {"convocatoria": "Convocatorias"}, "Otros")
     many = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     first = ids.where("id_key like 'ab/2024/%'").groupBy("doc_id").agg(F.min("id_key").alias("code"))
-    rows = documents.join(many, "doc_id", "left").join(first, "doc_id", "left")
-    return rows.select(F.col("doc_id").alias("page_id"), "label", F.length("text").cast("long").alias("n_chars"), F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), "code")
+    cited = edges.where("target is not null").groupBy("doc_id").agg(F.min("target").alias("cites"))
+    rows = documents.join(many, "doc_id", "left").join(first, "doc_id", "left").join(cited, "doc_id", "left")
+    return rows.select(F.col("doc_id").alias("page_id"), "label", "cites", F.length("text").cast("long").alias("n_chars"), F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), "code")
 
 
 @query()
