@@ -53,7 +53,7 @@ def test_hard_rows(spark, hard, nothing):
 def test_every_operator_is_registered():
     from folioscope.llm.queries import queries
 
-    assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 14))
 
 
 def test_passages_of_over_fifty_words_go(spark):
