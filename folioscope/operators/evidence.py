@@ -138,7 +138,7 @@ def first_json(text: str | None) -> str | None:
     for m in re.finditer(r"\{", text):
         try:
             value, _ = json.JSONDecoder().raw_decode(text, m.start())
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         return json.dumps(value, ensure_ascii=False, sort_keys=True)
     return None

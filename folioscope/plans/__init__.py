@@ -19,7 +19,7 @@ def query(sql: str | None = None):
 
 
 def registered() -> tuple[dict, dict[str, str]]:
-    from . import assembly, checks, evaluation, extras, ingest, pools, questions, relational, retrieval, streams  # noqa: F401
+    from . import assembly, checks, evaluation, extras, files, ingest, pools, questions, relational, retrieval, streams  # noqa: F401
     from ..sources import table
 
     def bound(f):

@@ -126,7 +126,8 @@ def frequency_counters(t):
     return n.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "reason")).cast("long"))
 
 
-@query()
+@query("select event_id, props json from events")
 def json_from_text(t):
+    """The objects inside fenced answers: each event's properties, which are in canonical form as they are."""
     raw = F.concat(F.lit("<think>{no}</think>```json\n"), "props", F.lit("\n```"))
     return json_objects(t("events").select("event_id", raw.alias("raw")), "event_id", "raw")

@@ -273,9 +273,26 @@ def best_snippet(t):
     return s.groupBy("doc_id").agg(best.alias("chunk_index"), F.max("coverage").alias("coverage"))
 
 
-@query()
+COVERED = [*FOLDED, "with", "queaux", "heit"]
+
+
+def _cover_sql(most: int) -> str:
+    """Greedy cover by bits, one step a pick: what is left, then the best chunk that adds to it."""
+    bits = " + ".join(f"contains(low, '{w}')::int * {1 << i}" for i, w in enumerate(COVERED))
+    total = " + ".join(f"((length(low) - length(replace(low, '{w}', ''))) // {len(w)})" for w in COVERED)
+    steps, left = [], str((1 << len(COVERED)) - 1)
+    for k in range(1, most + 1):
+        rows = "m" if k == 1 else f"m join p{k - 1} using (doc_id)"
+        now = left if k == 1 else "rest"
+        best = f"bit_count(bits & {now}) desc, bit_count(bits) desc, total desc, chunk_index"
+        steps.append(f"p{k} as (select doc_id, m.chunk_index, bits, {now} & ~bits as rest, {k} pick from (select m.*{'' if k == 1 else ', rest'} from {rows}) m where bits & {now} > 0 qualify row_number() over (partition by doc_id order by {best}) = 1)")
+    picks = " union all ".join(f"select doc_id, chunk_index, pick::bigint pick from p{k}" for k in range(1, most + 1))
+    return f"with {CHUNKS}, l as (select doc_id, chunk_index, lower(text) low from chunks), m as (select doc_id, chunk_index, ({bits})::integer bits, {total} total from l), {', '.join(steps)} {picks}"
+
+
+@query(_cover_sql(4))
 def diverse_chunks_query(t):
-    return diverse_chunks(chunk_windows(t("documents")), [*FOLDED, "with", "queaux", "heit"], 4)
+    return diverse_chunks(chunk_windows(t("documents")), COVERED, 4)
 
 
 @query()

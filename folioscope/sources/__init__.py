@@ -60,12 +60,22 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """Trace rows as JSON lines."""
+    """Trace rows as JSON lines. Null fields are left out and read back as null."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
+#: Quotes are doubled inside quotes, as other readers of CSV expect; an empty string is quoted, a null is not.
+CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """One file a partition, each with a header. Values may hold quotes, commas, and ends of lines."""
+    df.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``write_csv`` wrote, nulls and empty strings apart. Values may span lines, so a file is one task: write as many partitions as tasks are wanted. A carriage return within a value is kept; a value that is the character 0 alone comes back null."""
+    return spark.read.schema(schema).options(**CSV | {"emptyValue": "", "nullValue": "\x00", "multiLine": True, "lineSep": "\n"}).csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
