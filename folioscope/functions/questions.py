@@ -134,9 +134,12 @@ def _content_phrases(many, stop: tuple[str, ...], connectors: tuple[str, ...], m
 
             return F.flatten(F.transform(at, after))
 
-        return _let(F.filter(F.transform(run, lambda w, i: F.when(~w.isin(*connectors), i + 1)), lambda k: k.isNotNull()), pairs)
+        # The first phrases end well within twice as many content words.
+        return _let(F.slice(F.filter(F.transform(run, lambda w, i: F.when(~w.isin(*connectors), i + 1)), lambda k: k.isNotNull()), 1, 2 * most), pairs)
 
-    return F.slice(F.flatten(F.transform(runs, of)), 1, most)
+    # Every run of two content words or more has a phrase, so that no later runs are needed.
+    several = F.filter(runs, lambda r: F.size(F.filter(r, lambda w: ~w.isin(*connectors))) >= 2)
+    return F.slice(F.flatten(F.transform(F.slice(several, 1, most), of)), 1, most)
 
 
 def phrases(question, keywords=None, stop: tuple[str, ...] = STOP, connectors: tuple[str, ...] = CONNECTORS, weak: tuple[str, ...] = (), most_content: int = 8) -> Column:
@@ -155,6 +158,21 @@ def phrases(question, keywords=None, stop: tuple[str, ...] = STOP, connectors: t
     return F.array_distinct(F.filter(every, lambda p: p.isNotNull() & good(p)))
 
 
+def frequent(many, most: int) -> Column:
+    """The ``most`` frequent words of an array, longer ones first, then in alphabetical order. Counted over the sorted array, so the work grows no faster than a sort."""
+
+    def ranked(x):
+        starts = F.filter(F.transform(x, lambda w, i: F.when((i == 0) | (F.get(x, i - 1) != w), i)), lambda i: i.isNotNull())
+
+        def counted(at):
+            rated = lambda p, k: F.struct((p - F.coalesce(F.get(at, k + 1), F.size(x))).alias("n"), (-F.length(F.get(x, p))).alias("size"), F.get(x, p).alias("word"))
+            return F.transform(F.slice(F.sort_array(F.transform(at, rated)), 1, most), lambda r: r["word"])
+
+        return _let(starts, counted)
+
+    return _let(F.sort_array(many), ranked)
+
+
 def entities(question, most: int = 6, stop: tuple[str, ...] = STOP, connectors: tuple[str, ...] = CONNECTORS) -> Column:
     """The first distinct runs with two capitalised words or more, connectors inside and after them, in lower case. A stop word opens none."""
     opens = lambda w: _capital(w) & ~F.lower(w).isin(*stop)
@@ -172,11 +190,15 @@ def anchor_terms(question, keywords=None, within=None, most: int = 3, stop: tupl
     own = F.array_distinct(F.filter(low, lambda w: keep_token(allowed=short)(w) & ~w.isin(*stop, *weak)))
     inside = none if within is None else within
 
-    def rated(w):
-        value = F.length(w) + F.when(w.isin(*generic), -1).otherwise(2) + F.when(w.rlike("[0-9]"), 2).otherwise(0) + F.when(w.isin(*short), 1).otherwise(0)
-        return F.struct((-value - F.when(F.array_contains(inside, w), 2).otherwise(0)).alias("at"), w.alias("word"))
+    def rated(more: int):
+        def of(w):
+            value = F.length(w) + F.when(w.isin(*generic), -1).otherwise(2) + F.when(w.rlike("[0-9]"), 2).otherwise(0) + F.when(w.isin(*short), 1).otherwise(0)
+            return F.struct((-value - more).alias("at"), w.alias("word"))
+
+        return of
 
-    return F.transform(F.slice(F.sort_array(F.transform(own, rated)), 1, most), lambda r: r["word"])
+    both = _let(F.struct(own.alias("own"), inside.alias("inside")), lambda x: F.concat(F.transform(F.array_intersect(x["own"], x["inside"]), rated(2)), F.transform(F.array_except(x["own"], x["inside"]), rated(0))))
+    return F.transform(F.slice(F.sort_array(both), 1, most), lambda r: r["word"])
 
 
 def broad_terms(question, found, keywords=None, most: int = 8, stop: tuple[str, ...] = STOP, generic: tuple[str, ...] = (), weak: tuple[str, ...] = ()) -> Column:
