@@ -16,15 +16,16 @@ from ..operators.lexical import postings
 from ..streaming import retry_state, windowed_counts
 from . import query
 from .ingest import CODES, IN_ORDER, ORDERS, _parts, _titled, canonical_sql
-from .retrieval import BATCH, CHUNKS, COS, DOCS, TERMS, WORDS, _batch, _fused_batch, _lanes, _occ, _vectors, docs, lanes_sql
+from .retrieval import BATCH, CHUNKS, COS, DOCS, TERMS, WORDS, _fused_batch, _lanes, _occ, _similarities, _vector_lane, _vectors, docs, lanes_sql
 
 
 @query(f"""with {BATCH}, sim as (select v.label::bigint lb, q.vec_id qid, v.vec_id doc_id, round({COS}, 6) sim from embeddings v, embeddings q where q.vec_id % 20 = 0 and v.vec_id % 3 <> 0),
 j as (select f.qid, f.doc_id, coalesce(s.sim, -1.0) sim, f.score from f8 f left join sim s on s.qid = f.qid and s.doc_id = f.doc_id where f.rank <= 20)
 select qid, doc_id, sim, row_number() over (partition by qid order by sim desc, score desc, doc_id) rank from j qualify rank <= 12""")
 def rerank_presort(t):
-    sims = _batch(t).where("doc_id % 3 <> 0").select("qid", "doc_id", F.col("score").alias("sim"))
-    return selection.presort(_fused_batch(t, 20), sims, 12).select("qid", "doc_id", "sim", "rank")
+    pool = _fused_batch(t, 20)
+    sims = _similarities(t, pool.where("doc_id % 3 <> 0").select("qid", "doc_id"))
+    return selection.presort(pool, sims, 12).select("qid", "doc_id", "sim", "rank")
 
 
 @query(f"""with {BATCH}, c as (select qid, doc_id, rank from f8 where rank <= 10), o as (select qid, doc_id, min((doc_id * 7 + qid) % 13) place from c where doc_id % 2 = 0 group by 1, 2)
@@ -178,8 +179,9 @@ def pipeline_recall(t):
 
 @query(f"""with {BATCH}, r as (select qid, doc_id, r from ra where r <= 100), j as (select r.qid, r.doc_id, r.r lane, f.rank fused from r left join f8 f on f.qid = r.qid and f.doc_id = r.doc_id and f.rank <= 20 where r.doc_id % 50 = r.qid % 50) select qid, min(lane) lane, min(fused) fused from j group by 1""")
 def gold_rank_by_stage(t):
-    lane = fusion.ranked(_batch(t), F.desc("score"), "doc_id", limit=100).where("doc_id % 50 = qid % 50").select("qid", "doc_id", F.col("rank").alias("lane"))
-    fused = _fused_batch(t, 20).select("qid", "doc_id", F.col("rank").alias("fused"))
+    every = _vector_lane(t)
+    lane = every.where("doc_id % 50 = qid % 50").select("qid", "doc_id", F.col("rank").alias("lane"))
+    fused = _fused_batch(t, 20, every).select("qid", "doc_id", F.col("rank").alias("fused"))
     return lane.join(fused, ["qid", "doc_id"], "left").groupBy("qid").agg(F.min("lane").alias("lane"), F.min("fused").alias("fused"))
 
 

@@ -70,3 +70,25 @@ def test_a_filter_that_empties_the_cells_widens_the_probing(spark):
     build(df.where("false"), f"{shared.base}/k")
     assert search(spark, f"{shared.base}/k", ask, 3).collect() == []
     shared.clear()
+
+
+def test_nearest_of_all_compares_no_pair_as_a_row(spark):
+    from folioscope.functions.vector import cosine
+    from folioscope.operators import fusion, nearest
+
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(400)] + [(400 + i, [1.0, 2.0] * 4) for i in range(60)]
+    rows += [(500, None), (501, [0.0] * 8), (502, [float("nan")] * 8), (503, [1.0]), (504, [1.0, None] * 4), (505, [-2.0, -4.0] * 4)]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    q = v.where("doc_id % 20 = 0 or doc_id > 500").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("asked"))
+    pairs = v.crossJoin(q).select("qid", "doc_id", F.round(cosine("embedding", "asked"), 6).alias("score"))
+    top = lambda df: sorted((x["qid"], x["rank"], x["doc_id"]) for x in fusion.ranked(df, F.desc("score"), "doc_id", limit=30).collect())
+    found = nearest.candidates(q, v, 30)
+    assert top(found) == top(pairs)
+    # The old step had as many rows as pairs; a tile's join has 30 at most for each question.
+    assert found.count() == 30 * q.count()
+    kept, nearest.ROWS, nearest.ASKED = (nearest.ROWS, nearest.ASKED), 50, 7
+    try:
+        assert top(nearest.candidates(q, v, 30)) == top(pairs)
+    finally:
+        nearest.ROWS, nearest.ASKED = kept
