@@ -265,3 +265,10 @@ def test_number_claims_of_every_document(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["n"] for r in docs.select("doc_id", tx.numbers("text").alias("n")).collect()}
     assert got == {i: list(dict.fromkeys(map(canonical, re.findall(tx.NUMBER, t)))) for i, t in enumerate(texts)}
+
+
+def test_quantised_components_keep_their_sign(spark):
+    from folioscope.functions.vector import quantised
+
+    x = one(spark, quantised("v"), v=[-2e-7, 2e-7, -0.0, -1.5000005, 0.5, float("nan"), float("-inf")])
+    assert [repr(c) for c in x] == ["-0.0", "0.0", "-0.0", "-1.500001", "0.5", "nan", "-inf"]
