@@ -183,12 +183,22 @@ def resolve_references(refs: DataFrame, docs: DataFrame) -> DataFrame:
     alone = F.when((F.col("n") == 1) & (F.col("a") != own), F.col("a")).when((F.col("n") == 2) & (F.col("a") == own), F.col("b")).when((F.col("n") == 2) & (F.col("b") == own), F.col("a"))
     rows = rows.withColumn("alone", alone)
     some = rows.where("alone is null and n > 1 and issuer is not null").select("doc_id", "key", F.lower("issuer").alias("issuer")).distinct()
-    left = some.join(keyed, "key").where((F.col("target") != own) & F.contains("by", F.col("issuer")))
-    left = left.join(docs.select("doc_id", topic_words("title").alias("mine")), "doc_id").withColumn("common", F.size(F.array_intersect("words", "mine")))
-    order = Window.partitionBy("doc_id", "key", "issuer").orderBy(F.desc("common"), "target")
-    every = Window.partitionBy("doc_id", "key", "issuer")
-    left = left.withColumns({"k": F.row_number().over(order), "next": F.lead("common").over(order), "many": F.count("*").over(every)}).where("k = 1")
-    picked = left.where("many = 1 or (common > next and common > 0)").select("doc_id", "key", F.col("issuer").alias("low"), F.col("target").alias("picked"))
+    # Many share a key, so documents of the same issuer and words are one row, as are sources that ask alike; what is left
+    # of each number of shared words is how many have it, and the smallest and largest of them, less the source itself.
+    keyed = keyed.withColumn("words", F.array_sort("words"))
+    mine = F.coalesce(F.array_sort(topic_words("title")), F.array().cast("array<string>"))
+    some = some.join(docs.select("doc_id", mine.alias("mine")), "doc_id")
+    common = F.size(F.array_intersect("words", "mine")).alias("common")
+    alike = keyed.groupBy("key", "by", "words").agg(F.count("*").alias("n"), F.min("target").alias("a"), F.max("target").alias("b"))
+    asks = some.select("key", "issuer", "mine").distinct().join(alike, "key").where(F.contains("by", F.col("issuer")))
+    levels = asks.groupBy("key", "issuer", "mine", common).agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
+    self = some.join(keyed.withColumnRenamed("target", "doc_id"), ["doc_id", "key"]).where(F.contains("by", F.col("issuer")))
+    self = self.groupBy("doc_id", "key", "issuer", common).agg(F.count("*").alias("self"))
+    left = some.join(levels, ["key", "issuer", "mine"]).join(self, ["doc_id", "key", "issuer", "common"], "left")
+    left = left.withColumn("n", F.col("n") - F.coalesce("self", F.lit(0))).where("n > 0")
+    best = F.max(F.struct("common", "n", F.when(F.col("a") != own, F.col("a")).otherwise(F.col("b")).alias("target"))).alias("best")
+    picked = left.groupBy("doc_id", "key", F.col("issuer").alias("low")).agg(F.sum("n").alias("many"), best)
+    picked = picked.where("many = 1 or (best.n = 1 and best.common > 0)").select("doc_id", "key", "low", F.col("best.target").alias("picked"))
     out = rows.withColumn("low", F.lower("issuer")).join(picked, ["doc_id", "key", "low"], "left")
     return out.select(*refs.columns, F.coalesce("alone", "picked").alias("target"))
 
