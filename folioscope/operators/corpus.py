@@ -104,8 +104,11 @@ def identifiers(docs: DataFrame, head: int = 3000) -> DataFrame:
 
 def identifier_pins(asked: DataFrame, table: DataFrame, docs: DataFrame, most: int = 6) -> DataFrame:
     """(qid, doc_id, rank): documents of the asked (qid, id_kind, id_key), newest first; keys of more than ``most`` documents pin nothing."""
-    hits = asked.join(table.select("id_kind", "id_key", "doc_id").distinct(), ["id_kind", "id_key"])
-    hits = hits.withColumn("n", F.count("*").over(Window.partitionBy("qid", "id_kind", "id_key"))).where(F.col("n") <= most)
+    # Keys of too many documents go before the questions meet them.
+    keys = ["id_kind", "id_key"]
+    table = table.select(*keys, "doc_id").distinct()
+    few = table.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") <= most).select(*keys)
+    hits = asked.select("qid", *keys).distinct().join(few, keys).join(table, keys)
     dated = hits.select("qid", "doc_id").distinct().join(docs.select("doc_id", "issue_date"), "doc_id")
     return dated.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("issue_date"), "doc_id")).cast("long")).drop("issue_date")
 

@@ -272,3 +272,36 @@ def test_quantised_components_keep_their_sign(spark):
 
     x = one(spark, quantised("v"), v=[-2e-7, 2e-7, -0.0, -1.5000005, 0.5, float("nan"), float("-inf")])
     assert [repr(c) for c in x] == ["-0.0", "0.0", "-0.0", "-1.500001", "0.5", "nan", "-inf"]
+
+
+def test_resolution_of_many_that_share_a_key(spark):
+    """20,000 sources against 20,000 documents of one date and issuer: 400 million pairs, were they paired."""
+    import time
+
+    head, n = "Resolución de 5 de marzo de 2024", 20_000
+    word = F.when(F.col("id") == 7, "fallas").when(F.col("id") == 8, "riego").when(F.col("id") == 9, "riego").otherwise("becas")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{head}, "), word).alias("title"), F.lit("Conselleria A").alias("issuer"))
+    more = spark.createDataFrame([(n, "Plan de fallas", None), (n + 1, "Plan de becas", None)], "doc_id long, title string, issuer string")
+    ref = spark.createDataFrame([("resolucion", None, 2024, "cita", 5, 3, "Conselleria A")], ", ".join(corpus._FOUND.split(", ")[1:]))
+    docs = docs.unionByName(more)
+    began = time.time()
+    got = corpus.resolve_references(docs.select("doc_id").crossJoin(ref), docs).where("target is not null").collect()
+    # 8 and 9 share a word that no third has; each is the other's only one.
+    assert sorted((r["doc_id"], r["target"]) for r in got) == [(8, 9), (9, 8), (n, 7)]
+    assert time.time() - began < 60
+
+
+def test_a_key_that_all_documents_have_meets_no_question(spark):
+    """5,000 questions ask for a key of 40,000 documents: 200 million pairs, were they paired."""
+    import time
+
+    n = 40_000
+    table = spark.range(n).select(F.lit("code").alias("id_kind"), F.lit("brand/2020").alias("id_key"), F.col("id").alias("doc_id"))
+    rare = spark.createDataFrame([("code", "x/1", d) for d in range(6)] + [("code", "x/2", d) for d in range(7)], "id_kind string, id_key string, doc_id long")
+    asked = spark.range(5_000).select(F.col("id").alias("qid"), F.lit("code").alias("id_kind"), F.lit("brand/2020").alias("id_key"))
+    asked = asked.unionByName(spark.createDataFrame([(1, "code", "x/1"), (1, "code", "x/1"), (2, "code", "x/2")], "qid long, id_kind string, id_key string"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("issue_date"))
+    began = time.time()
+    got = corpus.identifier_pins(asked, table.unionByName(rare), docs).collect()
+    assert sorted((r["qid"], r["rank"], r["doc_id"]) for r in got) == [(1, i + 1, 5 - i) for i in range(6)]
+    assert time.time() - began < 30
