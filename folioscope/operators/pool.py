@@ -189,19 +189,37 @@ def _grams(text: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(text, i, size))
 
 
+#: Counters of how common grams are, by hash; broadcast.
+COUNTERS = 1 << 18
+
+
+def _rung(length: Column, size: int) -> Column:
+    """The size of a token's grams: the largest of 1, ..., size, 2 size, 4 size and 8 size that it has."""
+    out = F.least(length, F.lit(size))
+    for n in (2 * size, 4 * size, 8 * size):
+        out = F.when(length >= n, F.lit(n)).otherwise(out)
+    return out
+
+
 def holding(tokens: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
     """(token, doc_id): candidates for the texts (doc_id, text) that hold a token (token): all that do, and some that don't.
 
-    A token is looked up by the rarest of its grams of ``size`` letters (of fewer, if it is shorter), so this is an
-    equi-join, and a token with a gram that no text has costs nothing. Empty tokens and nulls find nothing.
+    A token is looked up by the rarest of its grams, so this is an equi-join, and a token with a gram that no text has
+    costs nothing. Grams have ``size`` letters (fewer, if the token is shorter) up to eight times as many, as long as the
+    token allows: with short ones alone, of which there are only so many, a gram's texts would grow with the texts, and
+    the candidates of as many tokens with their square. How rare a gram is comes from COUNTERS counters by hash; shared
+    counters only cost candidates. Empty tokens and nulls find nothing.
     """
     tokens = tokens.select("token").where("token <> ''").distinct()
-    least = F.least(F.length("token"), F.lit(size))
-    sizes = tokens.agg(F.collect_set(least).alias("sizes"))  # one row of ``size`` numbers at most
-    every = F.array_distinct(F.flatten(F.transform("sizes", lambda n: _grams(F.col("text"), n))))
+    rung = _rung(F.length("token"), size)
+    sizes = tokens.agg(F.collect_set(rung).alias("sizes"))  # one row of ``size`` + 3 numbers at most
+    hashed = lambda grams: F.transform(grams, lambda g: F.xxhash64(g))
+    every = F.array_distinct(F.flatten(F.transform("sizes", lambda n: hashed(_grams(F.col("text"), n)))))
     own = texts.where("text is not null").crossJoin(F.broadcast(sizes)).select("doc_id", F.explode(every).alias("gram"))
-    common = own.groupBy("gram").agg(F.count("*").alias("n"))
-    parts = tokens.select("token", F.explode(F.array_distinct(_grams(F.col("token"), least))).alias("gram")).join(common, "gram", "left")
+    counter = lambda: F.pmod("gram", F.lit(COUNTERS)).cast("int")
+    common = F.broadcast(own.groupBy(counter().alias("counter")).agg(F.count("*").alias("n")))  # COUNTERS rows at most
+    parts = tokens.select("token", F.explode(F.array_distinct(hashed(_grams(F.col("token"), rung)))).alias("gram"))
+    parts = parts.withColumn("counter", counter()).join(common, "counter", "left")
     rarest = parts.groupBy("token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0")
     return rarest.select("token", F.col("x.gram").alias("gram")).join(own, "gram").select("token", "doc_id").distinct()
 

@@ -227,3 +227,16 @@ def test_old_editions_go_before_an_identity_is_pinned(spark):
     dates = spark.createDataFrame([(10, "2024-01-01"), (11, "2025-01-01"), (12, "2024-01-01"), (13, None)], "id long, date string").selectExpr("id", "cast(date as date) date")
     got = [tuple(x) for x in fresh_hits(hits, vectors, dates).select("qid", "doc_id", "rank").orderBy("qid", "rank").collect()]
     assert got == [(1, 11, 1), (1, 12, 2), (1, 13, 3), (2, 10, 1)]
+
+
+def test_candidates_of_long_tokens_grow_with_the_texts_only(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.operators.pool import holding
+
+    n = 4000
+    code = F.concat(F.lit("BRAND/"), (2015 + F.col("id") % 10).cast("string"), F.lit("/"), (100_000 + F.col("id") * 7).cast("string"))
+    texts = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("CALL "), code, F.lit(" FOR ALL")).alias("text"))
+    got = holding(spark.range(n).select(code.alias("token")), texts)
+    assert got.count() <= 2 * n  # many times that by grams of three letters alone, of which there are some thousands whatever n
+    assert got.join(texts, "doc_id").where(F.contains("text", F.col("token"))).count() == n
