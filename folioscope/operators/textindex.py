@@ -15,21 +15,26 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
-from ..workers import Shared, children, remove
+from ..workers import Shared, children, remove, ship
 
 _K1, _B = 1.2, 0.75
+#: Tokens of a task that writes a segment, about.
+TASK = 2_000_000
 
 
 @dataclass(frozen=True)
 class TextIndexConfig:
-    """span: doc_ids of a block. buckets: partitions by lexeme. slices: files of a bucket, dealt by range, so that a common lexeme is spread. growth: segments merge where two have as many documents, to a factor of this."""
+    """span: doc_ids of a block. buckets: partitions by lexeme, each a file a task; tasks are dealt by range, so a common lexeme is spread. slices: not used any more. growth: segments merge where two have as many documents, to a factor of this."""
 
     span: int = 128
     buckets: int = 16
@@ -50,28 +55,72 @@ def _part(spark: SparkSession, path: str, kind: str, names: list[str]) -> DataFr
     return spark.read.option("basePath", f"{path}/{kind}").parquet(*(f"{path}/{kind}/seg={n}" for n in names))
 
 
-def _blocks(postings: DataFrame, cfg: TextIndexConfig) -> DataFrame:
-    """Blocks of postings (part, lexeme, doc_id, tf, len); one shuffle deals them out and groups them."""
-    rows = postings.withColumn("range", F.floor(F.col("doc_id") / cfg.span).cast("long"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(cfg.buckets)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("range"), F.lit(cfg.slices)).cast("int"))
-    grouped = rows.repartition("bucket", "slice").groupBy("bucket", "slice", "lexeme", "range", "part").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("p"))  # cfg.span postings at most
-    field = lambda name: F.transform("p", lambda x: x[name])
-    return grouped.select("bucket", "lexeme", "range", "part", F.size("p").alias("n"), F.array_max(field("tf")).alias("most"), F.array_min(field("len")).alias("short"), field("doc_id").alias("docs"), field("tf").alias("tfs"), field("len").alias("lens"))
-
-
-def _write(blocks: DataFrame, docs: DataFrame, path: str) -> tuple[str, int, int]:
-    name = uuid.uuid4().hex
-    blocks.sortWithinPartitions("bucket", "lexeme", "range").write.partitionBy("bucket").parquet(f"{path}/segments/seg={name}")
+def _dealt(rows: DataFrame, tokens_: int) -> DataFrame:
+    """Rows of a range in one task, about TASK tokens in each, so that what follows groups by range and lexeme without another shuffle and in memory."""
+    return rows.repartition(1 + tokens_ // TASK, "range")
+
+
+_BLOCK = "bucket int, lexeme string, range long, part string, n int, most int, short long, docs array<long>, tfs array<int>, lens array<long>"
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where runs of the same lexeme, range and part begin; the first row is one."""
+    new = np.zeros(rows.num_rows, dtype=bool)
+    new[0] = True
+    for name in ("lexeme", "range", "part"):
+        col = rows.column(name).combine_chunks()
+        a, b = col.slice(1), col.slice(0, len(col) - 1)
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+        new[1:] |= other.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _runs(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+    """A block of every run."""
+    rows = rows.combine_chunks()
+    col = lambda name: rows.column(name).combine_chunks()
+    ends = pa.array(np.append(first, rows.num_rows).astype(np.int32))
+    keys = [col(k).take(pa.array(first)) for k in ("bucket", "lexeme", "range", "part")]
+    counts = [np.diff(np.append(first, rows.num_rows)).astype(np.int32), np.maximum.reduceat(col("tf").to_numpy(), first), np.minimum.reduceat(col("len").to_numpy(), first)]
+    lists = [pa.ListArray.from_arrays(ends, col(k)) for k in ("doc_id", "tf", "len")]
+    return pa.RecordBatch.from_arrays([*keys, *map(pa.array, counts), *lists], names=["bucket", "lexeme", "range", "part", "n", "most", "short", "docs", "tfs", "lens"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted postings as blocks; a batch's last run waits for the next batch."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            first = _starts(rows)
+            if len(first) > 1:
+                yield _runs(rows.slice(0, first[-1]), first[:-1])
+            held = rows.slice(first[-1])
+    if held is not None:
+        yield _runs(held, np.zeros(1, dtype=np.int64))
+
+
+def _write(postings: DataFrame, path: str, cfg: TextIndexConfig, docs: DataFrame | None = None) -> tuple[str, int, int]:
+    """A segment of postings (range, part, lexeme, doc_id, tf, len) that are dealt by range. Without ``docs`` (doc_id, len) the rows without a lexeme hold them."""
+    name, spark = uuid.uuid4().hex, postings.sparkSession
+    ship(spark)
+    bucket = F.when(F.col("lexeme").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("lexeme"), F.lit(cfg.buckets))).cast("int").alias("bucket")
+    rows = postings.select(bucket, "lexeme", "range", "part", "doc_id", F.col("tf").cast("int").alias("tf"), "len").sortWithinPartitions("bucket", "lexeme", "range", "part", "doc_id")
+    rows.mapInArrow(_cut, _BLOCK).sortWithinPartitions("bucket", "lexeme", "range").write.partitionBy("bucket").parquet(f"{path}/segments/seg={name}")
+    if docs is None:
+        empty = "bucket=-1" not in children(spark, f"{path}/segments/seg={name}")
+        docs = spark.createDataFrame([], "doc_id long, len long") if empty else spark.read.parquet(f"{path}/segments/seg={name}/bucket=-1").select(F.inline(F.arrays_zip("docs", "lens"))).toDF("doc_id", "len")
     docs.write.parquet(f"{path}/docs/seg={name}")
-    n, size = docs.sparkSession.read.parquet(f"{path}/docs/seg={name}").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    n, size = spark.read.parquet(f"{path}/docs/seg={name}").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
     return name, n, size
 
 
-def _merged(spark: SparkSession, path: str, names: list[str], cfg: TextIndexConfig) -> tuple[str, int, int]:
+def _merged(spark: SparkSession, path: str, some: list[tuple[str, int, int]], cfg: TextIndexConfig) -> tuple[str, int, int]:
     """Segments as one: blocks of the same lexeme and range are put together."""
-    rows = _part(spark, path, "segments", names).withColumn("x", F.explode(F.arrays_zip("docs", "tfs", "lens")))
-    postings = rows.select("lexeme", "part", F.col("x.docs").alias("doc_id"), F.col("x.tfs").alias("tf"), F.col("x.lens").alias("len"))
-    return _write(_blocks(postings, cfg), _part(spark, path, "docs", names).select("doc_id", "len"), path)
+    names = [s[0] for s in some]
+    postings = _part(spark, path, "segments", names).where("lexeme is not null").select("range", "part", "lexeme", F.inline_outer(F.arrays_zip("docs", "tfs", "lens"))).toDF("range", "part", "lexeme", "doc_id", "tf", "len")
+    return _write(_dealt(postings, sum(s[2] for s in some)), path, cfg, _part(spark, path, "docs", names).select("doc_id", "len"))
 
 
 def add(docs: DataFrame, path: str, cfg: TextIndexConfig | None = None) -> None:
@@ -85,13 +134,22 @@ def add(docs: DataFrame, path: str, cfg: TextIndexConfig | None = None) -> None:
     spark = docs.sparkSession
     version, segments = _manifest(spark, path)
     part = F.col("part").cast("string") if "part" in docs.columns else F.lit(None).cast("string")
-    new = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.struct(F.col("text"), part.alias("part"))).alias("x")).select("doc_id", "x.*")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", part.alias("part"), F.lit(False).alias("known"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if segments:
-        new = new.join(_part(spark, path, "docs", [s[0] for s in segments]), "doc_id", "left_anti")
-    words = new.select("doc_id", "part", F.coalesce(tokens(fold("text")), F.array().cast("array<string>")).alias("w"))
-    lengths = words.select("doc_id", F.size("w").cast("long").alias("len"))
-    postings = words.select("doc_id", "part", F.size("w").cast("long").alias("len"), F.explode("w").alias("lexeme")).groupBy("lexeme", "part", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"))
-    segment = _write(_blocks(postings, cfg), lengths, path)
+        known = _part(spark, path, "docs", [s[0] for s in segments])
+        rows = rows.unionByName(known.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("part"), F.lit(True).alias("known")))
+    rows = _dealt(rows.withColumn("range", F.floor(F.col("doc_id") / cfg.span).cast("long")), size // 6)
+    new = rows.groupBy("range", "doc_id").agg(F.min(F.struct("text", "part")).alias("x"), F.max("known").alias("known")).where("not known").select("range", "doc_id", "x.*")
+    words = new.select("range", "doc_id", "part", F.sort_array(F.coalesce(tokens(fold("text")), F.array().cast("array<string>"))).alias("w"))
+    # Frequencies are lengths of runs in the row; the last entry, without a lexeme, stands for the document itself.
+    begins = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (x != F.get("w", i - 1)), i)), lambda i: i.isNotNull())
+    runs = words.select("*", begins.alias("at"), F.size("w").alias("len"))
+    terms = F.transform("at", lambda i, j: F.struct(F.get("w", i).alias("lexeme"), (F.coalesce(F.get("at", j + 1), F.col("len")) - i).alias("tf")))
+    listed = runs.select("range", "doc_id", "part", F.col("len").cast("long").alias("len"), F.concat(terms, F.array(F.struct(F.lit(None).cast("string").alias("lexeme"), F.lit(0).alias("tf")))).alias("terms"))
+    # Outer, though no list is empty: else Spark filters by the size of the list first and works it out at every use.
+    postings = listed.select("range", "doc_id", "part", "len", F.inline_outer("terms"))
+    segment = _write(postings, path, cfg)
     gone = []
     if segment[1]:
         segments = [*segments, segment]
@@ -100,7 +158,7 @@ def add(docs: DataFrame, path: str, cfg: TextIndexConfig | None = None) -> None:
     level = lambda s: int(math.log(s[1], cfg.growth) + 1e-9)
     while same := next((group for s in segments if len(group := [x for x in segments if level(x) == level(s)]) > 1), None):
         gone += [s[0] for s in same]
-        segments = [s for s in segments if s not in same] + [_merged(spark, path, [s[0] for s in same], cfg)]
+        segments = [s for s in segments if s not in same] + [_merged(spark, path, same, cfg)]
     if segments:
         spark.createDataFrame(segments, "name string, docs long, tokens long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{version + 1}")
     for name in gone:  # readers of the manifest before must start anew

@@ -108,3 +108,18 @@ def test_a_dead_writer_leaves_nothing_that_readers_see(spark, monkeypatch):
     add(df, path, CFG)
     assert [r["doc_id"] for r in search(spark, path, asked, 5, cfg=CFG)[0].orderBy("rank").collect()] == [1, 2]
     shared.clear()
+
+
+def test_large_batches_are_dealt_to_more_tasks_than_buckets_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "TASK", 300, raising=False)
+    docs = corpus(400)
+    asked = spark.createDataFrame(list(QUESTIONS.items()), "qid long, words array<string>")
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    shared = Shared(spark, "text-test")
+    path = f"{shared.base}/i"
+    for k in range(2):  # the second merges with the first
+        add(df.where(F.pmod("doc_id", F.lit(2)) == k), path, CFG)
+    close(set(map(tuple, search(spark, path, asked, 5, 1, cfg=CFG)[0].collect())), plain(docs, QUESTIONS, 5))
+    files = spark.read.parquet(f"{path}/segments").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > CFG.buckets * CFG.slices
+    shared.clear()
