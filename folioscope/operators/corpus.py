@@ -17,10 +17,10 @@ def words(text) -> Column:
     return F.filter(F.split(text, r"[\p{Cc} ]+"), lambda w: w != "")
 
 
-def chunk_windows(docs: DataFrame, most: int = 500, overlap: int = 80, least: int = 300) -> DataFrame:
-    """(doc_id, chunk_index, n_words, text): windows of ``most`` words that overlap; a last window shorter than ``least`` joins the one before, overlap included."""
+def chunk_windows(docs: DataFrame, most: int = 500, overlap: int = 80, least: int = 300, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, chunk_index, n_words, text, and the columns ``more`` of the document): windows of ``most`` words that overlap; a last window shorter than ``least`` joins the one before, overlap included."""
     step = most - max(0, min(overlap, most - 1))
-    w = docs.select("doc_id", words("text").alias("w")).where(F.size("w") > 0)
+    w = docs.select("doc_id", *more, words("text").alias("w")).where(F.size("w") > 0)
     n = F.size("w")
     many = F.when(n <= most, 1).otherwise(1 + F.ceil((n - most) / step)).cast("int")
     w = w.withColumn("many", many).withColumn("tail", n - step * (F.col("many") - 1))
@@ -28,8 +28,9 @@ def chunk_windows(docs: DataFrame, most: int = 500, overlap: int = 80, least: in
     w = w.withColumn("last", F.when(joins, F.col("many") - 2).otherwise(F.col("many") - 1)).withColumn("joins", joins)
     part = lambda i: F.slice(F.col("w"), i * step + 1, most)
     text = lambda i: F.when((i == F.col("last")) & F.col("joins"), F.concat(part(i), part(i + 1))).otherwise(part(i))
-    out = w.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("last")), text)).alias("chunk_index", "c"))
-    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("c").cast("long").alias("n_words"), F.array_join("c", " ").alias("text"))
+    # Outer, though there is always a window: else Spark filters by the size of the list first and splits the text again for that.
+    out = w.select("doc_id", *more, F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.col("last")), text)).alias("chunk_index", "c"))
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("c").cast("long").alias("n_words"), F.array_join("c", " ").alias("text"), *more)
 
 
 #: Elements whose content isn't text.
@@ -212,13 +213,27 @@ def reference_lookup(asked: DataFrame, docs: DataFrame, most: int = 4) -> DataFr
     first = F.regexp_extract_all(t, F.lit(r"([0-9]{1,4}/[0-9]{4})"), F.lit(1))
     day = F.regexp_extract(t, r"\b([0-9]{1,2})\s+(?:de\s+|d')([a-z]+)", 1)
     name = F.regexp_extract(t, r"\b([0-9]{1,2})\s+(?:de\s+|d')([a-z]+)", 2)
-    rows = docs.select("doc_id", title_key("title").alias("key"), F.get(first, F.lit(0)).alias("number_year"), day.alias("d"), name.alias("m"))
-    key = F.concat_ws("|", "ref_type", F.col("number").cast("string"), F.col("year").cast("string"))
-    typed = asked.where("ref_type is not null").withColumn("key", key).join(rows, "key")
-    bare = asked.where("ref_type is null").withColumn("number_year", F.concat_ws("/", F.col("number").cast("string"), F.col("year").cast("string"))).join(rows, "number_year")
-    cols = ["qid", "doc_id", "day", "month", "d", "m"]
-    both = typed.select(*cols).unionByName(bare.select(*cols))
     names = lambda i: F.array(*(F.lit(x) for x in MONTHS[i]))
-    same = (F.col("d").try_cast("int") == F.col("day")) & ((F.get(names(0), F.col("month").cast("int") - 1) == F.col("m")) | (F.get(names(1), F.col("month").cast("int") - 1) == F.col("m")))
-    hits = both.where(F.col("day").isNull() | same).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).withColumn("many", F.count("*").over(Window.partitionBy("qid")))
+    docs = docs.select("doc_id", title_key("title").alias("key"), F.get(first, F.lit(0)).alias("number_year"), day.try_cast("int").alias("day"), name.alias("name"))
+    months = F.filter(F.array_distinct(F.array(F.array_position(names(0), F.col("name")), F.array_position(names(1), F.col("name")))), lambda x: x > 0)
+    docs = docs.select("doc_id", "key", "number_year", "day", F.when(F.col("day").isNotNull(), months).alias("months"))
+    look = lambda kind, value, day, month: F.struct(F.lit(kind).alias("kind"), value.alias("value"), day.cast("long").alias("d"), month.cast("long").alias("m"))
+    none = F.lit(0)
+    keys = [("typed", F.col("key")), ("bare", F.col("number_year"))]
+    undated = F.array(*(look(kind, value, none, none) for kind, value in keys))
+    dates = F.flatten(F.transform("months", lambda x: F.array(*(look(kind, value, F.col("day"), x) for kind, value in keys))))
+    looks = F.concat(undated, F.coalesce(dates, F.slice(undated, 1, 0)))
+    by = ["kind", "value", "d", "m"]
+    rows = docs.select("doc_id", F.inline_outer(looks)).where("value is not null")
+    # What a reference finds is counted, and its first documents kept, before questions meet it: questions and documents of one reference would make the product of their numbers.
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))
+    some = rows.withColumn("n", place).where(F.col("n") <= most).groupBy(*by).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))  # most at most
+    found = some.join(rows.groupBy(*by).agg(F.count("*").alias("hits")), by)
+    number = F.col("number").cast("string"), F.col("year").cast("string")
+    value = F.when(F.col("ref_type").isNotNull(), F.concat_ws("|", "ref_type", *number)).otherwise(F.concat_ws("/", *number))
+    dated, month = F.col("day").isNotNull(), F.col("month").cast("int")
+    asks = asked.where("day is null or month between 1 and 12").select("qid", "day", F.when(F.col("ref_type").isNotNull(), "typed").otherwise("bare").alias("kind"), value.alias("value"), F.when(dated, F.col("day")).otherwise(0).cast("long").alias("d"), F.when(dated, month).otherwise(0).cast("long").alias("m"))
+    hits = asks.join(found, by).select("qid", "day", "hits", F.posexplode("ids").alias("i", "doc_id"))
+    own = Window.partitionBy("qid")
+    hits = hits.withColumn("n", F.row_number().over(own.orderBy("doc_id"))).withColumn("many", F.sum(F.when(F.col("i") == 0, F.col("hits"))).over(own))
     return hits.where(F.col("n") <= most).select("qid", "doc_id", ((F.col("many") == 1) | F.col("day").isNotNull()).alias("pinned"))

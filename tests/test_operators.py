@@ -305,3 +305,38 @@ def test_a_key_that_all_documents_have_meets_no_question(spark):
     got = corpus.identifier_pins(asked, table.unionByName(rare), docs).collect()
     assert sorted((r["qid"], r["rank"], r["doc_id"]) for r in got) == [(1, i + 1, 5 - i) for i in range(6)]
     assert time.time() - began < 30
+
+
+def test_many_documents_and_questions_of_one_reference(spark):
+    from folioscope.operators.corpus import reference_lookup
+
+    docs = [(i, f"Orden 7/2020, de {1 + i % 2} de enero") for i in range(9)] + [(50, "Decreto 8/2020, de 3 d'abril")]
+    asks = [(1, "orden", 7, 2020, None, 1), (2, None, 7, 2020, 2, 1), (3, "decreto", 8, 2020, None, 5), (4, None, 8, 2020, 3, 4), (5, None, 8, 2020, 3, 0), (6, "orden", 8, 2020, None, 1)]
+    asked = spark.createDataFrame(asks, "qid long, ref_type string, number int, year int, day int, month int")
+    out = reference_lookup(asked, spark.createDataFrame(docs, "doc_id long, title string"), 3)
+    want = [(1, 0, False), (1, 1, False), (1, 2, False), (2, 1, True), (2, 3, True), (2, 5, True), (3, 50, True), (4, 50, True)]
+    assert sorted(map(tuple, out.collect())) == want
+    # Documents of a reference become one row before questions meet them.
+    assert "collect_list(doc_id" in out._jdf.queryExecution().toString()
+
+
+def test_a_held_quote_is_not_looked_for_word_by_word(spark):
+    from folioscope.operators.evidence import reground
+
+    chunks = spark.createDataFrame([(1, 0, "alpha beta gamma"), (1, 1, "x alpha beta … gamma"), (1, 2, "delta")], "doc_id long, chunk_index long, text string")
+    quotes = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "alpha … gamma"), (1, 2, "zz delta")], "doc_id long, ord long, quote string")
+    out = reground(quotes, chunks)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "verbatim", 0), (1, 1, "stitched", 1), (1, 2, "nearest", 2)]
+    # Of a chunk that holds the quote only the words with an ellipsis are looked for.
+    assert "filter(filter(words" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashed_vectors_and_chunks_shuffle_once(spark):
+    from folioscope.operators.corpus import chunk_windows
+    from folioscope.operators.features import hashed_vectors
+
+    docs = spark.createDataFrame([(1, "one two three", "en"), (2, "", "fr")], "doc_id long, text string, lang string")
+    rows = chunk_windows(docs, more=("lang",))
+    assert [tuple(r) for r in rows.select("doc_id", "text", "lang").collect()] == [(1, "one two three", "en")]
+    out = hashed_vectors(rows, ["doc_id", "lang"], F.col("text"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
