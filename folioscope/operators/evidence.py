@@ -166,18 +166,19 @@ def reground(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, ord, status, chunk_index): verbatim where a chunk holds the quote, stitched where one holds all its parts between ellipses, else nearest, the chunk with the most of its words.
 
     Texts and quotes are folded once, before they meet. Whole quotes and parts are looked for first; word by word only
-    for the quotes that no chunk holds.
+    for the quotes that no chunk holds. A chunk that holds a quote or its parts has all words without an ellipsis, so only the others are looked for there.
     """
     folded = chunks.select("doc_id", "chunk_index", F.lower("text").alias("low"))
     parts = F.filter(F.transform(F.split(F.lower("quote"), "…|\\.\\.\\."), squeeze), lambda p: F.length(p) > 0)
     words = F.array_distinct(F.split(F.lower(squeeze("quote")), " "))
     quotes = evidence.select("doc_id", "ord", F.lower("quote").alias("whole"), parts.alias("parts"), words.alias("words"))
+    loose = F.filter("words", lambda x: F.contains(x, F.lit("…")) | F.contains(x, F.lit("...")))
     grade = F.when(F.contains("low", "whole"), 2).when((F.size("parts") > 1) & F.forall("parts", lambda p: F.contains("low", p)), 1)
-    common = F.size(F.filter("words", lambda x: F.contains("low", x)))
+    common = lambda some: F.size(F.filter(some, lambda x: F.contains("low", x)))
     best = F.max_by(F.struct("grade", "chunk_index"), F.struct("grade", "common", -F.col("chunk_index"))).alias("b")
-    held = quotes.join(folded, "doc_id").withColumn("grade", grade).where("grade is not null").withColumn("common", common).groupBy("doc_id", "ord").agg(best)
+    held = quotes.join(folded, "doc_id").withColumn("grade", grade).where("grade is not null").withColumn("common", common(loose)).groupBy("doc_id", "ord").agg(best)
     rest = quotes.join(held.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").join(folded, "doc_id")
-    near = rest.withColumns({"grade": F.lit(0), "common": common}).groupBy("doc_id", "ord").agg(best)
+    near = rest.withColumns({"grade": F.lit(0), "common": common("words")}).groupBy("doc_id", "ord").agg(best)
     name = F.when(F.col("b.grade") == 2, "verbatim").when(F.col("b.grade") == 1, "stitched").otherwise("nearest")
     return held.unionByName(near).select("doc_id", "ord", name.alias("status"), F.col("b.chunk_index").alias("chunk_index"))
 
