@@ -13,10 +13,15 @@ def hashed_vectors(rows: DataFrame, keys: list[str], text: Column, dim: int = 64
 
     Texts without such tokens, and those whose tokens cancel out, have no row; rows that share their keys are one text.
     """
-    token = F.explode(F.filter(tokens(fold(text)), lambda t: F.length(t) >= least)).alias("token")
+    # Outer: else Spark filters by the size of the list first, and makes the tokens twice.
+    token = F.explode_outer(F.filter(tokens(fold(text)), lambda t: F.length(t) >= least)).alias("token")
     digest = F.md5(F.col("token").cast("binary"))
     place = (F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % dim).alias("place")
     sign = F.when(F.conv(F.substring(digest, 3, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
-    sums = rows.select(*keys, token).select(*keys, place, sign.alias("sign")).groupBy(*keys, "place").agg(F.sum("sign").alias("v")).where("v <> 0")
-    have = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("size"))  # dim entries at most
-    return have.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("size")).alias("embedding"))
+    signed = rows.select(*keys, token).where("token is not null").select(*keys, place, sign.alias("sign"))
+    # A row's tokens are summed where they are and all its places shuffled once, as one row.
+    sums = signed.groupBy(*keys).agg(*(F.sum(F.when(F.col("place") == i, F.col("sign")).otherwise(0)).alias(f"_{i}") for i in range(dim)))
+    have = sums.select(*keys, F.array(*(f"_{i}" for i in range(dim))).alias("v"))
+    size = F.sqrt(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
+    have = have.select(*keys, "v", size.alias("size")).where("size > 0")
+    return have.select(*keys, F.transform("v", lambda x: x / F.col("size")).alias("embedding"))

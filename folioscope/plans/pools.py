@@ -87,13 +87,15 @@ class _Lanes:
         spark = t("benchmark").sparkSession
         base = Shared(spark, "pool").base
         d = docs(t).select("doc_id", "lang", "title")
-        chunks = chunk_windows(t("documents")).join(d.select("doc_id", "lang"), "doc_id").select((F.col("doc_id") * STRIDE + F.col("chunk_index")).alias("doc_id"), "text", F.col("lang").alias("part"))
+        chunks = chunk_windows(t("documents"), more=("lang",)).select((F.col("doc_id") * STRIDE + F.col("chunk_index")).alias("doc_id"), "text", F.col("lang").alias("part"))
         spans = textindex.TextIndexConfig(span=STRIDE * 128)
         textindex.add(chunks, f"{base}/chunks", spans)
         textindex.add(d.select("doc_id", F.col("title").alias("text"), F.col("lang").alias("part")), f"{base}/titles")
-        named = lambda rows, text: hashed_vectors(rows, ["id", "lang"], text)
+        vectored = Shared(spark, "hashed")  # they are read twice, for the sample and the cells
+        named = lambda rows, text: vectored.keep(hashed_vectors(rows, ["id", "lang"], text), "rows")
         vectorindex.build(named(chunks.select(F.col("doc_id").alias("id"), F.col("part").alias("lang"), "text"), F.col("text")), f"{base}/vectors")
         vectorindex.build(named(d.select(F.col("doc_id").alias("id"), "lang", "title"), F.col("title")), f"{base}/title_vectors")
+        vectored.clear()
         scratch = Shared(spark, "pool")
         self.questions = scratch.keep(_questions(t), "questions")
         # A question is asked as 4 * qid with its language, 4 * qid + 1 without.
