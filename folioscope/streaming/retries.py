@@ -14,8 +14,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..workers import ship
 
 ROW = "source string, kind string, attempts long, last timestamp, next_retry timestamp, resolved boolean"
-#: folded: failures too old to be reordered; recent: times of the others (microseconds); success, last: the newest of each.
-STATE = "folded long, recent array<long>, success long, last long"
+#: A change as it leaves Python, times in microseconds.
+CHANGE = "source string, kind string, attempts long, last long, next_retry long, resolved boolean"
+#: Of each key of a bucket, at the same place of every array. folded: failures too old to be reordered; recent: times of the others
+#: (microseconds); success, last: the newest of each; timer: when ``due`` is to be said (milliseconds).
+STATE = "source array<string>, folded array<long>, recent array<array<long>>, success array<long>, last array<long>, timer array<long>"
+#: Keys meet Python in so many groups, for a group costs milliseconds there and a key microseconds. A checkpoint holds them: another number needs a new one.
+BUCKETS = 4096
 
 
 @dataclass(frozen=True)
@@ -31,35 +36,57 @@ def _wait(attempts: int, cfg: RetryConfig) -> int:
     return cfg.minutes * 60_000_000 * 2 ** (min(attempts, cfg.most) - 1)
 
 
+def _reported(frames: Iterator[pd.DataFrame], floor: int) -> dict[str, list]:
+    """By source: times of its failures, and its newest success."""
+    new: dict[str, list] = {}
+    for rows in frames:
+        for source, at, ok in zip(rows["source"].tolist(), rows["at"].tolist(), rows["ok"].tolist(), strict=True):
+            mine = new.setdefault(source, [[], None])
+            if at < floor:
+                continue
+            if not ok:
+                mine[0].append(at)
+            elif mine[1] is None or at > mine[1]:
+                mine[1] = at
+    return new
+
+
 def _step(cfg: RetryConfig):
+    def change(source: str, kind: str, attempts: int, last: int | None) -> tuple:
+        return source, kind, attempts, last, last + _wait(attempts, cfg) if attempts else None, attempts == 0
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        folded, recent, success, last = state.get if state.exists else (0, [], None, None)
-        recent, due = list(recent), state.hasTimedOut
-        floor = state.getCurrentWatermarkMs() * 1000
-        if not due:
-            for rows in frames:
-                at = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-                fresh = at >= floor
-                good, bad = at[fresh & rows["ok"].to_numpy()], at[fresh & ~rows["ok"].to_numpy()]
-                recent += bad.tolist()
-                last = max([*bad.tolist(), *([] if last is None else [last])], default=None)
-                if len(good):
-                    success = max(int(good.max()), success if success is not None else int(good.max()))
-        if success is not None:
-            # Failures that were folded are older than any report that can still come, so a newer success ends them all.
-            folded = 0 if success >= floor else folded
-            recent = [x for x in recent if x > success]
-        folded += sum(x < floor for x in recent)
-        recent = sorted(x for x in recent if x >= floor)
-        attempts = folded + len(recent)
-        state.update((folded, recent, success, last))
-        again = last + _wait(attempts, cfg) if attempts else None
-        over = again is not None and again <= floor and not due
-        if again is not None and again > floor and not due:
-            state.setTimeoutTimestamp(again // 1000 + 1)
-        stamp = lambda x: pd.to_datetime(pd.Series([x], dtype="Int64"), unit="us")
-        for kind in ("due",) if due else ("state", "due") if over else ("state",):
-            yield pd.DataFrame({"source": [key[0]], "kind": [kind], "attempts": [attempts], "last": stamp(last), "next_retry": stamp(again), "resolved": [attempts == 0]})
+        keys = {source: tuple(rest) for source, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        now = state.getCurrentWatermarkMs()
+        floor, out = now * 1000, []
+        for source, (bad, good) in ({} if state.hasTimedOut else _reported(frames, floor)).items():
+            folded, recent, success, last, _ = keys.get(source, (0, [], None, None, None))
+            recent = [*recent, *bad]
+            last = max([*bad, *([] if last is None else [last])], default=None)
+            success = max((x for x in (success, good) if x is not None), default=None)
+            if success is not None:
+                # Failures that were folded are older than any report that can still come, so a newer success ends them all.
+                folded = 0 if success >= floor else folded
+                recent = [x for x in recent if x > success]
+            folded += sum(x < floor for x in recent)
+            recent = sorted(x for x in recent if x >= floor)
+            attempts = folded + len(recent)
+            again = last + _wait(attempts, cfg) if attempts else None
+            over = again is not None and again <= floor
+            keys[source] = folded, recent, success, last, None if again is None or over else again // 1000 + 1
+            out += [change(source, kind, attempts, last) for kind in (("state", "due") if over else ("state",))]
+        # Timers of keys without reports; those set above are never before the watermark.
+        for source, (folded, recent, success, last, timer) in keys.items():
+            if timer is not None and timer < now:
+                keys[source] = folded, recent, success, last, None
+                out.append(change(source, "due", folded + len(recent), last))
+        state.update((list(keys), *map(list, zip(*keys.values(), strict=True))))
+        timers = [x[-1] for x in keys.values() if x[-1] is not None]
+        if timers:
+            state.setTimeoutTimestamp(min(timers))
+        if out:
+            frame = pd.DataFrame(out, columns=["source", "kind", "attempts", "last", "next_retry", "resolved"], dtype=object)  # no long becomes a double
+            yield frame.astype({"attempts": "int64", "last": "Int64", "next_retry": "Int64", "resolved": bool})
 
     return step
 
@@ -69,12 +96,15 @@ def retry_changes(reports: DataFrame, cfg: RetryConfig | None = None) -> DataFra
 
     A failure adds an attempt and reopens; a success clears the attempts that came before or with it and resolves. Reports may come in any
     order within cfg.late, and the state is the same; older ones are ignored. A row of kind ``due`` comes when event time has
-    passed next_retry and nothing was reported since, or at once where it had passed before the report came. Rows with a null are ignored. The state of a key is its counts and the failures within cfg.late.
+    passed next_retry and nothing was reported since, or at once where it had passed before the report came. Rows with a null are ignored. The state of a key is its counts and the failures within cfg.late;
+    keys are kept in BUCKETS groups by their hash, each with the earliest timer of its keys.
     """
     cfg = cfg or RetryConfig()
     ship(reports.sparkSession)
     rows = reports.where("source is not null and ts is not null and ok is not null").select(F.col("source").cast("string"), F.col("ts").cast("timestamp"), "ok").withWatermark("ts", cfg.late)
-    return rows.groupBy("source").applyInPandasWithState(_step(cfg), ROW, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    dealt = rows.withColumns({"bucket": F.pmod(F.xxhash64("source"), F.lit(BUCKETS)), "at": F.unix_micros("ts")})
+    out = dealt.groupBy("bucket").applyInPandasWithState(_step(cfg), CHANGE, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumns({x: F.timestamp_micros(x) for x in ("last", "next_retry")})
 
 
 def run_retries(changes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

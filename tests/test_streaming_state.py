@@ -41,6 +41,23 @@ def test_old_failures_are_counted_and_late_reports_ignored(spark, tmp_path):
     assert [(x["source"], x["attempts"]) for x in due][-1] == ("a", 3)
 
 
+def test_keys_of_a_bucket_share_a_group_and_keep_their_own_timers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retries, "BUCKETS", 2)
+    cfg = retries.RetryConfig(late="1 day")
+    day = lambda n, hours=0: T0 + timedelta(days=n, hours=hours)
+    batches = [[(f"k{i}", day(i, n), False) for i in range(12) for n in range(1 + i % 3)], [(f"k{i}", day(11, 5), True) for i in (3, 11)], [("late", day(1), False), ("z", day(60), True)]]
+    got = run(spark, str(tmp_path), batches, cfg)
+    rows = [x for batch in batches for x in batch if x[0] != "late"]
+    assert [x for x in rows_of(got) if x[0] != "late"] == rows_of(retries.retry_fold(spark.createDataFrame(rows, REPORT), cfg))
+    due = spark.read.parquet(f"{tmp_path}/out").where("kind = 'due'").select("source", "attempts", "last", "next_retry").collect()
+    wait = [60, 120, 240]
+    assert sorted(map(tuple, due)) == sorted((f"k{i}", 1 + i % 3, day(i, i % 3), day(i, i % 3) + timedelta(minutes=wait[i % 3])) for i in range(11))
+    stream = landed(spark, f"{tmp_path}/in", REPORT, files=9)
+    query = retries.run_retries(retries.retry_changes(stream, cfg), f"{tmp_path}/out2", f"{tmp_path}/check2")
+    query.awaitTermination()
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
+
+
 # -- days ---------------------------------------------------------------------------------------------------------------
 
 DAY = "id long, day date, lang string, value long, sent timestamp"
