@@ -20,7 +20,7 @@ CHANGE = "source string, kind string, attempts long, last long, next_retry long,
 #: (microseconds); success, last: the newest of each; timer: when ``due`` is to be said (milliseconds).
 STATE = "source array<string>, folded array<long>, recent array<array<long>>, success array<long>, last array<long>, timer array<long>"
 #: Keys meet Python in so many groups, for a group costs milliseconds there and a key microseconds. A checkpoint holds them: another number needs a new one.
-BUCKETS = 4096
+BUCKETS = 1024
 
 
 @dataclass(frozen=True)
