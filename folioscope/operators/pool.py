@@ -193,6 +193,11 @@ def _grams(text: Column, size: Column) -> Column:
 COUNTERS = 1 << 18
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that doesn't broadcast it: Spark takes what it makes of a table for as large as the compressed file, however many rows come of one, and would gather it on the driver."""
+    return df.hint("merge")
+
+
 def _rung(length: Column, size: int) -> Column:
     """The size of a token's grams: the largest of 1, ..., size, 2 size, 4 size and 8 size that it has."""
     out = F.least(length, F.lit(size))
@@ -208,20 +213,26 @@ def holding(tokens: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
     costs nothing. Grams have ``size`` letters (fewer, if the token is shorter) up to eight times as many, as long as the
     token allows: with short ones alone, of which there are only so many, a gram's texts would grow with the texts, and
     the candidates of as many tokens with their square. How rare a gram is comes from COUNTERS counters by hash; shared
-    counters only cost candidates. Empty tokens and nulls find nothing.
+    counters only cost candidates. Of the texts' grams only those are shuffled whose counters the tokens' rarest grams
+    share. Empty tokens and nulls find nothing.
     """
     tokens = tokens.select("token").where("token <> ''").distinct()
     rung = _rung(F.length("token"), size)
     sizes = tokens.agg(F.collect_set(rung).alias("sizes"))  # one row of ``size`` + 3 numbers at most
     hashed = lambda grams: F.transform(grams, lambda g: F.xxhash64(g))
     every = F.array_distinct(F.flatten(F.transform("sizes", lambda n: hashed(_grams(F.col("text"), n)))))
-    own = texts.where("text is not null").crossJoin(F.broadcast(sizes)).select("doc_id", F.explode(every).alias("gram"))
+    # A compressed table of short texts is one or two tasks' input; their grams are a hundred times as many rows.
+    spread = texts.where("text is not null").repartition(texts.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    own = spread.crossJoin(F.broadcast(sizes)).select("doc_id", F.explode(every).alias("gram"))
     counter = lambda: F.pmod("gram", F.lit(COUNTERS)).cast("int")
     common = F.broadcast(own.groupBy(counter().alias("counter")).agg(F.count("*").alias("n")))  # COUNTERS rows at most
     parts = tokens.select("token", F.explode(F.array_distinct(hashed(_grams(F.col("token"), rung)))).alias("gram"))
     parts = parts.withColumn("counter", counter()).join(common, "counter", "left")
     rarest = parts.groupBy("token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0")
-    return rarest.select("token", F.col("x.gram").alias("gram")).join(own, "gram").select("token", "doc_id").distinct()
+    rarest = rarest.select("token", F.col("x.gram").alias("gram"))
+    wanted = F.broadcast(rarest.select(counter().alias("counter")).distinct())  # COUNTERS rows at most
+    few = own.withColumn("counter", counter()).join(wanted, "counter", "left_semi").drop("counter")
+    return rarest.join(_shuffled(few), "gram").select("token", "doc_id").distinct()
 
 
 def reference_hits(asked: DataFrame, docs: DataFrame, questions: DataFrame, per_token: int = 5) -> DataFrame:
@@ -230,13 +241,17 @@ def reference_hits(asked: DataFrame, docs: DataFrame, questions: DataFrame, per_
     For each token: the exact ref first, then refs that hold it, then titles, newest first, ``per_token`` at most, in the
     question's language if there are any, else in all. A document counts for the first token that finds it. ``questions``
     has qid and language, ``docs`` doc_id, ref, title, language and issue_date. Each token is searched once for each language that asks
-    for it, whatever the number of questions, by ``holding``; nothing is broadcast but one row.
+    for it, whatever the number of questions, by ``holding``; nothing else is broadcast. A token's documents are cut to the
+    first ``per_token`` of each language before they meet the questions' languages: no others come first in any of them.
     """
-    batch = asked.join(questions, "qid", "left").select("qid", "place", F.upper("token").alias("token"), F.col("language").alias("want"))
+    batch = asked.join(_shuffled(questions), "qid", "left").select("qid", "place", F.upper("token").alias("token"), F.col("language").alias("want"))
     ref, title = F.upper("ref"), F.upper("title")
     texts = docs.select("doc_id", ref.alias("text")).unionByName(docs.select("doc_id", title.alias("text")))
     kind = F.when(ref == F.col("token"), 0).when(F.contains(ref, F.col("token")), 1).when(F.contains(title, F.col("token")), 2)
-    found = holding(batch, texts).join(docs.select("doc_id", "ref", "title", "language", "issue_date"), "doc_id").withColumn("kind", kind).where("kind is not null")
+    found = holding(batch, texts).join(_shuffled(docs.select("doc_id", "ref", "title", "language", "issue_date")), "doc_id").withColumn("kind", kind).where("kind is not null")
+    found = found.select("token", "language", "kind", "issue_date", "doc_id")
+    within = Window.partitionBy("token", "language").orderBy("kind", F.desc("issue_date"), F.desc("doc_id"))
+    found = found.withColumn("at", F.row_number().over(within)).where(F.col("at") <= per_token).drop("at")
     hits = found.join(batch.select("token", "want").distinct(), "token")
     hits = hits.withColumn("own", F.coalesce(F.col("want").isNull() | (F.col("language") == F.col("want")), F.lit(False)))
     order = Window.partitionBy("token", "want").orderBy(F.desc("own"), "kind", F.desc("issue_date"), F.desc("doc_id"))

@@ -175,7 +175,7 @@ def part_references(t):
     kind = t("part").select(F.col("p_partkey").alias("doc_id"), F.split_part("p_type", F.lit(" "), F.lit(-1)).alias("material"))
     code = F.regexp_extract("title", "([A-Za-z]+/[0-9]+/[0-9]+)", 1)
     named = F.posexplode(F.array(code, F.col("material"), F.right(F.col("ref"), F.lit(2)))).alias("place", "token")
-    asked = d.join(kind, "doc_id").select(F.col("doc_id").alias("qid"), named)
+    asked = d.join(kind.hint("merge"), "doc_id").select(F.col("doc_id").alias("qid"), named)  # a broadcast would grow with the parts
     questions = d.select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 3 == 0, "va").when(F.col("doc_id") % 3 == 1, "es").alias("language"))
     return pool.reference_hits(asked, d, questions).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 

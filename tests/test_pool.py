@@ -240,3 +240,36 @@ def test_candidates_of_long_tokens_grow_with_the_texts_only(spark):
     got = holding(spark.range(n).select(code.alias("token")), texts)
     assert got.count() <= 2 * n  # many times that by grams of three letters alone, of which there are some thousands whatever n
     assert got.join(texts, "doc_id").where(F.contains("text", F.col("token"))).count() == n
+
+
+def test_references_broadcast_nothing_that_grows(spark):
+    """Spark takes rows exploded from a small file for small, and broadcast them all."""
+    import re
+
+    from folioscope.plans import registered
+
+    for name in ("part_references", "reference_hits"):
+        plan = registered()[0][name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        assert set(re.findall(r"BroadcastHashJoin \[(\w+)#", plan)) <= {"counter"}, name
+
+
+def test_references_of_every_language(spark):
+    from itertools import product
+
+    from folioscope.operators.pool import reference_hits
+
+    docs = [(i, f"R-{i:04d}", f"call {'abc' if i % 3 else 'abd'} {i % 5}", ("es", "va", None)[i % 7 % 3], f"2024-01-{1 + i * 5 % 9:02d}") for i in range(90)]
+    wants, tokens = ["es", "va", "fr", None], ["abc", "abd 4", "r-00", "R-0010", "none"]
+    questions = [(i, w) for i, (w, _) in enumerate(product(wants, tokens))]
+    batch = [(i, 0, t) for i, (_, t) in enumerate(product(wants, tokens))]
+    frame = spark.createDataFrame(docs, "doc_id long, ref string, title string, language string, issue_date string").selectExpr("doc_id", "ref", "title", "language", "cast(issue_date as date) issue_date")
+    out = reference_hits(spark.createDataFrame(batch, "qid long, place int, token string"), frame, spark.createDataFrame(questions, "qid long, language string"))
+    got = {}
+    for x in out.orderBy("qid", "rank").collect():
+        got.setdefault(x["qid"], []).append(x["doc_id"])
+    for (qid, _, t), (_, want) in zip(batch, questions, strict=True):
+        t = t.upper()
+        hits = [((r != t) + (t not in r), day, d, want is None or lang == want) for d, r, title, lang, day in docs if t in r or t in title.upper()]
+        own = [h for h in hits if h[3]] or hits
+        first = sorted(sorted(own, key=lambda h: (h[1], h[2]), reverse=True), key=lambda h: h[0])[:5]
+        assert got.get(qid, []) == [h[2] for h in first], (t, want)
