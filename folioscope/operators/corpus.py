@@ -20,7 +20,7 @@ def words(text) -> Column:
 def chunk_windows(docs: DataFrame, most: int = 500, overlap: int = 80, least: int = 300, more: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, chunk_index, n_words, text, and the columns ``more`` of the document): windows of ``most`` words that overlap; a last window shorter than ``least`` joins the one before, overlap included."""
     step = most - max(0, min(overlap, most - 1))
-    w = docs.select("doc_id", *more, words("text").alias("w")).where(F.size("w") > 0)
+    w = docs.select("doc_id", *more, words("text").alias("w"))
     n = F.size("w")
     many = F.when(n <= most, 1).otherwise(1 + F.ceil((n - most) / step)).cast("int")
     w = w.withColumn("many", many).withColumn("tail", n - step * (F.col("many") - 1))
@@ -28,8 +28,8 @@ def chunk_windows(docs: DataFrame, most: int = 500, overlap: int = 80, least: in
     w = w.withColumn("last", F.when(joins, F.col("many") - 2).otherwise(F.col("many") - 1)).withColumn("joins", joins)
     part = lambda i: F.slice(F.col("w"), i * step + 1, most)
     text = lambda i: F.when((i == F.col("last")) & F.col("joins"), F.concat(part(i), part(i + 1))).otherwise(part(i))
-    # Outer, though there is always a window: else Spark filters by the size of the list first and splits the text again for that.
-    out = w.select("doc_id", *more, F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.col("last")), text)).alias("chunk_index", "c"))
+    # Outer, and texts without words dropped afterwards: else Spark filters by the size of a list first and splits the text again for that.
+    out = w.select("doc_id", *more, F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.col("last")), text)).alias("chunk_index", "c")).where(F.size("c") > 0)
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("c").cast("long").alias("n_words"), F.array_join("c", " ").alias("text"), *more)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +28,8 @@ from ..functions.text import fold, tokens
 from ..workers import Shared, children, remove, ship
 
 _K1, _B = 1.2, 0.75
-#: Tokens of a task that writes a segment, about.
-TASK = 2_000_000
+#: Tokens of a task that writes a segment, about, and tokens that become blocks at once.
+TASK, HELD = 2_000_000, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -60,14 +60,14 @@ def _dealt(rows: DataFrame, tokens_: int) -> DataFrame:
     return rows.repartition(1 + tokens_ // TASK, "range")
 
 
-_BLOCK = "bucket int, lexeme string, range long, part string, n int, most int, short long, docs array<long>, tfs array<int>, lens array<long>"
+_BLOCK = "lexeme string, range long, part string, n int, most int, short long, docs array<long>, tfs array<int>, lens array<long>"
 
 
-def _starts(rows: pa.Table) -> np.ndarray:
-    """Where runs of the same lexeme, range and part begin; the first row is one."""
+def run_starts(rows: pa.Table, names: Iterable[str]) -> np.ndarray:
+    """Where runs of the same values of some columns begin; the first row is one."""
     new = np.zeros(rows.num_rows, dtype=bool)
     new[0] = True
-    for name in ("lexeme", "range", "part"):
+    for name in names:
         col = rows.column(name).combine_chunks()
         a, b = col.slice(1), col.slice(0, len(col) - 1)
         other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
@@ -80,10 +80,10 @@ def _runs(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
     rows = rows.combine_chunks()
     col = lambda name: rows.column(name).combine_chunks()
     ends = pa.array(np.append(first, rows.num_rows).astype(np.int32))
-    keys = [col(k).take(pa.array(first)) for k in ("bucket", "lexeme", "range", "part")]
+    keys = [col(k).take(pa.array(first)) for k in ("lexeme", "range", "part")]
     counts = [np.diff(np.append(first, rows.num_rows)).astype(np.int32), np.maximum.reduceat(col("tf").to_numpy(), first), np.minimum.reduceat(col("len").to_numpy(), first)]
     lists = [pa.ListArray.from_arrays(ends, col(k)) for k in ("doc_id", "tf", "len")]
-    return pa.RecordBatch.from_arrays([*keys, *map(pa.array, counts), *lists], names=["bucket", "lexeme", "range", "part", "n", "most", "short", "docs", "tfs", "lens"])
+    return pa.RecordBatch.from_arrays([*keys, *map(pa.array, counts), *lists], names=["lexeme", "range", "part", "n", "most", "short", "docs", "tfs", "lens"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows])
-            first = _starts(rows)
+            first = run_starts(rows, ("lexeme", "range", "part"))
             if len(first) > 1:
                 yield _runs(rows.slice(0, first[-1]), first[:-1])
             held = rows.slice(first[-1])
@@ -101,13 +101,65 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _runs(held, np.zeros(1, dtype=np.int64))
 
 
-def _write(postings: DataFrame, path: str, cfg: TextIndexConfig, docs: DataFrame | None = None) -> tuple[str, int, int]:
-    """A segment of postings (range, part, lexeme, doc_id, tf, len) that are dealt by range. Without ``docs`` (doc_id, len) the rows without a lexeme hold them."""
-    name, spark = uuid.uuid4().hex, postings.sparkSession
-    ship(spark)
-    bucket = F.when(F.col("lexeme").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("lexeme"), F.lit(cfg.buckets))).cast("int").alias("bucket")
-    rows = postings.select(bucket, "lexeme", "range", "part", "doc_id", F.col("tf").cast("int").alias("tf"), "len").sortWithinPartitions("bucket", "lexeme", "range", "part", "doc_id")
-    rows.mapInArrow(_cut, _BLOCK).sortWithinPartitions("bucket", "lexeme", "range").write.partitionBy("bucket").parquet(f"{path}/segments/seg={name}")
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words between single spaces, and the place of the text that each is of."""
+    listed = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    words, of = listed.flatten(), np.repeat(np.arange(len(listed)), pc.list_value_length(listed).to_numpy())
+    some = pc.not_equal(words, "")
+    return words.filter(some).dictionary_encode(), of[some.to_numpy(zero_copy_only=False)]
+
+
+def _counted(rows: pa.Table) -> pa.RecordBatch:
+    """Documents (range, doc_id, part, words), each once, as blocks; the blocks without a lexeme hold the documents themselves, with frequencies of 0."""
+    col = lambda name: rows.column(name).combine_chunks()
+    span, part = col("range").to_numpy(), col("part").dictionary_encode()
+    code, of = words_of(col("words"))
+    order = pc.array_sort_indices(code.dictionary).to_numpy().astype(np.int64)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    named = pc.fill_null(part.indices, -1).to_numpy()
+    row = np.lexsort((col("doc_id").to_numpy(), named, span))  # the documents by range, part and doc_id
+    at = np.empty(len(row), dtype=np.int64)
+    at[row] = np.arange(len(row))
+    size = np.bincount(of, minlength=len(row))
+    # A posting is a number, its lexeme's place times the documents plus its document's; how often it comes is its frequency.
+    key, tf = np.unique(place[code.indices.to_numpy()] * len(row) + at[of], return_counts=True)
+    lexeme, doc = np.divmod(key, len(row))
+    other = np.append(True, (np.diff(span[row]) != 0) | (np.diff(named[row]) != 0))
+    first = np.flatnonzero(np.append(True, (np.diff(lexeme) != 0) | (np.diff(np.cumsum(other)[doc]) != 0))[: len(key)])
+    keys = pa.concat_arrays([code.dictionary.take(pa.array(order[lexeme[first]])), pa.nulls(int(other.sum()), code.dictionary.type)])
+    first, doc, tf = np.append(first, len(key) + np.flatnonzero(other)), np.append(doc, np.arange(len(row))), np.append(tf, np.zeros(len(row), dtype=np.int64)).astype(np.int32)
+    docs, lens, head = col("doc_id").to_numpy()[row][doc], size[row][doc], pa.array(row[doc[first]])
+    ends = np.append(first, len(doc)).astype(np.int32)
+    counts = [np.diff(ends), np.maximum.reduceat(tf, first), np.minimum.reduceat(lens, first)]
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (docs, tf, lens)]
+    return pa.RecordBatch.from_arrays([keys, col("range").take(head), col("part").take(head), *map(pa.array, counts), *lists], names=["lexeme", "range", "part", "n", "most", "short", "docs", "tfs", "lens"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column("words").nbytes // 6
+            if size >= HELD:
+                yield _counted(pa.Table.from_batches(held))
+                held, size = [], 0
+    if held:
+        yield _counted(pa.Table.from_batches(held))
+
+
+def _blocks(postings: DataFrame) -> DataFrame:
+    """Postings (range, part, lexeme, doc_id, tf, len), dealt by range, as blocks."""
+    rows = postings.select("lexeme", "range", "part", "doc_id", F.col("tf").cast("int").alias("tf"), "len").sortWithinPartitions("lexeme", "range", "part", "doc_id")
+    return rows.mapInArrow(_cut, _BLOCK)
+
+
+def _write(blocks: DataFrame, path: str, cfg: TextIndexConfig, docs: DataFrame | None = None) -> tuple[str, int, int]:
+    """A segment of blocks. Without ``docs`` (doc_id, len) the blocks without a lexeme hold them."""
+    name, spark = uuid.uuid4().hex, blocks.sparkSession
+    bucket = F.when(F.col("lexeme").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("lexeme"), F.lit(cfg.buckets))).cast("int")
+    blocks.withColumn("bucket", bucket).sortWithinPartitions("bucket", "lexeme", "range").write.partitionBy("bucket").parquet(f"{path}/segments/seg={name}")
     if docs is None:
         empty = "bucket=-1" not in children(spark, f"{path}/segments/seg={name}")
         docs = spark.createDataFrame([], "doc_id long, len long") if empty else spark.read.parquet(f"{path}/segments/seg={name}/bucket=-1").select(F.inline(F.arrays_zip("docs", "lens"))).toDF("doc_id", "len")
@@ -120,7 +172,13 @@ def _merged(spark: SparkSession, path: str, some: list[tuple[str, int, int]], cf
     """Segments as one: blocks of the same lexeme and range are put together."""
     names = [s[0] for s in some]
     postings = _part(spark, path, "segments", names).where("lexeme is not null").select("range", "part", "lexeme", F.inline_outer(F.arrays_zip("docs", "tfs", "lens"))).toDF("range", "part", "lexeme", "doc_id", "tf", "len")
-    return _write(_dealt(postings, sum(s[2] for s in some)), path, cfg, _part(spark, path, "docs", names).select("doc_id", "len"))
+    ship(spark)
+    return _write(_blocks(_dealt(postings, sum(s[2] for s in some))), path, cfg, _part(spark, path, "docs", names).select("doc_id", "len"))
+
+
+def joined(text: str) -> Column:
+    """The folded tokens of a text, which hold no spaces, in one string with spaces between."""
+    return F.array_join(tokens(fold(text)), " ")
 
 
 def add(docs: DataFrame, path: str, cfg: TextIndexConfig | None = None) -> None:
@@ -128,28 +186,24 @@ def add(docs: DataFrame, path: str, cfg: TextIndexConfig | None = None) -> None:
 
     Tokens are folded. A part is a string, such as a language; null is a part that no question names. Documents that the index has already, and rows without a doc_id, are left out; of rows that share
     one, the smallest text counts, with its part. Null texts are empty; documents without tokens count in the statistics only. A batch without new documents changes nothing.
-    One writer at a time.
+    Documents may have words, as ``joined`` makes them, instead of a text. One writer at a time.
     """
     cfg = cfg or TextIndexConfig()
     spark = docs.sparkSession
+    ship(spark)
     version, segments = _manifest(spark, path)
     part = F.col("part").cast("string") if "part" in docs.columns else F.lit(None).cast("string")
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", part.alias("part"), F.lit(False).alias("known"))
+    given = "words" in docs.columns
+    text = F.col("words" if given else "text")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), part.alias("part"), F.lit(False).alias("known"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if segments:
         known = _part(spark, path, "docs", [s[0] for s in segments])
         rows = rows.unionByName(known.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("part"), F.lit(True).alias("known")))
     rows = _dealt(rows.withColumn("range", F.floor(F.col("doc_id") / cfg.span).cast("long")), size // 6)
     new = rows.groupBy("range", "doc_id").agg(F.min(F.struct("text", "part")).alias("x"), F.max("known").alias("known")).where("not known").select("range", "doc_id", "x.*")
-    words = new.select("range", "doc_id", "part", F.sort_array(F.coalesce(tokens(fold("text")), F.array().cast("array<string>"))).alias("w"))
-    # Frequencies are lengths of runs in the row; the last entry, without a lexeme, stands for the document itself.
-    begins = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (x != F.get("w", i - 1)), i)), lambda i: i.isNotNull())
-    runs = words.select("*", begins.alias("at"), F.size("w").alias("len"))
-    terms = F.transform("at", lambda i, j: F.struct(F.get("w", i).alias("lexeme"), (F.coalesce(F.get("at", j + 1), F.col("len")) - i).alias("tf")))
-    listed = runs.select("range", "doc_id", "part", F.col("len").cast("long").alias("len"), F.concat(terms, F.array(F.struct(F.lit(None).cast("string").alias("lexeme"), F.lit(0).alias("tf")))).alias("terms"))
-    # Outer, though no list is empty: else Spark filters by the size of the list first and works it out at every use.
-    postings = listed.select("range", "doc_id", "part", "len", F.inline_outer("terms"))
-    segment = _write(postings, path, cfg)
+    words = F.col("text") if given else joined("text")
+    segment = _write(new.select("range", "doc_id", "part", words.alias("words")).mapInArrow(_posted, _BLOCK), path, cfg)
     gone = []
     if segment[1]:
         segments = [*segments, segment]
@@ -197,7 +251,8 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int, first:
     words = scratch.keep(words.distinct(), "words")
     # With the bucket in the join, partitions that no question needs are pruned at run time.
     asked = words.select("lexeme", F.pmod(F.xxhash64("lexeme"), F.lit(cfg.buckets)).cast("int").alias("bucket")).distinct()
-    heads = scratch.keep(blocks.select("bucket", "lexeme", "range", "part", "n", "most", "short").join(asked, ["bucket", "lexeme"], "left_semi"), "heads")
+    # Whole blocks: what the questions' words have is a small part of the index, which is read once for it.
+    heads = scratch.keep(blocks.join(asked, ["bucket", "lexeme"], "left_semi").drop("bucket", "seg"), "heads")
     rare = heads.groupBy("lexeme").agg(F.sum("n").alias("df")).select("lexeme", F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     words = words.join(rare, "lexeme")
     bound = F.col("idf") * _impact(F.col("most"), F.col("short"), average)
@@ -209,7 +264,7 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int, first:
 
     def scored(some: DataFrame) -> DataFrame:
         want = some.select("qid", "only", "asked", "range", F.explode("w").alias("w")).select("qid", "only", "asked", "range", "w.lexeme", "w.idf")
-        full = blocks.join(want, ["lexeme", "range"]).where("only is null or only = part").select("qid", "asked", "idf", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x"))
+        full = heads.join(want, ["lexeme", "range"]).where("only is null or only = part").select("qid", "asked", "idf", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("x"))
         impact = F.sum(F.col("idf") * _impact(F.col("x.tfs"), F.col("x.lens"), average))
         out = full.groupBy("qid", "asked", F.col("x.docs").alias("doc_id")).agg(F.round(impact, 6).alias("score"), F.count("*").alias("n"))
         return (out.where("n = asked") if every else out).select("qid", "doc_id", "score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, guess_language, tokens
 from ..operators import fusion, pool, textindex, vectorindex
 from ..operators.corpus import chunk_windows
-from ..operators.features import hashed_vectors
+from ..operators.features import hashed_vectors, hashed_words
 from ..operators.spanish import spanish_stems
 from ..workers import Shared
 from . import query
@@ -80,6 +80,10 @@ def _documents(hits, chunk: bool):
     return fusion.first_seen(hits.select("qid", doc.alias("doc_id"), "rank"))
 
 
+def _chunks(documents):
+    return chunk_windows(documents, more=("lang",)).select((F.col("doc_id") * STRIDE + F.col("chunk_index")).alias("doc_id"), "text", F.col("lang").alias("part"))
+
+
 class _Lanes:
     """All hits of the questions, in both passes: with the filter on their language, and without."""
 
@@ -87,15 +91,15 @@ class _Lanes:
         spark = t("benchmark").sparkSession
         base = Shared(spark, "pool").base
         d = docs(t).select("doc_id", "lang", "title")
-        chunks = chunk_windows(t("documents"), more=("lang",)).select((F.col("doc_id") * STRIDE + F.col("chunk_index")).alias("doc_id"), "text", F.col("lang").alias("part"))
+        chunks = _chunks(t("documents"))
         spans = textindex.TextIndexConfig(span=STRIDE * 128)
-        textindex.add(chunks, f"{base}/chunks", spans)
-        textindex.add(d.select("doc_id", F.col("title").alias("text"), F.col("lang").alias("part")), f"{base}/titles")
-        vectored = Shared(spark, "hashed")  # they are read twice, for the sample and the cells
-        named = lambda rows, text: vectored.keep(hashed_vectors(rows, ["id", "lang"], text), "rows")
-        vectorindex.build(named(chunks.select(F.col("doc_id").alias("id"), F.col("part").alias("lang"), "text"), F.col("text")), f"{base}/vectors")
-        vectorindex.build(named(d.select(F.col("doc_id").alias("id"), "lang", "title"), F.col("title")), f"{base}/title_vectors")
-        vectored.clear()
+        titles = d.select("doc_id", F.col("title").alias("text"), F.col("lang").alias("part"))
+        for rows, cfg, name, vectors in ((chunks, spans, "chunks", "vectors"), (titles, None, "titles", "title_vectors")):
+            mine = Shared(spark, "words")  # tokens are made once, for both indexes; vectors are read twice, for the sample and the cells
+            words = mine.keep(rows.select("doc_id", "part", textindex.joined("text").alias("words")), "words")
+            textindex.add(words, f"{base}/{name}", cfg)
+            vectorindex.build(mine.keep(hashed_words(words.select(F.col("doc_id").alias("id"), F.col("part").alias("lang"), "words"), ["id", "lang"], F.col("words")), "rows"), f"{base}/{vectors}")
+            mine.clear()
         scratch = Shared(spark, "pool")
         self.questions = scratch.keep(_questions(t), "questions")
         # A question is asked as 4 * qid with its language, 4 * qid + 1 without.
@@ -106,7 +110,9 @@ class _Lanes:
         self.strict = scratch.keep(textindex.search(spark, f"{base}/chunks", first, 60, every=True, cfg=spans)[0].withColumnRenamed("doc_id", "id"), "strict")
         self.titles = scratch.keep(textindex.search(spark, f"{base}/titles", asked, 60)[0].withColumnRenamed("doc_id", "id"), "titles")
         # The stand-in for a written answer: the best chunk's text.
-        answers = self.broad.where("rank = 1 and qid % 4 = 0").select((F.col("qid") + 2).alias("qid"), F.col("id").alias("doc_id")).join(chunks.select("doc_id", "text"), "doc_id").select("qid", "text")
+        best = self.broad.where("rank = 1 and qid % 4 = 0").select((F.col("qid") + 2).alias("qid"), F.col("id").alias("doc_id"))
+        few = t("documents").join(F.broadcast(best.select(F.floor(F.col("doc_id") / STRIDE).cast("long").alias("doc_id")).distinct()), "doc_id", "left_semi")  # a row a question
+        answers = _chunks(few).join(best, "doc_id").select("qid", "text")
         texts = asked.select("qid", "text", "part").unionByName(answers.join(asked.select((F.col("qid") + 2).alias("qid"), "part"), "qid"))
         vectors = scratch.keep(hashed_vectors(texts, ["qid", "part"], F.col("text")).select("qid", F.col("part").alias("want_lang"), F.col("embedding").alias("vector")), "asked")
         self.vectors = scratch.keep(vectorindex.search(spark, f"{base}/vectors", vectors, 100, filters=("lang",)), "vectors")

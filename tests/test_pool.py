@@ -273,3 +273,40 @@ def test_references_of_every_language(spark):
         own = [h for h in hits if h[3]] or hits
         first = sorted(sorted(own, key=lambda h: (h[1], h[2]), reverse=True), key=lambda h: h[0])[:5]
         assert got.get(qid, []) == [h[2] for h in first], (t, want)
+
+
+def test_hashed_vectors_by_definition(spark):
+    import hashlib
+    import math
+    import re
+
+    from folioscope.operators.features import hashed_vectors
+
+    rows = [(1, "es", "Aguas y agua l'Aigua de 2024"), (1, "es", "otra agua"), (1, None, "agua"), (None, "es", "río río"), (None, "es", "mar"), (2, "es", "y a de"), (3, "es", None), (4, "es", "")] + [(10 + i, "de", f"wort{i} und wort{i % 7}") for i in range(40)]
+    want = {}
+    for key, lang, text in rows:
+        for w in re.findall(r"[\w·'/-]+", (text or "").lower().replace("í", "i")):
+            if len(w) >= 3:
+                h = hashlib.md5(w.encode()).digest()
+                want.setdefault((key, lang), [0] * 64)[h[0] % 64] += 1 if h[1] < 128 else -1
+    want = {k: [x / math.sqrt(sum(y * y for y in v)) for x in v] for k, v in want.items() if any(v)}
+    got = hashed_vectors(spark.createDataFrame(rows, "id long, lang string, text string").repartition(3), ["id", "lang"], F.col("text")).collect()
+    assert len(got) == len(want) and {(r["id"], r["lang"]): r["embedding"] for r in got} == want
+
+
+def test_hashed_vectors_have_no_sum_a_place(spark):
+    """64 sums in one aggregate are more code than the JVM compiles."""
+    from folioscope.operators.features import hashed_vectors
+
+    plan = hashed_vectors(spark.createDataFrame([(1, "a text")], "id long, text string"), ["id"], F.col("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(" not in plan
+
+
+def test_a_text_is_split_once_for_its_chunks(spark):
+    from folioscope.operators.corpus import chunk_windows
+
+    df = spark.createDataFrame([(1, "a b\nc"), (2, ""), (3, None), (4, " \x01 "), (5, "w " * 1300)], "doc_id long, text string")
+    out = chunk_windows(df)
+    assert [(r["doc_id"], r["chunk_index"], r["n_words"]) for r in out.orderBy("doc_id", "chunk_index").collect()] == [(1, 0, 3), (5, 0, 500), (5, 1, 500), (5, 2, 460)]
+    big = chunk_windows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert big._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1

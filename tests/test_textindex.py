@@ -123,3 +123,44 @@ def test_large_batches_are_dealt_to_more_tasks_than_buckets_and_slices(spark, mo
     files = spark.read.parquet(f"{path}/segments").select(F.input_file_name().alias("f")).distinct().count()
     assert files > CFG.buckets * CFG.slices
     shared.clear()
+
+
+def test_search_reads_the_whole_index_once(spark):
+    """Both rounds of a search shuffled all blocks of all words."""
+    docs = spark.createDataFrame(list(corpus(300).items()), "doc_id long, text string")
+    path = f"{Shared(spark, 'text-once').base}/i"
+    add(docs, path, CFG)
+    out, read = search(spark, path, spark.createDataFrame([(1, ["w1", "w150"])], "qid long, words array<string>"), 5, cfg=CFG)
+    assert out.count() == 5 and not [f for df in (out, read) for f in df.inputFiles() if "/segments/" in f]
+
+
+def test_words_instead_of_texts(spark):
+    docs = corpus(300) | {8: "  Él l'AIGUA, w1  w1", 9: "..."}
+    df = spark.createDataFrame([(d, t, ("es", "va", None)[d % 3]) for d, t in docs.items()] + [(7, "a smaller text", "xx"), (None, "w1", "es")], "doc_id long, text string, part string")
+    df = df.where("text is null or text <> 'a smaller text'").unionByName(df.where("doc_id = 9"))
+    asked = spark.createDataFrame([(q, w, "es" if q % 2 else None) for q, w in QUESTIONS.items()] + [(8, ["el", "l'aigua"], None)], "qid long, words array<string>, part string")
+    found = []
+    for rows in (df, df.select("doc_id", "part", textindex.joined("text").alias("words"))):
+        path = f"{Shared(spark, 'text-words').base}/i"
+        for k in (0, 1):
+            add(rows.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2)) == k), path, CFG)
+        found.append({tuple(r) for r in search(spark, path, asked, 9, cfg=CFG)[0].collect()})
+    assert found[0] == found[1] and {r[1] for r in found[0] if r[0] == 8} == {8}
+
+
+def test_postings_of_held_batches(spark, monkeypatch):
+    """Blocks of documents that come in several batches and are cut before their range ends."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    docs = {d: (d // 16, r.choice(["es", None]), " ".join(r.choice("abcdé") for _ in range(r.randrange(0, 9)))) for d in r.sample(range(90), 60)}
+    monkeypatch.setattr(textindex, "HELD", 40)
+    schema = pa.schema([("range", pa.int64()), ("doc_id", pa.int64()), ("part", pa.string()), ("words", pa.string())])
+    batches = [pa.RecordBatch.from_pylist([{"range": docs[d][0], "doc_id": d, "part": docs[d][1], "words": docs[d][2] if d % 7 else docs[d][2] or None} for d in some], schema=schema) for some in (list(docs)[:0], list(docs)[:25], list(docs)[25:])]
+    got = []
+    for out in textindex._posted(iter(batches)):
+        for b in out.to_pylist():
+            assert b["n"] == len(b["docs"]) and b["most"] == max(b["tfs"]) and b["short"] == min(b["lens"]) and b["docs"] == sorted(b["docs"])
+            got += [(b["lexeme"], b["range"], b["part"], d, tf, n) for d, tf, n in zip(b["docs"], b["tfs"], b["lens"], strict=True)]
+    want = [(w, span, part, d, tf, len(t.split())) for d, (span, part, t) in docs.items() for w, tf in [*Counter(t.split()).items(), (None, 0)]]
+    assert sorted(got, key=str) == sorted(want, key=str)
